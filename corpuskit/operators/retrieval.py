@@ -41,6 +41,7 @@ DEFAULT_RESPONSE_MODE = "synthesis"
 MODE_ALIASES = {"smart": "synthesis", "synthesis": "synthesis", "raw": "raw", "both": "both"}
 # filename-shaped queries are pure keyword lookups
 FILENAME_QUERY = r"(?i)^[\p{L}\p{N}_.\-]+\.(pdf|docx|txt|xlsx|csv)$"
+WS = r"[ \t\n\x0B\f\r]"    # Python's str.split() whitespace (ASCII)
 SCORE_DP = 6               # ranking compares scores rounded to this many places
 # -----------------------------------------------------------------------------
 
@@ -133,10 +134,10 @@ def vector_topk(items: DataFrame, queries: DataFrame, key: str, vec: str,
     qb = max(1, math.ceil(n_queries / query_block))
     it = (items.select(F.col(key).alias("_key"), F.col(vec).cast("array<double>").alias("_v"))
           .withColumn("_ib", F.pmod(F.xxhash64("_key"), F.lit(ib)))
-          .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).cast("long")))
+          .withColumn("_qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(qb - 1).cast("long")))))
     qs = (queries.select(F.col(qid).alias("_qid"), F.col(qvec).cast("array<double>").alias("_v"))
           .withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(qb)))
-          .withColumn("_ib", F.explode(F.sequence(F.lit(0), F.lit(ib - 1))).cast("long")))
+          .withColumn("_ib", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ib - 1).cast("long")))))
 
     out_schema = T.StructType([
         T.StructField("_qid", T.LongType()), T.StructField("_key", T.LongType()),
@@ -155,12 +156,13 @@ def vector_topk(items: DataFrame, queries: DataFrame, key: str, vec: str,
         out = []
         for row, q in enumerate(qpdf["_qid"].to_numpy()):
             s = sims[row]
+            sr = np.round(s, SCORE_DP)      # same order as the final ranking
             if kk < len(s):
-                cut = np.partition(s, len(s) - kk)[len(s) - kk]
-                cand = np.nonzero(s >= cut)[0]
+                cut = np.partition(sr, len(sr) - kk)[len(sr) - kk]
+                cand = np.nonzero(sr >= cut)[0]
             else:
                 cand = np.arange(len(s))
-            order = cand[np.lexsort((keys[cand], -s[cand]))][:kk]
+            order = cand[np.lexsort((keys[cand], -sr[cand]))][:kk]
             out.append(pd.DataFrame({"_qid": q, "_key": keys[order], "score": s[order],
                                      "vmin": s.min(), "vmax": s.max()}))
         return pd.concat(out, ignore_index=True)
@@ -189,7 +191,7 @@ def cosine(a: Column, b: Column) -> Column:
 def pick_alpha(q) -> Column:
     """Keyword/vector weight: filename -> 0, quoted -> 0, <=3 words -> .3, else .7."""
     q = F.col(q) if isinstance(q, str) else q
-    n_words = F.size(F.filter(F.split(q, r"\s+"), lambda w: w != ""))
+    n_words = F.size(F.filter(F.split(q, WS + "+"), lambda w: w != ""))
     return (F.when(q.rlike(FILENAME_QUERY), F.lit(0.0))
              .when(q.startswith('"') & q.endswith('"'), F.lit(0.0))
              .when(n_words <= 3, F.lit(0.3))

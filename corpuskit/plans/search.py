@@ -117,3 +117,135 @@ def q_tokenize(t: Tables) -> DataFrame:
                     F.size("t").cast("long").alias("n_tokens"),
                     F.size(F.array_distinct("t")).cast("long").alias("n_terms"),
                     F.array_join(F.slice("t", 1, 5), " ").alias("head"))
+
+
+# ----------------------------------------------------------------- vectors
+
+def query_vectors(t: Tables) -> DataFrame:
+    e = t.embeddings
+    return (query_table(t).join(e, F.col("query_id") == F.col("vec_id"))
+            .select("query_id", F.col("embedding").alias("qv")))
+
+
+VEC_SQL = """
+WITH qv AS (SELECT b.item_id AS query_id, e.embedding AS qv FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id),
+s AS (SELECT qv.query_id, e.vec_id,
+             list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(qv.qv AS DOUBLE[])) AS score
+      FROM qv CROSS JOIN embeddings e),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS BIGINT) AS rank, vec_id, round(score, 4) AS score FROM r WHERE rank <= 5"""
+
+
+@register("vector_topk", sql=VEC_SQL)
+def q_vector_topk(t: Tables) -> DataFrame:
+    """#37: exact cosine top-5 of every benchmark query's vector."""
+    best = retrieval.vector_topk(t.embeddings, query_vectors(t), "vec_id", "embedding",
+                                 "query_id", "qv", k=5)
+    ranked = retrieval.top_k(best, "query_id", "score", ["vec_id"], 5)
+    return ranked.select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id",
+                         F.round("score", 4).alias("score"))
+
+
+# ------------------------------------------------------------------ alpha
+
+def alpha_sql(q: str) -> str:
+    return (f"(CASE WHEN regexp_matches({q}, '{retrieval.FILENAME_QUERY}') THEN 0.0 "
+            f"WHEN starts_with({q}, '\"') AND ends_with({q}, '\"') THEN 0.0 "
+            f"WHEN len(list_filter(regexp_split_to_array({q}, '{retrieval.WS}+'), lambda w: w <> '')) <= 3 THEN 0.3 "
+            f"ELSE 0.7 END)")
+
+
+ALPHA_SQL = f"""
+WITH v AS (
+  SELECT item_id AS query_id, 'text' AS form, text AS query FROM benchmark
+  UNION ALL SELECT item_id, 'quoted', '"' || text || '"' FROM benchmark
+  UNION ALL SELECT item_id, 'filename', regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g') || '.pdf' FROM benchmark
+  UNION ALL SELECT item_id, 'first_word', split_part(trim(text), ' ', 1) FROM benchmark
+)
+SELECT query_id, form, {alpha_sql('query')} AS alpha FROM v"""
+
+
+@register("pick_alpha", sql=ALPHA_SQL)
+def q_pick_alpha(t: Tables) -> DataFrame:
+    """#39: keyword/vector weight of each benchmark query in four shapes."""
+    b = t.benchmark
+    forms = [
+        b.select(F.col("item_id").alias("query_id"), F.lit("text").alias("form"), F.col("text").alias("query")),
+        b.select("item_id", F.lit("quoted"), F.concat(F.lit('"'), "text", F.lit('"'))),
+        b.select("item_id", F.lit("filename"),
+                 F.concat(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", "_"), F.lit(".pdf"))),
+        b.select("item_id", F.lit("first_word"), F.split_part(F.trim("text"), F.lit(" "), F.lit(1))),
+    ]
+    v = forms[0]
+    for f in forms[1:]:
+        v = v.union(f)
+    return v.select("query_id", "form", retrieval.pick_alpha("query").alias("alpha"))
+
+
+# ----------------------------------------------------------------- hybrid
+
+def hybrid_df(t: Tables, k: int = retrieval.DEFAULT_TOP_K) -> DataFrame:
+    chunks = chunk_store(t)
+    queries = query_table(t).withColumn("alpha", retrieval.pick_alpha("query"))
+    bm25 = retrieval.bm25_scores(chunks, queries, KEYS)
+    qv = query_vectors(t).join(queries.filter("alpha > 0").select("query_id"), "query_id", "left_semi")
+    kept_docs = chunks.filter(F.col("chunk_index") == 0).select("doc_id")
+    items = t.embeddings.join(kept_docs, F.col("vec_id") == F.col("doc_id"), "left_semi")
+    vtop_docs = retrieval.vector_topk(items, qv, "vec_id", "embedding", "query_id", "qv", k=k)
+    vtop = (vtop_docs.join(chunks.select(*KEYS), F.col("vec_id") == F.col("doc_id"))
+            .withColumnRenamed("score", "cos"))
+    vtop = retrieval.top_k(vtop, "query_id", "cos", KEYS, k, rank_col="_r").drop("_r")
+    ranges = vtop_docs.groupBy("query_id").agg(F.min("vmin").alias("vmin"), F.max("vmax").alias("vmax"))
+    alphas = queries.select("query_id", "alpha").join(ranges, "query_id", "left")
+    pair_cos = (bm25.join(qv, "query_id")
+                .join(t.embeddings, F.col("doc_id") == F.col("vec_id"))
+                .select("query_id", *KEYS, retrieval.cosine(F.col("embedding"), F.col("qv")).alias("cos")))
+    fused = retrieval.hybrid_scores(bm25, vtop, pair_cos, alphas, "query_id", KEYS)
+    return retrieval.top_k(fused, "query_id", "score", KEYS, k)
+
+
+def hybrid_sql(k: int = 5, extra_cols: str = "", where: str = "") -> str:
+    return f"""
+WITH {Q_CTE}, {chunks_cte()}, {bm25_cte()},
+qv AS (SELECT b.item_id AS query_id, e.embedding AS qv FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id),
+al AS (SELECT query_id, {alpha_sql('query')} AS alpha FROM _q),
+vc AS (
+  SELECT qv.query_id, c.doc_id, c.chunk_index,
+         list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(qv.qv AS DOUBLE[])) AS cos
+  FROM qv JOIN al USING (query_id) CROSS JOIN chunks c JOIN embeddings e ON e.vec_id = c.doc_id
+  WHERE al.alpha > 0
+),
+vr AS (SELECT query_id, min(cos) AS vmin, max(cos) AS vmax FROM vc GROUP BY query_id),
+br AS (SELECT query_id, min(bm25) AS bmin, max(bm25) AS bmax FROM bm25 GROUP BY query_id),
+cand AS (
+  SELECT coalesce(b.query_id, v.query_id) AS query_id, coalesce(b.doc_id, v.doc_id) AS doc_id,
+         coalesce(b.chunk_index, v.chunk_index) AS chunk_index, b.bm25, v.cos
+  FROM bm25 b FULL OUTER JOIN vc v
+    ON b.query_id = v.query_id AND b.doc_id = v.doc_id AND b.chunk_index = v.chunk_index
+),
+fused AS (
+  SELECT c.*, a.alpha,
+         CASE WHEN c.bm25 IS NULL THEN 0.0 WHEN br.bmax = br.bmin THEN 1.0
+              ELSE (c.bm25 - br.bmin) / (br.bmax - br.bmin) END AS nb,
+         CASE WHEN c.cos IS NULL THEN 0.0 WHEN vr.vmax = vr.vmin THEN 1.0
+              ELSE (c.cos - vr.vmin) / (vr.vmax - vr.vmin) END AS nv
+  FROM cand c JOIN al a USING (query_id) LEFT JOIN br USING (query_id) LEFT JOIN vr USING (query_id)
+),
+scored AS (
+  SELECT *, CASE WHEN alpha = 0 THEN nb ELSE alpha * nv + (1 - alpha) * nb END AS score FROM fused
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id, chunk_index) AS rank
+  FROM scored
+)
+SELECT query_id, CAST(rank AS BIGINT) AS rank, doc_id, CAST(chunk_index AS BIGINT) AS chunk_index,
+       alpha, round(score, 4) AS score {extra_cols}
+FROM ranked r WHERE rank <= {k} {where}"""
+
+
+@register("hybrid_topk", sql=hybrid_sql())
+def q_hybrid_topk(t: Tables) -> DataFrame:
+    """#40: relative-score fusion of BM25 and cosine, top-5 per query."""
+    return hybrid_df(t).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id",
+                               F.col("chunk_index").cast("long").alias("chunk_index"), "alpha",
+                               F.round("score", 4).alias("score"))

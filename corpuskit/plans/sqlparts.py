@@ -118,3 +118,12 @@ _df AS (SELECT term, count(*) AS df FROM _post WHERE term IN (SELECT term FROM _
   FROM _post p JOIN _qt USING (term) JOIN _df d USING (term) CROSS JOIN _stats s
   GROUP BY _qt.query_id, p.doc_id, p.chunk_index
 )"""
+
+
+def group_sql(u: str, pat: str, i: int) -> str:
+    """DuckDB twin of ``functions.urls._group``: group i, null when no match."""
+    return f"(CASE WHEN regexp_matches({u}, {sql_str(pat)}) THEN regexp_extract({u}, {sql_str(pat)}, {i}) END)"
+
+
+def rx(u: str, pat: str) -> str:
+    return f"regexp_matches({u}, {sql_str(pat)})"

@@ -36,16 +36,13 @@ def is_blank(c) -> Column:
 
 
 def clean_document(c) -> Column:
-    """#29: drop blank lines, squeeze whitespace runs to one space, trim.
-
-    Line-level: empty / whitespace-only lines are removed, then any run of two
-    or more whitespace characters (newlines included) becomes one space, and
-    the ends are stripped.
-    """
-    lines = F.filter(F.split(_c(c), "\n"), lambda ln: ~ln.rlike(BLANK_RE))
-    joined = F.array_join(lines, "\n")
-    squeezed = F.regexp_replace(joined, r"\s{2,}", " ")
-    return F.regexp_replace(squeezed, r"^\s+|\s+$", "")
+    """#29: per page (form-feed separated): drop blank lines, squeeze runs of
+    two or more whitespace characters to one space, strip; pages rejoined."""
+    def page(p):
+        lines = F.filter(F.split(p, "\n"), lambda ln: ~ln.rlike(r"^\s*$"))
+        squeezed = F.regexp_replace(F.array_join(lines, "\n"), r"\s\s+", " ")
+        return F.regexp_replace(squeezed, r"^\s+|\s+$", "")
+    return F.array_join(F.transform(F.split(_c(c), "\f"), page), "\f")
 
 
 def tokens(c, stop_words: list[str] | None = None) -> Column:

@@ -53,12 +53,12 @@ def pre_split(df: DataFrame, text_col: str = "text", over: int = PRESPLIT_OVER,
         F.sequence(F.lit(0), total - 1),
         lambda i: F.substring(F.col(text_col), i * section + 1, F.lit(section)))
     ).otherwise(F.array(F.col(text_col)))
-    out = df.withColumn("_split", split).select(
-        "*", F.posexplode(pieces).alias("_pos", "_section"))
+    out = df.withColumn("_split", split).withColumn("_pieces", pieces).select(
+        "*", F.posexplode("_pieces").alias("_pos", "_section"))
     return (out.withColumn(text_col, F.col("_section"))
                .withColumn("section_index", F.when(F.col("_split"), F.col("_pos")))
-               .withColumn("section_total", F.when(F.col("_split"), F.size(pieces)))
-               .drop("_split", "_pos", "_section"))
+               .withColumn("section_total", F.when(F.col("_split"), F.size("_pieces")))
+               .drop("_split", "_pos", "_section", "_pieces"))
 
 
 def chunk_document(df: DataFrame, file_col: str, text_col: str = "text",

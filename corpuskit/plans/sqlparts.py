@@ -127,3 +127,26 @@ def group_sql(u: str, pat: str, i: int) -> str:
 
 def rx(u: str, pat: str) -> str:
     return f"regexp_matches({u}, {sql_str(pat)})"
+
+
+def chunks_cte_from(src: str, prefix: str, name: str, **kw) -> str:
+    """``chunks_cte`` reading ``src`` (doc_id, source, text) with private CTE names."""
+    text = chunks_cte(name=name, **kw)
+    for n in ("_kept", "_sec", "_ch0"):
+        text = text.replace(n, f"_{prefix}{n}")
+    return text.replace("FROM documents", f"FROM {src}")
+
+
+def html_to_text_sql(x: str) -> str:
+    """DuckDB twin of ``functions.text.html_to_text``."""
+    from corpuskit.functions import text as T
+    e = f"regexp_replace({x}, {sql_str(T._COMMENTS)}, '', 'g')"
+    for tag in T.DROP_TAGS:
+        e = f"regexp_replace({e}, {sql_str(rf'(?is)<{tag}\b[^>]*>.*?</{tag}\s*>')}, '', 'g')"
+    e = f"regexp_replace({e}, {sql_str(T._BLOCK_TAGS)}, chr(10), 'g')"
+    e = f"regexp_replace({e}, {sql_str(T._TAGS)}, '', 'g')"
+    for ent, ch in T.ENTITIES:
+        e = f"replace({e}, {sql_str(ent)}, {sql_str(ch)})"
+    e = f"regexp_replace({e}, '[ \\t]+', ' ', 'g')"
+    e = f"regexp_replace({e}, ' ?\\n[ \\n]*', chr(10), 'g')"
+    return f"regexp_replace({e}, '^\\s+|\\s+$', '', 'g')"

@@ -84,8 +84,9 @@ def citation_line(filename: Column, page: Column, section: Column, chunk: Column
 
 def context_block(df: DataFrame, qid: str, rank: str, block: Column, sep: str = "\n\n") -> DataFrame:
     """#47: one text per query, blocks in rank order (``listagg`` within group)."""
-    return (df.groupBy(qid)
-              .agg(F.listagg(block, F.lit(sep)).withinGroup(F.col(rank)).alias("context"),
+    sep_sql = sep.replace("\\", "\\\\").replace("\n", "\\n").replace("'", "\\'")
+    return (df.withColumn("_block", block).groupBy(qid)
+              .agg(F.expr(f"listagg(_block, '{sep_sql}') WITHIN GROUP (ORDER BY {rank})").alias("context"),
                    F.count(F.lit(1)).alias("n_blocks")))
 
 

@@ -281,10 +281,9 @@ def _validate_sql() -> str:
     q_err = "CASE WHEN query IS NULL OR trim(query) = '' OR regexp_matches(query, '^\\s*$') THEN 'Empty query provided' END"
     cols = ", ".join(f"{e} AS {n}" for n, e in _REQ.items())
     return f"""
-WITH r AS (SELECT item_id AS query_id, {cols} FROM benchmark)
 SELECT query_id, top_k, mode, response_mode, query, CAST({k} AS INTEGER) AS k, {mode} AS resolved_mode,
        coalesce({q_err}, {mode_err}, {k_err}) AS error
-FROM r"""
+FROM (SELECT item_id AS query_id, {cols} FROM benchmark) r"""
 
 
 @register("validate_request", sql=_validate_sql())

@@ -206,7 +206,15 @@ def hybrid_df(t: Tables, k: int = retrieval.DEFAULT_TOP_K) -> DataFrame:
 
 def hybrid_sql(k: int = 5, extra_cols: str = "", where: str = "") -> str:
     return f"""
-WITH {Q_CTE}, {chunks_cte()}, {bm25_cte()},
+WITH {hybrid_ctes()}
+SELECT query_id, CAST(rank AS BIGINT) AS rank, doc_id, CAST(chunk_index AS BIGINT) AS chunk_index,
+       alpha, round(score, 4) AS score {extra_cols}
+FROM ranked r WHERE rank <= {k} {where}"""
+
+
+def hybrid_ctes() -> str:
+    """CTEs ending in ``ranked(query_id, doc_id, chunk_index, alpha, score, rank, ...)`` and ``chunks``."""
+    return f"""{Q_CTE}, {chunks_cte()}, {bm25_cte()},
 qv AS (SELECT b.item_id AS query_id, e.embedding AS qv FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id),
 al AS (SELECT query_id, {alpha_sql('query')} AS alpha FROM _q),
 vc AS (
@@ -237,10 +245,7 @@ scored AS (
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id, chunk_index) AS rank
   FROM scored
-)
-SELECT query_id, CAST(rank AS BIGINT) AS rank, doc_id, CAST(chunk_index AS BIGINT) AS chunk_index,
-       alpha, round(score, 4) AS score {extra_cols}
-FROM ranked r WHERE rank <= {k} {where}"""
+)"""
 
 
 @register("hybrid_topk", sql=hybrid_sql())

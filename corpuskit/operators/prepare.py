@@ -54,7 +54,7 @@ def pre_split(df: DataFrame, text_col: str = "text", over: int = PRESPLIT_OVER,
         lambda i: F.substring(F.col(text_col), i * section + 1, F.lit(section)))
     ).otherwise(F.array(F.col(text_col)))
     out = df.withColumn("_split", split).withColumn("_pieces", pieces).select(
-        "*", F.posexplode("_pieces").alias("_pos", "_section"))
+        "*", F.posexplode_outer("_pieces").alias("_pos", "_section"))
     return (out.withColumn(text_col, F.col("_section"))
                .withColumn("section_index", F.when(F.col("_split"), F.col("_pos")))
                .withColumn("section_total", F.when(F.col("_split"), F.size("_pieces")))
@@ -92,7 +92,8 @@ def chunk_document(df: DataFrame, file_col: str, text_col: str = "text",
                  "_sections", lambda s: n_chunks(F.size(F.split(s, " ")), size, overlap)))
              .withColumn("_n_sec", F.size("_sections"))
              .withColumn("total_chunks", F.aggregate(counts, F.lit(0), lambda a, x: a + x))
-             .select("*", F.posexplode(F.arrays_zip(F.col("_sections").alias("s"), offsets.alias("o")))
+             # *_outer: no inferred size() > 0 filter that would recompute the arrays
+             .select("*", F.posexplode_outer(F.arrays_zip(F.col("_sections").alias("s"), offsets.alias("o")))
                      .alias("_spos", "_sec"))
              .drop("_sections", "_counts"))
     sec = (sec
@@ -116,7 +117,7 @@ def chunk_document(df: DataFrame, file_col: str, text_col: str = "text",
         return F.struct(k.alias("k"), content.alias("content"), page.alias("page_number"))
 
     chunks = F.transform(F.sequence(F.lit(0), n_chunks(nw, size, overlap) - 1), chunk)
-    out = sec.select("*", F.explode(chunks).alias("_chunk"))
+    out = sec.select("*", F.explode_outer(chunks).alias("_chunk"))
     return (out.withColumn("chunk_index", F.col("_offset") + F.col("_chunk.k"))
                .withColumn("content", F.col("_chunk.content"))
                .withColumn("page_number", F.col("_chunk.page_number"))

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuskit.functions.text import tokens
+from corpuskit.session import materialize
 
 # --- fixed values ------------------------------------------------------------
 BM25_K1 = 1.2
@@ -78,12 +79,21 @@ def query_terms(queries: DataFrame, qid: str = "query_id", qtext: str = "query",
 def bm25_scores(chunks: DataFrame, queries: DataFrame, keys: list[str],
                 text_col: str = "content", qid: str = "query_id", qtext: str = "query",
                 k1: float = BM25_K1, b: float = BM25_B,
-                stop_words: list[str] | None = None, post: DataFrame | None = None) -> DataFrame:
+                stop_words: list[str] | None = None, post: DataFrame | None = None,
+                materialize_index: bool = True) -> DataFrame:
     """BM25 score of every chunk sharing a term with a query: ``qid, keys..., bm25``.
 
     idf = ln(1 + (N - df + 0.5) / (df + 0.5)); N and avgdl over all chunks.
+    The postings (the inverted index) are read by four branches (N, avgdl,
+    df, scoring); unless given, they are built once and checkpointed to the
+    shared checkpoint folder instead of being re-derived per branch.
     """
-    p = post if post is not None else postings(chunks, keys, text_col, stop_words)
+    if post is not None:
+        p = post
+    else:
+        p = postings(chunks, keys, text_col, stop_words)
+        if materialize_index:
+            p = materialize(p)
     firsts = p.filter("first")
     n_docs = firsts.select(F.count(F.lit(1))).scalar()
     avgdl = firsts.select(F.avg("dl")).scalar()

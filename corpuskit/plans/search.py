@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuskit.operators import prepare, results, retrieval
+from corpuskit.session import materialize
 from corpuskit.plans.registry import register
 from corpuskit.plans.sqlparts import (
     INGESTED_AT, bm25_cte, chunks_cte, sql_str, tokens_sql,
@@ -50,11 +51,11 @@ def q_chunk_words(t: Tables) -> DataFrame:
 
 # ------------------------------------------------------------------- BM25
 
-def bm25_topk_df(t: Tables, k=retrieval.DEFAULT_TOP_K) -> DataFrame:
+def bm25_topk_df(t: Tables, k=retrieval.DEFAULT_TOP_K, with_content: bool = False) -> DataFrame:
     chunks = chunk_store(t)
     scored = retrieval.bm25_scores(chunks, query_table(t), KEYS)
-    best = retrieval.top_k(scored, "query_id", "bm25", KEYS, k)
-    return best.join(chunks, KEYS).withColumn("score", F.col("bm25"))
+    best = retrieval.top_k(scored, "query_id", "bm25", KEYS, k).withColumn("score", F.col("bm25"))
+    return best.join(chunks, KEYS) if with_content else best
 
 
 BM25_TOPK_SQL = f"""
@@ -95,7 +96,7 @@ WHERE r.rank <= 5"""
 @register("raw_results", sql=RAW_SQL)
 def q_raw_results(t: Tables) -> DataFrame:
     """Flagship: documents -> #9 -> #8 -> #26 -> #27 -> #35 -> #36 -> #41 -> #44."""
-    best = bm25_topk_df(t)
+    best = bm25_topk_df(t, with_content=True)
     best = best.withColumn("id", prepare.chunk_sha(F.col("source_filename"), F.col("chunk_index"),
                                                      F.col("content")))
     return results.raw_results(best.withColumn("score", F.round("score", 4))).select(
@@ -185,7 +186,9 @@ def q_pick_alpha(t: Tables) -> DataFrame:
 # ----------------------------------------------------------------- hybrid
 
 def hybrid_df(t: Tables, k: int = retrieval.DEFAULT_TOP_K) -> DataFrame:
-    chunks = chunk_store(t)
+    # the chunk store feeds four branches (postings, kept documents, vector
+    # expansion, output): written once to the checkpoint folder, like a store
+    chunks = materialize(chunk_store(t))
     queries = query_table(t).withColumn("alpha", retrieval.pick_alpha("query"))
     bm25 = retrieval.bm25_scores(chunks, queries, KEYS)
     qv = query_vectors(t).join(queries.filter("alpha > 0").select("query_id"), "query_id", "left_semi")

@@ -44,45 +44,44 @@ def _missing(c: Column) -> Column:
     return c.isNull() | (c == "")
 
 
+# One superset schema: every provider's result fields, so all responses are
+# parsed in a single pass (no per-provider scan and union).
+_R = ("struct<title:string,url:string,content:string,description:string,text:string,summary:string,"
+      "name:string,score:double,category:string,engine:string,language:string,img_src:string,"
+      "publishedDate:string,thumbnail:string,template:string>")
+UNION_SCHEMA = f"struct<results:array<{_R}>,web:struct<results:array<{_R}>>>"
+
+
+def _exploded(responses: DataFrame, query_col: str, provider_col: str, body_col: str) -> DataFrame:
+    j = F.from_json(body_col, UNION_SCHEMA)
+    arr = F.when(F.col(provider_col) == "brave", j["web"]["results"]).otherwise(j["results"])
+    # posexplode_outer: avoids an inferred size() filter that would re-parse the JSON
+    x = responses.select(query_col, provider_col, F.posexplode_outer(arr).alias("rank", "h"))
+    return x.filter(F.col("h").isNotNull())
+
+
 def normalize_hits(responses: DataFrame, max_results: int = 5, query_col: str = "query_id",
                    provider_col: str = "provider", body_col: str = "body") -> DataFrame:
     """``query_id, provider, rank, title, url, content, score, meta`` (map<string,string>)."""
-    outs = []
-    for p in PROVIDERS:
-        r = responses.filter(F.col(provider_col) == p).select(
-            query_col, F.from_json(body_col, SCHEMAS[p]).alias("j"))
-        arr = F.col("j.web.results") if p == "brave" else F.col("j.results")
-        x = r.select(query_col, F.posexplode(arr).alias("rank", "h"))
-        h = lambda f: F.col(f"h.{f}")
-        if p == "searxng":
-            meta = F.map_filter(F.create_map(*[z for k in SEARXNG_META_KEYS
-                                               for z in (F.lit(k), h(k).cast("string"))]),
-                                lambda k, v: v.isNotNull())
-            x = first_n(x, max_results).filter(~_missing(h("url")) & ~_missing(h("content")))
-            x = x.select(query_col, "rank", h("title").alias("title"), h("url").alias("url"),
-                         h("content").alias("content"), F.lit(None).cast("double").alias("score"), meta.alias("meta"))
-        elif p == "brave":
-            meta = F.map_filter(F.create_map(F.lit("title"), h("title"), F.lit("url"), h("url")),
-                                lambda k, v: v.isNotNull())
-            x = first_n(x, max_results).filter(~_missing(h("url")) & ~_missing(h("description")))
-            x = x.select(query_col, "rank", h("title").alias("title"), h("url").alias("url"),
-                         h("description").alias("content"), F.lit(None).cast("double").alias("score"),
-                         meta.alias("meta"))
-        elif p == "exa":
-            content = F.when(_missing(h("text")), h("summary")).otherwise(h("text"))
-            x = x.select(query_col, "rank", h("title").alias("title"), h("url").alias("url"),
-                         content.alias("content"), h("score").alias("score"), _meta(h))
-        elif p == "linkup":
-            x = x.select(query_col, "rank", h("name").alias("title"), h("url").alias("url"),
-                         h("content").alias("content"), rank_to_score(F.col("rank")).alias("score"), _meta(h, "name"))
-        else:
-            x = x.select(query_col, "rank", h("title").alias("title"), h("url").alias("url"),
-                         h("content").alias("content"), h("score").alias("score"), _meta(h))
-        outs.append(x.withColumn(provider_col, F.lit(p)))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out.withColumn("rank", F.col("rank").cast("long"))
+    x = _exploded(responses, query_col, provider_col, body_col)
+    p = F.col(provider_col)
+    h = lambda f: F.col(f"h.{f}")
+    title = F.when(p == "linkup", h("name")).otherwise(h("title"))
+    content = (F.when(p == "brave", h("description"))
+                .when(p == "exa", F.when(_missing(h("text")), h("summary")).otherwise(h("text")))
+                .otherwise(h("content")))
+    score = (F.when(p.isin("searxng", "brave"), F.lit(None).cast("double"))
+              .when(p == "linkup", rank_to_score(F.col("rank")))
+              .otherwise(h("score")))
+    full_meta = F.create_map(*[z for k in SEARXNG_META_KEYS for z in (F.lit(k), h(k).cast("string"))])
+    short_meta = F.create_map(F.lit("title"), title, F.lit("url"), h("url"))
+    meta = prune_null_meta(F.when(p == "searxng", full_meta).otherwise(short_meta))
+    sliced = p.isin("searxng", "brave")
+    keep = ~sliced | ((F.lit(max_results <= 0) | (F.col("rank") < max_results))
+                      & ~_missing(h("url")) & ~_missing(content))
+    return (x.filter(keep)
+             .select(query_col, provider_col, F.col("rank").cast("long").alias("rank"), title.alias("title"),
+                     h("url").alias("url"), content.alias("content"), score.alias("score"), meta.alias("meta")))
 
 
 def _meta(h, title_field: str = "title") -> Column:
@@ -155,28 +154,17 @@ def _results(p: str) -> Column:
 
 
 def provider_responses(t: Tables) -> DataFrame:
-    """``query_id (= page_id), provider, body`` for every page and provider."""
+    """``query_id (= page_id), provider, body`` for every page and provider
+    (page text is derived once per page, then dealt to the five providers)."""
     pt = page_texts(t)
-    out = None
-    for p in PROVIDERS:
-        part = pt.select(F.col("page_id").alias("query_id"), F.lit(p).alias("provider"),
-                         _results(p).alias("body"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    per = F.array(*[F.struct(F.lit(p).alias("provider"), _results(p).alias("body")) for p in PROVIDERS])
+    return (pt.select(F.col("page_id").alias("query_id"), F.explode(per).alias("r"))
+              .select("query_id", "r.provider", "r.body"))
 
 
 def raw_results(responses: DataFrame, query_col: str = "query_id", provider_col: str = "provider",
                 body_col: str = "body") -> DataFrame:
     """Every result of every response, before any provider rule:
     ``query_id, provider, rank, url``."""
-    outs = []
-    for p in PROVIDERS:
-        r = responses.filter(F.col(provider_col) == p).select(query_col, F.from_json(body_col, SCHEMAS[p]).alias("j"))
-        arr = F.col("j.web.results") if p == "brave" else F.col("j.results")
-        outs.append(r.select(query_col, F.lit(p).alias(provider_col), F.posexplode(arr).alias("rank", "h"))
-                     .select(query_col, provider_col, F.col("rank").cast("long").alias("rank"),
-                             F.col("h.url").alias("url")))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+    x = _exploded(responses, query_col, provider_col, body_col)
+    return x.select(query_col, provider_col, F.col("rank").cast("long").alias("rank"), F.col("h.url").alias("url"))

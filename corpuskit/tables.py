@@ -16,14 +16,32 @@ TABLES = (
 ).split()
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+# Tables whose rows carry real per-row work (long texts, fact rows).
+SPREAD = {"documents", "pages", "conversations", "lineitem", "orders", "events"}
+
+
+def load(spark: SparkSession, sf_dir: str, name: str, spread: bool | None = None) -> DataFrame:
+    """Read one table; NTZ timestamps become TIMESTAMP.
+
+    ``spread``: when the scan yields fewer splits than the cluster's default
+    parallelism (a file written as a single row group), rows are dealt
+    round-robin to that many partitions so row-local work (chunking,
+    tokenising, HTML stripping) is not serialised on one core. Inputs that
+    already arrive in many splits - the normal case at scale - are left as
+    they are, so no shuffle is added there.
+    """
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     casts = [
         F.col(f.name).cast("timestamp").alias(f.name)
         if isinstance(f.dataType, T.TimestampNTZType) else F.col(f.name)
         for f in df.schema.fields
     ]
-    return df.select(*casts)
+    df = df.select(*casts)
+    if spread if spread is not None else name in SPREAD:
+        target = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < target:
+            df = df.repartition(target)
+    return df
 
 
 class Tables:

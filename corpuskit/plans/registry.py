@@ -48,4 +48,4 @@ def load_all() -> dict[str, Query]:
     return REGISTRY
 
 
-PLAN_MODULES = ["search", "urls", "corpus", "websearch", "items", "threads", "mail", "results", "streams"]
+PLAN_MODULES = ["search", "urls", "corpus", "websearch", "items", "threads", "mail", "results", "streams", "files", "vectors"]

@@ -290,3 +290,11 @@ def list_documents(chunks: DataFrame) -> DataFrame:
 def score_threshold(df: DataFrame, score: str = "score", t: float = DEFAULT_THRESHOLD) -> DataFrame:
     """#11: keep scored rows at or above the threshold (null never passes)."""
     return df.filter(F.col(score).isNotNull() & (F.col(score) >= t))
+
+
+def filename_filter(df: DataFrame, filename_col: str, wanted_col: str) -> DataFrame:
+    """#10: exact equality on the file name; a null wanted name keeps all rows.
+
+    With a literal name this is a plain ``filter`` that Catalyst pushes into
+    the Parquet scan of a stored chunk table; per query it is a join key."""
+    return df.filter(F.col(wanted_col).isNull() | (F.col(filename_col) == F.col(wanted_col)))

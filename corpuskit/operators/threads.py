@@ -65,3 +65,32 @@ def extract_result(urls: DataFrame, docs: DataFrame, url: str = "url", seq: str
                        F.col(url).alias("instance"))
     return (g.withColumn("n_docs", F.size("contents").cast("long"))
              .withColumn("problem", F.when(F.col("n_docs") == 0, problem)))
+
+
+def pr_markdown(prs: DataFrame) -> DataFrame:
+    """#94 pull-request facts -> markdown; ``N/A`` for missing facts, the
+    merged line only when merged, description only when non-empty.
+
+    Columns: number, title, state, author, created_at, updated_at, base_ref,
+    head_ref, merged, merged_at, body, commits, additions, deletions,
+    changed_files.
+    """
+    na = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("N/A"))
+    parts = [
+        F.concat(F.lit("# "), F.coalesce("title", F.lit(""))),
+        F.concat(F.lit("**PR Number:** #"), na("number")),
+        F.concat(F.lit("**State:** "), na("state")),
+        F.concat(F.lit("**Author:** "), na("author")),
+        F.concat(F.lit("**Created:** "), na("created_at")),
+        F.concat(F.lit("**Updated:** "), na("updated_at")),
+        F.concat(F.lit("**Branches:** "), na("head_ref"), F.lit(" → "), na("base_ref")),
+        F.when(F.coalesce(F.col("merged"), F.lit(False)), F.concat(F.lit("**Merged:** "), na("merged_at"))),
+        F.when(F.coalesce(F.col("body"), F.lit("")) != "", F.lit("\n## Description")),
+        F.when(F.coalesce(F.col("body"), F.lit("")) != "", F.col("body")),
+        F.lit("\n## Statistics"),
+        F.concat(F.lit("**Commits:** "), na("commits")),
+        F.concat(F.lit("**Additions:** "), na("additions")),
+        F.concat(F.lit("**Deletions:** "), na("deletions")),
+        F.concat(F.lit("**Changed Files:** "), na("changed_files")),
+    ]
+    return prs.select("number", F.concat_ws("\n\n", *parts).alias("markdown"))

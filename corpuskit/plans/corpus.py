@@ -321,3 +321,26 @@ def q_batch_topk(t: Tables) -> DataFrame:
     return filtered_bm25(t).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id",
                                    F.col("chunk_index").cast("long").alias("chunk_index"),
                                    F.round("bm25", 4).alias("score"))
+
+
+@register("filename_filter", sql=f"""
+WITH {chunks_cte()},
+_q AS (SELECT b.item_id AS query_id, b.text AS query,
+              d.source || '/' || CAST(d.doc_id AS VARCHAR) || '.txt' AS filename_filter
+       FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id),
+{bm25_cte()}
+SELECT b.query_id, b.doc_id, b.chunk_index, round(b.bm25, 4) AS score
+FROM bm25 b JOIN chunks c USING (doc_id, chunk_index) JOIN _q q USING (query_id)
+WHERE q.filename_filter IS NULL OR c.source_filename = q.filename_filter""")
+def q_filename_filter(t: Tables) -> DataFrame:
+    """#10: exact filename equality applied before ranking (every match kept)."""
+    q = query_table(t).join(
+        t.documents.select(F.col("doc_id").alias("query_id"),
+                           F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+                           .alias("filename_filter")), "query_id", "left")
+    chunks = chunk_store(t)
+    scored = retrieval.bm25_scores(chunks, q, KEYS).join(chunks.select(*KEYS, "source_filename"), KEYS)
+    kept = retrieval.filename_filter(scored.join(q.select("query_id", "filename_filter"), "query_id"),
+                                     "source_filename", "filename_filter")
+    return kept.select("query_id", "doc_id", F.col("chunk_index").cast("long").alias("chunk_index"),
+                       F.round("bm25", 4).alias("score"))

@@ -284,3 +284,52 @@ def q_conversation_views(t: Tables) -> DataFrame:
     m = t.conversations.select("conv_id", "turn", "text", F.expr(KIND).alias("kind"),
                                (F.length("text") % 2 == 0).alias("no_heartbeat"))
     return A.conversation_views(m)
+
+
+# ------------------------------------------------------- pull requests
+
+def pull_requests(t: Tables) -> DataFrame:
+    stats = t.lineitem.groupBy("l_orderkey").agg(
+        F.count(F.lit(1)).alias("commits"), F.sum(F.col("l_quantity").cast("long")).alias("additions"),
+        F.countDistinct("l_partkey").alias("changed_files"))
+    o = (t.orders.join(t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey", "left")
+         .join(stats, F.col("o_orderkey") == F.col("l_orderkey"), "left"))
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return o.select(
+        F.col("o_orderkey").alias("number"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"),
+        F.when(F.col("o_orderstatus") == "O", F.lit("open")).otherwise(F.lit("closed")).alias("state"),
+        F.col("c_name").alias("author"), day.alias("created_at"),
+        F.when(F.col("o_orderkey") % 4 == 0, F.lit(None)).otherwise(day).alias("updated_at"),
+        F.lit("main").alias("base_ref"), F.concat(F.lit("feature/"), F.col("o_orderkey").cast("string")).alias("head_ref"),
+        (F.col("o_orderstatus") == "F").alias("merged"), day.alias("merged_at"),
+        F.when(F.col("o_orderkey") % 3 == 0, F.lit(None)).otherwise(F.concat(F.lit("Priority "), F.col("o_orderpriority")))
+         .alias("body"),
+        "commits", "additions", F.lit(None).cast("long").alias("deletions"), "changed_files")
+
+
+@register("pr_markdown", sql="""
+WITH s AS (SELECT l_orderkey, count(*) AS commits, sum(CAST(l_quantity AS BIGINT)) AS additions,
+                  count(DISTINCT l_partkey) AS changed_files FROM lineitem GROUP BY l_orderkey),
+p AS (SELECT o_orderkey AS number, 'Order ' || CAST(o_orderkey AS VARCHAR) AS title,
+             CASE WHEN o_orderstatus = 'O' THEN 'open' ELSE 'closed' END AS state, c.c_name AS author,
+             strftime(o_orderdate, '%Y-%m-%d') AS created_at,
+             CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS updated_at,
+             'feature/' || CAST(o_orderkey AS VARCHAR) AS head_ref, o_orderstatus = 'F' AS merged,
+             CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'Priority ' || o_orderpriority END AS body,
+             s.commits, s.additions, s.changed_files
+      FROM orders LEFT JOIN customer c ON c.c_custkey = o_custkey LEFT JOIN s ON s.l_orderkey = o_orderkey),
+m AS (SELECT number, concat_ws(chr(10) || chr(10), '# ' || title, '**PR Number:** #' || CAST(number AS VARCHAR),
+        '**State:** ' || state, '**Author:** ' || coalesce(author, 'N/A'), '**Created:** ' || created_at,
+        '**Updated:** ' || coalesce(updated_at, 'N/A'), '**Branches:** ' || head_ref || ' → main',
+        CASE WHEN merged THEN '**Merged:** ' || created_at END,
+        CASE WHEN coalesce(body, '') <> '' THEN chr(10) || '## Description' END,
+        CASE WHEN coalesce(body, '') <> '' THEN body END,
+        chr(10) || '## Statistics', '**Commits:** ' || coalesce(CAST(commits AS VARCHAR), 'N/A'),
+        '**Additions:** ' || coalesce(CAST(additions AS VARCHAR), 'N/A'), '**Deletions:** N/A',
+        '**Changed Files:** ' || coalesce(CAST(changed_files AS VARCHAR), 'N/A')) AS markdown FROM p)
+SELECT number, CAST(length(markdown) AS BIGINT) AS n_chars, md5(markdown) AS markdown_md5 FROM m""")
+def q_pr_markdown(t: Tables) -> DataFrame:
+    """#94: pull-request facts rendered with N/A defaults and optional sections."""
+    from corpuskit.operators import threads as TH
+    md = TH.pr_markdown(pull_requests(t))
+    return md.select("number", F.length("markdown").cast("long").alias("n_chars"), F.md5("markdown").alias("markdown_md5"))

@@ -417,3 +417,31 @@ def q_classify_mime(t: Tables) -> DataFrame:
     """#2: extension -> MIME -> converter for every URL shape."""
     m = X.url_cases(t).select("page_id", "kind", M.mime_of(F.col("url")).alias("mime"))
     return m.withColumn("converter", M.converter_of(F.col("mime")))
+
+
+# Separate keys for the id extractors (same functions as ``url_ids``).
+@register("question_id", sql=f"WITH {CASES}\nSELECT page_id, kind, "
+          f"CAST({group_sql('url', U.QUESTION_RE, 1)} AS BIGINT) AS question_id FROM url_cases")
+def q_question_id(t: Tables) -> DataFrame:
+    """#80: digits after /questions/."""
+    return X.url_cases(t).select("page_id", "kind", U.question_id("url").alias("question_id"))
+
+
+@register("video_id", sql=f"WITH {CASES}\nSELECT page_id, kind, {group_sql('url', U.VIDEO_RE, 1)} AS video_id FROM url_cases")
+def q_video_id(t: Tables) -> DataFrame:
+    """#81: watch?v= / youtu.be/ / embed/ ids."""
+    return X.url_cases(t).select("page_id", "kind", U.video_id("url").alias("video_id"))
+
+
+@register("page_uuid", sql=f"WITH {CASES}\nSELECT page_id, kind, "
+          f"replace({group_sql('url', U.PAGE_UUID_RE, 1)}, '-', '') AS page_uuid FROM url_cases")
+def q_page_uuid(t: Tables) -> DataFrame:
+    """#82: first 32-hex / dashed UUID, dashes removed."""
+    return X.url_cases(t).select("page_id", "kind", U.page_uuid("url").alias("page_uuid"))
+
+
+@register("extract_doi", sql=f"WITH {CASES}\nSELECT page_id, kind, "
+          f"coalesce({group_sql('url', U.DOI_URL_RE, 1)}, {group_sql('url', U.DOI_PDF_RE, 1)}) AS doi FROM url_cases")
+def q_extract_doi(t: Tables) -> DataFrame:
+    """#83: DOI from doi.org URLs or PDF file names."""
+    return X.url_cases(t).select("page_id", "kind", U.extract_doi("url").alias("doi"))

@@ -227,6 +227,7 @@ FROM b WHERE NOT removed"""
 
 @register("host_rules", sql=host_rules_sql())
 def q_host_rules(t: Tables) -> DataFrame:
+    """#84: host replace / remove / low-high priority rules on page URLs."""
     return host_rules(t.pages.select("page_id", "url")).select(
         "page_id", "url", "host", "priority", "rewritten_url")
 
@@ -301,6 +302,7 @@ SELECT page_id, raw, CAST(pos AS BIGINT) AS pos, cands[pos + 1] AS url FROM x
 WHERE NOT regexp_matches(cands[pos + 1], '^[ \\t\\n\\r\\f\\x0B]*$')
   AND regexp_matches(cands[pos + 1], '^(?i:https?)://[^/?#]+')""")
 def q_clean_urls(t: Tables) -> DataFrame:
+    """#18: URL or JSON list of URLs -> valid http(s) URLs, one per row."""
     raw = t.pages.select("page_id", F.expr(_RAW_INPUT).alias("raw"))
     return clean_urls(raw).select("page_id", "raw", F.col("pos").cast("long").alias("pos"), "url")
 
@@ -383,6 +385,7 @@ _FALLBACK_SQL = sql_list([r["name"] for r in sorted(FETCH_RULES, key=lambda r: r
 
 @register("select_by_priority", sql=f"SELECT page_id, url, {_select_sql('url')} AS fetcher FROM pages")
 def q_select_by_priority(t: Tables) -> DataFrame:
+    """#64: fetch handler per URL by rule priority (first listed wins ties)."""
     return t.pages.select("page_id", "url", select_fetcher("url").alias("fetcher"))
 
 
@@ -391,6 +394,7 @@ WITH s AS (SELECT page_id, url, {_select_sql('url')} AS fetcher FROM pages)
 SELECT page_id, fetcher, array_to_string(list_filter({_FALLBACK_SQL}, lambda n: n <> fetcher), ',') AS fallbacks
 FROM s""")
 def q_fallback_order(t: Tables) -> DataFrame:
+    """#65: remaining available handlers in priority order."""
     s = t.pages.select("page_id", select_fetcher("url").alias("fetcher"))
     return s.select("page_id", "fetcher", F.array_join(fallback_fetchers(F.col("fetcher")), ",").alias("fallbacks"))
 

@@ -87,6 +87,18 @@ def mail_filter(msgs: DataFrame, as_of: str, sender: str | None = None, recipien
                 include_spam_trash: bool = False) -> DataFrame:
     """#21: structured filter over parsed messages (columns from
     ``parse_message`` plus ``labels``, ``body``, ``has_attachment``)."""
+    return msgs.filter(mail_condition(as_of, sender, recipient, subject, has_attachment, newer_than_days,
+                                      older_than_days, after, before, labels, unread, phrase, any_of, all_of,
+                                      exclude, include_spam_trash))
+
+
+def mail_condition(as_of: str, sender: str | None = None, recipient: str | None = None, subject: str | None = None,
+                   has_attachment: bool | None = None, newer_than_days: int | None = None,
+                   older_than_days: int | None = None, after: str | None = None, before: str | None = None,
+                   labels: list[str] | None = None, unread: bool | None = None, phrase: str | None = None,
+                   any_of: list[str] | None = None, all_of: list[str] | None = None, exclude: str | None = None,
+                   include_spam_trash: bool = False) -> Column:
+    """The #21 filter as one boolean Column (so many filters share one scan)."""
     c = F.lit(True)
     low = lambda x: F.lower(F.coalesce(F.col(x), F.lit("")))
     text = F.concat_ws(" ", low("subject"), low("body"))
@@ -124,7 +136,7 @@ def mail_filter(msgs: DataFrame, as_of: str, sender: str | None = None, recipien
         c = c & ~text.contains(exclude.lower())
     if not include_spam_trash:
         c = c & ~F.arrays_overlap("labels", F.array(*[F.lit(x) for x in HIDDEN_LABELS]))
-    return msgs.filter(c)
+    return c
 
 
 # -------------------------------------------------------------- calendar

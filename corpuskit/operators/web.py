@@ -85,13 +85,17 @@ def exact_dedupe(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
               .agg(F.min(id_col).alias(id_col), F.count(F.lit(1)).alias("n_copies")))
 
 
+def in_time_range(ts: Column, time_range: str | None, as_of: str) -> Column:
+    """True when ``ts`` lies within day/week/month/year before ``as_of``."""
+    if not time_range:
+        return F.lit(True)
+    start = F.expr(f"timestamp'{as_of}' - INTERVAL {TIME_RANGES[time_range]}")
+    return (ts >= start) & (ts <= F.lit(as_of).cast("timestamp"))
+
+
 def time_range_filter(df: DataFrame, ts: str, time_range: str | None, as_of: str) -> DataFrame:
     """#14: rows within day/week/month/year before ``as_of`` ('' / None = off)."""
-    if not time_range:
-        return df
-    iv = TIME_RANGES[time_range]
-    start = F.expr(f"timestamp'{as_of}' - INTERVAL {iv}")
-    return df.filter((F.col(ts) >= start) & (F.col(ts) <= F.lit(as_of).cast("timestamp")))
+    return df if not time_range else df.filter(in_time_range(F.col(ts), time_range, as_of))
 
 
 def page_results(df: DataFrame, order: list[str], size: int, page: int) -> DataFrame:

@@ -249,11 +249,9 @@ pm AS (
 def q_mail_filter(t: Tables) -> DataFrame:
     """#21: structured message filters (spam/trash hidden unless asked)."""
     pm = parsed_messages(t)
-    out = None
-    for name, f in MAIL_FILTERS.items():
-        part = M.mail_filter(pm, MAIL_AS_OF, **f).select(F.lit(name).alias("filter_name"), "msg_id")
-        out = part if out is None else out.unionByName(part)
-    return out
+    names = F.array(*[F.when(M.mail_condition(MAIL_AS_OF, **f), F.lit(n)) for n, f in MAIL_FILTERS.items()])
+    return (pm.select("msg_id", F.explode(F.filter(names, lambda x: x.isNotNull())).alias("filter_name"))
+              .select("filter_name", "msg_id"))
 
 
 # --------------------------------------------------------------- calendar

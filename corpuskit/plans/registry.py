@@ -35,6 +35,9 @@ def register(name: str, sql: str | None = None, note: str = ""):
 
 def runner(q: Query) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        # timestamps are interpreted and rendered in UTC (NTZ inputs, 'Z' and
+        # offset texts); pin it for sessions that did not set it
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         return q.build(Tables(spark, sf_dir))
     run.__name__ = q.name
     return run

@@ -205,11 +205,9 @@ RANGES = {"day": "1 DAY", "week": "7 DAY", "month": "1 MONTH", "year": "1 YEAR"}
 def q_time_range_filter(t: Tables) -> DataFrame:
     """#14: events inside day/week/month/year before a fixed as-of time."""
     ev = t.events
-    out = None
-    for k in RANGES:
-        part = web.time_range_filter(ev, "ts", k, AS_OF).select(F.lit(k).alias("time_range"), "event_id")
-        out = part if out is None else out.unionByName(part)
-    return out
+    hits = F.array(*[F.when(web.in_time_range(F.col("ts"), k, AS_OF), F.lit(k)) for k in RANGES])
+    return (ev.select("event_id", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("time_range"))
+              .select("time_range", "event_id"))
 
 
 PAGE_SIZE, PAGE_NO = 50, 3

@@ -43,13 +43,11 @@ URL_FORMS: list[tuple[str, str]] = [
 
 
 def url_cases(t: Tables) -> DataFrame:
-    """``page_id, kind, url`` for every page and every URL shape."""
+    """``page_id, kind, url`` for every page and every URL shape (one scan of
+    ``pages``, the shapes dealt out with an explode)."""
     p = t.pages.select("page_id", "url")
-    out = None
-    for kind, expr in URL_FORMS:
-        part = p.select("page_id", F.lit(kind).alias("kind"), F.expr(expr).alias("url"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    forms = F.array(*[F.struct(F.lit(k).alias("kind"), F.expr(e).alias("url")) for k, e in URL_FORMS])
+    return p.select("page_id", F.explode(forms).alias("f")).select("page_id", "f.kind", "f.url")
 
 
 def url_cases_sql(name: str = "url_cases") -> str:

@@ -32,9 +32,9 @@ def q_vector_topk_approx(t: Tables) -> DataFrame:
     return r.select("query_id", "rank", "vec_id", F.round("score", 4).alias("score"))
 
 
-@register("near_duplicates", note="MinHash LSH join after exact dedupe; rows-only")
+@register("near_duplicates", note="banded MinHash, one verified representative per document; rows-only")
 def q_near_duplicates(t: Tables) -> DataFrame:
-    """#74 near: near-duplicate document pairs (Jaccard distance <= 0.3)."""
+    """#74 near: each distinct text -> its smallest near duplicate (Jaccard distance <= 0.3)."""
     d = t.documents.filter(F.col("text").isNotNull())
     keep = web.exact_dedupe(d, "doc_id", "text").select("doc_id")
     distinct_docs = d.join(keep, "doc_id", "left_semi")

@@ -61,7 +61,12 @@ def postings(chunks: DataFrame, keys: list[str], text_col: str = "content",
     keeps one row with a null term), which lets N and avgdl be computed from
     this table alone.
     """
-    toks = chunks.select(*keys, tokens(text_col, stop_words).alias("_t"))
+    # Hash-partition the chunk rows by their key first: every token of a
+    # chunk is then already in the partition its (chunk, term) group needs,
+    # so the aggregate runs without shuffling one row per token; keying on
+    # the chunk (not the document) keeps a giant document spread out.
+    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    toks = chunks.repartition(parts, *keys).select(*keys, tokens(text_col, stop_words).alias("_t"))
     exploded = toks.select(*keys, F.size("_t").alias("dl"),
                            F.posexplode_outer("_t").alias("_pos", "term"))
     return (exploded.groupBy(*keys, "dl", "term")
@@ -186,6 +191,18 @@ def vector_topk(items: DataFrame, queries: DataFrame, key: str, vec: str,
     return best.withColumnRenamed("_qid", qid).withColumnRenamed("_key", key)
 
 
+def unit(a: Column) -> Column:
+    """Array scaled to unit L2 norm (double)."""
+    ad = a.cast("array<double>")
+    n = F.sqrt(F.aggregate(ad, F.lit(0.0), lambda s, x: s + x * x))
+    return F.transform(ad, lambda x: x / n)
+
+
+def dot(a: Column, b: Column) -> Column:
+    """Dot product of two equal-length double arrays (cosine of unit vectors)."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity of two numeric arrays, in double (JVM-side)."""
     ad = a.cast("array<double>")

@@ -52,7 +52,8 @@ def q_chunk_words(t: Tables) -> DataFrame:
 # ------------------------------------------------------------------- BM25
 
 def bm25_topk_df(t: Tables, k=retrieval.DEFAULT_TOP_K, with_content: bool = False) -> DataFrame:
-    chunks = chunk_store(t)
+    # with content the chunk store is read twice (index, output join): keep it once
+    chunks = materialize(chunk_store(t)) if with_content else chunk_store(t)
     scored = retrieval.bm25_scores(chunks, query_table(t), KEYS)
     best = retrieval.top_k(scored, "query_id", "bm25", KEYS, k).withColumn("score", F.col("bm25"))
     return best.join(chunks, KEYS) if with_content else best
@@ -190,7 +191,8 @@ def hybrid_df(t: Tables, k: int = retrieval.DEFAULT_TOP_K) -> DataFrame:
     # expansion, output): written once to the checkpoint folder, like a store
     chunks = materialize(chunk_store(t))
     queries = query_table(t).withColumn("alpha", retrieval.pick_alpha("query"))
-    bm25 = retrieval.bm25_scores(chunks, queries, KEYS)
+    # keyword scores feed three branches (range, candidates, cosine pairs)
+    bm25 = materialize(retrieval.bm25_scores(chunks, queries, KEYS))
     qv = query_vectors(t).join(queries.filter("alpha > 0").select("query_id"), "query_id", "left_semi")
     kept_docs = chunks.filter(F.col("chunk_index") == 0).select("doc_id")
     items = t.embeddings.join(kept_docs, F.col("vec_id") == F.col("doc_id"), "left_semi")
@@ -200,9 +202,15 @@ def hybrid_df(t: Tables, k: int = retrieval.DEFAULT_TOP_K) -> DataFrame:
     vtop = retrieval.top_k(vtop, "query_id", "cos", KEYS, k, rank_col="_r").drop("_r")
     ranges = vtop_docs.groupBy("query_id").agg(F.min("vmin").alias("vmin"), F.max("vmax").alias("vmax"))
     alphas = queries.select("query_id", "alpha").join(ranges, "query_id", "left")
-    pair_cos = (bm25.join(qv, "query_id")
-                .join(t.embeddings, F.col("doc_id") == F.col("vec_id"))
-                .select("query_id", *KEYS, retrieval.cosine(F.col("embedding"), F.col("qv")).alias("cos")))
+    # cosine of every keyword candidate: vectors normalised once, so a pair
+    # costs one dot product; computed per (query, document) - chunks share
+    # their document's vector - then spread to the chunks
+    doc_pairs = bm25.select("query_id", "doc_id").distinct()
+    unit_docs = t.embeddings.select(F.col("vec_id").alias("doc_id"), retrieval.unit(F.col("embedding")).alias("_u"))
+    unit_q = qv.select("query_id", retrieval.unit(F.col("qv")).alias("_uq"))
+    doc_cos = (doc_pairs.join(unit_q, "query_id").join(unit_docs, "doc_id")
+               .select("query_id", "doc_id", retrieval.dot(F.col("_u"), F.col("_uq")).alias("cos")))
+    pair_cos = bm25.select("query_id", *KEYS).join(doc_cos, ["query_id", "doc_id"])
     fused = retrieval.hybrid_scores(bm25, vtop, pair_cos, alphas, "query_id", KEYS)
     return retrieval.top_k(fused, "query_id", "score", KEYS, k)
 

@@ -35,3 +35,15 @@ def test_chat_fold_rules():
     out, reply, _ = chat.fold(rows, "<think>", False)
     assert reply == ("<think>\n- think\n- Calling tool t2... success, returned 3 characters.done"
                      "\n- Calling tool t5 *without heartbeat*...</think>again")
+
+
+def test_sliding_quota_brute_force(spark):
+    from corpuskit.operators.activity import sliding_quota
+    base = dt.datetime(2024, 1, 1)
+    secs = [0, 0, 1, 59, 60, 60, 61, 119, 120, 200, 200, 200, 259, 260, 400]
+    rows = [(i, 7, base + dt.timedelta(seconds=s)) for i, s in enumerate(secs)] + [(100, 8, base)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp")
+    got = {r.event_id: (r.in_window, r.over_quota) for r in sliding_quota(df, "user_id", "ts", 3, 60).collect()}
+    for i, u, ts in rows:
+        n = sum(1 for _, u2, t2 in rows if u2 == u and ts - dt.timedelta(seconds=60) < t2 <= ts)
+        assert got[i] == (n, n > 3), (i, got[i], n)

@@ -76,17 +76,39 @@ def sliding_quota(events: DataFrame, key: str, ts: str, limit: int = QUOTA_REQUE
 
 
 def failure_streaks(log: DataFrame, key: str, order: list[str], failed: Column,
-                    min_len: int = FAILURE_STREAK) -> DataFrame:
-    """#69: islands of consecutive failures per key of length >= ``min_len``
-    (gap-and-island with two row numbers)."""
-    w_all = Window.partitionBy(key).orderBy(*order)
-    w_state = Window.partitionBy(key, "_failed").orderBy(*order)
-    x = (log.withColumn("_failed", failed)
-            .withColumn("_island", F.row_number().over(w_all) - F.row_number().over(w_state)))
-    first = F.struct(*[F.col(c) for c in order])
-    return (x.filter("_failed").groupBy(key, "_island")
-             .agg(F.count(F.lit(1)).alias("n_failures"), F.min(first).alias("_first"), F.max(first).alias("_last"))
-             .filter(F.col("n_failures") >= min_len).drop("_island"))
+                    min_len: int = FAILURE_STREAK, bucket_s: int = 3600) -> DataFrame:
+    """#69: runs of consecutive failures per key of length >= ``min_len``.
+
+    Split by time so a hot key is not one window partition: events are
+    bucketed by ``order[0]`` (a timestamp) into ``bucket_s`` buckets. Inside a
+    (key, bucket) partition each failure learns whether its predecessor
+    failed and the latest island start before it; only a one-row-per-bucket
+    summary is windowed per key, to carry "previous bucket ended in a
+    failure" and "last island start so far" across bucket boundaries.
+    Output: ``key, n_failures, _first, _last`` (structs of the order columns).
+    """
+    ts, rest = order[0], order[1:]
+    okey = F.struct(*[F.col(c) for c in order])
+    ev = (log.withColumn("_f", failed).withColumn("_k", okey)
+             .withColumn("_b", F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (bucket_s * 1_000_000))))
+    wb = Window.partitionBy(key, "_b").orderBy(*order)
+    ev = ev.withColumn("_prev_f", F.lag("_f").over(wb))
+    summ = ev.groupBy(key, "_b").agg(F.min_by("_f", "_k").alias("_first_f"), F.max_by("_f", "_k").alias("_last_f"))
+    wk = Window.partitionBy(key).orderBy("_b")
+    summ = summ.withColumn("_carry_f", F.lag("_last_f").over(wk))
+    ev = ev.join(summ.select(key, "_b", "_carry_f"), [key, "_b"])
+    prev_failed = F.coalesce(F.col("_prev_f"), F.col("_carry_f"), F.lit(False))
+    ev = ev.withColumn("_start", F.when(F.col("_f") & ~prev_failed, F.col("_k")))
+    upto = wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ev = ev.withColumn("_local", F.last("_start", ignorenulls=True).over(upto))
+    starts = ev.groupBy(key, "_b").agg(F.max("_start").alias("_bstart"))
+    carry = starts.withColumn(
+        "_carry_start", F.last("_bstart", ignorenulls=True).over(wk.rowsBetween(Window.unboundedPreceding, -1)))
+    ev = ev.join(carry.select(key, "_b", "_carry_start"), [key, "_b"])
+    isl = ev.filter("_f").withColumn("_island", F.coalesce("_local", "_carry_start"))
+    return (isl.groupBy(key, "_island")
+               .agg(F.count(F.lit(1)).alias("n_failures"), F.min("_k").alias("_first"), F.max("_k").alias("_last"))
+               .filter(F.col("n_failures") >= min_len).drop("_island"))
 
 
 def dedupe_problems(problems: DataFrame, key: str, kind: str, seq: str) -> DataFrame:

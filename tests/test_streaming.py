@@ -47,3 +47,27 @@ def test_sliding_quota_brute_force(spark):
     for i, u, ts in rows:
         n = sum(1 for _, u2, t2 in rows if u2 == u and ts - dt.timedelta(seconds=60) < t2 <= ts)
         assert got[i] == (n, n > 3), (i, got[i], n)
+
+
+def test_failure_streaks_brute_force(spark):
+    from pyspark.sql import functions as F
+    from corpuskit.operators.activity import failure_streaks
+    base = dt.datetime(2024, 1, 1)
+    pattern = "FFFSFFSFFFFSSFFF" + "F" * 5 + "SF"
+    rows = [(i, 1, base + dt.timedelta(minutes=17 * i), c == "F") for i, c in enumerate(pattern)]
+    rows += [(100 + i, 2, base + dt.timedelta(minutes=50 * i), True) for i in range(4)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, failed boolean")
+    got = sorted((r.user_id, r.n_failures, r._first.event_id) for r in
+                 failure_streaks(df, "user_id", ["ts", "event_id"], F.col("failed"), 3, bucket_s=3600).collect())
+    want = []
+    for u in (1, 2):
+        evs = sorted((r for r in rows if r[1] == u), key=lambda r: r[2])
+        run = []
+        for r in evs + [None]:
+            if r is not None and r[3]:
+                run.append(r)
+            else:
+                if len(run) >= 3:
+                    want.append((u, len(run), run[0][0]))
+                run = []
+    assert got == sorted(want)

@@ -7,7 +7,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuskit.functions import jsonq
@@ -21,12 +21,13 @@ def _data(field: str):
 def upsert(old: DataFrame, new: DataFrame, key: str = "item_key", version: str = "version") -> DataFrame:
     """#4: insert-or-replace by key; highest version wins, the new batch wins ties.
 
-    The window is partitioned by key, so a group holds only the versions of
-    one item.
+    ``max_by`` over (version, batch) is a partial aggregate: a key with very
+    many versions is combined map-side instead of forming one window group.
     """
-    u = old.withColumn("_src", F.lit(0)).unionByName(new.withColumn("_src", F.lit(1)))
-    w = Window.partitionBy(key).orderBy(F.col(version).desc(), F.col("_src").desc())
-    return u.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "_src")
+    cols = [c for c in old.columns]
+    u = old.withColumn("_src", F.lit(0)).unionByName(new.select(*cols).withColumn("_src", F.lit(1)))
+    best = F.max_by(F.struct(*[F.col(c) for c in cols if c != key]), F.struct(F.col(version), F.col("_src")))
+    return u.groupBy(key).agg(best.alias("_b")).select(key, "_b.*").select(*cols)
 
 
 def top_level(items: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ highest version winning (``upsert``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -39,5 +39,6 @@ def sync_batch_fn(log_dir: str, pos_dir: str):
 def synced_state(spark: SparkSession, log_dir: str) -> DataFrame:
     """Log merged by key: highest version wins, a later epoch wins ties."""
     log = spark.read.parquet(log_dir)
-    w = Window.partitionBy("item_key").orderBy(F.col("version").desc(), F.col("epoch").desc())
-    return log.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "epoch")
+    cols = [c for c in log.columns if c not in ("item_key", "epoch")]
+    best = F.max_by(F.struct(*cols), F.struct("version", "epoch"))
+    return log.groupBy("item_key").agg(best.alias("_b")).select("item_key", "_b.*")

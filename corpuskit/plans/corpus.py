@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.functions.text import clean_document, collapse_whitespace, html_to_text, is_blank
+from corpuskit.functions.text import clean_document, collapse_whitespace, html_to_text
 from corpuskit.operators import prepare, retrieval, store
 from corpuskit.plans.registry import register
 from corpuskit.plans.search import KEYS, chunk_store, query_table

@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuskit.functions import jsonq
 from corpuskit.functions import urls as U
-from corpuskit.functions.mime import converter_of, mime_of
+from corpuskit.functions.mime import mime_of
 from corpuskit.operators import items as I
 from corpuskit.plans.registry import register
 from corpuskit.plans.sqlparts import group_sql, sql_str
@@ -244,5 +244,3 @@ def q_academic_match(t: Tables) -> DataFrame:
     cases = X.url_cases(t).filter(U.is_academic("url"))
     return I.held(cases, X.items(t)).select("page_id", "kind", "url", "held")
 
-
-__all__ = ["Window", "converter_of"]

@@ -449,3 +449,12 @@ def q_page_uuid(t: Tables) -> DataFrame:
 def q_extract_doi(t: Tables) -> DataFrame:
     """#83: DOI from doi.org URLs or PDF file names."""
     return X.url_cases(t).select("page_id", "kind", U.extract_doi("url").alias("doi"))
+
+
+@register("parse_pr_url", sql=f"WITH {CASES}\nSELECT page_id, kind, "
+          f"{_triple_sql(U.PR_RE, ('owner', 'repo', 'pr_number'))} FROM url_cases")
+def q_parse_pr_url(t: Tables) -> DataFrame:
+    """#79: pull-request URLs -> owner, repo, number (http(s), optional www./m.)."""
+    p = U.parse_pr_url("url")
+    return X.url_cases(t).select("page_id", "kind", p.owner.alias("owner"), p.repo.alias("repo"),
+                                 p.number.alias("pr_number"))

@@ -38,9 +38,12 @@ def load(spark: SparkSession, sf_dir: str, name: str, spread: bool | None = None
     ]
     df = df.select(*casts)
     if spread if spread is not None else name in SPREAD:
-        target = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < target:
-            df = df.repartition(target)
+        try:  # classic sessions only (Spark Connect has no RDD / SparkContext)
+            target = spark.sparkContext.defaultParallelism
+            if df.rdd.getNumPartitions() < target:
+                df = df.repartition(target)
+        except Exception:  # noqa: BLE001 - keep the scan as it is
+            pass
     return df
 
 

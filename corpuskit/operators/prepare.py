@@ -88,8 +88,10 @@ def chunk_document(df: DataFrame, file_col: str, text_col: str = "text",
 
     sec = (df.withColumn("_is_split", is_split)
              .withColumn("_sections", sections)
+             # words = separators + 1 (same count as split(s, ' '), no array built)
              .withColumn("_counts", F.transform(
-                 "_sections", lambda s: n_chunks(F.size(F.split(s, " ")), size, overlap)))
+                 "_sections", lambda s: n_chunks(F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit(""))) + 1,
+                                                 size, overlap)))
              .withColumn("_n_sec", F.size("_sections"))
              .withColumn("total_chunks", F.aggregate(counts, F.lit(0), lambda a, x: a + x))
              # *_outer: no inferred size() > 0 filter that would recompute the arrays
@@ -100,11 +102,12 @@ def chunk_document(df: DataFrame, file_col: str, text_col: str = "text",
              .withColumn("section_index", F.when(F.col("_is_split"), F.col("_spos")))
              .withColumn("section_total", F.when(F.col("_is_split"), F.col("_n_sec")))
              .withColumn("_words", F.split(F.col("_sec.s"), " "))
+             .withColumn("_has_ff", F.instr(F.col("_sec.s"), "\f") > 0)
              .withColumn("_offset", F.col("_sec.o")))
 
     words = F.col("_words")
     nw = F.size(words)
-    has_ff = F.instr(F.col("_sec.s"), "\f") > 0
+    has_ff = F.col("_has_ff")
     ff_per_word = F.transform(words, lambda w: F.length(w) - F.length(F.replace(w, F.lit("\f"), F.lit(""))))
 
     def chunk(k):
@@ -121,7 +124,7 @@ def chunk_document(df: DataFrame, file_col: str, text_col: str = "text",
     return (out.withColumn("chunk_index", F.col("_offset") + F.col("_chunk.k"))
                .withColumn("content", F.col("_chunk.content"))
                .withColumn("page_number", F.col("_chunk.page_number"))
-               .drop("_is_split", "_n_sec", "_spos", "_sec", "_words", "_offset", "_chunk", text_col))
+               .drop("_is_split", "_n_sec", "_spos", "_sec", "_words", "_has_ff", "_offset", "_chunk", text_col))
 
 
 def prepare_chunks(docs: DataFrame, ingested_at: str, size: int = CHUNK_WORDS,

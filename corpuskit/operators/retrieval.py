@@ -315,3 +315,49 @@ def filename_filter(df: DataFrame, filename_col: str, wanted_col: str) -> DataFr
     With a literal name this is a plain ``filter`` that Catalyst pushes into
     the Parquet scan of a stored chunk table; per query it is a join key."""
     return df.filter(F.col(wanted_col).isNull() | (F.col(filename_col) == F.col(wanted_col)))
+
+
+def hybrid_topk(bm25: DataFrame, vec_top: DataFrame, cos_of, alphas: DataFrame, qid: str, keys: list[str],
+                k: int = DEFAULT_TOP_K) -> DataFrame:
+    """#40/#41 exact fused top-k with threshold pruning (no cosine for most pairs).
+
+    bm25    : qid, keys..., bm25            every keyword candidate (materialised by the caller)
+    vec_top : qid, keys..., cos             vector top-k (exactness argument in ``hybrid_scores``)
+    cos_of  : DataFrame(qid, keys...) -> same + ``cos`` (rows without a vector dropped)
+    alphas  : qid, alpha, vmin, vmax
+
+    Seeds (vector top-k and keyword top-k) are scored exactly; their k-th
+    best fused score tau is a lower bound of the true k-th score. The scaled
+    vector score is at most 1, so a keyword candidate can only reach the
+    top-k when ``alpha + (1 - alpha) * nb >= tau``; only those survivors get a
+    cosine. Ties are kept, so the result equals fusing every candidate. The
+    large candidate table is only ever joined with per-query or seed-sized
+    tables (broadcast by AQE's size check), never shuffled against itself.
+    """
+    brange = bm25.groupBy(qid).agg(F.min("bm25").alias("bmin"), F.max("bm25").alias("bmax"))
+    a = alphas.join(brange, qid, "left")
+    sb = (bm25.join(a.select(qid, "alpha", "bmin", "bmax"), qid)
+              .withColumn("nb", _minmax(F.col("bm25"), F.col("bmin"), F.col("bmax"))))
+
+    def fuse(cands: DataFrame) -> DataFrame:
+        """cands (small): qid, keys, bm25 -> + alpha, cos, score."""
+        c = cands.join(cos_of(cands.select(qid, *keys)), [qid, *keys], "left").join(a, qid)
+        nbx = F.when(F.col("bm25").isNull(), F.lit(0.0)).otherwise(_minmax(F.col("bm25"), F.col("bmin"), F.col("bmax")))
+        nvx = F.when(F.col("cos").isNull(), F.lit(0.0)).otherwise(_minmax(F.col("cos"), F.col("vmin"), F.col("vmax")))
+        fused = F.when(F.col("alpha") == 0, nbx).otherwise(F.col("alpha") * nvx + (1 - F.col("alpha")) * nbx)
+        return c.select(qid, *keys, "alpha", "bm25", "cos", fused.alias("score"))
+
+    vt = vec_top.select(qid, *keys).join(a.filter(F.col("alpha") > 0).select(qid), qid, "left_semi")
+    vt_in = sb.join(vt, [qid, *keys]).select(qid, *keys, "bm25")
+    vt_out = vt.join(vt_in.select(qid, *keys), [qid, *keys], "left_anti").withColumn("bm25", F.lit(None).cast("double"))
+    bt = top_k(sb, qid, "nb", keys, k, rank_col="_r").select(qid, *keys, "bm25")
+    seed_rows = bt.unionByName(vt_in).unionByName(vt_out).dropDuplicates([qid, *keys])
+    seeds = fuse(seed_rows)
+    kth = (top_k(seeds, qid, "score", keys, k, rank_col="_r")
+           .groupBy(qid).agg(F.min("score").alias("_tau"), F.count(F.lit(1)).alias("_n")))
+    tau = F.when(F.col("_n") >= k, F.col("_tau"))            # fewer than k seeds: no pruning
+    upper = F.when(F.col("alpha") == 0, F.col("nb")).otherwise(F.col("alpha") + (1 - F.col("alpha")) * F.col("nb"))
+    survivors = (sb.join(kth, qid, "left").filter(tau.isNull() | (upper >= tau - F.lit(1e-9)))
+                   .select(qid, *keys, "bm25"))
+    cands = survivors.unionByName(seed_rows).dropDuplicates([qid, *keys])
+    return top_k(fuse(cands), qid, "score", keys, k)

@@ -186,7 +186,14 @@ def q_pick_alpha(t: Tables) -> DataFrame:
 
 # ----------------------------------------------------------------- hybrid
 
-def hybrid_df(t: Tables, k: int = retrieval.DEFAULT_TOP_K) -> DataFrame:
+def hybrid_df(t: Tables, k: int = retrieval.DEFAULT_TOP_K, pruned: bool = False) -> DataFrame:
+    """Hybrid top-k per benchmark query.
+
+    ``pruned=False`` fuses every keyword candidate (one outer join, one
+    top-k); ``pruned=True`` uses the threshold-pruned fusion, which computes
+    cosines only for candidates that can still reach the top-k - the better
+    plan when vectors are wide and keyword matches sparse. Both are exact.
+    """
     # the chunk store feeds four branches (postings, kept documents, vector
     # expansion, output): written once to the checkpoint folder, like a store
     chunks = materialize(chunk_store(t))
@@ -196,7 +203,8 @@ def hybrid_df(t: Tables, k: int = retrieval.DEFAULT_TOP_K) -> DataFrame:
     qv = query_vectors(t).join(queries.filter("alpha > 0").select("query_id"), "query_id", "left_semi")
     kept_docs = chunks.filter(F.col("chunk_index") == 0).select("doc_id")
     items = t.embeddings.join(kept_docs, F.col("vec_id") == F.col("doc_id"), "left_semi")
-    vtop_docs = retrieval.vector_topk(items, qv, "vec_id", "embedding", "query_id", "qv", k=k)
+    # k rows per query + min/max: tiny, read by several branches of the fusion
+    vtop_docs = materialize(retrieval.vector_topk(items, qv, "vec_id", "embedding", "query_id", "qv", k=k))
     vtop = (vtop_docs.join(chunks.select(*KEYS), F.col("vec_id") == F.col("doc_id"))
             .withColumnRenamed("score", "cos"))
     vtop = retrieval.top_k(vtop, "query_id", "cos", KEYS, k, rank_col="_r").drop("_r")
@@ -205,9 +213,16 @@ def hybrid_df(t: Tables, k: int = retrieval.DEFAULT_TOP_K) -> DataFrame:
     # cosine of every keyword candidate: vectors normalised once, so a pair
     # costs one dot product; computed per (query, document) - chunks share
     # their document's vector - then spread to the chunks
-    doc_pairs = bm25.select("query_id", "doc_id").distinct()
     unit_docs = t.embeddings.select(F.col("vec_id").alias("doc_id"), retrieval.unit(F.col("embedding")).alias("_u"))
     unit_q = qv.select("query_id", retrieval.unit(F.col("qv")).alias("_uq"))
+    if pruned:
+        def cos_of(pairs: DataFrame) -> DataFrame:
+            docs = pairs.select("query_id", "doc_id").distinct()
+            dc = (docs.join(unit_q, "query_id").join(unit_docs, "doc_id")
+                  .select("query_id", "doc_id", retrieval.dot(F.col("_u"), F.col("_uq")).alias("cos")))
+            return pairs.join(dc, ["query_id", "doc_id"])
+        return retrieval.hybrid_topk(bm25, vtop, cos_of, alphas, "query_id", KEYS, k)
+    doc_pairs = bm25.select("query_id", "doc_id").distinct()
     doc_cos = (doc_pairs.join(unit_q, "query_id").join(unit_docs, "doc_id")
                .select("query_id", "doc_id", retrieval.dot(F.col("_u"), F.col("_uq")).alias("cos")))
     pair_cos = bm25.select("query_id", *KEYS).join(doc_cos, ["query_id", "doc_id"])

@@ -74,3 +74,11 @@ def test_cosine_matches_numpy(spark):
     df = spark.createDataFrame([([1.0, 2.0, 3.0], [3.0, 2.0, 1.0])], "a array<double>, b array<double>")
     v = df.select(R.cosine(F.col("a"), F.col("b")).alias("c")).first().c
     assert abs(v - 10 / 14) < 1e-12
+
+
+def test_pruned_hybrid_equals_full(spark, tables_small):
+    from corpuskit.plans import search as S
+    cols = ["query_id", "rank", "doc_id", "chunk_index"]
+    full = {tuple(r) for r in S.hybrid_df(tables_small).select(*cols, F.round("score", 6)).collect()}
+    pruned = {tuple(r) for r in S.hybrid_df(tables_small, pruned=True).select(*cols, F.round("score", 6)).collect()}
+    assert full == pruned and len(full) > 0

@@ -338,7 +338,7 @@ SEARCHES = {
 
 @register("event_search", sql=f"""
 WITH {EV_SQL}
-SELECT 'by_id' AS search, id, 1 AS pos FROM _ev WHERE id = 'ev42'
+SELECT 'by_id' AS search, id, CAST(1 AS BIGINT) AS pos FROM _ev WHERE id = 'ev42'
 UNION ALL
 SELECT 'query_bounded', id, row_number() OVER (ORDER BY start_ts, id) FROM (
   SELECT * FROM _ev WHERE contains(lower(summary), 'purchase') AND start_ts >= TIMESTAMP '2024-01-03 00:00:00'
@@ -352,7 +352,7 @@ def q_event_search(t: Tables) -> DataFrame:
     ev = parsed_events(t)
     out = None
     for name, kw in SEARCHES.items():
-        part = A.event_search(ev, **kw).select(F.lit(name).alias("search"), "id", F.col("pos").cast("int").alias("pos"))
+        part = A.event_search(ev, **kw).select(F.lit(name).alias("search"), "id", F.col("pos").cast("long").alias("pos"))
         out = part if out is None else out.unionByName(part)
     return out
 

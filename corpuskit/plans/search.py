@@ -151,10 +151,10 @@ def q_vector_topk(t: Tables) -> DataFrame:
 # ------------------------------------------------------------------ alpha
 
 def alpha_sql(q: str) -> str:
-    return (f"(CASE WHEN regexp_matches({q}, '{retrieval.FILENAME_QUERY}') THEN 0.0 "
+    return (f"CAST(CASE WHEN regexp_matches({q}, '{retrieval.FILENAME_QUERY}') THEN 0.0 "
             f"WHEN starts_with({q}, '\"') AND ends_with({q}, '\"') THEN 0.0 "
             f"WHEN len(list_filter(regexp_split_to_array({q}, '{retrieval.WS}+'), lambda w: w <> '')) <= 3 THEN 0.3 "
-            f"ELSE 0.7 END)")
+            f"ELSE 0.7 END AS DOUBLE)")
 
 
 ALPHA_SQL = f"""

@@ -60,6 +60,18 @@ def table_hash(cols: list[str], rows: list[tuple]) -> tuple[int, str]:
     return len(lines), h
 
 
+SPARK_TO_DUCK = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "DoubleType()": "DOUBLE",
+                 "StringType()": "VARCHAR", "BooleanType()": "BOOLEAN", "FloatType()": "FLOAT",
+                 "TimestampType()": "TIMESTAMP", "DateType()": "DATE", "ShortType()": "SMALLINT"}
+
+
+def type_mismatches(spark_df, sql: str, con) -> dict:
+    """Columns whose Spark type differs from the oracle's DuckDB type."""
+    st = {f.name: SPARK_TO_DUCK.get(repr(f.dataType), repr(f.dataType)) for f in spark_df.schema.fields}
+    dt = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    return {c: (st[c], dt.get(c)) for c in st if st[c] != dt.get(c)}
+
+
 def compare(spark_df, sql: str, con) -> dict:
     s_cols = spark_df.columns
     s_rows = [tuple(r) for r in spark_df.collect()]
@@ -72,10 +84,14 @@ def compare(spark_df, sql: str, con) -> dict:
         out["spark_cols"], out["oracle_cols"] = sorted(s_cols), sorted(d_cols)
         out["ok"] = False
         return out
+    bad_types = type_mismatches(spark_df, sql, con)
+    out["types_ok"] = not bad_types
+    if bad_types:
+        out["type_mismatches"] = bad_types
     _, hs = table_hash(s_cols, s_rows)
     _, hd = table_hash(d_cols, d_rows)
     out["hash_ok"] = hs == hd
-    out["ok"] = out["hash_ok"] and len(s_rows) == len(d_rows)
+    out["ok"] = out["hash_ok"] and len(s_rows) == len(d_rows) and out["types_ok"]
     if not out["ok"]:
         order_s = sorted(range(len(s_cols)), key=lambda i: s_cols[i])
         order_d = sorted(range(len(d_cols)), key=lambda i: d_cols[i])

@@ -49,9 +49,14 @@ def extract_urls(hits: DataFrame) -> DataFrame:
 
 def usable_pages(pages: DataFrame, url: str = "url", text: str = "text", seq: str = "page_id") -> DataFrame:
     """Pages with a URL and non-blank text; for a repeated URL the last page wins."""
-    ok = pages.filter(F.col(url).isNotNull() & (F.col(url) != "") & F.col(text).isNotNull()
-                      & ~F.col(text).rlike(BLANK_RE))
-    return ok.groupBy(url).agg(F.max_by(text, seq).alias("page_text"))
+    # The text condition sits inside the aggregate (max_by ignores rows whose
+    # ordering value is null): as a filter, Catalyst would push it below the
+    # projection and evaluate the (expensive) text expression twice.
+    ok = F.col(text).isNotNull() & ~F.col(text).rlike(BLANK_RE)
+    with_url = pages.filter(F.col(url).isNotNull() & (F.col(url) != ""))
+    return (with_url.groupBy(url)
+            .agg(F.max_by(F.when(ok, F.col(text)), F.when(ok, F.col(seq))).alias("page_text"))
+            .filter(F.col("page_text").isNotNull()))
 
 
 def join_content(hits: DataFrame, pages: DataFrame) -> DataFrame:

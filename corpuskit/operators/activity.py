@@ -186,7 +186,7 @@ def issue_text(docs: DataFrame, key: str, seq: str, title: str, content: str, au
 # ---------------------------------------------------------- conversations
 
 def conversation_views(msgs: DataFrame, key: str = "conv_id", seq: str = "turn", kind: str = "kind",
-                       text: str = "text", no_heartbeat: str = "no_heartbeat") -> DataFrame:
+                       text: str = "text", no_heartbeat: str = "no_heartbeat", turn_bucket: int = 256) -> DataFrame:
     """#97: last user message, first assistant message (or a fixed text), and
     the rendered reply stream.
 
@@ -198,8 +198,18 @@ def conversation_views(msgs: DataFrame, key: str = "conv_id", seq: str = "turn",
     k = F.col(kind)
     flag = (F.when(k == "reasoning", F.lit(True)).when(k == "tool_call", F.col(no_heartbeat))
              .when(k == "assistant", F.lit(False)))
-    prev = Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    pending = F.coalesce(F.last(flag, ignorenulls=True).over(prev), F.lit(False))
+    # "pending" = last non-null flag before the row. Split by (conversation,
+    # turn bucket) so a huge conversation is not one window partition: the
+    # in-bucket value comes from a running window, the carry from a
+    # one-row-per-bucket summary windowed per conversation.
+    msgs = msgs.withColumn("_flag", flag).withColumn("_b", F.floor(F.col(seq) / F.lit(turn_bucket)))
+    prev = Window.partitionBy(key, "_b").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    local = F.last("_flag", ignorenulls=True).over(prev)
+    summ = msgs.groupBy(key, "_b").agg(F.expr(f"max_by(_flag, {seq}) FILTER (WHERE _flag IS NOT NULL)").alias("_lf"))
+    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    summ = summ.withColumn("_carry", F.last("_lf", ignorenulls=True).over(before)).select(key, "_b", "_carry")
+    msgs = msgs.join(summ, [key, "_b"])
+    pending = F.coalesce(local, F.col("_carry"), F.lit(False))
     body = F.regexp_replace(F.regexp_replace(F.trim(F.col(text)), r'^"', ""), r'"$', "")
     chunk = (F.when(k == "reasoning", F.concat(F.lit("\n- "), body))
               .when(k == "tool_call", F.concat(F.lit("\n- Calling tool t"), F.col(seq).cast("string"),

@@ -71,3 +71,13 @@ def test_failure_streaks_brute_force(spark):
                     want.append((u, len(run), run[0][0]))
                 run = []
     assert got == sorted(want)
+
+
+def test_conversation_views_bucketed_matches_fold(spark):
+    from corpuskit.operators.activity import conversation_views
+    kinds = ["user", "reasoning", "tool_call", "tool_return", "assistant", "tool_call", "assistant", "user"]
+    rows = [(1, i, kinds[i % len(kinds)], f"t{i}", i % 3 == 0) for i in range(40)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, kind string, text string, no_heartbeat boolean")
+    got = conversation_views(df, turn_bucket=5).first()
+    _, reply, _ = chat.fold([(t, k, x, h) for _, t, k, x, h in rows if k != "user"], "<think>", False)
+    assert got.stream == reply

@@ -70,3 +70,25 @@ def ingest_summary(files: DataFrame, new: DataFrame, old: DataFrame, ingested_at
                     F.col("chunks_stored").cast("long").alias("chunks_stored"),
                     F.coalesce("stale_deleted", F.lit(0)).cast("long").alias("stale_deleted"),
                     F.lit(ingested_at).alias("ingested_at")))
+
+
+def replace_files(spark, path: str, new_chunks: DataFrame, n_buckets: int = FILE_BUCKETS) -> None:
+    """#5 on disk: re-ingested files replace all their old chunks; every other
+    file keeps its chunks untouched.
+
+    Only the filename buckets the batch touches are read (partition pruning),
+    merged with ``replace_by_filename`` and rewritten with dynamic partition
+    overwrite. The merge is materialised first: a job may not overwrite the
+    partitions it is reading.
+    """
+    from corpuskit.session import materialize
+    new = conform(new_chunks).withColumn("file_bucket", file_bucket("source_filename", n_buckets))
+    touched = [r[0] for r in new.select("file_bucket").distinct().collect()]   # <= n_buckets values
+    try:
+        old = spark.read.parquet(path).filter(F.col("file_bucket").isin(touched))
+    except Exception:  # noqa: BLE001 - first write: no store yet
+        old = None
+    merged = new if old is None else replace_by_filename(old, new)
+    merged = materialize(merged.select(*[f.name for f in STORE_SCHEMA.fields], "file_bucket"))
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    merged.write.mode("overwrite").partitionBy("file_bucket").parquet(path)

@@ -16,3 +16,19 @@ def test_read_corpus(spark, tmp_path):
     assert got["c.md"] == ("markdown", "Title\nSome bold link")
     assert got["d.pdf"] == ("pdf", None)
     assert got["e.bin"] == ("text", None)
+
+
+def test_replace_files_on_disk(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from corpuskit.operators import store
+
+    def chunks(files, tag):
+        rows = [(f"{tag} {f} {i}", f, i, n) for f, n in files for i in range(n)]
+        return spark.createDataFrame(rows, "content string, source_filename string, chunk_index int, total_chunks int")
+
+    path = str(tmp_path / "store")
+    store.replace_files(spark, path, chunks([("a.txt", 3), ("b.txt", 2), ("c.txt", 1)], "v1"), n_buckets=4)
+    store.replace_files(spark, path, chunks([("b.txt", 4)], "v2"), n_buckets=4)
+    got = spark.read.parquet(path).groupBy("source_filename").agg(
+        F.count("*").alias("n"), F.max(F.split("content", " ")[0]).alias("tag")).collect()
+    assert {(r.source_filename, r.n, r.tag) for r in got} == {("a.txt", 3, "v1"), ("b.txt", 4, "v2"), ("c.txt", 1, "v1")}

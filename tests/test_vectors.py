@@ -33,3 +33,15 @@ def test_embed_unit_norm(spark):
     df = spark.createDataFrame([(1, "apple banana apple"), (2, "cherry")], "id long, text string")
     rows = V.embed_hashed(df, "text").collect()
     assert all(abs(sum(x * x for x in r.embedding) - 1) < 1e-9 and len(r.embedding) == 64 for r in rows)
+
+
+def test_embed_with_batches_and_keys(spark):
+    sizes = []
+
+    def fake_model(texts):
+        sizes.append(len(texts))
+        return [[float(len(t)), 1.0] for t in texts]
+
+    df = spark.createDataFrame([(i, "x" * (i % 7)) for i in range(300)], "id long, text string").repartition(1)
+    out = V.embed_with(df, "id", "text", fake_model, "id long, embedding array<double>", batch=128).collect()
+    assert sorted((r.id, r.embedding[0]) for r in out) == [(i, float(i % 7)) for i in range(300)]

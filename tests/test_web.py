@@ -22,3 +22,11 @@ def test_fuse_keeps_best_score(spark):
         "query_id long, provider string, rank long, url string, content string, score double")
     got = web.fuse_sources(hits, {"exa": 0, "tavily": 1, "brave": 2}).orderBy("pos").collect()
     assert [(r.provider, r.score) for r in got] == [("tavily", 0.9), ("brave", None)]
+
+
+def test_keyset_paging_matches_offset(spark):
+    df = spark.createDataFrame([(i,) for i in range(100)], "k long")
+    first = [r.k for r in web.page_after(df, "k", None, 10).collect()]
+    second = [r.k for r in web.page_after(df, "k", first[-1], 10).collect()]
+    offset = [r.k for r in web.page_results(df, ["k"], 10, 2).collect()]
+    assert first == list(range(10)) and second == offset == list(range(10, 20))

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuskit.llm import mixing, packing, quality, secrets, simhash
+from corpuskit.llm import licenses, lm, mixing, neighbours, packing, pages, quality, secret_scan, simhash, token_counts
 from corpuskit.llm.common import read
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, sf_dir, "documents"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -17,8 +21,12 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(read(spark, sf_dir, "documents"))
+    return secret_scan.scan(read(spark, sf_dir, "documents"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,12 +37,27 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
+def op7_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.pseudo_likelihood(read(spark, sf_dir, "documents"))
+
+
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    return neighbours.top_k(rows, rows.filter("vec_id % 20 = 0"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents"))
 
 
+def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash_near_dedup, op4_secret_scan, op5_mixing, op6_packing, op9_quality_rules)}
+    f.__name__: f for f in (
+        op1_token_counts, op2_simhash_near_dedup, op3_license_scan, op4_secret_scan, op5_mixing, op6_packing,
+        op7_pseudo_likelihood, op8_nearest_neighbours, op9_quality_rules, op10_page_text)}
 
 MIXING_SQL = r"""
 WITH docs AS (
@@ -73,4 +96,4 @@ SELECT doc_id, size, source_size, target,
 FROM run
 """
 
-SQL: dict[str, str] = {"op5_mixing": MIXING_SQL}
+SQL: dict[str, str] = {"op3_license_scan": licenses.oracle_sql(), "op5_mixing": MIXING_SQL}

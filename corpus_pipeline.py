@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuskit.llm import mixing, packing, quality, secrets, simhash
+from corpuskit.llm import mixing, packing, quality, secret_scan, simhash
 from corpuskit.llm.common import checkpoint_dir, read
 
 #: Packing and the near-duplicate components cannot be said in SQL; the
@@ -29,9 +29,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs)
 
 
-def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the text; every document stays."""
-    return secrets.redact(docs)
+    return secret_scan.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality_rules", quality_rules),
     ("simhash_near_dedup", near_dedup),
-    ("secret_scan", secret_scan),
+    ("secret_scan", scan_secrets),
     ("mixing", mix_sources),
     ("packing", pack),
 ]

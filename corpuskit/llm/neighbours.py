@@ -16,7 +16,8 @@ left out with probability below 1 - p, and the search stops.
 * First pass: each query searches its own block, which bounds its k-th
   distance. Second pass: it goes to those cells alone whose bounding box of
   projections passes the test. A block builds a kd-tree over its projections;
-  its leaves are taken nearest first and verified on the original vectors.
+  its leaves are taken nearest first and verified on the original vectors,
+  the queries of a block side by side.
 * A query's results of all blocks are merged by a top-k window, which is
   limited per task before the shuffle. Queries of one block are dealt into
   parts of at most ``queries_at_once``.
@@ -30,7 +31,6 @@ table gives an empty result; extra columns are not touched.
 
 from __future__ import annotations
 
-import heapq
 import math
 
 import numpy as np
@@ -76,7 +76,7 @@ def projection(size: int, m: int, seed: int = SEED) -> np.ndarray:
 class KdTree:
     """Median splits on the widest dimension down to leaves; boxes are tight."""
 
-    def __init__(self, points: np.ndarray, leaf: int = 32):
+    def __init__(self, points: np.ndarray, leaf: int = 256):
         self.points = points
         self.nodes: list[tuple] = []  # (low, high, left, right) or (low, high, rows)
         self._build(np.arange(len(points)), leaf)
@@ -97,46 +97,55 @@ class KdTree:
         self.nodes[k] = (low, high, left, right)
         return k
 
-    def leaves(self):
+    def leaves(self) -> list[tuple]:
+        """(low, high, rows) of every leaf."""
         return [n for n in self.nodes if len(n) == 3]
 
-    def nearest_first(self, q: np.ndarray):
-        """(squared distance to the leaf's box, rows), nearest leaf first."""
-        def gap(node):
-            d = np.maximum(np.maximum(node[0] - q, q - node[1]), 0.0)
-            return float(d @ d)
 
-        heap = [(gap(self.nodes[0]), 0)]
-        while heap:
-            d, k = heapq.heappop(heap)
-            node = self.nodes[k]
-            if len(node) == 3:
-                yield d, node[2]
-            else:
-                for child in node[2:]:
-                    heapq.heappush(heap, (gap(self.nodes[child]), child))
+def search_block(tree: KdTree, ids: np.ndarray, vectors: np.ndarray, qids: np.ndarray, queries: np.ndarray,
+                 flat: np.ndarray, k: int, base: np.ndarray, quantile: float, bound: np.ndarray):
+    """The k best (score, id) of a block for each of some queries.
 
-
-def search_block(tree: KdTree, ids: np.ndarray, vectors: np.ndarray, qid: int, q: np.ndarray, qp: np.ndarray,
-                 k: int, base: float, quantile: float, bound: float) -> list[tuple[float, int]]:
-    """The k best (score, id) of a block for one query.
-
-    ``base`` is M^2 + |q|^2; ``bound`` the k-th squared distance known before.
+    Every query takes the tree's leaves nearest first by projected distance;
+    in each round the queries that are at the same leaf are verified together.
+    A query is done when its next leaf fails the test. ``base`` is
+    M^2 + |q|^2, ``bound`` the k-th squared distance known before; results
+    beyond that bound are left out. Empty places have score -inf.
     """
-    best_s, best_i = np.empty(0), np.empty(0, dtype=np.int64)
-    slack = 1e-9 * base  # of the subtraction
-    for gap, rows in tree.nearest_first(qp):
-        if gap > quantile * (bound + slack):
+    leaves = tree.leaves()
+    gap = np.zeros((len(queries), len(leaves)))
+    for j, (low, high, _) in enumerate(leaves):
+        d = np.maximum(np.maximum(low - flat, flat - high), 0.0)
+        gap[:, j] = (d * d).sum(axis=1)
+    order = np.argsort(gap, axis=1, kind="stable")
+    slack, bound = 1e-9 * base, bound.copy()  # slack: of the subtraction
+    least = (base - bound - slack) / 2  # scores below are no news
+    best_s = np.full((len(queries), k), -np.inf)
+    best_i = np.full((len(queries), k), np.iinfo(np.int64).max)
+    active = np.arange(len(queries))
+    for turn in range(len(leaves)):
+        at = order[active, turn]
+        go = gap[active, at] <= quantile * (bound[active] + slack[active])
+        active, at = active[go], at[go]
+        if not len(active):
             break
-        rows = rows[ids[rows] != qid]
-        score = (vectors[rows] * q).sum(axis=1)  # row by row alike, so equal vectors tie exactly
-        best_s, best_i = np.concatenate([best_s, score]), np.concatenate([best_i, ids[rows]])
-        if len(best_s) > k:
-            order = np.lexsort((best_i, -best_s))[:k]
-            best_s, best_i = best_s[order], best_i[order]
-        if len(best_s) >= k:
-            bound = min(bound, max(0.0, base - 2 * float(best_s.min())))
-    return list(zip(best_s.tolist(), best_i.tolist()))
+        for j in np.unique(at).tolist():
+            here, rows = active[at == j], leaves[j][2]
+            # pair by pair alike (no blocked product), so equal vectors tie exactly
+            score = np.einsum("qd,nd->qn", queries[here], vectors[rows])
+            score[qids[here][:, None] == ids[rows][None, :]] = -np.inf
+            score[score < np.maximum(best_s[here, -1], least[here])[:, None]] = -np.inf
+            news = np.flatnonzero(np.isfinite(score).any(axis=1))
+            if len(news):
+                s = np.concatenate([best_s[here[news]], score[news]], axis=1)
+                i = np.concatenate([best_i[here[news]], np.broadcast_to(ids[rows], (len(news), len(rows)))], axis=1)
+                top = np.lexsort((i, -s), axis=1)[:, :k]
+                best_s[here[news]] = np.take_along_axis(s, top, axis=1)
+                best_i[here[news]] = np.take_along_axis(i, top, axis=1)
+        full = np.isfinite(best_s[active, -1])
+        done = active[full]
+        bound[done] = np.minimum(bound[done], np.maximum(0.0, base[done] - 2 * best_s[done, -1]))
+    return best_s, best_i
 
 
 def _searcher(k: int, top: float, quantile: float, m: int):
@@ -144,20 +153,19 @@ def _searcher(k: int, top: float, quantile: float, m: int):
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def matrix(column: pa.ChunkedArray) -> np.ndarray:
-        return np.array(column.to_pylist(), dtype=np.float64)
+        return column.combine_chunks().flatten().to_numpy().reshape(len(column), -1)
 
     def run(items: pa.Table, queries: pa.Table) -> pa.Table:
-        out: list[tuple] = []
+        cols = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         if items.num_rows and queries.num_rows:
             ids, vectors = items["vec_id"].to_numpy(), matrix(items["v"])
             tree = KdTree(lifted(vectors, top) @ projection(vectors.shape[1], m))
-            q = matrix(queries["v"])
+            qids, q = queries["query_id"].to_numpy(), matrix(queries["v"])
             flat = np.concatenate([q, np.zeros((len(q), 1))], axis=1) @ projection(q.shape[1], m)
-            for qid, own, at, bound in zip(queries["query_id"].to_pylist(), q, flat, queries["bound"].to_pylist()):
-                base = top ** 2 + float((own * own).sum())
-                out += [(qid, i, s) for s, i in search_block(
-                    tree, ids, vectors, qid, own, at, k, base, quantile, math.inf if bound is None else bound)]
-        cols = list(zip(*out)) or [[], [], []]
+            bound = queries["bound"].fill_null(math.inf).to_numpy()
+            s, i = search_block(tree, ids, vectors, qids, q, flat, k, top ** 2 + (q * q).sum(axis=1), quantile, bound)
+            found = np.isfinite(s)
+            cols = [np.repeat(qids, found.sum(axis=1)), i[found], s[found]]
         return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(cols, schema)], schema=schema)
 
     return run
@@ -198,7 +206,7 @@ def _cell_of(nodes: list[tuple], x: np.ndarray) -> np.ndarray:
 
 
 def top_k(items: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding",
-          dimensions: int = DIMENSIONS, probability: float = PROBABILITY, block: int = 4096, sample: int = 20_000,
+          dimensions: int = DIMENSIONS, probability: float = PROBABILITY, block: int = 16_384, sample: int = 20_000,
           queries_at_once: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest, by inner product."""
     spark = items.sparkSession

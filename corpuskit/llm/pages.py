@@ -9,13 +9,16 @@
    k-th occurrence can only meet the other page's k-th). Shared lines are the
    host's furniture and are deleted. Two cases are no furniture: lines inside
    an explicit article element (documents quote the same passages), unless
-   both neighbours share them at the article's very start or end; and pairs
-   that share most of their text, which are copies of one article.
+   they are no sentences or headings and both neighbours share them at the article's very
+   start or end; and pairs that share most of their text, which are copies of
+   one article.
 
 Scale: only line hashes are paired. The order within hosts is a range sort on
 (host, path, key), so one host may hold most pages; a partition's first page
-finds its predecessor through one row per partition. Texts meet their verdict
-in one shuffle of the extracted lines.
+finds its predecessor through one row per partition. Pages are parsed twice,
+which costs less than keeping all lines; the second pass meets the places to
+delete, a row for each page that loses a line (broadcast only if Spark's
+threshold on the written table's size allows).
 
 Defined results: null and empty html give an empty text with 0 characters;
 a null url is a host of its own; repeated rows come back once each, and rows
@@ -29,7 +32,6 @@ import html
 import re
 from bisect import bisect_left
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,12 +49,19 @@ RAW = frozenset("script style textarea title noscript iframe template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Words in class, id or role that mark page furniture.
 FURNITURE = frozenset(
-    "ad ads adbox advert adverts advertisement advertising alert banner breadcrumb breadcrumbs byline-ads comment "
+    "ad ads adbox advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment "
     "comments commentlist consent contentinfo cookie cookies disqus dropdown footer gdpr header login masthead menu "
-    "menubar message-bar modal nav navbar navigation newsletter notice notices notification pager pagination paywall "
+    "menubar modal nav navbar navigation newsletter notice notices notification pager pagination paywall "
     "popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup "
-    "skip skip-link social sponsor sponsored subscribe subscription toolbar topbar widget".split())
+    "skip social sponsor sponsored subscribe subscription toolbar topbar widget".split())
+# First words of layout names, and of headers that are no article's.
+WITH = frozenset(("has", "with", "no", "without", "is"))
+SITE = frozenset(("header", "site", "page", "global", "main", "top", "nav", "masthead"))
 MAIN = frozenset(("article", "main"))
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+
+#: A line that ends like a sentence, or is longer than twelve words.
+SENTENCE = r"[.!?…:;\"'”’»)]\s*$|^(\S+\s+){12}"
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
@@ -73,19 +82,23 @@ def _furniture(attributes: str) -> bool:
                 return True
             continue
         for name in _NAME.findall(value):
-            if name in FURNITURE or any(p in FURNITURE for p in re.split("[-_]", name)):
+            parts = re.split("[-_]", name)
+            if parts[0] in WITH or "with" in parts:  # says what a layout holds
+                continue
+            if any(p in FURNITURE and (p != "header" or parts[0] in SITE) for p in parts):
                 return True
     return False
 
 
-def lines(page: str | None) -> list[tuple[str, bool]]:
-    """(text, inside an article element) of the blocks of a page, furniture
-    elements left out; only the article elements' blocks if there are any with text."""
+def lines(page: str | None) -> list[tuple[str, bool, bool]]:
+    """(text, inside an article element, heading) of the blocks of a page,
+    furniture elements left out; only the article elements' blocks if there
+    are any with text."""
     page = page or ""
-    out: list[tuple[str, bool]] = []
+    out: list[tuple[str, bool, bool]] = []
     text: list[str] = []
-    at, main, skipping, depth = 0, 0, None, 0
-    skipped: list[tuple[str, bool]] = []  # what an element that never closes has hidden
+    at, main, skipping, depth, heading = 0, 0, None, 0, False
+    skipped: list[tuple[str, bool, bool]] = []  # what an element that never closes has hidden
     lower = None
 
     def close():
@@ -93,7 +106,7 @@ def lines(page: str | None) -> list[tuple[str, bool]]:
             block = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if block:
-                (out if skipping is None else skipped).append((block, main > 0))
+                (out if skipping is None else skipped).append((block, main > 0, heading))
 
     find = _TOKEN.search
     while m := find(page, at):
@@ -106,6 +119,10 @@ def lines(page: str | None) -> list[tuple[str, bool]]:
         tag = tag.lower()
         if tag in BLOCK or tag in DROPPED:
             close()
+            heading = tag in HEADINGS and not ending
+            if skipping == "p" and tag in BLOCK and not ending:  # a paragraph ends at the next block
+                skipping = None
+                skipped.clear()
         elif tag == "br":
             text.append(" ")
         if ending:
@@ -174,26 +191,27 @@ def shared(a: list[int], b: list[int]) -> list[int]:
 
 
 def deleted(own: list[int], sizes: list[int], main: bool, neighbours: list[list[int] | None],
-            copy_share: float = 0.5) -> list[int]:
-    """Places of a page's lines that differencing deletes."""
+            loose: list[bool], copy_share: float = 0.5) -> list[int]:
+    """Places of a page's lines that differencing deletes.
+
+    ``loose`` says which lines are neither sentences nor headings."""
     total, found = sum(sizes), []
     for other in neighbours:
         if other:
             common = shared(own, other)
             # a pair that shares most of its text is one article twice
-            if main or sum(sizes[i] for i in common) <= copy_share * total:
-                if sum(sizes[i] for i in common) <= copy_share * total:
-                    found.append(set(common))
+            if sum(sizes[i] for i in common) <= copy_share * total:
+                found.append(set(common))
     if not found:
         return []
     if not main:
         return sorted(set().union(*found))
     if len(found) < 2:
         return []
-    both, n = found[0] & found[1], len(own)
-    edge = [i for i in range(n) if i in both and all(j in both for j in range(i))]
-    edge += [i for i in range(n) if i in both and all(j in both for j in range(i, n))]
-    return sorted(set(edge))
+    n, both = len(own), {i for i in found[0] & found[1] if loose[i]}
+    first = next((i for i in range(n) if i not in both), n)
+    last = next((i for i in reversed(range(n)) if i not in both), -1)
+    return sorted(i for i in both if i < first or i > last)
 
 
 def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -201,17 +219,18 @@ def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     spark = df.sparkSession
     kinds = dict(df.dtypes)
 
-    def make():
+    page_hash = F.xxhash64(F.coalesce(F.col(url_col), F.lit("")), F.coalesce(F.col(html_col), F.lit("")))
+    found = df.select(F.col(id_col), F.col(url_col), page_hash.alias("page_hash"), F.col(html_col))
+
+    def parse():
         def row(key, url, page_hash, page):
             got = lines(page)
-            yield key, url, page_hash, [x for x, _ in got], bool(got and got[0][1])
+            yield key, url, page_hash, [x[0] for x in got], [x[2] for x in got], bool(got and got[0][1])
         return row
 
-    page_hash = F.xxhash64(F.coalesce(F.col(url_col), F.lit("")), F.coalesce(F.col(html_col), F.lit("")))
-    cut = stored(map_rows(
-        df.select(F.col(id_col), F.col(url_col), page_hash.alias("page_hash"), F.col(html_col)),
-        f"{id_col} {kinds[id_col]}, {url_col} string, page_hash long, lines array<string>, main boolean", make),
-        "page-lines")
+    cut = map_rows(found, f"{id_col} {kinds[id_col]}, {url_col} string, page_hash long, lines array<string>, "
+                   "heading array<boolean>, main boolean",
+                   parse)
 
     # narrow rows: the host, the path and the line hashes
     place = F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
@@ -220,7 +239,8 @@ def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     narrow = cut.select(
         F.col(id_col), "page_hash", host.alias("host"), path.alias("path"), "main",
         F.transform("lines", lambda x: F.xxhash64(x)).alias("own"),
-        F.transform("lines", lambda x: F.char_length(x)).alias("sizes")).dropDuplicates([id_col, "page_hash"])
+        F.transform("lines", lambda x: F.char_length(x)).alias("sizes"),
+        F.zip_with("lines", "heading", lambda x, h: ~x.rlike(SENTENCE) & ~h).alias("loose")).dropDuplicates([id_col, "page_hash"])
     order = ["host", "path", id_col, "page_hash"]
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # range sort: a host may spread over many partitions; the checkpoint fixes them
@@ -233,26 +253,23 @@ def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     ends = ends.select("part", F.lag("tail").over(parts).alias("above"), F.lead("head").over(parts).alias("below"))
     paired = placed.withColumn("up", F.lag(near).over(run)).withColumn("down", F.lead(near).over(run))
     paired = paired.join(ends, "part").select(
-        id_col, "page_hash", "own", "sizes", "main", "host",
+        id_col, "page_hash", "own", "sizes", "loose", "main", "host",
         F.coalesce("up", F.struct("above.host", "above.own")).alias("up"),
         F.coalesce("down", F.struct("below.host", "below.own")).alias("down"))
     same = lambda c: F.when(F.col(f"{c}.host") == F.col("host"), F.col(f"{c}.own"))
-    paired = paired.select(id_col, "page_hash", "own", "sizes", "main", same("up").alias("up"), same("down").alias("down"))
+    paired = paired.select(id_col, "page_hash", "own", "sizes", "loose", "main", same("up").alias("up"), same("down").alias("down"))
 
     def difference():
-        def row(key, page_hash, own, sizes, main, up, down):
-            gone = deleted(own, sizes, main, [up, down])
+        def row(key, page_hash, own, sizes, loose, main, up, down):
+            gone = deleted(own, sizes, main, [up, down], loose)
             if gone:
                 yield key, page_hash, gone
         return row
 
     gone = map_rows(paired, f"{id_col} {kinds[id_col]}, page_hash long, gone array<int>", difference)
-    gone = gone.select(F.col(id_col).alias("k"), F.col("page_hash").alias("h"), "gone")
+    gone = stored(gone.select(F.col(id_col).alias("k"), F.col("page_hash").alias("h"), "gone"), "page-gone")
     met = cut.join(gone, (F.col("page_hash") == F.col("h")) & F.col(id_col).eqNullSafe(F.col("k")), "left")
     left = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(
         F.filter("lines", lambda x, i: ~F.array_contains("gone", i)))
     out = met.select(F.col(id_col), F.col(url_col), F.array_join(left, "\n").alias("text"))
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
-
-
-__all__ = ["deleted", "lines", "main_text", "pa", "shared"]

@@ -136,12 +136,11 @@ def near_duplicates(df: DataFrame, keys: list[str] | None = None, id_col: str =
     docs = stored(fingerprints(df, keys, text_col, shingle), "fingerprints")
     distinct = materialize(docs.groupBy("fp").agg(F.min(id_col).alias("least_id")))
     found = components(links(distinct, bits), "a", "b")
-    member = distinct.join(found.withColumnRenamed("vertex", "fp"), "fp", "left").select(
-        "fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    several = member.filter(F.col("fp") != F.col("root")).select("root").distinct()
-    smallest = member.join(several, "root", "left_semi").groupBy("root").agg(F.min("least_id").alias("joint_id"))
-    named = member.join(smallest, "root", "left").select(
-        "fp", "root", F.coalesce("joint_id", "least_id").alias("component_id"))
+    found = found.withColumnRenamed("vertex", "fp")
+    smallest = distinct.join(found, "fp").groupBy("root").agg(F.min("least_id").alias("joint_id"))
+    named = distinct.join(found.join(smallest, "root"), "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"),
+        F.when(F.col("root").isNull(), F.col("least_id")).otherwise(F.col("joint_id")).alias("component_id"))
     return docs.join(named, "fp").select(*keys, "fp", "component_id", "root")
 
 

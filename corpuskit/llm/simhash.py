@@ -141,6 +141,7 @@ def near_duplicates(df: DataFrame, keys: list[str] | None = None, id_col: str =
     named = distinct.join(found.join(smallest, "root"), "fp", "left").select(
         "fp", F.coalesce("root", "fp").alias("root"),
         F.when(F.col("root").isNull(), F.col("least_id")).otherwise(F.col("joint_id")).alias("component_id"))
+    named = materialize(named)  # so that the join below, where copies meet one key, can be split
     return docs.join(named, "fp").select(*keys, "fp", "component_id", "root")
 
 

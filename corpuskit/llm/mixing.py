@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuskit.llm.common import materialize, n_words
+from corpuskit.llm.common import materialize, n_words, stored
 
 # Weights of the sources in code point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -122,7 +122,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
                      uniform(F.col(id_col)).alias("u"))
     docs = materialize(docs)  # narrow; read by the sums, the boundary and the decision
     goal = targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
-    ends = materialize(boundaries(docs, goal, bins))
+    ends = stored(boundaries(docs, goal, bins), "mix-ends")  # a row a source, of known size
     return decide(docs, ends).select(id_col, "size", "source_size", "target", "taken")
 
 
@@ -132,14 +132,15 @@ def mixture(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """The mixed documents: a row for every copy taken, with all columns of the
     input; a part is the document's first words (white space as it was).
 
-    Texts are read twice and never shuffled: the boundaries come from narrow
-    columns, and joining them needs a row a source only.
+    Texts are read twice. The boundaries come from narrow columns and are a
+    row a source: a written table, whose size lets Spark broadcast it below
+    its threshold (then no text is shuffled) and else join it by source.
     """
     narrow = df.select(F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"),
                        uniform(F.col(id_col)).alias("u"))
     narrow = materialize(narrow)
     goal = targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
-    ends = materialize(boundaries(narrow, goal, bins))
+    ends = stored(boundaries(narrow, goal, bins), "mix-ends")
     own = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(source_col).alias("source"),
                     n_words(F.col(text_col)).alias("size"), uniform(F.col(id_col)).alias("u"))
     got = decide(own, ends)

@@ -153,8 +153,13 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     tagged = df.withColumn("__th", F.xxhash64(text_col))
     found = near_duplicates(tagged, [id_col, "__th"], id_col, text_col, shingle, bits)
     chosen = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("root").agg(
-        F.min(F.struct("__th", id_col)).alias("x"))
-    wanted = chosen.select(F.col("x.__th").alias("__t"), F.col(f"x.{id_col}").alias("__i"))
-    kept = tagged.join(wanted, (F.col("__th") == F.col("__t")) & F.col(id_col).eqNullSafe(F.col("__i")), "left_semi")
+        F.min(F.struct("__th", id_col)).alias("x")).select("x.*")
+
+    def keyed(rows: DataFrame) -> DataFrame:  # plain keys: the join's partitions serve the next step too
+        return rows.withColumn("__none", F.col(id_col).isNull()).withColumn(
+            "__id", F.coalesce(F.col(id_col), F.lit(0).cast(df.schema[id_col].dataType)))
+
+    keys = ["__th", "__none", "__id"]
+    kept = keyed(tagged).join(keyed(chosen).select(*keys), keys, "left_semi")
     # identical rows (same id, same text) are one document
-    return kept.dropDuplicates([id_col, "__th"]).select(*df.columns)
+    return kept.dropDuplicates(keys).select(*df.columns)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 QUOTA_REQUESTS = 30
 QUOTA_WINDOW_S = 60
 FAILURE_STREAK = 3
-PROBLEM_TYPE_PREFIX = "urn:hayhooks:google:calendar:error:"
+PROBLEM_TYPE_PREFIX = "urn:error:calendar:"
 PROBLEM_INSTANCE_PREFIX = "/calendar_events/errors/"
 # status -> (title, error type, instance prefix)
 PROBLEMS = {
@@ -33,6 +33,8 @@ DEFAULT_EVENT_LIMIT_RANGE = 50
 DEFAULT_EVENT_LIMIT_QUERY = 10
 UNTITLED_QUESTION = "Untitled Question"
 ANONYMOUS = "Anonymous"
+# white space at both ends, as a full Unicode strip removes it
+STRIP = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
 # -----------------------------------------------------------------------------
 
 
@@ -210,7 +212,7 @@ def conversation_views(msgs: DataFrame, key: str = "conv_id", seq: str = "turn",
     summ = summ.withColumn("_carry", F.last("_lf", ignorenulls=True).over(before)).select(key, "_b", "_carry")
     msgs = msgs.join(summ, [key, "_b"])
     pending = F.coalesce(local, F.col("_carry"), F.lit(False))
-    body = F.regexp_replace(F.regexp_replace(F.trim(F.col(text)), r'^"', ""), r'"$', "")
+    body = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col(text), STRIP, ""), r'^"', ""), r'"$', "")
     chunk = (F.when(k == "reasoning", F.concat(F.lit("\n- "), body))
               .when(k == "tool_call", F.concat(F.lit("\n- Calling tool t"), F.col(seq).cast("string"),
                                                F.when(F.col(no_heartbeat), F.lit(" *without heartbeat*"))
@@ -258,13 +260,20 @@ def event_search(events: DataFrame, event_id: str | None = None, query: str | No
     return top.withColumn("pos", F.row_number().over(Window.orderBy(key, F.col(id_col))))
 
 
+_ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.]\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?)?$"
+
+
+def iso_timestamp(text: Column) -> Column:
+    """ISO-8601 date, or date and time ("T" or a space; seconds, fraction and
+    offset optional; naive = UTC), else null."""
+    full = F.regexp_replace(text, r"^(\S{10})[T ](\d{2}:\d{2})(?=$|Z|[+-])", "$1T$2:00")
+    return F.when(text.rlike(_ISO), full.try_cast("timestamp"))
+
+
 def normalize_bound(text: Column | None = None, date: Column | None = None, end: bool = False) -> Column:
     """#88: text (ISO, trailing Z or offset; naive = UTC) or date -> UTC
     timestamp; a date as an end bound is the last microsecond of the day."""
     if text is not None:
-        t = F.regexp_replace(text, "Z$", "+00:00")
-        return F.coalesce(F.try_to_timestamp(t, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")),
-                          F.try_to_timestamp(t, F.lit("yyyy-MM-dd'T'HH:mm:ss")),
-                          F.try_to_timestamp(t, F.lit("yyyy-MM-dd")))
+        return iso_timestamp(text)
     ts = date.cast("timestamp")
     return ts + F.expr("INTERVAL '23:59:59.999999' HOUR TO SECOND") if end else ts

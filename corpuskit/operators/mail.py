@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuskit.operators.activity import iso_timestamp
+
 # --- fixed values ------------------------------------------------------------
 EMAIL_RE = r"[\w\.-]+@[\w\.-]+"
 TZ_NAME_TAIL = r"\s*\([A-Z]+\)$"
@@ -143,10 +145,7 @@ def mail_condition(as_of: str, sender: str | None = None, recipient: str | None
 
 def parse_iso(c: Column) -> Column:
     """ISO-8601 text; trailing Z = UTC; naive = UTC; unparsable -> null."""
-    t = F.regexp_replace(c, "Z$", "+00:00")
-    return F.coalesce(F.try_to_timestamp(t, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")),
-                      F.try_to_timestamp(t, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")),
-                      F.try_to_timestamp(t, F.lit("yyyy-MM-dd'T'HH:mm:ss")))
+    return iso_timestamp(c)
 
 
 EVENT_SCHEMA = (

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.utils import AnalysisException
 
 # --- fixed values: the chunk store schema ------------------------------------
 STORE_SCHEMA = T.StructType([
@@ -53,10 +54,8 @@ def write_store(chunks: DataFrame, path: str, n_buckets: int = FILE_BUCKETS) ->
     The caller passes the already merged rows of the touched buckets (see
     ``replace_by_filename``); other buckets on disk stay untouched.
     """
-    spark = chunks.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     (conform(chunks).withColumn("file_bucket", file_bucket("source_filename", n_buckets))
-     .write.mode("overwrite").partitionBy("file_bucket").parquet(path))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file_bucket").parquet(path))
 
 
 def ingest_summary(files: DataFrame, new: DataFrame, old: DataFrame, ingested_at: str,
@@ -86,9 +85,11 @@ def replace_files(spark, path: str, new_chunks: DataFrame, n_buckets: int = FILE
     touched = [r[0] for r in new.select("file_bucket").distinct().collect()]   # <= n_buckets values
     try:
         old = spark.read.parquet(path).filter(F.col("file_bucket").isin(touched))
-    except Exception:  # noqa: BLE001 - first write: no store yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # a store that cannot be read is not an empty one
+            raise
         old = None
     merged = new if old is None else replace_by_filename(old, new)
     merged = materialize(merged.select(*[f.name for f in STORE_SCHEMA.fields], "file_bucket"))
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    merged.write.mode("overwrite").partitionBy("file_bucket").parquet(path)
+    (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("file_bucket").parquet(path))

@@ -54,7 +54,7 @@ def extract_result(urls: DataFrame, docs: DataFrame, url: str = "url", seq: str
                    content: str = "content") -> DataFrame:
     """#70: per URL the ordered contents of its documents; none -> a problem
     record whose status is the text '404'."""
-    j = urls.join(docs, url, "left")
+    j = urls.select(url).distinct().join(docs, url, "left")  # a URL listed twice is extracted once
     g = j.groupBy(url).agg(
         F.sort_array(F.collect_list(F.when(F.col(seq).isNotNull(), F.struct(F.col(seq).alias("seq"),
                                                                               F.col(content).alias("content")))))

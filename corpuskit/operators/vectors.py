@@ -39,17 +39,15 @@ def embed_hashed(df: DataFrame, text_col: str, out_col: str = "embedding", dim:
 
 def embed_with(df: DataFrame, key: str, text_col: str, fn: Callable[[list[str]], list[list[float]]],
                out_schema: str, batch: int = EMBED_BATCH) -> DataFrame:
-    """#33 pluggable: ``fn(texts) -> vectors`` per Arrow batch of ``batch`` rows.
+    """#33 pluggable: ``fn(texts) -> vectors`` per call of at most ``batch`` rows.
 
     A failed call fails the task (and Spark retries it); rows keep their key.
     """
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
-
     def run(it):
         for pdf in it:
-            vecs = fn(pdf[text_col].tolist())
-            yield pd.DataFrame({key: pdf[key], "embedding": vecs})
+            for at in range(0, len(pdf), batch):  # calls of bounded size, whatever the Arrow batch
+                part = pdf.iloc[at:at + batch]
+                yield pd.DataFrame({key: part[key].to_numpy(), "embedding": fn(part[text_col].tolist())})
     return df.select(key, text_col).mapInPandas(run, out_schema)
 
 
@@ -59,7 +57,7 @@ def _unit(df: DataFrame, vec: str) -> DataFrame:
 
 
 def vector_topk_approx(items: DataFrame, queries: DataFrame, key: str, vec: str, qid: str, qvec: str,
-                       k: int = 5, min_cosine: float = 0.0, bucket_length: float = 1.0,
+                       k: int = 5, min_cosine: float | None = None, bucket_length: float = 1.0,
                        tables: int = 4, seed: int = 7) -> DataFrame:
     """#38: approximate top-k by cosine via an LSH similarity join.
 
@@ -72,7 +70,8 @@ def vector_topk_approx(items: DataFrame, queries: DataFrame, key: str, vec: str,
     lsh = BucketedRandomProjectionLSH(inputCol="_u", outputCol="_h", bucketLength=bucket_length,
                                       numHashTables=tables, seed=seed)
     model = lsh.fit(it)
-    thr = math.sqrt(max(0.0, 2.0 - 2.0 * min_cosine)) + 1e-9
+    # without a floor every pair of a shared bucket counts (unit vectors: distance at most 2)
+    thr = math.sqrt(max(0.0, 2.0 - 2.0 * (-1.0 if min_cosine is None else min_cosine))) + 1e-9
     j = model.approxSimilarityJoin(qs, it, thr, distCol="_d")
     pairs = j.select(F.col("datasetA._q").alias(qid), F.col(f"datasetB.{key}").alias(key),
                      (1.0 - F.col("_d") * F.col("_d") / 2.0).alias("score"))

@@ -14,9 +14,11 @@ TIME_RANGES = {"day": "1 DAY", "week": "7 DAY", "month": "1 MONTH", "year": "1 Y
 # -----------------------------------------------------------------------------
 
 
-def hit_id(url: Column, content: Column) -> Column:
-    """Document id of a hit: same URL and same text = same document."""
-    return F.sha2(F.concat(url, F.lit("\u0001"), content), 256)
+def hit_id(url: Column, content: Column, provider: Column, rank: Column) -> Column:
+    """Document id of a hit: same URL and same text = same document. A hit
+    without text is a document of its own (by provider and rank)."""
+    own = F.concat(F.lit("\u0002"), provider, F.lit(":"), rank.cast("string"))
+    return F.sha2(F.concat(F.coalesce(url, F.lit("\u0002")), F.lit("\u0001"), F.coalesce(content, own)), 256)
 
 
 def fuse_sources(hits: DataFrame, provider_order: dict[str, int], qid: str = "query_id") -> DataFrame:
@@ -26,7 +28,7 @@ def fuse_sources(hits: DataFrame, provider_order: dict[str, int], qid: str = "qu
     Both windows are bounded by a query's hit list (providers x results).
     """
     pidx = F.create_map(*[F.lit(x) for kv in provider_order.items() for x in kv])[F.col("provider")]
-    h = hits.withColumn("hit_id", hit_id(F.col("url"), F.col("content"))).withColumn("_p", pidx)
+    h = hits.withColumn("hit_id", hit_id(F.col("url"), F.col("content"), F.col("provider"), F.col("rank"))).withColumn("_p", pidx)
     order = [F.col("score").desc_nulls_last(), F.col("_p"), F.col("rank")]
     best = (h.withColumn("_rn", F.row_number().over(Window.partitionBy(qid, "hit_id").orderBy(*order)))
              .filter("_rn = 1"))

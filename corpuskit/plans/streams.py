@@ -15,15 +15,14 @@ from corpuskit.plans.sqlparts import chunks_cte_from
 from corpuskit.plans.threads import KIND
 from corpuskit.sources import fixtures as X
 from corpuskit.streaming import chat, ingest, quota, sync
-from corpuskit.streaming.common import run_available_now, scratch, write_drops
+from corpuskit.streaming.common import run_drops, scratch
 from corpuskit.tables import Tables
 
 INGESTED_AT = "2024-01-01T00:00:00+00:00"
 
 
 def _file_stream(spark, folder: str, sample: DataFrame) -> DataFrame:
-    return (spark.readStream.schema(sample.schema).option("maxFilesPerTrigger", 1)
-            .option("recursiveFileLookup", "true").parquet(folder))
+    return spark.readStream.schema(sample.schema).option("recursiveFileLookup", "true").parquet(folder)
 
 
 QUOTA_LIMIT, QUOTA_WINDOW = 3, 3600
@@ -43,11 +42,13 @@ def q_stream_quota(t: Tables) -> DataFrame:
         cond = cond & (F.col("ts") <= b) if b is not None else cond
         drops.append(ev.filter(cond))
         prev = b
-    src = write_drops(drops, scratch(spark, "quota-src"))
-    out = scratch(spark, "quota-out")
-    stream = quota.stream_quota(_file_stream(spark, src, ev), QUOTA_LIMIT, QUOTA_WINDOW)
-    run_available_now(lambda: stream.writeStream.format("parquet").option("path", out).outputMode("append"),
-                      scratch(spark, "quota-ckpt"))
+    src, out = scratch(spark, "quota-src"), scratch(spark, "quota-out")
+
+    def query():
+        stream = quota.stream_quota(_file_stream(spark, src, ev), QUOTA_LIMIT, QUOTA_WINDOW)
+        return stream.writeStream.format("parquet").option("path", out).outputMode("append")
+
+    run_drops(drops, src, query, scratch(spark, "quota-ckpt"))
     return spark.read.parquet(out)
 
 
@@ -60,11 +61,10 @@ def q_stream_sync(t: Tables) -> DataFrame:
     spark = t.spark
     it = X.items(t).withColumn("version", F.col("version") + 1)
     drops = [it.filter(F.col("version") == v) for v in range(1, 6)]
-    src = write_drops(drops, scratch(spark, "sync-src"))
+    src = scratch(spark, "sync-src")
     log, pos = scratch(spark, "sync-log"), scratch(spark, "sync-pos")
     fn = sync.sync_batch_fn(log, pos)
-    stream = _file_stream(spark, src, it)
-    run_available_now(lambda: stream.writeStream.foreachBatch(fn), scratch(spark, "sync-ckpt"))
+    run_drops(drops, src, lambda: _file_stream(spark, src, it).writeStream.foreachBatch(fn), scratch(spark, "sync-ckpt"))
     return sync.synced_state(spark, log).select("item_key", "version")
 
 
@@ -84,11 +84,10 @@ def q_stream_ingest(t: Tables) -> DataFrame:
     d = t.documents.select("doc_id", "source", "text")
     drops = [d.filter(F.col("doc_id") % 3 == r).withColumn("seq", F.lit(r)) for r in range(3)]
     drops.append(d.filter(F.col("doc_id") % 3 == 0).withColumn("text", F.expr(_REVISED)).withColumn("seq", F.lit(3)))
-    src = write_drops(drops, scratch(spark, "ingest-src"))
-    log = scratch(spark, "ingest-log")
-    stream = _file_stream(spark, src, drops[0])
-    run_available_now(lambda: stream.writeStream.foreachBatch(ingest.ingest_batch_fn(log, INGESTED_AT)),
-                      scratch(spark, "ingest-ckpt"))
+    src, log = scratch(spark, "ingest-src"), scratch(spark, "ingest-log")
+    fn = ingest.ingest_batch_fn(log, INGESTED_AT)
+    run_drops(drops, src, lambda: _file_stream(spark, src, drops[0]).writeStream.foreachBatch(fn),
+              scratch(spark, "ingest-ckpt"))
     store = ingest.store_state(spark, log)
     return (store.groupBy("source_filename")
             .agg(F.count(F.lit(1)).alias("n_chunks"), F.max("total_chunks").cast("long").alias("total_chunks"),
@@ -112,17 +111,19 @@ c AS (SELECT *, CASE kind
 SELECT conv_id, '<think>' || coalesce(string_agg(chunk, '' ORDER BY turn) FILTER (WHERE kind <> 'user'), '') AS reply
 FROM c GROUP BY conv_id""")
 def q_stream_chat(t: Tables) -> DataFrame:
-    """#101: agent message chunks arrive in 3 drops (by turn); the fold's last
-    output per conversation is the full reply."""
+    """#101: agent message chunks arrive in 3 drops (by turn); the fold's
+    parts of a conversation, in order, are the full reply."""
     spark = t.spark
     m = t.conversations.select("conv_id", "turn", "text", F.expr(KIND).alias("kind"),
                                (F.length("text") % 2 == 0).alias("no_heartbeat"))
     drops = [m.filter(F.col("turn") < 2), m.filter((F.col("turn") >= 2) & (F.col("turn") < 4)),
              m.filter(F.col("turn") >= 4)]
-    src = write_drops(drops, scratch(spark, "chat-src"))
-    out = scratch(spark, "chat-out")
-    stream = chat.stream_chat(_file_stream(spark, src, m))
-    run_available_now(lambda: stream.writeStream.format("parquet").option("path", out).outputMode("append"),
-                      scratch(spark, "chat-ckpt"))
-    res = spark.read.parquet(out)
-    return res.groupBy("conv_id").agg(F.max_by("reply", "turn").alias("reply"))
+    src, out = scratch(spark, "chat-src"), scratch(spark, "chat-out")
+
+    def query():
+        stream = chat.stream_chat(_file_stream(spark, src, m))
+        return stream.writeStream.format("parquet").option("path", out).outputMode("append")
+
+    run_drops(drops, src, query, scratch(spark, "chat-ckpt"))
+    return spark.read.parquet(out).groupBy("conv_id").agg(F.concat(
+        F.lit("<think>"), F.expr("listagg(part, '') WITHIN GROUP (ORDER BY turn)")).alias("reply"))

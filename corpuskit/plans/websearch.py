@@ -116,7 +116,7 @@ _PIDX = "CASE provider " + " ".join(f"WHEN '{p}' THEN {i}" for i, p in enumerate
 
 @register("fuse_sources", sql=f"""
 WITH {hits_sql()},
-k AS (SELECT *, sha256(url || chr(1) || content) AS hit_id, {_PIDX} AS pidx FROM hits),
+k AS (SELECT *, sha256(coalesce(url, chr(2)) || chr(1) || coalesce(content, chr(2) || provider || ':' || rank)) AS hit_id, {_PIDX} AS pidx FROM hits),
 b AS (SELECT *, row_number() OVER (PARTITION BY query_id, hit_id ORDER BY score DESC NULLS LAST, pidx, rank) AS rn FROM k),
 f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, pidx, rank) AS pos
       FROM b WHERE rn = 1)

@@ -1,8 +1,8 @@
 """#101 stream_chat: incremental fold of agent message chunks into a reply.
 
-State per conversation: the reply so far and whether ``</think>`` is
-pending (same rules as #97's stream view). Every incoming row emits the
-reply so far, so the last row of a conversation carries the full reply.
+State per conversation: whether ``</think>`` is pending (same rules as #97's
+stream view). Every incoming row emits the part it adds, so output grows with
+the input; the parts in turn order, after ``<think>``, are the reply.
 """
 
 from __future__ import annotations
@@ -13,39 +13,41 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-OUT_SCHEMA = "conv_id long, turn long, reply string"
-STATE_SCHEMA = "reply string, pending boolean"
+OUT_SCHEMA = "conv_id long, turn long, part string"
+STATE_SCHEMA = "pending boolean"
 
 
 def fold(rows: list[tuple], reply: str, pending: bool):
-    """rows: (turn, kind, text, no_heartbeat) sorted by turn."""
+    """rows: (turn, kind, text, no_heartbeat) sorted by turn; returns the parts
+    (turn, text), the reply with them, and the pending flag."""
     out = []
     for turn, kind, text, nohb in rows:
+        part = ""
         if kind == "reasoning":
             t = text.strip()
             t = t[1:] if t.startswith('"') else t
             t = t[:-1] if t.endswith('"') else t
-            reply += "\n- " + t
+            part = "\n- " + t
             pending = True
         elif kind == "tool_call":
-            reply += f"\n- Calling tool t{turn}" + (" *without heartbeat*" if nohb else "") + "..."
+            part = f"\n- Calling tool t{turn}" + (" *without heartbeat*" if nohb else "") + "..."
             pending = bool(nohb)
         elif kind == "tool_return":
-            reply += f" success, returned {len(text)} characters."
+            part = f" success, returned {len(text)} characters."
         elif kind == "assistant":
-            reply += ("</think>" if pending else "") + text
+            part = ("</think>" if pending else "") + text
             pending = False
-        out.append((turn, reply))
-    return out, reply, pending
+        out.append((turn, part))
+    return out, reply + "".join(p for _, p in out), pending
 
 
 def _fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    reply, pending = state.get if state.exists else ("<think>", False)
+    (pending,) = state.get if state.exists else (False,)
     batch = pd.concat(list(pdfs), ignore_index=True).sort_values("turn", kind="mergesort")
     rows = list(zip(batch["turn"], batch["kind"], batch["text"], batch["no_heartbeat"]))
-    out, reply, pending = fold(rows, reply, pending)
-    state.update((reply, bool(pending)))
-    yield pd.DataFrame({"conv_id": key[0], "turn": [t for t, _ in out], "reply": [r for _, r in out]})
+    out, _, pending = fold(rows, "", pending)
+    state.update((bool(pending),))
+    yield pd.DataFrame({"conv_id": key[0], "turn": [t for t, _ in out], "part": [p for _, p in out]})
 
 
 def stream_chat(msgs: DataFrame) -> DataFrame:

@@ -17,13 +17,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def write_drops(drops: list[DataFrame], folder: str) -> str:
-    """Write each DataFrame as its own file drop (``folder/drop=<i>``), in
-    order, so a file stream with ``maxFilesPerTrigger`` sees them as
-    successive micro-batches."""
+def run_drops(drops: list[DataFrame], folder: str, query_builder, checkpoint: str) -> None:
+    """Feed drops to a file stream one after another.
+
+    Each drop (``folder/drop=<i>``) is written by all its tasks, in as many
+    files as it has partitions, and then read as one micro-batch: the query is
+    restarted from its checkpoint for each drop.
+    """
     for i, d in enumerate(drops):
-        d.coalesce(1).write.mode("overwrite").parquet(f"{folder}/drop={i:04d}")
-    return folder
+        d.write.mode("overwrite").parquet(f"{folder}/drop={i:04d}")
+        run_available_now(query_builder, checkpoint)
 
 
 def run_available_now(query_builder, checkpoint: str) -> None:

@@ -17,18 +17,22 @@ from pyspark.sql.utils import AnalysisException
 from corpuskit.operators.items import top_level
 
 
-def _position(spark: SparkSession, pos_dir: str) -> int:
+def _position(spark: SparkSession, pos_dir: str, epoch_id: int) -> int:
+    """Position after the epochs before ``epoch_id``: a replayed epoch does not
+    see what its first run wrote."""
     try:
-        v = spark.read.parquet(pos_dir).agg(F.max("position")).first()[0]
-    except AnalysisException:
+        seen = spark.read.parquet(pos_dir)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return 0
-    return int(v or 0)
+    return int(seen.filter(F.col("epoch") < epoch_id).agg(F.max("position")).first()[0] or 0)
 
 
 def sync_batch_fn(log_dir: str, pos_dir: str):
     def fn(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        pos = _position(spark, pos_dir)
+        pos = _position(spark, pos_dir, epoch_id)
         chosen = top_level(batch) if pos == 0 else batch.filter(F.col("version") > pos)
         chosen.write.mode("overwrite").parquet(f"{log_dir}/epoch={epoch_id}")
         (batch.agg(F.coalesce(F.max("version"), F.lit(pos)).alias("position"))

@@ -30,3 +30,38 @@ def test_keyset_paging_matches_offset(spark):
     second = [r.k for r in web.page_after(df, "k", first[-1], 10).collect()]
     offset = [r.k for r in web.page_results(df, ["k"], 10, 2).collect()]
     assert first == list(range(10)) and second == offset == list(range(10, 20))
+
+
+def test_hits_without_text_stay_apart(spark):
+    from corpuskit.operators.web import fuse_sources
+    rows = [(1, "p", 1, "u", None, 0.5), (1, "p", 2, "u", None, 0.4), (1, "q", 1, None, None, 0.3),
+            (1, "p", 3, "v", "same", 0.2), (1, "q", 2, "v", "same", 0.9)]
+    df = spark.createDataFrame(rows, "query_id int, provider string, rank int, url string, content string, score double")
+    got = fuse_sources(df, {"p": 0, "q": 1}).orderBy("pos").collect()
+    assert [(r.provider, r.rank) for r in got] == [("q", 2), ("p", 1), ("p", 2), ("q", 1)]
+
+
+def test_iso_bounds(spark):
+    from pyspark.sql import functions as F
+    from corpuskit.operators.activity import normalize_bound
+    texts = {"2024-01-01T10:00:00.500Z": "10:00:00.5", "2024-01-01T10:00:00.500000+00:00": "10:00:00.5",
+             "2024-01-01 10:00:00": "10:00:00", "2024-01-01T10:00": "10:00:00", "2024-01-01T10:00+02:00": "08:00:00",
+             "2024-01-01": "00:00:00", "2024": None, "soon": None}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: r.v for r in df.select("t", normalize_bound(F.col("t")).cast("string").alias("v")).collect()}
+    assert got == {t: v and f"2024-01-01 {v}" for t, v in texts.items()}
+
+
+def test_unreadable_store_is_not_an_empty_one(spark, tmp_path):
+    import pytest
+    from corpuskit.operators.store import replace_files
+    path = str(tmp_path / "store")
+    chunks = lambda name: spark.createDataFrame([(name, "text", 0)], "source_filename string, content string, chunk_index int")
+    replace_files(spark, path, chunks("x"), 1)
+    folder = tmp_path / "store" / "file_bucket=0"
+    (folder / "part-99999-broken.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception):
+        replace_files(spark, path, chunks("y"), 1)
+    (folder / "part-99999-broken.parquet").write_bytes(b"")
+    kept = [f for f in folder.iterdir() if f.name.startswith("part-") and f.stat().st_size]
+    assert kept and spark.read.parquet(*map(str, kept)).select("source_filename").collect()[0][0] == "x"

@@ -34,7 +34,7 @@ from corpuskit.llm.common import map_rows, stored
 SIZE = 4096
 END = 2
 #: Words, and parts of words, whose ids a task remembers.
-REMEMBERED = 250_000
+REMEMBERED = 350_000
 
 
 def token_ids(path: str | None = None) -> Callable[[str | None], bytes]:

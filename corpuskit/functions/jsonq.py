@@ -4,7 +4,8 @@ A query is a dict ``{field: value}`` or a list of such dicts (AND). Fields
 are paths under ``data``; ``a.b`` means "any element of ``data.a`` whose
 ``b`` matches" (only the first two parts are used). Values:
 
-* primitive -> typed equality (text '5' never equals number 5; null never matches)
+* primitive -> typed equality (text '5' never equals number 5; true equals 1 and
+  false equals 0; null never matches)
 * ``{"$ne": v}`` -> typed inequality, a missing / null field never matches
 * ``{"$exists": True|False}`` -> present and not JSON null / missing or null
 * ``$ne`` wins when both are given; a non-bool ``$exists`` skips the
@@ -51,27 +52,16 @@ def conditions(query: Any) -> list[tuple[str, str, Any]] | None:
     return out or None
 
 
-def _kind(v: Any) -> str:
-    if isinstance(v, bool):
-        return "BOOLEAN"
-    if isinstance(v, (int, float)):
-        return "NUMBER"
-    return "STRING"
-
-
 def _typed_cmp(var: Column, value: Any, op: str) -> Column:
     """Compare a VARIANT with a Python literal, types respected."""
     if value is None:
         return F.lit(None).cast("boolean")
     t = F.schema_of_variant(var)
-    k = _kind(value)
-    if k == "BOOLEAN":
-        same_type = t == "BOOLEAN"
-        got = F.try_variant_get(var, "$", "boolean")
-    elif k == "NUMBER":
-        same_type = t.startswith("BIGINT") | t.startswith("INT") | t.startswith("DECIMAL") | \
+    if isinstance(value, (int, float)):     # booleans are the numbers 1 and 0
+        same_type = (t == "BOOLEAN") | t.startswith("BIGINT") | t.startswith("INT") | t.startswith("DECIMAL") | \
             t.startswith("DOUBLE") | t.startswith("FLOAT") | t.startswith("SMALLINT") | t.startswith("TINYINT")
-        got = F.try_variant_get(var, "$", "double")
+        got = F.when(t == "BOOLEAN", F.try_variant_get(var, "$", "boolean").cast("int").cast("double")) \
+            .otherwise(F.try_variant_get(var, "$", "double"))
         value = float(value)
     else:
         same_type = t == "STRING"

@@ -157,10 +157,34 @@ def preferred_track(tracks: DataFrame, key: str, lang: str, seq: str, preferred:
                                    .alias("_t")).select(key, "_t.*")
 
 
-def sort_answers(answers: DataFrame, question: str, score: str, seq: str) -> DataFrame:
-    """#63: by score desc (missing = 0), stable on the original order."""
-    w = Window.partitionBy(question).orderBy(F.coalesce(F.col(score), F.lit(0)).desc(), F.col(seq))
-    return answers.withColumn("answer_pos", F.row_number().over(w))
+def numbered(df: DataFrame, group: list[str], blocks: list[Column], order: list[str], out: str = "pos") -> DataFrame:
+    """Rows of each group numbered from 1 (``out``, long) by ``blocks``, then ``order``.
+
+    A group may hold most rows, so no window holds a whole group: rows are
+    numbered inside (group, block) and each block starts after the rows of the
+    blocks before it, counted by a partial aggregate. Null blocks come first.
+    """
+    names = [f"_b{i}" for i in range(len(blocks))]
+    b = df.select("*", *[c.alias(n) for c, n in zip(blocks, names)])
+    sizes = b.groupBy(*group, *names).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*[F.col(c).alias(f"_k_{c}") for c in [*group, *names]],
+                          F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    same = None
+    for c in [*group, *names]:
+        eq = F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+        same = eq if same is None else same & eq
+    w = Window.partitionBy(*group, *names).orderBy(*order)
+    return (b.join(starts, same).withColumn(out, F.col("_start") + F.row_number().over(w))
+             .select(*df.columns, out))
+
+
+def sort_answers(answers: DataFrame, question: str, score: str, seq: str, block: int = 1024) -> DataFrame:
+    """#63: by score desc (missing = 0), stable on the original order
+    (``answer_pos``, int). Works in blocks of one score and ``block`` places."""
+    r = numbered(answers, [question], [-F.coalesce(F.col(score), F.lit(0)), F.floor(F.col(seq) / block)], [seq],
+                 "answer_pos")
+    return r.withColumn("answer_pos", F.col("answer_pos").cast("int"))
 
 
 def thread_filter(threads: DataFrame, tags: list[str], limit: int, min_score: float, order: list[Column],

@@ -72,20 +72,30 @@ def attach_children(items: DataFrame) -> DataFrame:
 
 def lookup_url_then_doi(urls: DataFrame, items: DataFrame, url: str = "url") -> DataFrame:
     """#52: per URL the first top-level non-attachment item by exact URL, else
-    by DOI (ties: smallest item_key). ``min`` over a struct is a partial
-    aggregate, so a URL repeated many times never forms one big group."""
-    top = top_level(items).filter(F.coalesce(_data("itemType"), F.lit("")) != "attachment").select(
-        "item_key", _data("url").alias("_iurl"), _data("DOI").alias("_doi"))
-    by_url = urls.join(top, F.col(url) == F.col("_iurl")).select(url, F.lit(1).alias("prio"), "item_key")
-    by_doi = (urls.withColumn("_d", extract_doi(F.col(url)))
-              .join(top, F.col("_d") == F.col("_doi")).select(url, F.lit(2).alias("prio"), "item_key"))
-    best = by_url.unionByName(by_doi).groupBy(url).agg(F.min(F.struct("prio", "item_key")).alias("_b"))
+    by DOI (ties: smallest item_key).
+
+    Both kinds of key are joined at once, so the items are parsed and shuffled
+    once. ``min`` over a struct is a partial aggregate, so a URL repeated many
+    times never forms one big group.
+    """
+    def keyed(df: DataFrame, first: str, by_url, by_doi) -> DataFrame:
+        pair = F.array(F.struct(F.lit(1).alias("prio"), by_url.alias("_k")), F.struct(F.lit(2).alias("prio"), by_doi.alias("_k")))
+        return df.select(first, F.inline(pair)).filter(F.col("_k").isNotNull())
+
+    top = top_level(items).filter(F.coalesce(_data("itemType"), F.lit("")) != "attachment")
+    have = keyed(top, "item_key", _data("url"), _data("DOI"))
+    want = keyed(urls.select(url), url, F.col(url), extract_doi(F.col(url)))
+    best = want.join(have, ["prio", "_k"]).groupBy(url).agg(F.min(F.struct("prio", "item_key")).alias("_b"))
     return best.select(url, F.col("_b.item_key").alias("item_key"),
                        F.when(F.col("_b.prio") == 1, F.lit("url")).otherwise(F.lit("doi")).alias("matched_by"))
 
 
+def held_urls(urls: DataFrame, items: DataFrame, url: str = "url") -> DataFrame:
+    """The distinct URLs that the library holds, with ``held`` = true: a
+    top-level item other than an attachment has the URL or its DOI."""
+    return lookup_url_then_doi(urls.select(url).distinct(), items, url).select(url, F.lit(True).alias("held"))
+
+
 def held(urls: DataFrame, items: DataFrame, url: str = "url") -> DataFrame:
-    """Flag URLs the library holds (item ``data.url`` equal)."""
-    h = (items.select(_data("url").alias(url)).filter(F.col(url).isNotNull()).distinct()
-         .withColumn("held", F.lit(True)))
-    return urls.join(h, url, "left").withColumn("held", F.coalesce("held", F.lit(False)))
+    """#56: flag every row whose URL the library holds (by URL or DOI)."""
+    return urls.join(held_urls(urls, items, url), url, "left").withColumn("held", F.coalesce("held", F.lit(False)))

@@ -15,7 +15,7 @@ from corpuskit.functions import urls as U
 from corpuskit.functions.mime import mime_of
 from corpuskit.operators import items as I
 from corpuskit.plans.registry import register
-from corpuskit.plans.sqlparts import group_sql, sql_str
+from corpuskit.plans.sqlparts import group_sql, held_cte, sql_str
 from corpuskit.sources import fixtures as X
 from corpuskit.tables import Tables
 
@@ -36,6 +36,10 @@ FIELD_QUERIES: dict[str, Any] = {
     "empty_list": [],
     "not_a_dict": ["status"],
     "null_value": {"url": None},
+    "true_eq": {"inLibrary": True},
+    "false_is_zero": {"inLibrary": 0},
+    "one_is_true": {"priority": True},
+    "ne_true": {"inLibrary": {"$ne": 1}},
 }
 ARRAY_QUERIES: dict[str, Any] = {
     "creator_last": {"creators.lastName": "C7"},
@@ -55,21 +59,18 @@ def _leaf_sql(j: str, op: str, value: Any) -> str:
         return present if value else f"NOT coalesce({present}, false)"
     if value is None:
         return "false"
-    if isinstance(value, bool):
-        same = f"json_type({j}) = 'BOOLEAN'"
-        got = f"json_extract_string({j}, '$')"
-        lit = "'true'" if value else "'false'"
-    elif isinstance(value, (int, float)):
-        same = f"json_type({j}) IN ('BIGINT', 'UBIGINT', 'DOUBLE', 'INTEGER')"
-        got = f"TRY_CAST(json_extract_string({j}, '$') AS DOUBLE)"
+    if isinstance(value, (int, float)):
+        same = f"json_type({j}) IN ('BOOLEAN', 'BIGINT', 'UBIGINT', 'DOUBLE', 'INTEGER')"
+        got = (f"CASE json_extract_string({j}, '$') WHEN 'true' THEN 1.0 WHEN 'false' THEN 0.0 "
+               f"ELSE TRY_CAST(json_extract_string({j}, '$') AS DOUBLE) END")
         lit = repr(float(value))
     else:
         same = f"json_type({j}) = 'VARCHAR'"
         got = f"json_extract_string({j}, '$')"
         lit = sql_str(value)
     if op == "eq":
-        return f"coalesce({present} AND {same} AND {got} = {lit}, false)"
-    return f"coalesce({present} AND (NOT ({same}) OR {got} <> {lit}), false)"
+        return f"coalesce({present} AND {same} AND ({got}) = {lit}, false)"
+    return f"coalesce({present} AND (NOT ({same}) OR ({got}) <> {lit}), false)"
 
 
 def _cond_sql(field: str, op: str, value: Any, doc: str = "item_data") -> str:
@@ -209,7 +210,7 @@ def q_attach_children(t: Tables) -> DataFrame:
 
 
 LOOKUP_URL = ("CASE WHEN o_orderkey % 2 = 0 THEN 'https://arxiv.org/abs/' || CAST(o_orderkey AS STRING) "
-              "ELSE 'https://doi.org/10.' || CAST(1000 + o_custkey % 100 AS STRING) || '/o' || CAST(o_orderkey AS STRING) END")
+              "ELSE 'https://doi.org/10.' || CAST(1000 + o_orderkey % 100 AS STRING) || '/o' || CAST(o_orderkey AS STRING) END")
 
 
 @register("lookup_url_then_doi", sql=f"""
@@ -234,13 +235,11 @@ def q_lookup_url_then_doi(t: Tables) -> DataFrame:
 
 
 @register("academic_match", sql=f"""
-WITH {X.url_cases_sql()}, {ITEMS},
-h AS (SELECT DISTINCT json_extract_string(item_data, '$.data.url') AS url FROM items
-      WHERE json_extract_string(item_data, '$.data.url') IS NOT NULL)
-SELECT c.page_id, c.kind, c.url, h.url IS NOT NULL AS held FROM url_cases c LEFT JOIN h USING (url)
+WITH {X.url_cases_sql()}, {ITEMS}, {held_cte('url_cases')}
+SELECT c.page_id, c.kind, c.url, h.url IS NOT NULL AS held FROM url_cases c LEFT JOIN _held h USING (url)
 WHERE {' OR '.join(f"contains(c.url, {sql_str(d)})" for d in U.ACADEMIC_DOMAINS)}""")
 def q_academic_match(t: Tables) -> DataFrame:
-    """#56: URLs on academic hosts, and whether the library holds them."""
+    """#56: URLs on academic hosts, and whether the library holds them (by URL or DOI)."""
     cases = X.url_cases(t).filter(U.is_academic("url"))
     return I.held(cases, X.items(t)).select("page_id", "kind", "url", "held")
 

@@ -109,16 +109,16 @@ def q_raw_results(t: Tables) -> DataFrame:
 @register("tokenize", sql=f"""
 WITH {chunks_cte()}
 SELECT doc_id, chunk_index, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_terms,
-       array_to_string(t[1:5], ' ') AS head
+       md5(array_to_string(t, ' ')) AS tokens_md5
 FROM (SELECT doc_id, chunk_index, {tokens_sql('content')} AS t FROM chunks)""")
 def q_tokenize(t: Tables) -> DataFrame:
-    """#35: token counts per chunk."""
+    """#35: the tokens of each chunk, counted and hashed in order."""
     from corpuskit.functions.text import tokens
     c = chunk_store(t).select("doc_id", "chunk_index", tokens("content").alias("t"))
     return c.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"),
                     F.size("t").cast("long").alias("n_tokens"),
                     F.size(F.array_distinct("t")).cast("long").alias("n_terms"),
-                    F.array_join(F.slice("t", 1, 5), " ").alias("head"))
+                    F.md5(F.array_join("t", " ")).alias("tokens_md5"))
 
 
 # ----------------------------------------------------------------- vectors

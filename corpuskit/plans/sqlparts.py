@@ -6,6 +6,7 @@ standalone statement over the raw tables (no Spark output is reused).
 
 from __future__ import annotations
 
+from corpuskit.functions import urls as U
 from corpuskit.functions.text import STOP_WORDS, TOKEN_SPLIT
 from corpuskit.operators.prepare import (
     CHUNK_OVERLAP, CHUNK_WORDS, PRESPLIT_OVER, PRESPLIT_SECTION,
@@ -125,6 +126,19 @@ def group_sql(u: str, pat: str, i: int) -> str:
     return f"(CASE WHEN regexp_matches({u}, {sql_str(pat)}) THEN regexp_extract({u}, {sql_str(pat)}, {i}) END)"
 
 
+def held_cte(src: str, name: str = "_held") -> str:
+    """``<name>(url, held)``: the URLs of ``src`` that a top-level item other than
+    an attachment has as its URL or DOI (needs the CTE ``items``)."""
+    doi = f"coalesce({group_sql('url', U.DOI_URL_RE, 1)}, {group_sql('url', U.DOI_PDF_RE, 1)})"
+    return f"""_top AS (
+  SELECT json_extract_string(item_data, '$.data.url') AS iurl, json_extract_string(item_data, '$.data.DOI') AS idoi
+  FROM items WHERE coalesce(json_extract_string(item_data, '$.data.itemType'), '') <> 'attachment'
+    AND json_extract_string(item_data, '$.data.parentItem') IS NULL
+),
+{name} AS (SELECT DISTINCT url, true AS held FROM {src}
+  WHERE url IN (SELECT iurl FROM _top) OR {doi} IN (SELECT idoi FROM _top))"""
+
+
 def rx(u: str, pat: str) -> str:
     return f"regexp_matches({u}, {sql_str(pat)})"
 

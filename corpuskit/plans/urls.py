@@ -10,21 +10,15 @@ from pyspark.sql import functions as F
 
 from corpuskit.functions import mime as M
 from corpuskit.functions import urls as U
+from corpuskit.operators import items as I
+from corpuskit.operators.activity import numbered
 from corpuskit.plans.registry import register
-from corpuskit.plans.sqlparts import group_sql, rx, sql_list, sql_str
+from corpuskit.plans.sqlparts import group_sql, held_cte, rx, sql_list, sql_str
 from corpuskit.sources import fixtures as X
 from corpuskit.tables import Tables
 
 CASES = X.url_cases_sql()
-
-
-def _held_urls(t: Tables) -> DataFrame:
-    return (X.items(t).select(F.get_json_object("item_data", "$.data.url").alias("url"))
-            .filter(F.col("url").isNotNull()).distinct().withColumn("held", F.lit(True)))
-
-
-HELD_SQL = (X.items_sql() + ",\n_held AS (SELECT DISTINCT json_extract_string(item_data, '$.data.url') AS url, "
-            "true AS held FROM items WHERE json_extract_string(item_data, '$.data.url') IS NOT NULL)")
+HELD_SQL = f"{X.items_sql()}, {held_cte('url_cases')}"
 
 
 def _academic_sql(u: str) -> str:
@@ -45,8 +39,9 @@ def route_sql(u: str, held: str) -> str:
 
 
 def routed(t: Tables) -> DataFrame:
-    cases = X.url_cases(t).join(_held_urls(t), "url", "left")
-    return cases.select("page_id", "kind", "url", U.route_url("url", F.col("held")).alias("route"))
+    cases = X.url_cases(t)
+    held = I.held_urls(cases.filter(U.is_academic("url")), X.items(t))  # other hosts do not ask the library
+    return cases.join(held, "url", "left").select("page_id", "kind", "url", U.route_url("url", F.col("held")).alias("route"))
 
 
 @register("route_url", sql=f"""
@@ -76,6 +71,20 @@ def q_group_by_route(t: Tables) -> DataFrame:
                  F.max_by("url", order).alias("last_url")))
 
 
+@register("route_queues", sql=f"""
+WITH {CASES}, {HELD_SQL},
+r AS (SELECT page_id, kind, url, {route_sql('url', 'h.held')} AS route FROM url_cases LEFT JOIN _held h USING (url))
+SELECT route, row_number() OVER (PARTITION BY route ORDER BY page_id, kind) AS pos, page_id, kind, url FROM r""")
+def q_route_queues(t: Tables) -> DataFrame:
+    """#76: every URL with its place in its handler's list (input order kept).
+
+    One row a URL, so a handler's failing URL costs that row alone, and the
+    handler of most URLs is worked on by many tasks.
+    """
+    r = numbered(routed(t), ["route"], [F.floor(F.col("page_id") / 256)], ["page_id", "kind"])
+    return r.select("route", "pos", "page_id", "kind", "url")
+
+
 @register("parse_repo_url", sql=f"""
 WITH {CASES}
 SELECT page_id, kind,

@@ -26,14 +26,17 @@ def hits(t: Tables, n: int = 5) -> DataFrame:
 _BASE = f"""
 _pt AS (SELECT page_id, url, regexp_extract(html, {sql_str(TITLE_RE)}, 1) AS title, {html_to_text_sql('html')} AS text
         FROM pages),
-_r AS (SELECT _pt.*, unnest(range(0, 3)) AS r FROM _pt),
+_r AS (SELECT _pt.*, greatest(CAST(ceil(length(text) / {H.RESULTS}.0) AS BIGINT), 1) AS step,
+              unnest(range(0, {H.RESULTS})) AS r FROM _pt),
+_s AS (SELECT *, substring(text, 1 + r * step, step) AS piece FROM _r),
 _f AS (
-  SELECT page_id AS query_id, page_id, CAST(r AS BIGINT) AS rank, text, title || ' #' || CAST(r AS VARCHAR) AS title,
-         CASE r WHEN 0 THEN url WHEN 1 THEN (CASE WHEN page_id % 4 = 1 THEN '' ELSE url || '#alt' END)
-                ELSE 'https://mirror.example.org/p/' || CAST(page_id AS VARCHAR) END AS url,
-         CASE r WHEN 0 THEN substring(text, 1, 200) WHEN 1 THEN substring(text, 201, 200)
-                ELSE (CASE WHEN page_id % 5 = 0 THEN '' ELSE substring(text, 401, 200) END) END AS content
-  FROM _r
+  SELECT page_id AS query_id, page_id, CAST(r AS BIGINT) AS rank, piece, title || ' #' || CAST(r AS VARCHAR) AS title,
+         CASE WHEN r = 0 THEN url
+              WHEN r % 3 = 1 THEN (CASE WHEN page_id % 4 = 1 THEN '' ELSE url || '#alt' || CAST(r AS VARCHAR) END)
+              WHEN r % 3 = 2 THEN 'https://mirror.example.org/p/' || CAST(page_id AS VARCHAR) || '/' || CAST(r AS VARCHAR)
+              ELSE url || '#part' || CAST(r AS VARCHAR) END AS url,
+         CASE WHEN r % 3 = 2 AND page_id % 5 = 0 THEN '' ELSE piece END AS content
+  FROM _s
 )"""
 
 
@@ -46,10 +49,10 @@ def hits_sql(n: int = 5, name: str = "hits", raw: bool = False, base: bool = Tru
     req = "" if raw else "AND url IS NOT NULL AND url <> '' AND content IS NOT NULL AND content <> ''"
     meta_s = ("'category=general;engine=e' || CAST(page_id % 3 AS VARCHAR) || "
               "CASE WHEN page_id % 2 = 0 THEN ';language=en' ELSE '' END || "
-              "';score=' || CAST((3 - rank) * 1.5 AS VARCHAR) || ';title=' || title || ';url=' || url")
+              f"';score=' || CAST(({H.RESULTS} - rank) * 1.5 AS VARCHAR) || ';title=' || title || ';url=' || url")
     meta_tu = "'title=' || title || ';url=' || url"
     exa_text = "CASE WHEN page_id % 3 = 0 THEN NULL ELSE content END"
-    exa_content = (f"CASE WHEN ({exa_text}) IS NULL OR ({exa_text}) = '' THEN substring(text, 1 + 50 * rank, 120) "
+    exa_content = (f"CASE WHEN ({exa_text}) IS NULL OR ({exa_text}) = '' THEN 'Summary: ' || piece "
                    f"ELSE ({exa_text}) END")
     return f"""{_BASE + ',' if base else ''}
 {name} AS (
@@ -62,7 +65,7 @@ def hits_sql(n: int = 5, name: str = "hits", raw: bool = False, base: bool = Tru
   UNION ALL
   SELECT query_id, 'linkup', rank, title, url, content, round(1 - 0.1 * rank, 10), {meta_tu} FROM _f
   UNION ALL
-  SELECT query_id, 'tavily', rank, title, url, content, round(0.95 - 0.15 * rank - (page_id % 5) * 0.01, 4), {meta_tu}
+  SELECT query_id, 'tavily', rank, title, url, content, round(0.95 - 0.05 * rank - (page_id % 5) * 0.01, 4), {meta_tu}
   FROM _f
 )"""
 

@@ -39,6 +39,7 @@ URL_FORMS: list[tuple[str, str]] = [
     ("doi", f"'https://doi.org/10.' || CAST(1000 + page_id AS STRING) || '/j.' || {_OWNER} || '.' || {_P} || '?via=x'"),
     ("doi_pdf", f"'https://files.example.org/pub/10.' || CAST(1000 + page_id AS STRING) || '/x' || {_P} || '.pdf'"),
     ("academic", f"'https://arxiv.org/abs/' || {_P}"),
+    ("academic_pdf", f"'https://www.nature.com/articles/10.' || CAST(1000 + page_id % 100 AS STRING) || '/o' || {_P} || '.pdf'"),
 ]
 
 
@@ -61,7 +62,7 @@ def url_cases_sql(name: str = "url_cases") -> str:
 # of the order before it. Lines of the order become a nested array.
 _ITEM_TYPE = "CASE WHEN o_orderkey % 4 = 3 THEN 'attachment' ELSE 'journalArticle' END"
 _ITEM_URL = "CASE WHEN o_orderkey % 3 = 0 THEN 'https://arxiv.org/abs/' || CAST(o_orderkey AS STRING) END"
-_ITEM_DOI = "'10.' || CAST(1000 + o_custkey % 100 AS STRING) || '/o' || CAST(o_orderkey AS STRING)"
+_ITEM_DOI = "'10.' || CAST(1000 + o_orderkey % 100 AS STRING) || '/o' || CAST(o_orderkey AS STRING)"
 _ITEM_PARENT = "CASE WHEN o_orderkey % 4 = 3 THEN 'I' || CAST(o_orderkey - 1 AS STRING) END"
 _ITEM_FILE = ("CASE WHEN o_orderkey % 4 = 3 THEN 'file' || CAST(o_orderkey AS STRING) || "
               "CASE WHEN o_orderkey % 8 = 3 THEN '.pdf' ELSE '.html' END END")
@@ -74,6 +75,7 @@ ITEM_FIELDS: list[tuple[str, str]] = [
     ("status", "o_orderstatus"),
     ("priority", "CAST(substr(o_orderpriority, 1, 1) AS INT)"),
     ("total", "o_totalprice"),
+    ("inLibrary", "o_orderkey % 2 = 0"),
     ("parentItem", _ITEM_PARENT),
     ("filename", _ITEM_FILE),
 ]

@@ -11,7 +11,7 @@ Per-provider rules (kept from the reference):
   no score; meta keys with null values removed.
 * brave: content = description, first N then the same drop; no score.
 * exa: content = text, else summary; score given.
-* linkup: score = 1 - 0.1 * index (goes negative after 11 results).
+* linkup: score = 1 - 0.1 * index (negative from the twelfth result on).
 * tavily: content and score given.
 """
 
@@ -27,15 +27,6 @@ from corpuskit.tables import Tables
 PROVIDERS = ["searxng", "brave", "exa", "linkup", "tavily"]
 SEARXNG_META_KEYS = ["title", "url", "category", "engine", "score", "language", "img_src",
                      "publishedDate", "thumbnail", "template"]
-_S = "array<struct<title:string,url:string,content:string,category:string,engine:string,score:double," \
-     "language:string,img_src:string,publishedDate:string,thumbnail:string,template:string>>"
-SCHEMAS = {
-    "searxng": f"struct<results:{_S}>",
-    "brave": "struct<web:struct<results:array<struct<title:string,url:string,description:string>>>>",
-    "exa": "struct<results:array<struct<title:string,url:string,text:string,summary:string,score:double>>>",
-    "linkup": "struct<results:array<struct<name:string,url:string,content:string>>>",
-    "tavily": "struct<results:array<struct<title:string,url:string,content:string,score:double>>>",
-}
 LINKUP_STEP = 0.1
 # -----------------------------------------------------------------------------
 
@@ -84,11 +75,6 @@ def normalize_hits(responses: DataFrame, max_results: int = 5, query_col: str =
                      h("url").alias("url"), content.alias("content"), score.alias("score"), meta.alias("meta")))
 
 
-def _meta(h, title_field: str = "title") -> Column:
-    return F.map_filter(F.create_map(F.lit("title"), h(title_field), F.lit("url"), h("url")),
-                        lambda k, v: v.isNotNull()).alias("meta")
-
-
 def first_n(df: DataFrame, n: int, rank: str = "rank") -> DataFrame:
     """#61: first N results per response (N <= 0 keeps all)."""
     return df if n <= 0 else df.filter(F.col(rank) < n)
@@ -111,44 +97,58 @@ def meta_text(m: Column) -> Column:
 
 
 # ------------------------------------------------------------ derivation
-# One response per (page, provider), three results each, from the page
-# itself: r0 = the page, r1 = an alternate URL (missing for some pages), r2 = a
-# mirror URL whose snippet is empty for some pages.
+# One response per (page, provider). Its results carry the whole page text
+# between them, dealt out in order. The first has the page's URL, the others
+# alternate (missing for some pages), mirror (without a snippet for some
+# pages) and section URLs.
+RESULTS = 12
+
 
 def page_texts(t: Tables) -> DataFrame:
     return t.pages.select("page_id", "url", html_title("html").alias("title"),
                           html_to_text("html").alias("text"))
 
 
-def _results(p: str) -> Column:
+def _pieces() -> Column:
+    """The results of a page: ``r, title, url, piece, content``."""
     pid = F.col("page_id")
-    urls = [F.col("url"),
-            F.when(pid % 4 == 1, F.lit("")).otherwise(F.concat(F.col("url"), F.lit("#alt"))),
-            F.concat(F.lit("https://mirror.example.org/p/"), pid.cast("string"))]
-    contents = [F.substring("text", 1, 200), F.substring("text", 201, 200),
-                F.when(pid % 5 == 0, F.lit("")).otherwise(F.substring("text", 401, 200))]
-    titles = [F.concat(F.col("title"), F.lit(f" #{r}")) for r in range(3)]
-    items = []
-    for r in range(3):
+    step = F.greatest(F.ceil(F.length("text") / RESULTS), F.lit(1)).cast("int")
+
+    def one(r):
+        n = r.cast("string")
+        url = (F.when(r == 0, F.col("url"))
+                .when(r % 3 == 1, F.when(pid % 4 == 1, F.lit("")).otherwise(F.concat("url", F.lit("#alt"), n)))
+                .when(r % 3 == 2, F.concat(F.lit("https://mirror.example.org/p/"), pid.cast("string"), F.lit("/"), n))
+                .otherwise(F.concat("url", F.lit("#part"), n)))
+        piece = F.substring(F.col("text"), 1 + r * step, step)
+        return F.struct(r.alias("r"), F.concat("title", F.lit(" #"), n).alias("title"), url.alias("url"),
+                        piece.alias("piece"),
+                        F.when((r % 3 == 2) & (pid % 5 == 0), F.lit("")).otherwise(piece).alias("content"))
+    return F.transform(F.sequence(F.lit(0), F.lit(RESULTS - 1)), one)
+
+
+def _body(p: str) -> Column:
+    """JSON response of provider ``p`` made from ``pieces``."""
+    pid = F.col("page_id")
+
+    def one(x):
+        title, url, content = x["title"].alias("title"), x["url"].alias("url"), x["content"]
         if p == "searxng":
-            items.append(F.struct(titles[r].alias("title"), urls[r].alias("url"), contents[r].alias("content"),
-                                  F.lit("general").alias("category"),
-                                  F.concat(F.lit("e"), (pid % 3).cast("string")).alias("engine"),
-                                  F.lit((3 - r) * 1.5).alias("score"),
-                                  F.when(pid % 2 == 0, F.lit("en")).alias("language")))
-        elif p == "brave":
-            items.append(F.struct(titles[r].alias("title"), urls[r].alias("url"), contents[r].alias("description")))
-        elif p == "exa":
-            items.append(F.struct(titles[r].alias("title"), urls[r].alias("url"),
-                                  F.when(pid % 3 == 0, F.lit(None)).otherwise(contents[r]).alias("text"),
-                                  F.substring(F.col("text"), 1 + 50 * r, 120).alias("summary"),
-                                  F.round(F.lit(1.0) / (1 + r + pid % 7), 4).alias("score")))
-        elif p == "linkup":
-            items.append(F.struct(titles[r].alias("name"), urls[r].alias("url"), contents[r].alias("content")))
-        else:
-            items.append(F.struct(titles[r].alias("title"), urls[r].alias("url"), contents[r].alias("content"),
-                                  F.round(F.lit(0.95 - 0.15 * r) - (pid % 5) * 0.01, 4).alias("score")))
-    arr = F.array(*items)
+            return F.struct(title, url, content.alias("content"), F.lit("general").alias("category"),
+                            F.concat(F.lit("e"), (pid % 3).cast("string")).alias("engine"),
+                            ((RESULTS - x["r"]) * 1.5).alias("score"),
+                            F.when(pid % 2 == 0, F.lit("en")).alias("language"))
+        if p == "brave":
+            return F.struct(title, url, content.alias("description"))
+        if p == "exa":
+            return F.struct(title, url, F.when(pid % 3 != 0, content).alias("text"),
+                            F.concat(F.lit("Summary: "), x["piece"]).alias("summary"),
+                            F.round(F.lit(1.0) / (1 + x["r"] + pid % 7), 4).alias("score"))
+        if p == "linkup":
+            return F.struct(x["title"].alias("name"), url, content.alias("content"))
+        return F.struct(title, url, content.alias("content"),
+                        F.round(0.95 - 0.05 * x["r"] - (pid % 5) * 0.01, 4).alias("score"))
+    arr = F.transform("pieces", one)
     body = F.struct(F.struct(arr.alias("results")).alias("web")) if p == "brave" else F.struct(arr.alias("results"))
     return F.to_json(body)
 
@@ -156,8 +156,8 @@ def _results(p: str) -> Column:
 def provider_responses(t: Tables) -> DataFrame:
     """``query_id (= page_id), provider, body`` for every page and provider
     (page text is derived once per page, then dealt to the five providers)."""
-    pt = page_texts(t)
-    per = F.array(*[F.struct(F.lit(p).alias("provider"), _results(p).alias("body")) for p in PROVIDERS])
+    pt = page_texts(t).select("page_id", _pieces().alias("pieces"))
+    per = F.array(*[F.struct(F.lit(p).alias("provider"), _body(p).alias("body")) for p in PROVIDERS])
     return (pt.select(F.col("page_id").alias("query_id"), F.explode(per).alias("r"))
               .select("query_id", "r.provider", "r.body"))
 

@@ -42,7 +42,7 @@ def load(spark: SparkSession, sf_dir: str, name: str, spread: bool | None = None
             target = spark.sparkContext.defaultParallelism
             if df.rdd.getNumPartitions() < target:
                 df = df.repartition(target)
-        except Exception:  # noqa: BLE001 - keep the scan as it is
+        except AttributeError:
             pass
     return df
 

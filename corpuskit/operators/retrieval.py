@@ -84,35 +84,50 @@ def query_terms(queries: DataFrame, qid: str = "query_id", qtext: str = "query",
 def bm25_scores(chunks: DataFrame, queries: DataFrame, keys: list[str],
                 text_col: str = "content", qid: str = "query_id", qtext: str = "query",
                 k1: float = BM25_K1, b: float = BM25_B,
-                stop_words: list[str] | None = None, post: DataFrame | None = None,
-                materialize_index: bool = True) -> DataFrame:
+                stop_words: list[str] | None = None) -> DataFrame:
     """BM25 score of every chunk sharing a term with a query: ``qid, keys..., bm25``.
 
-    idf = ln(1 + (N - df + 0.5) / (df + 0.5)); N and avgdl over all chunks.
-    The postings (the inverted index) are read by four branches (N, avgdl,
-    df, scoring); unless given, they are built once and checkpointed to the
-    shared checkpoint folder instead of being re-derived per branch.
+    For chunk rows without a stored index: the postings are read by four
+    branches (N, avgdl, df, scoring), so they are checkpointed once.
     """
-    if post is not None:
-        p = post
-    else:
-        p = postings(chunks, keys, text_col, stop_words)
-        if materialize_index:
-            p = materialize(p)
+    p = materialize(postings(chunks, keys, text_col, stop_words))
     firsts = p.filter("first")
-    n_docs = firsts.select(F.count(F.lit(1))).scalar()
-    avgdl = firsts.select(F.avg("dl")).scalar()
-    qt = query_terms(queries, qid, qtext, stop_words)
-    vocab = qt.select("term").distinct()
-    hits = p.filter(F.col("term").isNotNull()).join(vocab, "term", "left_semi")
-    dfreq = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms = p.filter(F.col("term").isNotNull()).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return _bm25(p, terms, firsts.select(F.count(F.lit(1))).scalar(), firsts.select(F.avg("dl")).scalar(),
+                 query_terms(queries, qid, qtext, stop_words), qid, keys, k1, b)
+
+
+def _bm25(p: DataFrame, terms: DataFrame, n_docs: Column, avgdl: Column, qt: DataFrame, qid: str, keys: list[str],
+          k1: float, b: float, on: list[str] | None = None) -> DataFrame:
+    """idf = ln(1 + (N - df + 0.5) / (df + 0.5)); N, avgdl and df over all chunks.
+    The postings meet only the query terms, weighted before the join."""
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = dfreq.select("term", idf.alias("idf"))
+    weighted = qt.join(terms, "term").select(*qt.columns, idf.alias("idf"))
     tfn = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    return (hits.join(weights, "term").join(qt, "term")
+    return (p.filter(F.col("term").isNotNull()).join(weighted, on or ["term"])
             .groupBy(qid, *keys).agg(F.sum(F.col("idf") * tfn).alias("bm25")))
 
 
+def bm25_search(index, queries: DataFrame, keys: list[str], qid: str = "query_id", qtext: str = "query",
+                wanted_file: str | None = None, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+    """BM25 over a stored index (``operators.index.SearchIndex``): ``qid, keys..., bm25``.
+
+    ``wanted_file`` (#10): a column of ``queries``; a query that names a file is
+    joined to the postings on (term, file), so only that file's chunks are
+    scored; N, avgdl and df stay those of the whole collection.
+    """
+    n_docs, avgdl = index.stats.select("n_docs").scalar(), index.stats.select("avgdl").scalar()
+    qt = query_terms(queries, qid, qtext)
+    if wanted_file is None:
+        return _bm25(index.postings, index.terms, n_docs, avgdl, qt, qid, keys, k1, b)
+    qt = qt.join(queries.select(qid, F.col(wanted_file).alias("source_filename")), qid)
+    free = qt.filter(F.col("source_filename").isNull()).drop("source_filename")
+    bound = qt.filter(F.col("source_filename").isNotNull())
+    return (_bm25(index.postings, index.terms, n_docs, avgdl, free, qid, keys, k1, b)
+            .unionByName(_bm25(index.postings, index.terms, n_docs, avgdl, bound, qid, keys, k1, b,
+                               on=["term", "source_filename"])))
+
+
 def top_k(scored: DataFrame, qid: str, score: str, tiebreak: list[str],
           k: Column | int = DEFAULT_TOP_K, rank_col: str = "rank") -> DataFrame:
     """#41: ``row_number() <= k`` per query (k may be a per-row column)."""
@@ -321,7 +336,7 @@ def hybrid_topk(bm25: DataFrame, vec_top: DataFrame, cos_of, alphas: DataFrame,
                 k: int = DEFAULT_TOP_K) -> DataFrame:
     """#40/#41 exact fused top-k with threshold pruning (no cosine for most pairs).
 
-    bm25    : qid, keys..., bm25            every keyword candidate (materialised by the caller)
+    bm25    : qid, keys..., bm25            every keyword candidate
     vec_top : qid, keys..., cos             vector top-k (exactness argument in ``hybrid_scores``)
     cos_of  : DataFrame(qid, keys...) -> same + ``cos`` (rows without a vector dropped)
     alphas  : qid, alpha, vmin, vmax

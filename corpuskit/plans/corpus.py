@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corpuskit.functions.text import clean_document, collapse_whitespace, html_to_text
 from corpuskit.operators import prepare, retrieval, store
 from corpuskit.plans.registry import register
-from corpuskit.plans.search import KEYS, chunk_store, query_table
+from corpuskit.plans.search import KEYS, chunk_store, query_table, search_index
 from corpuskit.plans.sqlparts import (
     BLANK_SQL, INGESTED_AT, bm25_cte, chunks_cte, chunks_cte_from, collapse_sql, html_to_text_sql, sql_str,
 )
@@ -299,11 +299,8 @@ def filtered_bm25(t: Tables) -> DataFrame:
                            F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("_f")),
         "query_id", "left").select("query_id", "query", F.concat(F.col("_f"), F.lit(".txt")).alias("filename_filter"),
                                    (1 + F.col("query_id") % 7).alias("k"))
-    chunks = chunk_store(t)
-    scored = retrieval.bm25_scores(chunks, q, KEYS).join(chunks.select(*KEYS, "source_filename"), KEYS)
-    scored = scored.join(q.select("query_id", "filename_filter", "k"), "query_id")
-    kept = scored.filter(F.col("filename_filter").isNull() | (F.col("source_filename") == F.col("filename_filter")))
-    return retrieval.top_k(kept, "query_id", "bm25", KEYS, F.col("k"))
+    scored = retrieval.bm25_search(search_index(t), q, KEYS, wanted_file="filename_filter")
+    return retrieval.top_k(scored.join(q.select("query_id", "k"), "query_id"), "query_id", "bm25", KEYS, F.col("k"))
 
 
 @register("batch_topk", sql=f"""
@@ -338,9 +335,6 @@ def q_filename_filter(t: Tables) -> DataFrame:
         t.documents.select(F.col("doc_id").alias("query_id"),
                            F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
                            .alias("filename_filter")), "query_id", "left")
-    chunks = chunk_store(t)
-    scored = retrieval.bm25_scores(chunks, q, KEYS).join(chunks.select(*KEYS, "source_filename"), KEYS)
-    kept = retrieval.filename_filter(scored.join(q.select("query_id", "filename_filter"), "query_id"),
-                                     "source_filename", "filename_filter")
+    kept = retrieval.bm25_search(search_index(t), q, KEYS, wanted_file="filename_filter")
     return kept.select("query_id", "doc_id", F.col("chunk_index").cast("long").alias("chunk_index"),
                        F.round("bm25", 4).alias("score"))

@@ -11,8 +11,8 @@ from corpuskit.operators import results as R
 from corpuskit.operators import retrieval
 from corpuskit.plans.corpus import _validate_sql, requests
 from corpuskit.plans.registry import register
-from corpuskit.plans.search import KEYS, chunk_store, hybrid_ctes, hybrid_df
-from corpuskit.plans.sqlparts import sql_str
+from corpuskit.plans.search import KEYS, hybrid_ctes, hybrid_df, search_index
+from corpuskit.plans.sqlparts import INGESTED_AT, sql_str
 from corpuskit.tables import Tables
 
 T = retrieval.DEFAULT_THRESHOLD
@@ -20,7 +20,7 @@ T = retrieval.DEFAULT_THRESHOLD
 
 def hybrid_rows(t: Tables) -> DataFrame:
     """Hybrid top-5 joined back to the chunk store."""
-    return hybrid_df(t).join(chunk_store(t), KEYS)
+    return hybrid_df(t).join(search_index(t).chunks, KEYS)
 
 
 HYB = f"""{hybrid_ctes()},
@@ -118,11 +118,18 @@ def q_response_envelope(t: Tables) -> DataFrame:
     return env.withColumn("total_results", F.col("total_results").cast("long"))
 
 
-@register("result_json", note="JSON text formatting differs between engines; rows-only check")
+@register("result_json", sql=f"""
+WITH {HYB}
+SELECT query_id, CAST(rank AS BIGINT) AS rank, CAST(json_object(
+  'rank', CAST(rank AS BIGINT), 'chunk_id', sha256(concat_ws(chr(1), source_filename, CAST(chunk_index AS VARCHAR), content)),
+  'content', content, 'score', round(score, 4), 'filename', source_filename, 'chunk_index', CAST(chunk_index AS BIGINT),
+  'total_chunks', CAST(total_chunks AS BIGINT), 'page', CAST(nullif(page_number, 0) AS BIGINT), 'section', NULL,
+  'room_id', '', 'sender', '', 'ingested_at', {sql_str(INGESTED_AT)}) AS VARCHAR) AS json
+FROM hyb""")
 def q_result_json(t: Tables) -> DataFrame:
     """#7: raw results serialised as JSON envelopes (non-ASCII kept)."""
     h = hybrid_rows(t).withColumn("id", F.sha2(F.concat_ws("\u0001", "source_filename",
                                                            F.col("chunk_index").cast("string"), "content"), 256))
-    raw = R.raw_results(h)
+    raw = R.raw_results(h.withColumn("score", F.round("score", 4)).withColumn("rank", F.col("rank").cast("long")))
     return raw.select("query_id", "rank", R.result_json(raw, [c for c in raw.columns if c not in ("query_id",)])
                       .alias("json"))

@@ -1,6 +1,6 @@
 """Embedding and approximate-neighbour queries (#33, #38, #74 near).
 
-Rows-only checks: the hashed embedder and the LSH joins have no DuckDB
+The embedder's oracle checks dimension and norm. The LSH joins have no DuckDB
 equivalent; tests compare approximate top-k against the exact one (recall)
 and near-duplicate pairs against a brute-force Jaccard on a small fixture.
 """
@@ -14,15 +14,19 @@ from corpuskit.operators import vectors as V
 from corpuskit.operators import web
 from corpuskit.plans.registry import register
 from corpuskit.plans.search import chunk_store, query_vectors
+from corpuskit.plans.sqlparts import chunks_cte, tokens_sql
 from corpuskit.tables import Tables
 
 
-@register("embed_chunks", note="hashed embedder; rows-only")
+@register("embed_chunks", sql=f"""
+WITH {chunks_cte()}
+SELECT doc_id, chunk_index, {V.EMBED_DIM} AS dim, CASE WHEN len({tokens_sql('content')}) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm
+FROM chunks""")
 def q_embed_chunks(t: Tables) -> DataFrame:
     """#33: every chunk -> 64-dim unit vector (JVM-side hashing embedder)."""
     e = V.embed_hashed(chunk_store(t), "content")
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
-    return e.select("doc_id", "chunk_index", F.size("embedding").alias("dim"), F.round(norm, 6).alias("norm"))
+    return e.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.size("embedding").alias("dim"), F.round(norm, 6).alias("norm"))
 
 
 @register("vector_topk_approx", note="LSH join; rows-only, recall tested against vector_topk")

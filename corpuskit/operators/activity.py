@@ -10,6 +10,8 @@ ever need a running frame.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,34 @@ PROBLEMS = {
     400: ("Bad Request", "BadRequestError", "badrequest"),
 }
 OTHER_PROBLEM = ("API Error", "GoogleApiError", "apierror")
+# mail: status -> (title, error type, detail); {m} message, {t} resource type, {i} resource id
+MAIL_TYPE_PREFIX = "urn:error:mail:"
+MAIL_PROBLEMS = {
+    400: ("Invalid Input", "InvalidInputError", "Invalid request to Google API: {m}"),
+    401: ("Authentication Error", "GoogleAuthError", "Authentication failed with Google API: {m}"),
+    403: ("Permission Denied", "InsufficientPermissionsError", "Insufficient permissions for Google API operation: {m}"),
+    404: ("Resource Not Found", "ResourceNotFoundError", "Google API resource not found: {m}"),
+    429: ("Rate Limit Exceeded", "RateLimitError", "Google API rate limit exceeded: {m}"),
+}
+OTHER_MAIL_PROBLEM = ("Google API Error", "GoogleAPIError", "Google API request failed with status {s}: {m}")
+# captions: kind -> (title, status, detail, instance); {v} video, {u} URL, {a} API tried, {e} error, {x} error type
+TRANSCRIPT_TYPE_PREFIX = "urn:error:transcript:"
+TRANSCRIPT_INSTANCE_PREFIX = "/youtube_transcripts/errors/"
+TRANSCRIPT_PROBLEMS = {
+    "invalid-url": ("Invalid YouTube URL", 400, "Could not extract video ID from the provided URL: {u}", "invalid-url-{u50}"),
+    "transcripts-disabled": ("Transcripts Disabled", 403, "Transcripts are disabled for video {v} ({u}). API: {a}. "
+                             "Original error: {e}", "disabled-{v}"),
+    "no-transcript-found": ("No Transcript Found", 404, "No transcript found for video {v} ({u}). API: {a}. "
+                            "Original error: {e}", "notfound-{v}"),
+    "video-unavailable": ("Video Unavailable", 404, "Video {v} ({u}) is unavailable. API: {a}. Original error: {e}",
+                          "unavailable-{v}"),
+    "google-resource-not-found": ("Resource Not Found (Google API)", 404, "Google API reported resource not found for "
+                                  "{v} ({u}). API: {a}. Original error: {e}", "google-notfound-{v}"),
+    "google-auth-permission-error": ("Google API Authorization/Permission Error", 401, "Google API authorization or "
+                                     "permission error for {v} ({u}). API: {a}. Original error: {e}", "google-auth-{v}"),
+    "generic-fetch-error": ("Transcript Fetch Error", 500, "Failed to fetch transcript for video {v} ({u}) using {a}. "
+                            "Original error: {x} - {e}", "generic-{v}"),
+}
 NO_MESSAGE = "No message found"
 DEFAULT_EVENT_LIMIT_RANGE = 50
 DEFAULT_EVENT_LIMIT_QUERY = 10
@@ -137,6 +167,51 @@ def to_problem(status: Column, resource_id: Column, message: Column, resource_ty
                     F.concat(F.lit(PROBLEM_INSTANCE_PREFIX), suffix, F.lit("-"), rid).alias("instance"))
 
 
+def _fill(template: str, values: dict[str, Column]) -> Column:
+    """``template`` with each ``{name}`` replaced by its column (null: empty)."""
+    bits = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[F.coalesce(values[b].cast("string"), F.lit("")) if i % 2 else F.lit(b) for i, b in enumerate(bits)])
+
+
+def mail_problem(status: Column, message: Column, resource_type: Column, resource_id: Column,
+                 prefix: str = MAIL_TYPE_PREFIX) -> Column:
+    """#96: failed mail request -> problem record (type, title, status, detail,
+    requires_reauth). A missing resource is named when it is known; no status counts as 500."""
+    values = {"m": message, "s": status}
+
+    def pick(i: int) -> Column:
+        out = _fill(OTHER_MAIL_PROBLEM[i], values)
+        for code, v in MAIL_PROBLEMS.items():
+            out = F.when(status == code, _fill(v[i], values)).otherwise(out)
+        return out
+    named = (F.when(resource_id.isNotNull(), F.concat(resource_type, F.lit(" with ID '"), resource_id, F.lit("' not found.")))
+              .otherwise(F.concat(resource_type, F.lit(" not found."))))
+    detail = F.when((status == 404) & resource_type.isNotNull(), named).otherwise(pick(2))
+    return F.struct(F.concat(F.lit(prefix), pick(1)).alias("type"), pick(0).alias("title"),
+                    F.coalesce(status.cast("int"), F.lit(500)).alias("status"), detail.alias("detail"),
+                    F.when(status == 401, F.lit(True)).alias("requires_reauth"))
+
+
+def transcript_problem(kind: Column, video: Column, url: Column, api: Column, error: Column, error_type: Column,
+                       denied: Column | None = None, prefix: str = TRANSCRIPT_TYPE_PREFIX) -> Column:
+    """#96: failed caption fetch -> problem record (type, title, status, detail,
+    instance). An unknown kind is a generic error; ``denied`` turns the status
+    of an authorization error into 403."""
+    values = {"v": video, "u": url, "u50": F.substring(url, 1, 50), "a": api, "e": error, "x": error_type}
+    known = F.when(kind.isin(*TRANSCRIPT_PROBLEMS), kind).otherwise(F.lit("generic-fetch-error"))
+
+    def pick(i: int) -> Column:
+        out = F.lit(None)
+        for name, v in TRANSCRIPT_PROBLEMS.items():
+            out = F.when(known == name, F.lit(v[i]) if i == 1 else _fill(v[i], values)).otherwise(out)
+        return out
+    status = pick(1)
+    if denied is not None:
+        status = F.when((known == "google-auth-permission-error") & denied, F.lit(403)).otherwise(status)
+    return F.struct(F.concat(F.lit(prefix), known).alias("type"), pick(0).alias("title"), status.cast("int").alias("status"),
+                    pick(2).alias("detail"), F.concat(F.lit(TRANSCRIPT_INSTANCE_PREFIX), pick(3)).alias("instance"))
+
+
 def slug(title: Column) -> Column:
     return F.regexp_replace(F.lower(title), " ", "-")
 

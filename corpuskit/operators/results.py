@@ -97,6 +97,25 @@ def chunk_block(content: Column, filename: Column, chunk: Column, n: int = CONTE
                     F.lit("\n</document>"))
 
 
+def _shown(c: Column, null: str = "") -> Column:
+    return F.coalesce(c.cast("string"), F.lit(null))
+
+
+def page_block(title: Column, url: Column, content: Column, score: Column | None = None) -> Column:
+    """Context block of a web hit (with its ``score``; None when it has none) or of an extracted page."""
+    sc = [] if score is None else [F.lit("<score>"), _shown(score, "None"), F.lit("</score>\n")]
+    return F.concat(F.lit("<document>\n<title>"), _shown(title), F.lit("</title>\n"), *sc, F.lit("<url>"), _shown(url),
+                    F.lit("</url>\n<content> \n"), _shown(content), F.lit("\n</content>\n</document>"))
+
+
+def mail_block(subject: Column, sender: Column, date: Column, snippet: Column, content: Column) -> Column:
+    """Context block of a mail message."""
+    lines = [("Subject", subject), ("From", sender), ("Date", date), ("Snippet", snippet), ("Content", content)]
+    return F.concat(F.lit("  --- Email Start ---\n"),
+                    *[x for name, c in lines for x in (F.lit(f"  {name}: "), _shown(c), F.lit("\n"))],
+                    F.lit("  --- Email End ---"))
+
+
 def response_envelope(queries: DataFrame, hits: DataFrame, qid: str) -> DataFrame:
     """#48: per query status/mode/counts/answer.
 

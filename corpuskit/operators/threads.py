@@ -6,15 +6,19 @@ converted documents), never by the size of the table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.operators.activity import ANONYMOUS, UNTITLED_QUESTION
+from corpuskit.operators.activity import ANONYMOUS, UNTITLED_QUESTION, numbered
 
 # --- fixed values ------------------------------------------------------------
 NOT_FOUND_TITLE = "Not Found"
+VIEW_LABEL = "View on Stack Overflow"
 # -----------------------------------------------------------------------------
 
+LAST = 2**31 - 1      # place of a closing part
+BLOCK = 1024          # places that one window numbers at a time
+
 _ANSWER_FIELDS = ["answer_id", "seq", "score", "is_accepted", "body", "owner", "creation_date"]
 
 
@@ -50,6 +54,93 @@ def thread_markdown(questions: DataFrame, answers: DataFrame, qid: str = "questi
     return n.select(qid, F.concat(head, F.array_join(blocks, "")).alias("markdown"))
 
 
+def _text(c: str, default: str = "") -> Column:
+    return F.coalesce(F.col(c).cast("string"), F.lit(default))
+
+
+def _parts(qid: str, *frames: DataFrame) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out.select(qid, F.col("part").cast("long").alias("part"), F.col("sub").cast("long").alias("sub"), "text")
+
+
+def _placed_answers(answers: DataFrame, qid: str) -> DataFrame:
+    """Answers with their place (``part``, from 1) by score desc (missing 0), then in their order."""
+    return numbered(answers, [qid], [-F.coalesce(F.col("score"), F.lit(0)), F.floor(F.col("seq") / BLOCK)],
+                    ["seq", "answer_id", "body", "owner", "creation_date", "is_accepted", "score"], "part")
+
+
+def thread_comments(comments: DataFrame, qid: str = "question_id") -> DataFrame:
+    """#53: comments numbered (``pos``) under their answer, or under the question
+    where ``answer_id`` is null, in their own order (``seq``)."""
+    return numbered(comments, [qid, "answer_id"], [F.floor(F.col("seq") / BLOCK)], ["seq", "body", "score"])
+
+
+def thread_search_parts(questions: DataFrame, answers: DataFrame, comments: DataFrame | None = None,
+                        qid: str = "question_id") -> DataFrame:
+    """#94 search layout, with accepted marks and (when given) comments:
+    ``qid, part, sub, text``.
+
+    A thread's markdown is its texts joined in (part, sub) order; they stay
+    rows, so a question with very many answers is not one value in one task.
+    Part 0 is the question, part n its n-th answer, the last part the link.
+    """
+    n = answers.groupBy(qid).agg(F.count(F.lit(1)).alias("_n"))
+    q = questions.join(n, qid, "left")
+    a = _placed_answers(answers, qid)
+    head = F.concat(F.lit("# "), _text("title", UNTITLED_QUESTION), F.lit("\n\n**Score:** "), _text("score", "0"),
+                    F.lit(" | **Answers:** "), _text("_n", "0"), F.lit("\n\n## Question\n\n"), _text("body"), F.lit("\n\n"))
+    block = F.concat(F.lit("### "), F.when(F.col("is_accepted"), F.lit("✓ ")).otherwise(F.lit("")),
+                     F.lit("Answer (Score: "), _text("score", "0"), F.lit(")\n\n"), _text("body"), F.lit("\n\n"))
+    tail = F.concat(F.lit("---\n\n["), F.lit(VIEW_LABEL), F.lit("]("), _text("link"), F.lit(")\n\n"))
+    end = q.select(qid, F.lit(LAST).alias("part"), F.lit(0).alias("sub"), tail.alias("text"))
+    none, zero, last = F.lit(""), F.lit(0).alias("sub"), F.lit(LAST).alias("sub")
+    if comments is None:
+        return _parts(qid, q.select(qid, F.lit(0).alias("part"), zero, head.alias("text")),
+                      q.select(qid, F.lit(0).alias("part"), last, F.lit("## Answers\n\n").alias("text")),
+                      a.select(qid, "part", zero, block.alias("text")), end)
+    c = thread_comments(comments, qid).select(
+        qid, "answer_id", F.col("pos").alias("sub"),
+        F.concat(F.lit("- "), _text("body"), F.lit(" *(Score: "), _text("score", "0"), F.lit(")*\n")).alias("text"))
+    own = c.filter(F.col("answer_id").isNull())
+    q = q.join(own.select(qid).distinct().withColumn("_has", F.lit(True)), qid, "left")
+    title = F.when(F.col("_has"), F.lit("### Question Comments\n\n")).otherwise(none)
+    gap = F.when(F.col("_has"), F.lit("\n")).otherwise(none)
+    return _parts(
+        qid, q.select(qid, F.lit(0).alias("part"), zero, F.concat(head, title).alias("text")),
+        own.select(qid, F.lit(0).alias("part"), "sub", "text"),
+        q.select(qid, F.lit(0).alias("part"), last, F.concat(gap, F.lit("## Answers\n\n")).alias("text")),
+        a.select(qid, "part", zero, F.concat(block, F.lit("#### Answer Comments\n\n")).alias("text")),
+        c.filter(F.col("answer_id").isNotNull()).join(a.select(qid, "answer_id", "part"), [qid, "answer_id"])
+         .select(qid, "part", "sub", "text"),
+        a.select(qid, "part", last, F.lit("\n").alias("text")), end)
+
+
+def thread_context_parts(questions: DataFrame, answers: DataFrame, qid: str = "question_id") -> DataFrame:
+    """#47 question-and-answer context: ``qid, part, sub, text``, joined in
+    (part, sub) order (rows, as in ``thread_search_parts``)."""
+    n = answers.groupBy(qid).agg(F.count(F.lit(1)).alias("_n"))
+    q = questions.join(n, qid, "left")
+
+    def tag(name: str, value: Column) -> Column:
+        return F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>\n"))
+
+    tags = F.concat(F.lit("["), F.array_join(F.transform("tags", lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]"))
+    head = F.concat(F.lit("<question>\n"), tag("title", _text("title")), tag("score", _text("score")),
+                    tag("answer_count", _text("_n", "0")), tag("creation_date", _text("creation_date")),
+                    tag("tags", F.coalesce(tags, F.lit(""))), tag("url", _text("link")), tag("question_id", _text(qid)),
+                    F.lit("<question_body> \n"), _text("body"), F.lit("\n</question_body>\n<answers>\n"))
+    yes = F.when(F.col("is_accepted"), F.lit("True")).otherwise(F.lit("False"))
+    block = F.concat(F.lit("\n<answer>\n"), tag("is_accepted", yes), tag("score", _text("score")),
+                     tag("creation_date", _text("creation_date")), tag("answer_id", _text("answer_id")),
+                     F.lit("<answer_body>\n"), _text("body"), F.lit("\n</answer_body>\n</answer>\n"))
+    zero = F.lit(0).alias("sub")
+    return _parts(qid, q.select(qid, F.lit(0).alias("part"), zero, head.alias("text")),
+                  _placed_answers(answers, qid).select(qid, "part", zero, block.alias("text")),
+                  q.select(qid, F.lit(LAST).alias("part"), zero, F.lit("\n</answers>\n</question>").alias("text")))
+
+
 def extract_result(urls: DataFrame, docs: DataFrame, url: str = "url", seq: str = "page_id",
                    content: str = "content") -> DataFrame:
     """#70: per URL the ordered contents of its documents; none -> a problem

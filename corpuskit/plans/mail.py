@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuskit.operators import activity as A
+from corpuskit.operators import results
 from corpuskit.operators import mail as M
 from corpuskit.plans.registry import register
 from corpuskit.plans.sqlparts import sql_str
@@ -178,6 +179,22 @@ def q_parse_message(t: Tables) -> DataFrame:
                     F.date_format("internal_date", "yyyy-MM-dd HH:mm:ss").alias("internal_date"))
 
 
+@register("context_mail", sql=f"""
+WITH {MSG_SQL}, {PARTS_SQL}, {BODY_SQL}
+SELECT msg_id, md5('  --- Email Start ---' || chr(10) || '  Subject: ' || coalesce({_hdr_sql('Subject')}, '') || chr(10)
+  || '  From: ' || coalesce({_hdr_sql('From')}, '') || chr(10) || '  Date: ' || coalesce({_hdr_sql('Date')}, '') || chr(10)
+  || '  Snippet: ' || coalesce(split_part(text, '.', 1), '') || chr(10) || '  Content: ' || coalesce(plain_text_body, '') || chr(10)
+  || '  --- Email End ---') AS block_md5
+FROM _m LEFT JOIN _body USING (msg_id)""")
+def q_context_mail(t: Tables) -> DataFrame:
+    """#47: the context block of every message."""
+    m, h = messages(t), F.col("headers")
+    j = m.join(M.plain_body(parts(t)), "msg_id", "left")
+    block = results.mail_block(M.header(h, "Subject"), M.header(h, "From"), M.header(h, "Date"),
+                               F.split_part("text", F.lit("."), F.lit(1)), F.col("plain_text_body"))
+    return j.select("msg_id", F.md5(block).alias("block_md5"))
+
+
 @register("distinct_recipients", sql=f"""
 WITH {MSG_SQL}
 SELECT msg_id, array_to_string(list_sort(list_distinct(flatten([

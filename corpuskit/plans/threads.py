@@ -8,6 +8,8 @@ owners. Logs: ``events`` (error = failure). Issues and agent streams:
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +36,8 @@ def questions(t: Tables) -> DataFrame:
                     F.concat(F.lit("Status "), F.col("o_orderstatus"), F.lit(", priority "), F.col("o_orderpriority"))
                      .alias("body"),
                     F.date_format("o_orderdate", "yyyy-MM-dd").alias("creation_date"),
-                    "o_orderdate", F.col("c_name").alias("owner"))
+                    "o_orderdate", F.col("c_name").alias("owner"),
+                    F.concat(F.lit("https://stackoverflow.com/q/"), F.col("o_orderkey").cast("string")).alias("link"))
 
 
 def answers(t: Tables) -> DataFrame:
@@ -112,6 +115,96 @@ def q_thread_markdown(t: Tables) -> DataFrame:
                      F.md5("markdown").alias("markdown_md5"))
 
 
+C_SCORE = "CASE WHEN l_linenumber = 5 THEN NULL ELSE l_linenumber - 2 END"
+C_ANSWER = "CASE WHEN l_linenumber % 2 = 0 THEN l_orderkey * 10 + l_linenumber END"
+
+
+def comments(t: Tables) -> DataFrame:
+    """Every line is a comment: the even ones on their own answer, the odd ones on the question."""
+    return t.lineitem.select(F.col("l_orderkey").alias("question_id"), F.expr(C_ANSWER).alias("answer_id"),
+                             F.col("l_linenumber").alias("seq"), F.expr(C_SCORE).alias("score"),
+                             F.concat(F.lit("Line status "), F.col("l_linestatus"), F.lit(" of part "),
+                                      F.col("l_partkey").cast("string")).alias("body"))
+
+
+COMMENTS_SQL = f"""_com AS (
+  SELECT l_orderkey AS question_id, {C_ANSWER} AS answer_id, l_linenumber AS seq, {C_SCORE} AS score,
+         'Line status ' || l_linestatus || ' of part ' || CAST(l_partkey AS VARCHAR) AS body
+  FROM lineitem),
+_cp AS (SELECT *, row_number() OVER (PARTITION BY question_id, answer_id ORDER BY seq, body, score) AS pos FROM _com)"""
+
+PLACED_SQL = f"""
+_qn AS (SELECT o_orderkey AS question_id, 'Order ' || CAST(o_orderkey AS VARCHAR) AS title, {Q_SCORE} AS score, {Q_TAGS} AS tags,
+               'Status ' || o_orderstatus || ', priority ' || o_orderpriority AS body,
+               strftime(o_orderdate, '%Y-%m-%d') AS creation_date,
+               'https://stackoverflow.com/q/' || CAST(o_orderkey AS VARCHAR) AS link, coalesce(n, 0) AS n
+        FROM orders LEFT JOIN (SELECT question_id, count(*) AS n FROM _ans GROUP BY question_id) ON question_id = o_orderkey),
+_an AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY coalesce(score, 0) DESC, seq, answer_id, body, owner,
+               creation_date, is_accepted, score) AS part FROM _ans)"""
+_NL = "chr(10)"
+
+
+@register("thread_comments", sql=f"""
+WITH {COMMENTS_SQL}
+SELECT question_id, answer_id, pos, body, score FROM _cp""")
+def q_thread_comments(t: Tables) -> DataFrame:
+    """#53: the comments of each thread, in order under their answer or question."""
+    from corpuskit.operators import threads as TH
+    return TH.thread_comments(comments(t)).select("question_id", "answer_id", "pos", "body", "score")
+
+
+@register("thread_search_markdown", sql=f"""
+WITH {ANSWERS_SQL}, {COMMENTS_SQL}, {PLACED_SQL},
+_line AS (SELECT *, '- ' || body || ' *(Score: ' || CAST(coalesce(score, 0) AS VARCHAR) || ')*' || {_NL} AS text FROM _cp),
+_has AS (SELECT DISTINCT question_id FROM _com WHERE answer_id IS NULL),
+u AS (
+  SELECT q.question_id, 0 AS part, 0 AS sub, '# ' || title || {_NL} || {_NL} || '**Score:** ' || CAST(coalesce(score, 0) AS VARCHAR)
+         || ' | **Answers:** ' || CAST(n AS VARCHAR) || {_NL} || {_NL} || '## Question' || {_NL} || {_NL} || body || {_NL} || {_NL}
+         || CASE WHEN h.question_id IS NULL THEN '' ELSE '### Question Comments' || {_NL} || {_NL} END AS text
+  FROM _qn q LEFT JOIN _has h USING (question_id)
+  UNION ALL SELECT question_id, 0, pos, text FROM _line WHERE answer_id IS NULL
+  UNION ALL SELECT q.question_id, 0, 2147483647, CASE WHEN h.question_id IS NULL THEN '' ELSE {_NL} END || '## Answers' || {_NL} || {_NL}
+  FROM _qn q LEFT JOIN _has h USING (question_id)
+  UNION ALL SELECT question_id, part, 0, '### ' || CASE WHEN is_accepted THEN '✓ ' ELSE '' END || 'Answer (Score: '
+         || CAST(coalesce(score, 0) AS VARCHAR) || ')' || {_NL} || {_NL} || body || {_NL} || {_NL} || '#### Answer Comments' || {_NL} || {_NL}
+  FROM _an
+  UNION ALL SELECT a.question_id, a.part, l.pos, l.text FROM _an a JOIN _line l
+    ON l.question_id = a.question_id AND l.answer_id = a.answer_id
+  UNION ALL SELECT question_id, part, 2147483647, {_NL} FROM _an
+  UNION ALL SELECT question_id, 2147483647, 0, '---' || {_NL} || {_NL} || '[View on Stack Overflow](' || link || ')' || {_NL} || {_NL} FROM _qn
+)
+SELECT question_id, CAST(part AS BIGINT) AS part, CAST(sub AS BIGINT) AS sub, text FROM u""")
+def q_thread_search_markdown(t: Tables) -> DataFrame:
+    """#94: search layout of each thread with accepted marks and comments, as ordered parts."""
+    from corpuskit.operators import threads as TH
+    return TH.thread_search_parts(questions(t), answers(t), comments(t))
+
+
+def _tag_sql(name: str, value: str) -> str:
+    return f"'<{name}>' || coalesce(CAST({value} AS VARCHAR), '') || '</{name}>' || {_NL}"
+
+
+@register("context_threads", sql=f"""
+WITH {ANSWERS_SQL}, {PLACED_SQL},
+u AS (
+  SELECT question_id, 0 AS part, '<question>' || {_NL} || {_tag_sql('title', 'title')} || {_tag_sql('score', 'score')}
+         || {_tag_sql('answer_count', 'n')} || {_tag_sql('creation_date', 'creation_date')}
+         || {_tag_sql('tags', "'[' || chr(39) || array_to_string(tags, chr(39) || ', ' || chr(39)) || chr(39) || ']'")} || {_tag_sql('url', 'link')}
+         || {_tag_sql('question_id', 'question_id')} || '<question_body> ' || {_NL} || body || {_NL} || '</question_body>' || {_NL}
+         || '<answers>' || {_NL} AS text FROM _qn
+  UNION ALL SELECT question_id, part, {_NL} || '<answer>' || {_NL}
+         || {_tag_sql('is_accepted', "CASE WHEN is_accepted THEN 'True' ELSE 'False' END")} || {_tag_sql('score', 'score')}
+         || {_tag_sql('creation_date', 'creation_date')} || {_tag_sql('answer_id', 'answer_id')} || '<answer_body>' || {_NL} || body
+         || {_NL} || '</answer_body>' || {_NL} || '</answer>' || {_NL} FROM _an
+  UNION ALL SELECT question_id, 2147483647, {_NL} || '</answers>' || {_NL} || '</question>' FROM _qn
+)
+SELECT question_id, CAST(part AS BIGINT) AS part, text FROM u""")
+def q_context_threads(t: Tables) -> DataFrame:
+    """#47: question-and-answer context of each thread, as ordered parts."""
+    from corpuskit.operators import threads as TH
+    return TH.thread_context_parts(questions(t), answers(t)).select("question_id", "part", "text")
+
+
 THREAD_TAGS, THREAD_LIMIT, THREAD_MIN = ["F", "URGENT"], 40, 1
 
 
@@ -171,6 +264,61 @@ def q_to_problem(t: Tables) -> DataFrame:
     return e.select("event_id", p.alias("p")).select("event_id", "p.*")
 
 
+def _fill_sql(template: str, values: dict[str, str]) -> str:
+    bits = re.split(r"\{(\w+)\}", template)
+    return "(" + " || ".join(f"coalesce(CAST({values[b]} AS VARCHAR), '')" if i % 2 else sql_str(b)
+                             for i, b in enumerate(bits)) + ")"
+
+
+def _case_sql(on: str, table: dict, i: int, other: str, values: dict[str, str]) -> str:
+    whens = " ".join(f"WHEN {sql_str(k) if isinstance(k, str) else k} THEN "
+                     + (str(v[i]) if isinstance(v[i], int) else _fill_sql(v[i], values)) for k, v in table.items())
+    return f"(CASE {on} {whens} ELSE {other} END)"
+
+
+_MAIL_V = {"m": "msg", "s": "st"}
+M_TYPE = "CASE event_id % 3 WHEN 0 THEN 'Message' WHEN 1 THEN 'Label' END"
+M_ID = "CASE WHEN event_id % 2 = 0 THEN 'm' || CAST(event_id AS STRING) END"
+
+
+@register("mail_problem", sql=f"""
+WITH e AS (SELECT event_id, {PROBLEM_STATUS_SQL} AS st, 'upstream said ' || event_type AS msg, {M_TYPE} AS rt,
+                  {M_ID.replace('AS STRING', 'AS VARCHAR')} AS rid FROM events)
+SELECT event_id, {sql_str(A.MAIL_TYPE_PREFIX)} || {_case_sql('st', A.MAIL_PROBLEMS, 1, sql_str(A.OTHER_MAIL_PROBLEM[1]), _MAIL_V)} AS type,
+       {_case_sql('st', A.MAIL_PROBLEMS, 0, sql_str(A.OTHER_MAIL_PROBLEM[0]), _MAIL_V)} AS title, CAST(st AS INTEGER) AS status,
+       CASE WHEN st = 404 AND rt IS NOT NULL THEN rt || CASE WHEN rid IS NULL THEN '' ELSE ' with ID ' || chr(39) || rid || chr(39) END || ' not found.'
+            ELSE {_case_sql('st', A.MAIL_PROBLEMS, 2, _fill_sql(A.OTHER_MAIL_PROBLEM[2], _MAIL_V), _MAIL_V)} END AS detail,
+       CASE WHEN st = 401 THEN true END AS requires_reauth FROM e""")
+def q_mail_problem(t: Tables) -> DataFrame:
+    """#96: failed mail requests -> problem records."""
+    e = t.events.select("event_id", A.mail_problem(F.expr(PROBLEM_STATUS), F.concat(F.lit("upstream said "), F.col("event_type")),
+                                                   F.expr(M_TYPE), F.expr(M_ID)).alias("p"))
+    return e.select("event_id", "p.*")
+
+
+_KINDS = [*A.TRANSCRIPT_PROBLEMS, "never-heard-of"]
+T_KIND = "CASE event_id % 8 " + " ".join(f"WHEN {i} THEN {sql_str(k)}" for i, k in enumerate(_KINDS)) + " END"
+T_VIDEO = "substr(md5(CAST(event_id AS STRING)), 1, 11)"
+T_URL = f"'https://www.youtube.com/watch?v=' || {T_VIDEO} || '&list=' || md5(event_type)"
+_TR_V = {"v": "v", "u": "u", "u50": "substr(u, 1, 50)", "a": "'captions'", "e": "event_type", "x": "'KeyError'"}
+
+
+@register("transcript_problem", sql=f"""
+WITH e AS (SELECT event_id, event_type, {T_KIND} AS k0, {T_VIDEO.replace('AS STRING', 'AS VARCHAR')} AS v,
+                  {T_URL.replace('AS STRING', 'AS VARCHAR')} AS u FROM events),
+f AS (SELECT *, CASE k0 WHEN 'never-heard-of' THEN 'generic-fetch-error' ELSE k0 END AS k FROM e)
+SELECT event_id, {sql_str(A.TRANSCRIPT_TYPE_PREFIX)} || k AS type, {_case_sql('k', A.TRANSCRIPT_PROBLEMS, 0, 'NULL', _TR_V)} AS title,
+       CAST(CASE WHEN k = 'google-auth-permission-error' AND event_id % 16 >= 8 THEN 403
+                 ELSE {_case_sql('k', A.TRANSCRIPT_PROBLEMS, 1, 'NULL', _TR_V)} END AS INTEGER) AS status,
+       {_case_sql('k', A.TRANSCRIPT_PROBLEMS, 2, 'NULL', _TR_V)} AS detail,
+       {sql_str(A.TRANSCRIPT_INSTANCE_PREFIX)} || {_case_sql('k', A.TRANSCRIPT_PROBLEMS, 3, 'NULL', _TR_V)} AS instance FROM f""")
+def q_transcript_problem(t: Tables) -> DataFrame:
+    """#96: failed caption fetches -> problem records."""
+    p = A.transcript_problem(F.expr(T_KIND), F.expr(T_VIDEO), F.expr(T_URL), F.lit("captions"), F.col("event_type"),
+                             F.lit("KeyError"), denied=F.col("event_id") % 16 >= 8)
+    return t.events.select("event_id", p.alias("p")).select("event_id", "p.*")
+
+
 @register("dedupe_problems", sql=f"""
 WITH p AS (SELECT user_id, {PROBLEM_STATUS_SQL} AS status, event_id FROM events WHERE event_type = 'error')
 SELECT user_id, status, min(event_id) AS event_id, count(*) AS n_seen FROM p GROUP BY user_id, status""")

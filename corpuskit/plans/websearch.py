@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuskit.functions.text import html_title, html_to_text
-from corpuskit.operators import web
+from corpuskit.operators import results, web
 from corpuskit.plans.registry import register
 from corpuskit.plans.sqlparts import html_to_text_sql, sql_str
 from corpuskit.sources import hits as H
@@ -150,6 +150,38 @@ def q_join_content(t: Tables) -> DataFrame:
     return j.select("query_id", "provider", "rank", "title", "url", "score", "content", "replaced")
 
 
+def _page_block_sql(content: str, score: str = "") -> str:
+    sc = f" || '<score>' || coalesce(CAST({score} AS VARCHAR), 'None') || '</score>' || chr(10)" if score else ""
+    return (f"'<document>' || chr(10) || '<title>' || coalesce(title, '') || '</title>' || chr(10){sc} || '<url>' || coalesce(url, '') "
+            f"|| '</url>' || chr(10) || '<content> ' || chr(10) || coalesce({content}, '') || chr(10) || '</content>' || chr(10) || '</document>'")
+
+
+@register("context_web", sql=f"""
+WITH {hits_sql()},
+k AS (SELECT *, sha256(coalesce(url, chr(2)) || chr(1) || coalesce(content, chr(2) || provider || ':' || rank)) AS hit_id, {_PIDX} AS pidx FROM hits),
+b AS (SELECT *, row_number() OVER (PARTITION BY query_id, hit_id ORDER BY score DESC NULLS LAST, pidx, rank) AS rn FROM k)
+SELECT query_id, md5(string_agg({_page_block_sql('content', 'CAST(score AS DOUBLE)')}, chr(10) || chr(10)
+                                ORDER BY score DESC NULLS LAST, pidx, rank)) AS context_md5, count(*) AS n_blocks
+FROM b WHERE rn = 1 GROUP BY query_id""")
+def q_context_web(t: Tables) -> DataFrame:
+    """#47: per query the fused hits as context blocks, best first."""
+    f = web.fuse_sources(hits(t), PROVIDER_ORDER)
+    c = results.context_block(f, "query_id", "pos", results.page_block(F.col("title"), F.col("url"), F.col("content"), F.col("score")))
+    return c.select("query_id", F.md5("context").alias("context_md5"), "n_blocks")
+
+
+@register("context_pages", sql=f"""
+WITH p AS (SELECT page_id, url, regexp_extract(html, {sql_str(TITLE_RE)}, 1) AS title, {html_to_text_sql('html')} AS text FROM pages)
+SELECT page_id // 4 AS request_id, md5(string_agg({_page_block_sql('text')}, chr(10) || chr(10) ORDER BY page_id)) AS context_md5,
+       count(*) AS n_blocks
+FROM p GROUP BY page_id // 4""")
+def q_context_pages(t: Tables) -> DataFrame:
+    """#47: context blocks of the pages that a request asks for (four consecutive pages each)."""
+    p = H.page_texts(t).withColumn("request_id", F.expr("page_id div 4"))
+    c = results.context_block(p, "request_id", "page_id", results.page_block(F.col("title"), F.col("url"), F.col("text")))
+    return c.select("request_id", F.md5("context").alias("context_md5"), "n_blocks")
+
+
 @register("extract_urls", sql=f"""
 WITH {hits_sql()}
 SELECT query_id, provider, rank, url FROM hits""")

@@ -55,3 +55,30 @@ def test_upsert_last_write_wins(spark):
     new = spark.createDataFrame([("a", 2, "x2"), ("c", 1, "z")], "item_key string, version int, item_data string")
     got = {r.item_key: (r.version, r.item_data) for r in I.upsert(old, new).collect()}
     assert got == {"a": (2, "x2"), "b": (1, "y"), "c": (1, "z")}
+
+
+def test_json_booleans_are_one_and_zero(spark):
+    rows = [("t", json.dumps({"data": {"f": True}})), ("f", json.dumps({"data": {"f": False}})),
+            ("one", json.dumps({"data": {"f": 1}})), ("word", json.dumps({"data": {"f": "true"}})), ("none", json.dumps({"data": {}}))]
+    df = spark.createDataFrame(rows, "item_key string, item_data string")
+
+    def keys(q):
+        return sorted(r.item_key for r in df.filter(jsonq.compile_query(F.parse_json("item_data"), q)).collect())
+    assert keys({"f": 1}) == keys({"f": True}) == ["one", "t"]
+    assert keys({"f": False}) == ["f"]
+    assert keys({"f": {"$ne": 1}}) == ["f", "word"]
+
+
+def test_held_by_url_or_doi(spark):
+    def row(key, **data):
+        return key, json.dumps({"data": data})
+    lib = spark.createDataFrame([
+        row("a", url="https://nature.com/x"), row("b", DOI="10.1234/abc"),
+        row("c", url="https://nature.com/file", itemType="attachment"), row("d", url="https://nature.com/kid", parentItem="a")],
+        "item_key string, item_data string")
+    urls = [("https://nature.com/x",), ("https://nature.com/articles/10.1234/abc.pdf",), ("https://nature.com/file",),
+            ("https://nature.com/kid",), ("https://nature.com/x",), (None,)]
+    got = I.held(spark.createDataFrame(urls, "url string"), lib).collect()
+    assert len(got) == len(urls)        # repeated and null URLs keep their rows
+    assert {r.url: r.held for r in got} == {"https://nature.com/x": True, "https://nature.com/articles/10.1234/abc.pdf": True,
+                                            "https://nature.com/file": False, "https://nature.com/kid": False, None: False}

@@ -82,3 +82,29 @@ def test_pruned_hybrid_equals_full(spark, tables_small):
     full = {tuple(r) for r in S.hybrid_df(tables_small).select(*cols, F.round("score", 6)).collect()}
     pruned = {tuple(r) for r in S.hybrid_df(tables_small, pruned=True).select(*cols, F.round("score", 6)).collect()}
     assert full == pruned and len(full) > 0
+
+
+def test_index_search_with_file_names(spark, tmp_path):
+    from corpuskit.operators.index import write_index
+    docs = [(1, 0, "a.txt", "apple banana"), (2, 0, "b.txt", "apple pie"), (3, 0, "c.txt", ""), (4, 0, None, "apple")]
+    c = spark.createDataFrame(docs, "doc_id long, chunk_index int, source_filename string, content string")
+    q = spark.createDataFrame([(10, "apple", None), (11, "apple", "b.txt"), (12, "apple", "no.txt"), (13, "banana", "b.txt")],
+                              "query_id long, query string, wanted string")
+    keys = ["doc_id", "chunk_index"]
+    index = write_index(c, str(tmp_path / "index"), keys)
+    plain = {(r.query_id, r.doc_id): r.bm25 for r in R.bm25_scores(c, q, keys).collect()}
+    got = {(r.query_id, r.doc_id): r.bm25 for r in R.bm25_search(index, q, keys, wanted_file="wanted").collect()}
+    assert set(got) == {(10, 1), (10, 2), (10, 4), (11, 2)}
+    assert all(abs(got[k] - plain[k]) < 1e-12 for k in got)      # scores are those of the whole collection
+
+
+def test_searches_read_the_stored_index(spark, tables_small):
+    import contextlib
+    import io
+    from corpuskit.plans import search as S
+    first = S.search_index(tables_small)
+    assert S.search_index(tables_small) is first                 # the same files: written once
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        S.hybrid_df(tables_small).explain("simple")
+    assert "documents.parquet" not in out.getvalue() and "search-index-" in out.getvalue()

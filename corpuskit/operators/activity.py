@@ -69,42 +69,32 @@ STRIP = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
 
 
 def sliding_quota(events: DataFrame, key: str, ts: str, limit: int = QUOTA_REQUESTS,
-                  window_s: int = QUOTA_WINDOW_S, id_col: str = "event_id") -> DataFrame:
+                  window_s: int = QUOTA_WINDOW_S) -> DataFrame:
     """#68 batch audit: requests of the same key in the trailing window
     ``(t - W, t]`` (``now - t < W``) and whether the request is over the limit.
 
     Exact, and split by time so a key holding a third of all rows is not one
     task: with buckets of width W, the window of a request in bucket b spans
-    only buckets b-1 and b, so
+    only buckets b-1 and b, so every request also visits the next bucket.
+    There rows are ordered by their phase (time since their own bucket began):
+    t and t - W have the same phase, hence
 
-        in_window = #(bucket b, t' <= t) + #(bucket b-1) - #(bucket b-1, t' <= t - W)
+        in_window = #(own, phase <= p) + #(visiting) - #(visiting, phase <= p)
 
-    The first and last terms are running counts inside a (key, bucket)
-    partition (the last one read at a probe row placed at t - W), so every
-    window partition holds one bucket of one key.
+    One shuffle and one sort by (key, bucket), running counts only, no join;
+    a visiting row carries nothing but its key and phase.
     """
     w_us = window_s * 1_000_000
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    ev = events.withColumn("_us", micros).withColumn("_b", F.floor(F.col("_us") / w_us))
-    real = ev.select(key, "_b", "_us", F.col(id_col).alias("_id"), F.lit(0).alias("_probe"))
-    probe = ev.select(key, (F.col("_b") - 1).alias("_b"), (F.col("_us") - w_us).alias("_us"),
-                      F.col(id_col).alias("_id"), F.lit(1).alias("_probe"))
-    w = (Window.partitionBy(key, "_b").orderBy("_us", "_probe")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    counted = (real.unionByName(probe)
-               .withColumn("_le", F.sum(1 - F.col("_probe")).over(w))
-               .withColumn("_n", F.sum(1 - F.col("_probe")).over(Window.partitionBy(key, "_b"))))
-    # rows ordered (us, probe): a real row's running count already includes
-    # its same-microsecond peers only up to itself, so take the peer maximum
-    peers = Window.partitionBy(key, "_b", "_us", "_probe")
-    counted = counted.withColumn("_le", F.max("_le").over(peers))
-    mine = counted.filter("_probe = 0").select(F.col("_id"), F.col("_le").alias("_here"))
-    before = counted.filter("_probe = 1").select(F.col("_id"), (F.col("_n") - F.col("_le")).alias("_prev"))
-    n_in = (F.col("_here") + F.coalesce(F.col("_prev"), F.lit(0))).cast("long")
-    out = (events.join(mine.withColumnRenamed("_id", id_col), id_col)
-                 .join(before.withColumnRenamed("_id", id_col), id_col, "left"))
-    return out.withColumn("in_window", n_in).withColumn("over_quota", F.col("in_window") > limit) \
-              .drop("_here", "_prev")
+    own = events.withColumn("_phase", F.pmod(micros, F.lit(w_us))).withColumn("_start", micros - F.col("_phase"))
+    visiting = own.select(key, "_phase", (F.col("_start") + w_us).alias("_start"), F.lit(1).alias("_visit"))
+    rows = own.withColumn("_visit", F.lit(0)).unionByName(visiting, allowMissingColumns=True)
+    bucket = Window.partitionBy(key, "_start")
+    upto = bucket.orderBy("_phase").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    n_in = (F.sum(1 - F.col("_visit")).over(upto) + F.sum("_visit").over(bucket) - F.sum("_visit").over(upto))
+    return (rows.withColumn("in_window", n_in.cast("long")).filter("_visit = 0")
+            .withColumn("over_quota", F.col("in_window") > limit)
+            .select(*events.columns, "in_window", "over_quota"))
 
 
 def failure_streaks(log: DataFrame, key: str, order: list[str], failed: Column,

@@ -19,7 +19,6 @@ Scale notes
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 import pandas as pd
@@ -147,27 +146,29 @@ def _l2_normalise(m: np.ndarray) -> np.ndarray:
 
 def vector_topk(items: DataFrame, queries: DataFrame, key: str, vec: str,
                 qid: str, qvec: str, k: int = DEFAULT_TOP_K,
-                item_block: int = 8192, query_block: int = 512,
-                n_items: int | None = None, n_queries: int | None = None) -> DataFrame:
+                item_block: int = 8192, query_block: int = 16_384, at_once: int = 512) -> DataFrame:
     """Exact cosine top-k per query: ``qid, key, score, vmin, vmax``.
 
     ``vmin``/``vmax`` are the per-query min and max cosine over all items
     (used by score fusion). Items and queries are hashed into blocks of at
     most about ``item_block`` / ``query_block`` rows; one cogroup per block
-    pair computes a dense product in numpy and keeps only its local top-k.
+    pair takes ``at_once`` queries at a time, computes their dense product in
+    numpy and keeps only its local top-k. An item crosses the network once
+    for every ``query_block`` queries, in the type it is stored in. The block
+    numbers come from scalar subqueries, so nothing runs before the plan does.
     """
-    if n_items is None:
-        n_items = items.count()
-    if n_queries is None:
-        n_queries = queries.count()
-    ib = max(1, math.ceil(n_items / item_block))
-    qb = max(1, math.ceil(n_queries / query_block))
-    it = (items.select(F.col(key).alias("_key"), F.col(vec).cast("array<double>").alias("_v"))
-          .withColumn("_ib", F.pmod(F.xxhash64("_key"), F.lit(ib)))
-          .withColumn("_qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(qb - 1).cast("long")))))
-    qs = (queries.select(F.col(qid).alias("_qid"), F.col(qvec).cast("array<double>").alias("_v"))
-          .withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(qb)))
-          .withColumn("_ib", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ib - 1).cast("long")))))
+    def blocks(df: DataFrame, size: int) -> Column:
+        n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+        return F.greatest(F.lit(1), F.ceil(n / size)).cast("long")
+
+    def dealt(df: DataFrame, name: str, v: str, own: str, n_own: Column, other: str, n_other: Column) -> DataFrame:
+        out = df.select(F.col(name).alias("_id"), F.col(v).alias("_v"), n_own.alias("_n"), n_other.alias("_m"))
+        out = out.withColumn(own, F.pmod(F.xxhash64("_id"), F.col("_n")))
+        return out.select("_id", "_v", own, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)).alias(other))
+
+    ib, qb = blocks(items, item_block), blocks(queries, query_block)
+    it = dealt(items, key, vec, "_ib", ib, "_qb", qb)
+    qs = dealt(queries, qid, qvec, "_qb", qb, "_ib", ib)
 
     out_schema = T.StructType([
         T.StructField("_qid", T.LongType()), T.StructField("_key", T.LongType()),
@@ -179,23 +180,26 @@ def vector_topk(items: DataFrame, queries: DataFrame, key: str, vec: str,
             return pd.DataFrame({c: [] for c in out_schema.fieldNames()})
         qm = _l2_normalise(np.vstack(qpdf["_v"].to_numpy()).astype(np.float64))
         im = _l2_normalise(np.vstack(ipdf["_v"].to_numpy()).astype(np.float64))
-        keys = ipdf["_key"].to_numpy()
-        sims = qm @ im.T                                   # (queries, items)
-        kk = min(k, sims.shape[1])
-        # order: score desc, key asc (lexsort uses the last key as primary)
-        out = []
-        for row, q in enumerate(qpdf["_qid"].to_numpy()):
-            s = sims[row]
-            sr = np.round(s, SCORE_DP)      # same order as the final ranking
-            if kk < len(s):
-                cut = np.partition(sr, len(sr) - kk)[len(sr) - kk]
-                cand = np.nonzero(sr >= cut)[0]
-            else:
-                cand = np.arange(len(s))
-            order = cand[np.lexsort((keys[cand], -sr[cand]))][:kk]
-            out.append(pd.DataFrame({"_qid": q, "_key": keys[order], "score": s[order],
-                                     "vmin": s.min(), "vmax": s.max()}))
-        return pd.concat(out, ignore_index=True)
+        keys = ipdf["_id"].to_numpy()
+        kk = min(k, len(keys))
+        picked, score, low, high = [], [], [], []
+        for at in range(0, len(qm), at_once):
+            sims = qm[at:at + at_once] @ im.T              # (queries, items)
+            low.append(sims.min(axis=1))
+            high.append(sims.max(axis=1))
+            for s in sims:
+                sr = np.round(s, SCORE_DP)      # same order as the final ranking
+                if kk < len(s):
+                    cand = np.nonzero(sr >= np.partition(sr, len(sr) - kk)[len(sr) - kk])[0]
+                else:
+                    cand = np.arange(len(s))
+                # order: score desc, key asc (lexsort uses the last key as primary)
+                best = cand[np.lexsort((keys[cand], -sr[cand]))][:kk]
+                picked.append(keys[best])
+                score.append(s[best])
+        return pd.DataFrame({"_qid": np.repeat(qpdf["_id"].to_numpy(), kk), "_key": np.concatenate(picked),
+                             "score": np.concatenate(score), "vmin": np.repeat(np.concatenate(low), kk),
+                             "vmax": np.repeat(np.concatenate(high), kk)})
 
     local = (qs.groupBy("_qb", "_ib").cogroup(it.groupBy("_qb", "_ib"))
              .applyInPandas(block_topk, out_schema))

@@ -25,10 +25,22 @@ def _file_stream(spark, folder: str, sample: DataFrame) -> DataFrame:
     return spark.readStream.schema(sample.schema).option("recursiveFileLookup", "true").parquet(folder)
 
 
-QUOTA_LIMIT, QUOTA_WINDOW = 3, 3600
-
-
-@register("stream_quota", note="stateful admission; checked against a plain fold in tests")
+QUOTA_LIMIT, QUOTA_WINDOW = 2, 3600  # low enough that the tables hold refused requests
+
+
+@register("stream_quota", sql=f"""
+WITH RECURSIVE ev AS (
+  SELECT event_id, user_id, ts, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth
+  FROM events),
+step AS (
+  SELECT event_id, user_id, ts, nth, true AS admitted, [us] AS held FROM ev WHERE nth = 1
+  UNION ALL
+  SELECT event_id, user_id, ts, nth, len(kept) < {QUOTA_LIMIT},
+         CASE WHEN len(kept) < {QUOTA_LIMIT} THEN list_append(kept, us) ELSE kept END
+  FROM (SELECT e.event_id, e.user_id, e.ts, e.nth, e.us,
+               list_filter(s.held, lambda x: e.us - x < {QUOTA_WINDOW * 1_000_000}) AS kept
+        FROM step s JOIN ev e ON e.user_id = s.user_id AND e.nth = s.nth + 1))
+SELECT event_id, user_id, ts, admitted, CAST(len(held) AS INTEGER) AS in_window FROM step""")
 def q_stream_quota(t: Tables) -> DataFrame:
     """#98: exact admission over events replayed as 4 time-ordered file drops."""
     spark = t.spark

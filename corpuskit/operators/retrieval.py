@@ -155,6 +155,7 @@ def vector_topk(items: DataFrame, queries: DataFrame, key: str, vec: str,
     numpy and keeps only its local top-k. An item crosses the network once
     for every ``query_block`` queries, in the type it is stored in. The block
     numbers come from scalar subqueries, so nothing runs before the plan does.
+    Rows without a vector take no part.
     """
     def blocks(df: DataFrame, size: int) -> Column:
         n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
@@ -162,7 +163,7 @@ def vector_topk(items: DataFrame, queries: DataFrame, key: str, vec: str,
 
     def dealt(df: DataFrame, name: str, v: str, own: str, n_own: Column, other: str, n_other: Column) -> DataFrame:
         out = df.select(F.col(name).alias("_id"), F.col(v).alias("_v"), n_own.alias("_n"), n_other.alias("_m"))
-        out = out.withColumn(own, F.pmod(F.xxhash64("_id"), F.col("_n")))
+        out = out.filter("_v IS NOT NULL").withColumn(own, F.pmod(F.xxhash64("_id"), F.col("_n")))
         return out.select("_id", "_v", own, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)).alias(other))
 
     ib, qb = blocks(items, item_block), blocks(queries, query_block)

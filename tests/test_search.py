@@ -70,6 +70,15 @@ def test_vector_topk_brute_force(spark):
         assert all(abs(r.vmax - s.max()) < 1e-9 and abs(r.vmin - s.min()) < 1e-9 for r in got if r.qid == 100 + i)
 
 
+def test_vector_topk_without_vectors(spark):
+    it = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])], "vec_id long, v array<float>")
+    qs = spark.createDataFrame([(9, [1.0, 0.0]), (8, None), (7, [0.0, 2.0]), (6, [3.0, 0.0])], "qid long, qv array<float>")
+    got = R.vector_topk(it, qs, "vec_id", "v", "qid", "qv", k=1, at_once=2).collect()
+    assert sorted((r.qid, r.vec_id, r.score, r.vmin, r.vmax) for r in got) == [
+        (6, 1, 1.0, 0.0, 1.0), (7, 3, 1.0, 0.0, 1.0), (9, 1, 1.0, 0.0, 1.0)]
+    assert R.vector_topk(it.limit(0), qs, "vec_id", "v", "qid", "qv").count() == 0
+
+
 def test_cosine_matches_numpy(spark):
     df = spark.createDataFrame([([1.0, 2.0, 3.0], [3.0, 2.0, 1.0])], "a array<double>, b array<double>")
     v = df.select(R.cosine(F.col("a"), F.col("b")).alias("c")).first().c

@@ -49,6 +49,19 @@ def test_sliding_quota_brute_force(spark):
         assert got[i] == (n, n > 3), (i, got[i], n)
 
 
+def test_sliding_quota_repeated_rows_and_other_columns(spark):
+    from corpuskit.operators.activity import sliding_quota
+    base = dt.datetime(2024, 1, 1, 0, 0, 59)
+    rows = [(1, 7, base, "a"), (1, 7, base, "b"), (2, 7, base + dt.timedelta(seconds=59), "c"),
+            (3, 7, base + dt.timedelta(seconds=60), None)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, note string")
+    out = sliding_quota(df, "user_id", "ts", 2, 60)
+    assert out.columns == [*df.columns, "in_window", "over_quota"]
+    got = sorted((r.event_id, r.note, r.in_window, r.over_quota) for r in out.collect())
+    assert got == [(1, "a", 2, False), (1, "b", 2, False), (2, "c", 3, True), (3, None, 2, False)]
+    assert sliding_quota(df.limit(0), "user_id", "ts", 2, 60).count() == 0
+
+
 def test_failure_streaks_brute_force(spark):
     from pyspark.sql import functions as F
     from corpuskit.operators.activity import failure_streaks

@@ -3,8 +3,8 @@
 A document's token ids (an end id included) are cut into whole sequences and
 one remainder. Whole sequences need no packing. Remainders are packed over the
 histogram of their lengths: lengths are placed longest first, each time into
-the shortest pack so far while it fits, moving counts between packing
-patterns, so the work depends on the number of lengths and not on the number
+the shortest pack so far while it fits (pieces of one length share packs too),
+moving counts between packing patterns, so the work depends on the number of lengths and not on the number
 of documents. Remainders are then ranked within their length, and the rank
 names the pattern's copy and the place in it.
 
@@ -121,7 +121,12 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 
 def patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, list[int]]]:
     """(count, lengths) of packs: lengths longest first, each into the shortest
-    pack so far if it fits there, else into a new one."""
+    pack so far if it fits there, else into new ones: as few as hold the rest
+    of the length, or one for each piece, whichever gives fewer packs."""
+    return min((_filled(histogram, size, few) for few in (True, False)), key=lambda packs: sum(n for n, _ in packs))
+
+
+def _filled(histogram: dict[int, int], size: int, few: bool) -> list[tuple[int, list[int]]]:
     open_packs: list[tuple[int, int]] = []  # heap of (filled, number)
     packs: list[list] = []  # count, lengths
     for length in sorted(histogram, reverse=True):
@@ -140,7 +145,7 @@ def patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, lis
                     lengths.append(length)
                     heapq.heappush(open_packs, (filled + length, k))
             else:
-                moved = left
+                moved = -(-left // (size // length)) if few else left
                 packs.append([moved, [length]])
                 heapq.heappush(open_packs, (length, len(packs) - 1))
             left -= moved

@@ -238,6 +238,42 @@ def test_patterns_place_every_length_shortest_pack_first():
     assert packing.patterns({}, 100) == []
 
 
+@pytest.mark.parametrize("histogram, size, most", [
+    ({300: 100_000}, 4096, 7693), ({2: 7, 1: 10**6}, 4096, 245), ({40: 2, 30: 4}, 100, 2),
+    ({120: 50_000, **{x: 20 for x in range(1, 4096)}}, 4096, None)])
+def test_patterns_of_a_hot_length(histogram, size, most):
+    packs = packing.patterns(dict(histogram), size)
+    placed = Counter()
+    for count, lengths in packs:
+        assert count > 0 and sum(lengths) <= size
+        for x in lengths:
+            placed[x] += count
+    assert placed == histogram
+    n, least = sum(count for count, _ in packs), -(-sum(x * k for x, k in histogram.items()) // size)
+    assert n <= (most or least * 1.01)
+    # ranks of a length are dealt once each, and no two pieces overlap
+    ends = defaultdict(int)
+    table = packing.places(packs)
+    assert {x: int((table[:, 0] == x).sum()) > 0 for x in histogram} == dict.fromkeys(histogram, True)
+    for x in sorted(histogram)[:3]:
+        own = table[table[:, 0] == x]
+        bounds = [*own[:, 1].tolist(), histogram[x]]
+        for (_, first, sequence, at), after in zip(own.tolist(), bounds[1:]):
+            assert after > first
+            for k in range(min(after - first, 50)):
+                assert at >= 0 and (sequence + k, at) not in ends
+                ends[sequence + k, at] = x
+
+
+def test_packing_of_copies(spark):
+    """Copies of one text share sequences."""
+    pairs = [(i, "one two three four five six seven") for i in range(200)] + [(500, "a b c " * 20)]
+    rows = packing.pack_documents(spark.createDataFrame(pairs, "doc_id long, text string"), size=100, buckets=3).collect()
+    ids = plain_ids(pairs)
+    total = sum(len(x) for own in ids.values() for x in own)
+    assert check_packing(rows, ids, 100) * 100 <= total * 1.1 + 100
+
+
 def test_pipeline_against_plain_version(spark, tmp_path):
     """The stages by plain Python over the small table."""
     import corpus_pipeline as pipeline

@@ -1,6 +1,7 @@
 """Licence scan by sentence rules, in SQL functions only.
 
-A text is cut into sentences; a sentence with a licence word is normalised and
+Hard-wrapped lines (and the leaders of comment lines) are joined, so that a
+sentence is seen whole. A text is cut into sentences; a sentence with a licence word is normalised and
 mapped to the identifier of the first sentence rule it matches (``Unknown`` if
 none does). The identifiers, in text order, form a sequence; at each place the
 first licence rule that matches consumes the identifiers it covers, so whole
@@ -111,10 +112,28 @@ LICENSES = (
 
 # a sentence ends at a line feed, or at a closing mark before white space
 SENTENCE_END = r"\n|[.!?;]+[ \t\r]+"
+
+# A line that starts a sentence of its own (list marker, notice, comment, quote), and one that goes on.
+_OWN_LINE = (r"[ \t]*(?:\r?\n|\r?$|[-+*•‣◦#>|;%/=_~]|(?i:dnl|rem)\b|\(?(?:[0-9]{1,3}|[A-Za-z]|[ivxIVX]{1,4})[.)][ \t]"
+             r"|(?i:copyright\b|\(c\)|©|spdx|all rights reserved))")
+_GOES_ON = r"[ \t]*(?:[a-z]|(?i:version[ \t]+[0-9]))"
+# a line feed inside a sentence: after a line of some length, or before a line that goes on
+WRAP = rf"[ \t\r]*(?<=\S[ \t\r]{{0,8}})\n(?!{_OWN_LINE})(?:(?<=[^\n]{{40}}\n)|(?={_GOES_ON}))[ \t]*"
+# comment lines after a line with the same leader, and inside /* */
+COMMENT = r"\n(?=[ \t]*(?:[/#;%-]|dnl\b))(?:" + "|".join(
+    rf"(?<=(?:^|\n)[ \t]{{0,40}}{x}[^\n]{{0,400}}\n)[ \t]*{x}" for x in (
+        "/{2,9}", "#{1,9}", ";{1,9}", "-{2,9}", "%{1,9}", "dnl")) + r")[ \t]*"
+STARRED = r"\n[ \t]*\*(?![*/])[ \t]*"
 _SIGNS = r"[^a-z0-9.]+"
 _STOPS = r"\.+( |$)|(^| )\.+"
 
 
+def unwrapped(text: Column) -> Column:
+    """Text with the line feeds inside its sentences, and the leaders of its comment lines, as spaces."""
+    starred = F.when(text.contains("/*") & text.rlike(r"(?m)^[ \t]*/\*"), F.regexp_replace(text, STARRED, "\n")).otherwise(text)
+    return F.regexp_replace(F.regexp_replace(starred, COMMENT, "\n"), WRAP, " ")
+
+
 def normalised(sentence: Column) -> Column:
     low = F.regexp_replace(F.lower(sentence), _SIGNS, " ")
     return F.trim(F.regexp_replace(low, _STOPS, " "))
@@ -145,7 +164,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     the different ones in text order, joined by commas; ``unmatched`` are the
     identifiers left over.
     """
-    parts = F.split(F.coalesce(F.col(text_col), F.lit("")), SENTENCE_END)
+    parts = F.split(unwrapped(F.coalesce(F.col(text_col), F.lit(""))), SENTENCE_END)
     cued = F.filter(F.transform(parts, normalised), lambda s: s.rlike(CUE))
     out = df.select(F.col(id_col), cued.alias("found"))
     out = out.select(id_col, F.size("found").cast("long").alias("n_sentences"),

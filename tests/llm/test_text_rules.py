@@ -157,6 +157,63 @@ def test_licenses(spark, text, want):
     assert licenses.scan(df).first()["licenses"] == want
 
 
+BSD3 = """Copyright (c) 2020, Jane Doe
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+You should have received a copy of the GNU General Public License
+along with this program."""
+ISC = """Copyright (c) 2020, Jane Doe
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES."""
+
+
+@pytest.mark.parametrize("text, want", [
+    (BSD3, "All-Rights-Reserved,BSD-3-Clause"), (GPL3, "GPL-3.0-or-later"), (ISC, "ISC")])
+@pytest.mark.parametrize("lead, first, last", [
+    ("", "", ""), ("# ", "", ""), ("// ", "", ""), (";; ", "", ""), ("    ", "", ""), (" * ", "/*\n", "\n */")])
+def test_wrapped_licenses(spark, text, want, lead, first, last):
+    for end in ("\n", "\r\n"):
+        whole = first + "\n".join((lead + x).rstrip() for x in text.split("\n")) + last
+        df = spark.createDataFrame([(1, whole.replace("\n", end))], "doc_id long, text string")
+        got = licenses.scan(df).first()
+        assert got["licenses"] == want and "Unknown" not in got["licenses"], (whole, got)
+
+
+@pytest.mark.parametrize("text, want", [
+    ("Apache License\nVersion 2.0, January 2004", "Apache-2.0"),
+    ("MIT License\nISC License\nBSD License", "MIT,ISC,BSD"),  # short lines are not wrapped
+    ("* This part is under the MIT License and no other one\n* This part is under the ISC License", "MIT,ISC"),
+    ("This part of the book is under the MIT License\n\nThe other part is under the ISC License", "MIT,ISC")])
+def test_lines_of_their_own_stay_apart(spark, text, want):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert licenses.scan(df).first()["licenses"] == want
+
+
 def test_awkward_tables(awkward, nothing):
     n = awkward.count()
     for run in (quality.quality, secret_scan.scan, licenses.scan):

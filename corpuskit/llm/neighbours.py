@@ -252,7 +252,7 @@ def top_k(items: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_
 
     placed = stored(rows.mapInArrow(place, "vec_id long, v array<double>, size long, cell long, at array<double>"), "cells")
     bounds = [F.min(F.col("at")[j]).alias(f"low{j}") for j in range(m)] + [F.max(F.col("at")[j]).alias(f"high{j}") for j in range(m)]
-    # a row a cell: bounded by the sample
+    # a row a cell: bounded by the sample and the number of lengths
     boxes = placed.groupBy("size", "cell").agg(F.count("*").alias("n"), *bounds).orderBy("size", "cell").collect()
     blocks = {(b["size"], b["cell"]): -(-b["n"] // block) for b in boxes}
     few = F.create_map(*[F.lit(x) for (s, c), j in blocks.items() if j > 1 for x in (f"{s}:{c}", j)]) \
@@ -268,7 +268,7 @@ def top_k(items: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_
         for batch in batches:
             vectors = batch.column(1).to_pylist()
             size = np.array([len(v) for v in vectors], dtype=np.int64)
-            cell = np.full(len(size), -1, dtype=np.int64)
+            cell = np.zeros(len(size), dtype=np.int64)  # as its rows: 0 for lengths that the sample lacks
             for s in np.unique(size).tolist():
                 if s in trees:
                     here = np.flatnonzero(size == s)
@@ -298,10 +298,12 @@ def top_k(items: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_
 
     first = materialize(searched(home))
     kth = best(first).filter(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
-    sizes = {s: [b for b in boxes if b["size"] == s] for s in seen}
+    sizes: dict[int, list] = {}  # every length, in the sample or not
+    for b in boxes:
+        sizes.setdefault(b["size"], []).append(b)
     table = {s: (np.array([b["cell"] for b in bs]), np.array([[b[f"low{j}"] for j in range(m)] for b in bs]),
                  np.array([[b[f"high{j}"] for j in range(m)] for b in bs]),
-                 [blocks[s, b["cell"]] for b in bs]) for s, bs in sizes.items() if bs}
+                 [blocks[s, b["cell"]] for b in bs]) for s, bs in sizes.items()}
 
     def route(batches):
         """The blocks of the cells whose box passes the test, but the query's own."""

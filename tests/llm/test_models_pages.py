@@ -122,6 +122,18 @@ def test_neighbours_ties_and_invalid(spark):
     assert sorted(r["vec_id"] for r in twice) == [1, 1, 2, 2]
 
 
+@pytest.mark.parametrize("block", [2, 16_384])
+def test_neighbours_of_a_length_that_the_sample_lacks(spark, block):
+    rng = np.random.default_rng(6)
+    rows = vectors(rng, 40, 3) + [(100 + i, v) for i, v in vectors(rng, 6, 2)] + [(200 + i, v) for i, v in vectors(rng, 5, 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.top_k(df, df, k=3, probability=0.999999, block=block, sample=1, queries_at_once=2).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    want = plain_top(rows, rows, 3)
+    assert {q: [got[q][j] for j in sorted(got[q])] for q in got} == {q: [i for i, _ in top] for q, top in want.items()}
+
+
 def test_chi_square_quantile():
     # table values for 2 and 8 degrees of freedom
     assert neighbours.chi_square_quantile(0.95, 2) == pytest.approx(5.9915, abs=1e-3)

@@ -3,8 +3,8 @@
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF_SMALL
 from oracle import compare, duck
+from paths import SF_SMALL
 
 QUERIES = entry.queries()
 SQLS = entry.oracle_sql()

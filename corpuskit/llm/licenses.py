@@ -11,7 +11,8 @@ Scale: everything is row-local JVM work on one column (no shuffle, no Python);
 both rule tables are fixed.
 
 Defined results: null and empty texts have no sentences and empty strings;
-repeated rows are scanned one by one; extra columns are not touched.
+repeated rows are scanned one by one; an empty table gives an empty result; a
+very long text is matched in linear time; extra columns are not touched.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ from pyspark.sql import functions as F
 
 # Words without which no sentence rule can match.
 CUE = (r"licen[sc]e|copyright|redistribut|warrant|permission|rights reserved|public domain|creative commons|"
-       r"cc by|cc0|provided (by .* )?as is|neither the names? of")
+       r"cc by|cc0|provided (by .{0,400} )?as is|neither the names? of")
 
 # Sentence identifiers and their patterns over a normalised
 # sentence (lower case; signs as single spaces; full stops only inside numbers).
+# A gap in a pattern spans 400 characters at most, so the time of a match is linear.
 SENTENCES = (
     ("SpdxApache2", r"spdx license identifier apache 2\.0"),
     ("SpdxMit", r"spdx license identifier mit"),
@@ -36,12 +38,12 @@ SENTENCES = (
     ("IscPermission", r"permission to use copy modify and or distribute this software for any purpose"),
     ("BsdSource", r"redistributions? of source code must retain"),
     ("BsdBinary", r"redistributions? in binary form must reproduce"),
-    ("BsdEndorse", r"neither the names? of .*(endorse|promote)"),
+    ("BsdEndorse", r"neither the names? of .{0,400}(endorse|promote)"),
     ("BsdPermitted", r"redistribution and use in source and binary forms"),
     ("Apache2Comply", r"not use this (file|work) except in compliance with the license"),
     ("LicenseCopyAt", r"you may obtain a copy of the license"),
     ("Apache2AsIs", r"distributed under the license is distributed on an as is basis"),
-    ("AsIs", r"(software|work|material) is provided (by .* )?as is|without warrant(y|ies) (or conditions )?of any kind"),
+    ("AsIs", r"(software|work|material) is provided (by .{0,400} )?as is|without warrant(y|ies) (or conditions )?of any kind"),
     ("Apache2Grant", r"apache license,? (version )?2|apache 2\.0 license"),
     ("ApacheGrant", r"apache (software )?license"),
     ("MitGrant", r"mit license"),
@@ -51,13 +53,13 @@ SENTENCES = (
     ("BsdGrant", r"bsd license"),
     ("Agpl3Grant", r"affero general public license (v|version )?3"),
     ("AgplGrant", r"affero general public license"),
-    ("Lgpl3Grant", r"(lesser|library) general public license (as published .*)?(v|version )?3"),
-    ("Lgpl2Grant", r"(lesser|library) general public license (as published .*)?(v|version )?2"),
+    ("Lgpl3Grant", r"(lesser|library) general public license (as published .{0,400})?(v|version )?3"),
+    ("Lgpl2Grant", r"(lesser|library) general public license (as published .{0,400})?(v|version )?2"),
     ("LgplGrant", r"(lesser|library) general public license"),
-    ("Gpl3Plus", r"general public license .*(v|version )3.* or .*later"),
-    ("Gpl3Grant", r"general public license (as published .*)?(v|version )?3"),
-    ("Gpl2Plus", r"general public license .*(v|version )2.* or .*later"),
-    ("Gpl2Grant", r"general public license (as published .*)?(v|version )?2"),
+    ("Gpl3Plus", r"general public license .{0,400}(v|version )3.{0,400} or .{0,400}later"),
+    ("Gpl3Grant", r"general public license (as published .{0,400})?(v|version )?3"),
+    ("Gpl2Plus", r"general public license .{0,400}(v|version )2.{0,400} or .{0,400}later"),
+    ("Gpl2Grant", r"general public license (as published .{0,400})?(v|version )?2"),
     ("GplCopy", r"received a copy of the gnu general public license"),
     ("GplGrant", r"general public license"),
     ("Mpl2Grant", r"mozilla public license (v|version )?2"),
@@ -70,7 +72,7 @@ SENTENCES = (
     ("CcBy", r"cc by|creative commons attribution"),
     ("PublicDomain", r"public domain"),
     ("AllRights", r"all rights reserved"),
-    ("CopyrightNotice", r"^copyright .*(19|20)[0-9][0-9]|copyright c"),
+    ("CopyrightNotice", r"^copyright .{0,400}(19|20)[0-9][0-9]|copyright c"),
 )
 
 # Licences and their sequences of sentence identifiers, in order.
@@ -148,12 +150,19 @@ def sentence_id(sentence: Column) -> Column:
     return out.otherwise("Unknown")
 
 
+def _iterated(pattern: str) -> str:
+    """The pattern with possessive repetitions: nothing follows them that could
+    take an identifier back, and the JVM then matches any number of identifiers
+    in a loop (a plain repeated group recurses once for each)."""
+    return pattern.replace(")*", ")*+")
+
+
 def license_of(sequence: Column) -> Column:
     """Licence of the first rule that covers a whole sequence of identifiers."""
     name, pattern = LICENSES[0]
-    out = F.when(sequence.rlike(f"^(?:{pattern})$"), name)
+    out = F.when(sequence.rlike(f"^(?:{_iterated(pattern)})$"), name)
     for name, pattern in LICENSES[1:]:
-        out = out.when(sequence.rlike(f"^(?:{pattern})$"), name)
+        out = out.when(sequence.rlike(f"^(?:{_iterated(pattern)})$"), name)
     return out
 
 
@@ -171,7 +180,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
                      F.transform("found", lambda s: F.concat(F.lit("<"), sentence_id(s), F.lit(">"))).alias("ids"))
     out = out.select(id_col, "n_sentences", F.array_join("ids", "").alias("sentence_ids"))
     # at each place the first rule that matches consumes its identifiers
-    rules = "|".join(f"(?:{pattern})" for _, pattern in LICENSES)
+    rules = "|".join(f"(?:{_iterated(pattern)})" for _, pattern in LICENSES)
     used = F.regexp_extract_all(F.col("sentence_ids"), F.lit(f"({rules})"), F.lit(1))
     named = F.transform(used, license_of)
     return out.select(

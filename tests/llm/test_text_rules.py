@@ -227,3 +227,14 @@ def test_awkward_tables(awkward, nothing):
     for run in (quality.keep_clean, secret_scan.redact):
         assert run(awkward).columns == awkward.columns and run(nothing).count() == 0
     assert secret_scan.redact(awkward).count() == n
+
+
+def test_licence_of_a_very_long_text(spark):
+    """Repeated sentences are matched in a loop, long gaps in linear time."""
+    rows = [(1, "Licensed under the Apache License, Version 2.0. " + "The software is provided as is. " * 20_000),
+            (2, "Permission is hereby granted, free of charge, to any person obtaining a copy. "
+                + "The software is provided as is. " * 20_000),
+            (3, "the software is provided by us " * 15_000)]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["licenses"] for i in (1, 2, 3)] == ["Apache-2.0", "MIT", ""]
+    assert got[1]["n_sentences"] == 20_001 and got[1]["unmatched"] == ""

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuskit.llm import licenses, lm, mixing, neighbours, packing, pages, quality, secret_scan, simhash, token_counts
+from corpuskit.llm import (
+    fim, licenses, lm, mixing, neighbours, packing, pages, quality, secret_scan, simhash, token_counts)
 from corpuskit.llm.common import read
 
 
@@ -54,10 +55,15 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_text(read(spark, sf_dir, "pages"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_token_counts, op2_simhash_near_dedup, op3_license_scan, op4_secret_scan, op5_mixing, op6_packing,
-        op7_pseudo_likelihood, op8_nearest_neighbours, op9_quality_rules, op10_page_text)}
+        op7_pseudo_likelihood, op8_nearest_neighbours, op9_quality_rules, op10_page_text,
+        op13_fill_in_middle)}
 
 MIXING_SQL = r"""
 WITH docs AS (
@@ -96,4 +102,5 @@ SELECT doc_id, size, source_size, target,
 FROM run
 """
 
-SQL: dict[str, str] = {"op3_license_scan": licenses.oracle_sql(), "op5_mixing": MIXING_SQL}
+SQL: dict[str, str] = {"op3_license_scan": licenses.oracle_sql(), "op5_mixing": MIXING_SQL,
+                       "op13_fill_in_middle": fim.ORACLE_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpuskit.llm import (
-    fim, licenses, lm, mixing, neighbours, packing, pages, quality, secret_scan, simhash, token_counts, warc)
+    fim, licenses, lm, mixing, negatives, neighbours, packing, pages, quality, secret_scan, simhash, token_counts, warc)
 from corpuskit.llm.common import read
 
 
@@ -55,6 +55,14 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_text(read(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = read(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return negatives.mine(rows, rows.filter("vec_id % 50 = 0"))
+
+
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages"))
 
@@ -67,7 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_token_counts, op2_simhash_near_dedup, op3_license_scan, op4_secret_scan, op5_mixing, op6_packing,
         op7_pseudo_likelihood, op8_nearest_neighbours, op9_quality_rules, op10_page_text,
-        op12_warc, op13_fill_in_middle)}
+        op11_hard_negatives, op12_warc, op13_fill_in_middle)}
 
 MIXING_SQL = r"""
 WITH docs AS (
@@ -107,4 +115,4 @@ FROM run
 """
 
 SQL: dict[str, str] = {"op3_license_scan": licenses.oracle_sql(), "op5_mixing": MIXING_SQL,
-                       "op12_warc": warc.ORACLE_SQL, "op13_fill_in_middle": fim.ORACLE_SQL}
+                       "op11_hard_negatives": negatives.ORACLE_SQL, "op12_warc": warc.ORACLE_SQL, "op13_fill_in_middle": fim.ORACLE_SQL}

@@ -301,7 +301,8 @@ def round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/corpuskit-warc-{uuid.uuid4().hex}"
     write_archives(pages, path)
-    captures = stored(assemble(read_records(spark, path, payloads=False)), "captures")
+    found = stored(read_records(spark, path, payloads=False), "records")  # archives are read once
+    captures = stored(assemble(found), "captures")
     return page_rows(captures)
 
 

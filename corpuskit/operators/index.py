@@ -1,47 +1,104 @@
-"""Stored search index: chunk rows, postings, term counts and collection counts.
+"""Stored search index: chunk rows, postings laid out by term, collection counts.
 
 An ingest writes it once to a shared folder; every search reads the written
 tables, so no query cleans, chunks or tokenises the corpus again.
+
+Layout
+------
+* ``blocks``: one row per (term, range) with the postings of the term in that
+  range of chunks, and what gives their maximal weight: the shortest chunk of
+  each term frequency (so the maximum stays exact whatever the average length
+  becomes). The table is partitioned on disk by ``part``, a hash of the term,
+  and sorted by term inside a file: a search reads the parts of its terms only
+  (a partition filter), and the maxima without the postings (column pruning).
+* A range is a hash of runs of ``RUN`` consecutive chunks of a file, about
+  ``RANGE`` chunks in all, so all terms share the ranges, the chunks of one
+  file stay together, and a giant file or a term that stands in most chunks is
+  still spread over many blocks.
+* ``terms``: term, part, df. ``stats``: one row, n_docs and avgdl.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuskit.operators import retrieval
 
+RANGE = 32          # chunks a range, on average
+RUN = 32            # consecutive chunks of a file that share a range
+PART_CHUNKS = 4096   # chunks a term part, on average
+MOST_PARTS = 4096
+SLICE = 256          # ranges of one part that are written by one task, on average
+
 
 @dataclass(frozen=True)
 class SearchIndex:
-    """``chunks``: the chunk rows. ``postings``: keys, source_filename, dl, term,
-    tf, first. ``terms``: term, df. ``stats``: one row, n_docs and avgdl."""
+    """``chunks``: the chunk rows and their ``range``. ``blocks``: part, term, range, n, n_tokens,
+    tops (tf, dl), n_first, dl_first, entries. ``parts``: number of term parts."""
 
     chunks: DataFrame
-    postings: DataFrame
+    blocks: DataFrame
     terms: DataFrame
     stats: DataFrame
+    parts: int
+    ranges: int
+
+    @property
+    def postings(self) -> DataFrame:
+        """One row per posting: term, part, range, keys..., source_filename, dl, tf."""
+        return self.blocks.select("term", "part", "range", F.inline("entries"))
+
 
+def part_of(term: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
 
-def write_index(chunks: DataFrame, folder: str, keys: list[str]) -> SearchIndex:
+
+def range_of(file: Column, chunk_index: Column, ranges: int) -> Column:
+    return F.pmod(F.xxhash64(file, F.floor(chunk_index / RUN)), F.lit(ranges)).cast("int")
+
+
+def write_index(chunks: DataFrame, folder: str, keys: list[str], chunk_index: str = "chunk_index",
+                file: str = "source_filename") -> SearchIndex:
     """Write the index of ``chunks`` into ``folder``; each table is made from the written one before it."""
     spark = chunks.sparkSession
 
-    def stored(name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    def stored(name: str, df: DataFrame, *by: str) -> DataFrame:
+        df.write.mode("overwrite").partitionBy(*by).parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-    rows = stored("chunks", chunks)
-    post = stored("postings", retrieval.postings(rows, [*keys, "source_filename"]))
-    terms = stored("terms", post.filter(F.col("term").isNotNull()).groupBy("term").agg(F.count(F.lit(1)).alias("df")))
-    stats = stored("stats", post.filter("first").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")))
-    return SearchIndex(rows, post, terms, stats)
+    plain = stored("chunks", chunks)
+    n = plain.count()
+    ranges = max(1, -(-n // RANGE))
+    parts = min(MOST_PARTS, max(8, -(-n // PART_CHUNKS)))
+    rows = plain.withColumn("range", range_of(F.col(file), F.col(chunk_index), ranges))
+
+    # ``first`` marks one posting of every chunk: N and the lengths are sums over the blocks
+    post = retrieval.postings(rows, [*keys, file, "range"]).withColumn("part", part_of(F.col("term"), parts))
+    # the rows of a (part, slice) are the groups' own partition, so the aggregate shuffles no more;
+    # a part with a very frequent term is written by as many tasks as it has slices
+    slices = max(1, -(-ranges // SLICE))
+    dealt = post.withColumn("slice", F.pmod("range", F.lit(slices)))
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(max(shuffled, min(parts * slices, 16 * shuffled)), "part", "slice")
+    blocks = dealt.groupBy("part", "slice", "term", "range").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("tf").alias("n_tokens"),
+        F.count_if("first").alias("n_first"), F.coalesce(F.sum(F.when(F.col("first"), F.col("dl"))), F.lit(0)).alias("dl_first"),
+        F.collect_list(F.struct(*keys, file, "dl", "tf")).alias("entries"))  # at most the chunks of a range
+    tops = F.transform(F.array_distinct("entries.tf"), lambda tf: F.struct(tf.alias("tf"), F.array_min(F.transform(
+        F.filter("entries", lambda e: e["tf"] == tf), lambda e: e["dl"])).alias("dl")))
+    blocks = stored("blocks", blocks.select("term", "range", "n", "n_tokens", tops.alias("tops"), "n_first", "dl_first", "entries", "part")
+                    .sortWithinPartitions("part", "term", "range"), "part")
+    terms = stored("terms", blocks.filter(F.col("term").isNotNull()).groupBy("part", "term").agg(F.sum("n").alias("df"))
+                   .select("term", "df", "part"), "part")
+    stats = stored("stats", blocks.agg(F.sum("n_first").alias("n_docs"), (F.sum("dl_first") / F.sum("n_first")).alias("avgdl")))
+    return SearchIndex(rows, blocks, terms, stats, parts, ranges)
 
 
 def source_version(spark: SparkSession, path: str) -> tuple:
-    """What tells a changed source from the one indexed: rows, newest change and outer names of its files."""
-    m = F.col("_metadata")
-    return tuple(spark.read.parquet(path).select(m["file_path"].alias("p"), m["file_modification_time"].alias("t"))
-                 .agg(F.count("p"), F.max("t"), F.min("p"), F.max("p")).first())
+    """What tells a changed source from the one indexed: number, size, newest change
+    and outer names of its files, from their listing alone (no file is read)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return tuple(files.agg(F.count("path"), F.sum("length"), F.max("modificationTime"), F.min("path"), F.max("path")).first())

@@ -2,12 +2,11 @@
 
 Scale notes
 -----------
-* BM25 is an inverted-index join: postings ``(chunk, term, tf)`` are built
-  with a map-side partial aggregate, restricted to the query vocabulary with a
-  semi join (the vocabulary side is broadcast only when AQE's size check says
-  it is small), and scored with one ``groupBy(query, chunk)``. Collection
-  statistics (N, avgdl) are scalar subqueries over the same postings, so the
-  exchange is reused instead of tokenising twice.
+* BM25 joins the query terms, weighted, with an index partitioned by term
+  (``operators.index``): the scan reads the parts of the batch's terms only.
+  ``bm25_topk`` skips ranges of chunks by their bounds; where every match counts
+  (``bm25_search``) one ``groupBy(query, chunk)`` sums the weights. N and avgdl
+  are scalar subqueries.
 * Exact vector top-k never materialises query x item pairs as rows: queries
   and items are hashed into bounded blocks, each (query block, item block)
   group runs one numpy matrix product and emits only its top-k per query plus
@@ -19,6 +18,8 @@ Scale notes
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -106,24 +107,113 @@ def _bm25(p: DataFrame, terms: DataFrame, n_docs: Column, avgdl: Column, qt: Dat
             .groupBy(qid, *keys).agg(F.sum(F.col("idf") * tfn).alias("bm25")))
 
 
+#: Distinct terms of a batch of queries up to which they are compiled into the scan's filter.
+MOST_TERMS = 1000
+#: Ranges of a query that the first phase of ``bm25_topk`` scores whole.
+FIRST_RANGES = 8
+#: Terms of a query up to which ``bm25_topk`` bounds ranges first: the maxima of
+#: many terms add up to bounds that hardly any range falls short of.
+SHORT_QUERY = 6
+
+
+def _tfn(tf: Column, dl: Column, avgdl: Column, k1: float, b: float) -> Column:
+    """Weight of a posting: grows with ``tf``, falls with ``dl``."""
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+
+
+def _weighted(index, qt: DataFrame) -> tuple[DataFrame, DataFrame, Column]:
+    """(blocks of the terms of ``qt``, ``qt`` with part and idf, avgdl).
+
+    The parts that hold the batch's terms are a partition filter of the scan:
+    a list of at most ``index.parts`` numbers, from a job over the queries
+    alone. A batch of few terms filters on the terms as well.
+    """
+    from corpuskit.operators.index import part_of
+
+    parted = qt.withColumn("part", part_of(F.col("term"), index.parts))
+    found = parted.select("part", "term").distinct().limit(MOST_TERMS + 1).collect()
+    held = F.col("term").isNotNull()
+    if len(found) <= MOST_TERMS:
+        held = F.col("part").isin([r["part"] for r in found]) & F.col("term").isin([r["term"] for r in found])
+    else:
+        numbers = [r["part"] for r in parted.select("part").distinct().collect()]
+        held = held & F.col("part").isin(numbers)
+    n_docs, avgdl = index.stats.select("n_docs").scalar(), index.stats.select("avgdl").scalar()
+    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = parted.join(index.terms.filter(held), ["part", "term"]).select(*parted.columns, idf.alias("idf"))
+    return index.blocks.filter(held), weighted, avgdl
+
+
+def _scored(blocks: DataFrame, weighted: DataFrame, avgdl: Column, qid: str, keys: list[str], on: list[str],
+            k1: float, b: float, file: str | None = None, ranges: DataFrame | None = None) -> DataFrame:
+    """BM25 of the postings of the blocks that meet ``weighted`` on part, term and
+    ``on``, in the given (query, range) only."""
+    met = blocks.join(weighted, ["part", "term", *on])
+    if ranges is not None:
+        met = met.join(ranges, [qid, "range"], "left_semi")
+    rows = met.select(qid, "idf", *([F.col(file).alias("_wanted")] if file else []), F.inline("entries"))
+    if file:
+        rows = rows.filter(F.col("source_filename") == F.col("_wanted"))
+    return rows.groupBy(qid, *keys).agg(F.sum(F.col("idf") * _tfn(F.col("tf"), F.col("dl"), avgdl, k1, b)).alias("bm25"))
+
+
 def bm25_search(index, queries: DataFrame, keys: list[str], qid: str = "query_id", qtext: str = "query",
                 wanted_file: str | None = None, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
-    """BM25 over a stored index (``operators.index.SearchIndex``): ``qid, keys..., bm25``.
+    """BM25 over a stored index (``operators.index.SearchIndex``): ``qid, keys..., bm25`` of every match.
 
-    ``wanted_file`` (#10): a column of ``queries``; a query that names a file is
-    joined to the postings on (term, file), so only that file's chunks are
-    scored; N, avgdl and df stay those of the whole collection.
+    ``wanted_file`` (#10): a column of ``queries``; a query that names a file
+    meets only the blocks of that file's ranges, and only that file's chunks
+    are scored; N, avgdl and df stay those of the whole collection.
     """
-    n_docs, avgdl = index.stats.select("n_docs").scalar(), index.stats.select("avgdl").scalar()
-    qt = query_terms(queries, qid, qtext)
+    blocks, weighted, avgdl = _weighted(index, query_terms(queries, qid, qtext))
     if wanted_file is None:
-        return _bm25(index.postings, index.terms, n_docs, avgdl, qt, qid, keys, k1, b)
-    qt = qt.join(queries.select(qid, F.col(wanted_file).alias("source_filename")), qid)
-    free = qt.filter(F.col("source_filename").isNull()).drop("source_filename")
-    bound = qt.filter(F.col("source_filename").isNotNull())
-    return (_bm25(index.postings, index.terms, n_docs, avgdl, free, qid, keys, k1, b)
-            .unionByName(_bm25(index.postings, index.terms, n_docs, avgdl, bound, qid, keys, k1, b,
-                               on=["term", "source_filename"])))
+        return _scored(blocks, weighted, avgdl, qid, keys, [], k1, b)
+    wanted = queries.select(qid, F.col(wanted_file).alias("wanted_file"))
+    free = weighted.join(wanted.filter(F.col("wanted_file").isNull()).select(qid), qid, "left_semi")
+    ranges = index.chunks.select(F.col("source_filename").alias("wanted_file"), "range").distinct()
+    bound = weighted.join(wanted.join(ranges, "wanted_file"), qid)
+    return _scored(blocks, free, avgdl, qid, keys, [], k1, b).unionByName(
+        _scored(blocks, bound, avgdl, qid, keys, ["range"], k1, b, file="wanted_file"))
+
+
+def bm25_topk(index, queries: DataFrame, keys: list[str], k: int = DEFAULT_TOP_K, qid: str = "query_id", qtext: str = "query",
+              k1: float = BM25_K1, b: float = BM25_B, first: int = FIRST_RANGES, short: int = SHORT_QUERY) -> DataFrame:
+    """The k best chunks of every query, exactly: ``qid, keys..., bm25, rank``.
+
+    Queries of at most ``short`` terms are answered without scoring every match.
+
+    The blocks' maxima, summed over a query's terms, bound the score of every
+    chunk of a range. The ``first`` ranges with the largest bounds are scored;
+    the k-th score found there is one that the result reaches at least, so the
+    ranges whose bound lies below it are skipped: their postings meet no query.
+    """
+    qt = query_terms(queries, qid, qtext)
+    sized = qt.groupBy(qid).agg((F.count(F.lit(1)) <= short).alias("_short"))
+    blocks, weighted, avgdl = _weighted(index, qt)
+    found = [_scored(blocks, weighted.join(sized.filter(~F.col("_short")), qid, "left_semi"), avgdl, qid, keys, [], k1, b)]
+    if sized.filter("_short").limit(1).count():
+        few = materialize(weighted.join(sized.filter("_short"), qid, "left_semi"))
+        left = small(_reaching(blocks, few, avgdl, keys, k, qid, k1, b, first))
+        found.append(_scored(blocks, few, avgdl, qid, keys, [], k1, b, ranges=left))
+    return top_k(functools.reduce(DataFrame.unionByName, found), qid, "bm25", keys, k)
+
+
+def _reaching(blocks: DataFrame, weighted: DataFrame, avgdl: Column, keys: list[str], k: int, qid: str,
+              k1: float, b: float, first: int) -> DataFrame:
+    """(query, range), written: the ranges that can hold one of the k best chunks of a query."""
+    # the maximal weight of a block's postings: that of the shortest chunk of some frequency
+    met = blocks.join(weighted, ["part", "term"]).withColumn("_avgdl", avgdl)
+    most = F.array_max(F.transform("tops", lambda e: _tfn(e["tf"], e["dl"], F.col("_avgdl"), k1, b)))
+    bounds = materialize(met.groupBy(qid, "range").agg(F.sum(F.col("idf") * most).alias("bound")))
+    best = Window.partitionBy(qid).orderBy(F.desc("bound"), "range")
+    begun = small(materialize(bounds.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= first).select(qid, "range")))
+    scored = _scored(blocks, weighted, avgdl, qid, keys, [], k1, b, ranges=begun)
+    kth = (top_k(scored, qid, "bm25", keys, k, rank_col="_r").groupBy(qid)
+           .agg(F.min("bm25").alias("_kth"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= k))
+    # scores that are equal when rounded are ranked by their keys, so they stay
+    slack = 10.0 ** -SCORE_DP
+    return materialize(bounds.join(kth.select(qid, "_kth"), qid, "left").filter(
+        F.col("_kth").isNull() | (F.col("bound") >= F.col("_kth") - slack)).select(qid, "range"))
 
 
 def top_k(scored: DataFrame, qid: str, score: str, tiebreak: list[str],
@@ -336,47 +426,67 @@ def filename_filter(df: DataFrame, filename_col: str, wanted_col: str) -> DataFr
     return df.filter(F.col(wanted_col).isNull() | (F.col(filename_col) == F.col(wanted_col)))
 
 
-def hybrid_topk(bm25: DataFrame, vec_top: DataFrame, cos_of, alphas: DataFrame, qid: str, keys: list[str],
-                k: int = DEFAULT_TOP_K) -> DataFrame:
-    """#40/#41 exact fused top-k with threshold pruning (no cosine for most pairs).
+#: Depth of the keyword and vector lists that ``hybrid_topk`` reads first, in times of k.
+LIST_DEPTH = 8
+#: Rows up to which a table that several joins of a search meet is broadcast.
+SMALL_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A materialised table, to be broadcast if it has ``SMALL_ROWS`` rows at most."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
+def hybrid_topk(bm25: DataFrame, listed: DataFrame, cos_of, alphas: DataFrame, qid: str, keys: list[str],
+                k: int = DEFAULT_TOP_K, depth: int | None = None) -> DataFrame:
+    """#40/#41 exact fused top-k by a threshold merge of two ranked lists.
 
-    bm25    : qid, keys..., bm25            every keyword candidate
-    vec_top : qid, keys..., cos             vector top-k (exactness argument in ``hybrid_scores``)
+    bm25    : qid, keys..., bm25    every keyword candidate, written (it is read three times)
+    listed  : qid, keys..., cos     the ``depth`` nearest candidates of the queries with alpha > 0
     cos_of  : DataFrame(qid, keys...) -> same + ``cos`` (rows without a vector dropped)
     alphas  : qid, alpha, vmin, vmax
 
-    Seeds (vector top-k and keyword top-k) are scored exactly; their k-th
-    best fused score tau is a lower bound of the true k-th score. The scaled
-    vector score is at most 1, so a keyword candidate can only reach the
-    top-k when ``alpha + (1 - alpha) * nb >= tau``; only those survivors get a
-    cosine. Ties are kept, so the result equals fusing every candidate. The
-    large candidate table is only ever joined with per-query or seed-sized
-    tables (broadcast by AQE's size check), never shuffled against itself.
+    The first ``depth`` entries of both lists are fused exactly (each list's
+    entries are looked up in the other one); their k-th best score tau is one
+    that the result reaches at least. A candidate further down has at most the
+    cosine at which its query's vector list ends, so it can only matter if
+    ``alpha * nv_end + (1 - alpha) * nb >= tau``: only those get a cosine. The
+    candidate table meets tables of one query's size (its tau) or of the lists'
+    size only; where these are small it is never shuffled. Ties are kept, so the
+    result equals fusing every candidate.
     """
+    depth = depth or LIST_DEPTH * k
+    pair = [qid, *keys]
     brange = bm25.groupBy(qid).agg(F.min("bm25").alias("bmin"), F.max("bm25").alias("bmax"))
-    a = alphas.join(brange, qid, "left")
-    sb = (bm25.join(a.select(qid, "alpha", "bmin", "bmax"), qid)
-              .withColumn("nb", _minmax(F.col("bm25"), F.col("bmin"), F.col("bmax"))))
-
-    def fuse(cands: DataFrame) -> DataFrame:
-        """cands (small): qid, keys, bm25 -> + alpha, cos, score."""
-        c = cands.join(cos_of(cands.select(qid, *keys)), [qid, *keys], "left").join(a, qid)
-        nbx = F.when(F.col("bm25").isNull(), F.lit(0.0)).otherwise(_minmax(F.col("bm25"), F.col("bmin"), F.col("bmax")))
-        nvx = F.when(F.col("cos").isNull(), F.lit(0.0)).otherwise(_minmax(F.col("cos"), F.col("vmin"), F.col("vmax")))
-        fused = F.when(F.col("alpha") == 0, nbx).otherwise(F.col("alpha") * nvx + (1 - F.col("alpha")) * nbx)
-        return c.select(qid, *keys, "alpha", "bm25", "cos", fused.alias("score"))
-
-    vt = vec_top.select(qid, *keys).join(a.filter(F.col("alpha") > 0).select(qid), qid, "left_semi")
-    vt_in = sb.join(vt, [qid, *keys]).select(qid, *keys, "bm25")
-    vt_out = vt.join(vt_in.select(qid, *keys), [qid, *keys], "left_anti").withColumn("bm25", F.lit(None).cast("double"))
-    bt = top_k(sb, qid, "nb", keys, k, rank_col="_r").select(qid, *keys, "bm25")
-    seed_rows = bt.unionByName(vt_in).unionByName(vt_out).dropDuplicates([qid, *keys])
-    seeds = fuse(seed_rows)
-    kth = (top_k(seeds, qid, "score", keys, k, rank_col="_r")
-           .groupBy(qid).agg(F.min("score").alias("_tau"), F.count(F.lit(1)).alias("_n")))
-    tau = F.when(F.col("_n") >= k, F.col("_tau"))            # fewer than k seeds: no pruning
-    upper = F.when(F.col("alpha") == 0, F.col("nb")).otherwise(F.col("alpha") + (1 - F.col("alpha")) * F.col("nb"))
-    survivors = (sb.join(kth, qid, "left").filter(tau.isNull() | (upper >= tau - F.lit(1e-9)))
-                   .select(qid, *keys, "bm25"))
-    cands = survivors.unionByName(seed_rows).dropDuplicates([qid, *keys])
-    return top_k(fuse(cands), qid, "score", keys, k)
+    listed = materialize(listed.select(*pair, "cos"))
+    ends = listed.groupBy(qid).agg(F.min("cos").alias("_end"), F.count(F.lit(1)).alias("_listed"))
+    per_query = small(materialize(alphas.join(brange, qid, "left").join(ends, qid, "left")))
+
+    def fused(df: DataFrame) -> DataFrame:
+        """qid, keys, bm25, cos (either may be null) -> + alpha, score."""
+        c = df.join(per_query, qid)
+        nb = F.when(F.col("bm25").isNull(), F.lit(0.0)).otherwise(_minmax(F.col("bm25"), F.col("bmin"), F.col("bmax")))
+        nv = F.when(F.col("cos").isNull(), F.lit(0.0)).otherwise(_minmax(F.col("cos"), F.col("vmin"), F.col("vmax")))
+        score = F.when(F.col("alpha") == 0, nb).otherwise(F.col("alpha") * nv + (1 - F.col("alpha")) * nb)
+        return c.select(*pair, "alpha", "bm25", "cos", score.alias("score"))
+
+    def with_cos(df: DataFrame) -> DataFrame:
+        return df.join(cos_of(df.select(*pair)), pair, "left").select(*pair, "bm25", "cos")
+
+    leaders = materialize(top_k(bm25, qid, "bm25", keys, depth, rank_col="_r").select(*pair, "bm25"))
+    known = materialize(bm25.join(small(listed), pair).select(*pair, "bm25", "cos"))
+    alone = listed.join(known.select(*pair), pair, "left_anti").select(*pair, F.lit(None).cast("double").alias("bm25"), "cos")
+    fresh = leaders.join(listed.select(*pair), pair, "left_anti")
+    seeds = materialize(fused(known.unionByName(alone).unionByName(with_cos(fresh))))
+    kth = (top_k(seeds, qid, "score", keys, k, rank_col="_r").groupBy(qid)
+           .agg(F.min("score").alias("_tau"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= k))
+    limits = small(materialize(per_query.join(kth.select(qid, "_tau"), qid, "left")))
+    # a list that ended early holds every vector: what it lacks has none
+    most = F.when(F.col("_listed") >= depth, _minmax(F.col("_end"), F.col("vmin"), F.col("vmax"))).otherwise(F.lit(0.0))
+    nb = _minmax(F.col("bm25"), F.col("bmin"), F.col("bmax"))
+    upper = F.when(F.col("alpha") == 0, nb).otherwise(F.col("alpha") * most + (1 - F.col("alpha")) * nb)
+    # scores that are equal when rounded are ranked by their keys, so they stay
+    reach = F.col("_tau").isNull() | (upper >= F.col("_tau") - 10.0 ** -SCORE_DP)
+    further = materialize(bm25.join(limits, qid).filter(reach).select(*pair, "bm25"))
+    unseen = further.join(small(seeds.select(*pair)), pair, "left_anti")
+    return top_k(seeds.unionByName(fused(with_cos(unseen))), qid, "score", keys, k)

@@ -1,4 +1,4 @@
-"""Embeddings and approximate neighbours (#33, #38, #74 near-duplicates).
+"""Embeddings and approximate neighbours (#33, #38).
 
 * ``embed_hashed``: default offline embedder, all JVM-side: token counts
   hashed into ``dim`` buckets (Spark ML ``HashingTF``), L2-normalised.
@@ -6,8 +6,6 @@
   batches of ``batch`` rows (order kept by an explicit key column).
 * ``vector_topk_approx``: ``BucketedRandomProjectionLSH`` similarity join
   on unit vectors (Euclidean threshold from a cosine floor), then top-k.
-* ``near_duplicates``: banded MinHash from built-ins; one verified
-  representative per document instead of all pairs of a cluster.
 """
 
 from __future__ import annotations
@@ -77,36 +75,3 @@ def vector_topk_approx(items: DataFrame, queries: DataFrame, key: str, vec: str,
                      (1.0 - F.col("_d") * F.col("_d") / 2.0).alias("score"))
     w = Window.partitionBy(qid).orderBy(F.round("score", 6).desc(), F.col(key))
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def near_duplicates(df: DataFrame, key: str, text_col: str, max_distance: float = 0.3,
-                    bands: int = 8, rows: int = 3) -> DataFrame:
-    """#74 near: each document -> its smallest-id near duplicate.
-
-    Banded MinHash from built-ins: ``bands * rows`` min-hashes of the token
-    set (``xxhash64`` with a per-hash salt), a band key hashes ``rows`` of
-    them. Every band's representative is its smallest key (a partial
-    ``min``, so a band holding a third of the corpus is still combined
-    map-side); each document is verified (exact Jaccard) only against the
-    representatives of its own bands, so the output is at most one row per
-    document - never all pairs of a cluster.
-    Output: ``key, rep_<key>, jaccard_distance`` for documents with a
-    verified representative smaller than themselves.
-    """
-    toks = df.select(key, F.array_distinct(tokens(text_col)).alias("_t")).filter(F.size("_t") > 0)
-    n = bands * rows
-    def salted(i):      # one-argument lambda: PySpark passes (element, index) to two-argument ones
-        return lambda x: F.xxhash64(x, F.lit(i))
-    sig = toks.select(key, "_t", F.array(*[F.array_min(F.transform("_t", salted(i))) for i in range(n)]).alias("_m"))
-    band_keys = F.array(*[F.xxhash64(F.lit(b), *[F.col("_m")[b * rows + r] for r in range(rows)])
-                          for b in range(bands)])
-    banded = sig.select(key, F.explode(band_keys).alias("_band"))
-    reps = banded.groupBy("_band").agg(F.min(key).alias("_rep"))
-    cand = (banded.join(reps, "_band").filter(F.col("_rep") < F.col(key))
-            .select(key, "_rep").distinct())
-    other = toks.select(F.col(key).alias("_rep"), F.col("_t").alias("_rt"))
-    pairs = cand.join(toks, key).join(other, "_rep")
-    jd = 1 - F.size(F.array_intersect("_t", "_rt")) / F.size(F.array_union("_t", "_rt"))
-    verified = pairs.select(key, "_rep", jd.alias("jaccard_distance")).filter(F.col("jaccard_distance") <= max_distance)
-    best = verified.groupBy(key).agg(F.min(F.struct("_rep", "jaccard_distance")).alias("_b"))
-    return best.select(key, F.col("_b._rep").alias(f"rep_{key}"), F.col("_b.jaccard_distance").alias("jaccard_distance"))

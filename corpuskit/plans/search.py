@@ -57,6 +57,7 @@ def search_index(t: Tables) -> IX.SearchIndex:
 
 
 Q_CTE = "_q AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
+SHORT_Q_CTE = "_q AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:3], ' ') AS query FROM benchmark)"
 
 # ------------------------------------------------------------------ chunks
 
@@ -82,14 +83,13 @@ WITH {Q_CTE}, {chunks_cte()}, {bm25_cte()}
 SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS n_tokens FROM _post GROUP BY term""")
 def q_build_index(t: Tables) -> DataFrame:
     """#5/#35: ingest: chunks and postings written anew; per term its chunks and tokens."""
-    p = ingest(t).postings.filter(F.col("term").isNotNull())
-    return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n_tokens"))
+    p = ingest(t).blocks.filter(F.col("term").isNotNull())
+    return p.groupBy("term").agg(F.sum("n").alias("df"), F.sum("n_tokens").alias("n_tokens"))
 
 
 def bm25_topk_df(t: Tables, k=retrieval.DEFAULT_TOP_K, with_content: bool = False) -> DataFrame:
     index = search_index(t)
-    scored = retrieval.bm25_search(index, query_table(t), KEYS)
-    best = retrieval.top_k(scored, "query_id", "bm25", KEYS, k).withColumn("score", F.col("bm25"))
+    best = retrieval.bm25_topk(index, query_table(t), KEYS, k).withColumn("score", F.col("bm25"))
     return best.join(index.chunks, KEYS) if with_content else best
 
 
@@ -140,6 +140,15 @@ def q_raw_results(t: Tables) -> DataFrame:
         "ingested_at")
 
 
+@register("bm25_topk_short", sql=BM25_TOPK_SQL.replace(Q_CTE, SHORT_Q_CTE))
+def q_bm25_topk_short(t: Tables) -> DataFrame:
+    """#36/#41: keyword top-5 of the first three words of each benchmark text (ranges out of reach are skipped)."""
+    queries = query_table(t).withColumn("query", F.array_join(F.slice(F.split("query", " "), 1, 3), " "))
+    best = retrieval.bm25_topk(search_index(t), queries, KEYS)
+    return best.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id",
+                       F.col("chunk_index").cast("long").alias("chunk_index"), F.round("bm25", 4).alias("score"))
+
+
 @register("tokenize", sql=f"""
 WITH {chunks_cte()}
 SELECT doc_id, chunk_index, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_terms,
@@ -220,13 +229,12 @@ def q_pick_alpha(t: Tables) -> DataFrame:
 
 # ----------------------------------------------------------------- hybrid
 
-def hybrid_df(t: Tables, k: int = retrieval.DEFAULT_TOP_K, pruned: bool = False) -> DataFrame:
+def hybrid_df(t: Tables, k: int = retrieval.DEFAULT_TOP_K, merged: bool = True) -> DataFrame:
     """Hybrid top-k per benchmark query over the stored index.
 
-    ``pruned=False`` fuses every keyword candidate in one lazy plan (nothing
-    of the size of query x chunk is written); ``pruned=True`` computes cosines
-    only for candidates that can still reach the top-k, in a plan of many more
-    joins. Both are exact.
+    ``merged=True`` merges the keyword and the vector list and computes cosines
+    only for candidates that can still reach the top-k; ``merged=False`` fuses
+    every keyword candidate. Both are exact.
     """
     index = search_index(t)
     chunks = index.chunks
@@ -235,27 +243,25 @@ def hybrid_df(t: Tables, k: int = retrieval.DEFAULT_TOP_K, pruned: bool = False)
     qv = query_vectors(t).join(queries.filter("alpha > 0").select("query_id"), "query_id", "left_semi")
     kept_docs = chunks.filter(F.col("chunk_index") == 0).select("doc_id")
     items = t.embeddings.join(kept_docs, F.col("vec_id") == F.col("doc_id"), "left_semi")
-    # k rows per query + min/max: tiny, read by several branches of the fusion
-    vtop_docs = materialize(retrieval.vector_topk(items, qv, "vec_id", "embedding", "query_id", "qv", k=k))
-    vtop = (vtop_docs.join(chunks.select(*KEYS), F.col("vec_id") == F.col("doc_id"))
-            .withColumnRenamed("score", "cos"))
-    vtop = retrieval.top_k(vtop, "query_id", "cos", KEYS, k, rank_col="_r").drop("_r")
-    ranges = vtop_docs.groupBy("query_id").agg(F.min("vmin").alias("vmin"), F.max("vmax").alias("vmax"))
+    depth = retrieval.LIST_DEPTH * k if merged else k
+    # the nearest documents of each query and its smallest and largest cosine
+    near = materialize(retrieval.vector_topk(items, qv, "vec_id", "embedding", "query_id", "qv", k=depth))
+    listed = (near.join(chunks.select(*KEYS), F.col("vec_id") == F.col("doc_id"))
+              .withColumnRenamed("score", "cos"))
+    listed = retrieval.top_k(listed, "query_id", "cos", KEYS, depth, rank_col="_r").drop("_r")
+    ranges = near.groupBy("query_id").agg(F.min("vmin").alias("vmin"), F.max("vmax").alias("vmax"))
     alphas = queries.select("query_id", "alpha").join(ranges, "query_id", "left")
-    # vectors normalised once, so a pair costs one dot product; computed per
-    # (query, document) - chunks share their document's vector
-    unit_docs = t.embeddings.select(F.col("vec_id").alias("doc_id"), retrieval.unit(F.col("embedding")).alias("_u"))
-    unit_q = qv.select("query_id", retrieval.unit(F.col("qv")).alias("_uq"))
 
     def cos_of(pairs: DataFrame) -> DataFrame:
+        """Per (query, document): chunks share their document's vector."""
         docs = pairs.select("query_id", "doc_id").distinct()
-        dc = (docs.join(unit_q, "query_id").join(unit_docs, "doc_id")
-              .select("query_id", "doc_id", retrieval.dot(F.col("_u"), F.col("_uq")).alias("cos")))
+        dc = (docs.join(qv, "query_id").join(t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+              .select("query_id", "doc_id", retrieval.cosine(F.col("embedding"), F.col("qv")).alias("cos")))
         return pairs.join(dc, ["query_id", "doc_id"])
 
-    if pruned:
-        return retrieval.hybrid_topk(bm25, vtop, cos_of, alphas, "query_id", KEYS, k)
-    fused = retrieval.hybrid_scores(bm25, vtop, cos_of(bm25.select("query_id", *KEYS)), alphas, "query_id", KEYS)
+    if merged:
+        return retrieval.hybrid_topk(materialize(bm25), listed, cos_of, alphas, "query_id", KEYS, k, depth)
+    fused = retrieval.hybrid_scores(bm25, listed, cos_of(bm25.select("query_id", *KEYS)), alphas, "query_id", KEYS)
     return retrieval.top_k(fused, "query_id", "score", KEYS, k)
 
 

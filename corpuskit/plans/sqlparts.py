@@ -32,6 +32,9 @@ def tokens_sql(expr: str) -> str:
             f"lambda t: t <> '' AND NOT list_contains({STOP_SQL}, t))")
 
 
+#: DuckDB twin of the normal form that exact copies share.
+NORM_SQL = "lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))"
+
 BLANK_SQL = r"'^[ \t\n\r\f\x0B]*$'"
 
 

@@ -1,8 +1,8 @@
 """Embedding and approximate-neighbour queries (#33, #38, #74 near).
 
-The embedder's oracle checks dimension and norm. The LSH joins have no DuckDB
-equivalent; tests compare approximate top-k against the exact one (recall)
-and near-duplicate pairs against a brute-force Jaccard on a small fixture.
+The embedder's oracle checks dimension and norm. Approximate search has no DuckDB
+equivalent; tests compare it with the exact one (recall). Near-duplicate classes
+are exact, so the oracle compares every pair.
 """
 
 from __future__ import annotations
@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuskit.operators import setjoin as S
 from corpuskit.operators import vectors as V
 from corpuskit.operators import web
 from corpuskit.plans.registry import register
 from corpuskit.plans.search import chunk_store, query_vectors
-from corpuskit.plans.sqlparts import chunks_cte, tokens_sql
+from corpuskit.plans.sqlparts import NORM_SQL, chunks_cte, tokens_sql
 from corpuskit.tables import Tables
 
 
@@ -36,10 +37,26 @@ def q_vector_topk_approx(t: Tables) -> DataFrame:
     return r.select("query_id", "rank", "vec_id", F.round("score", 4).alias("score"))
 
 
-@register("near_duplicates", note="banded MinHash, one verified representative per document; rows-only")
+NEAR_DISTANCE = 0.3
+
+_NEAR_SQL = f"""
+WITH RECURSIVE _d AS (
+  SELECT min(doc_id) AS doc_id, min_by(text, doc_id) AS text FROM documents WHERE text IS NOT NULL GROUP BY {NORM_SQL}),
+_s AS (SELECT doc_id, list_distinct({tokens_sql('text')}) AS t FROM _d),
+_t AS (SELECT doc_id, len(t) AS n, unnest(t) AS tok FROM _s),
+_p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM _t a JOIN _t b ON a.tok = b.tok AND a.doc_id < b.doc_id
+   AND least(a.n, b.n) >= {1 - NEAR_DISTANCE} * greatest(a.n, b.n) - 1e-9
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*) / (a.n + b.n - count(*)) >= {1 - NEAR_DISTANCE} - 1e-9),
+_e AS (SELECT a, b FROM _p UNION ALL SELECT b, a FROM _p),
+_r AS (SELECT a AS v, a AS r FROM _e UNION SELECT _e.b, _r.r FROM _r JOIN _e ON _e.a = _r.v),
+_c AS (SELECT v, min(r) AS r FROM _r GROUP BY v)
+SELECT v AS doc_id, r AS rep_doc_id, count(*) OVER (PARTITION BY r) AS class_size FROM _c"""
+
+
+@register("near_duplicates", sql=_NEAR_SQL)
 def q_near_duplicates(t: Tables) -> DataFrame:
-    """#74 near: each distinct text -> its smallest near duplicate (Jaccard distance <= 0.3)."""
+    """#74 near: the distinct texts that are near duplicates (Jaccard distance <= 0.3) of others, with their class."""
     d = t.documents.filter(F.col("text").isNotNull())
     keep = web.exact_dedupe(d, "doc_id", "text").select("doc_id")
-    distinct_docs = d.join(keep, "doc_id", "left_semi")
-    return V.near_duplicates(distinct_docs, "doc_id", "text")
+    return S.near_duplicate_classes(d.join(keep, "doc_id", "left_semi"), "doc_id", "text", NEAR_DISTANCE)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpuskit.functions.text import html_title, html_to_text
 from corpuskit.operators import results, web
 from corpuskit.plans.registry import register
-from corpuskit.plans.sqlparts import html_to_text_sql, sql_str
+from corpuskit.plans.sqlparts import NORM_SQL, html_to_text_sql, sql_str
 from corpuskit.sources import hits as H
 from corpuskit.tables import Tables
 
@@ -217,12 +217,9 @@ def q_html_title(t: Tables) -> DataFrame:
     return t.pages.select("page_id", html_title("html").alias("title"))
 
 
-_NORM_SQL = "lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))"
-
-
 @register("dedupe_snippets", sql=f"""
-SELECT min(doc_id) AS doc_id, CAST(count(*) AS BIGINT) AS n_copies, sha256({_NORM_SQL}) AS text_key
-FROM documents WHERE text IS NOT NULL GROUP BY sha256({_NORM_SQL})""")
+SELECT min(doc_id) AS doc_id, CAST(count(*) AS BIGINT) AS n_copies, sha256({NORM_SQL}) AS text_key
+FROM documents WHERE text IS NOT NULL GROUP BY sha256({NORM_SQL})""")
 def q_dedupe_snippets(t: Tables) -> DataFrame:
     """#74 (exact part): one row per normalised text, first document kept."""
     return web.exact_dedupe(t.documents, "doc_id", "text")

@@ -85,12 +85,50 @@ def test_cosine_matches_numpy(spark):
     assert abs(v - 10 / 14) < 1e-12
 
 
-def test_pruned_hybrid_equals_full(spark, tables_small):
+def test_merged_hybrid_equals_full(spark, tables_small):
     from corpuskit.plans import search as S
     cols = ["query_id", "rank", "doc_id", "chunk_index"]
-    full = {tuple(r) for r in S.hybrid_df(tables_small).select(*cols, F.round("score", 6)).collect()}
-    pruned = {tuple(r) for r in S.hybrid_df(tables_small, pruned=True).select(*cols, F.round("score", 6)).collect()}
-    assert full == pruned and len(full) > 0
+    for k in (1, 5, 60):
+        full = {tuple(r) for r in S.hybrid_df(tables_small, k, merged=False).select(*cols, F.round("score", 6)).collect()}
+        merged = {tuple(r) for r in S.hybrid_df(tables_small, k).select(*cols, F.round("score", 6)).collect()}
+        assert full == merged and len(full) > 0
+
+
+def test_threshold_merge_brute_force(spark):
+    """Random lists: rows without a vector, alpha 0 and 1, equal scores; few pairs get a cosine."""
+    rng = np.random.default_rng(8)
+    nq, n, depth = 6, 900, 12
+    b = {(q, d): float(np.round(rng.exponential(), 2)) for q in range(nq) for d in range(n) if rng.random() < 0.7}
+    c = {(q, d): float(np.round(rng.normal(scale=0.2), 2)) for q in range(nq) for d in range(n) if d % 5}
+    alpha = dict(enumerate([0.0, 0.3, 0.3, 0.7, 0.7, 1.0]))
+    b = {k: v for k, v in b.items() if k[0] != 4}  # a query without keyword matches
+    asked = []
+
+    def cos_of(pairs):
+        asked.append(pairs.count())
+        return pairs.join(all_cos, ["q", "d"])
+
+    all_cos = spark.createDataFrame([(*k, v) for k, v in c.items()], "q long, d long, cos double")
+    bm = spark.createDataFrame([(*k, v) for k, v in b.items()], "q long, d long, bm25 double")
+    low = {q: min(v for (p, _), v in c.items() if p == q) for q in alpha}
+    high = {q: max(v for (p, _), v in c.items() if p == q) for q in alpha}
+    al = spark.createDataFrame([(q, a, low[q] if a else None, high[q] if a else None) for q, a in alpha.items()],
+                               "q long, alpha double, vmin double, vmax double")
+    listed = R.top_k(all_cos.filter("q > 0"), "q", "cos", ["d"], depth)
+    got = {(r.q, r["rank"], r.d, round(r.score, 6)) for r in R.hybrid_topk(bm, listed, cos_of, al, "q", ["d"], 4, depth).collect()}
+    want = set()
+    for q, a in alpha.items():
+        bq = {d: v for (p, d), v in b.items() if p == q}
+        span = (max(bq.values()) - min(bq.values())) if bq else 1
+        rows = []
+        for d in range(n):
+            nb = (bq[d] - min(bq.values())) / span if d in bq else 0.0
+            nv = (c[q, d] - low[q]) / (high[q] - low[q]) if (q, d) in c else 0.0
+            if d in bq or (a and (q, d) in c):
+                rows.append((-round(nb if a == 0 else a * nv + (1 - a) * nb, 6), d))
+        want |= {(q, i + 1, d, -s) for i, (s, d) in enumerate(sorted(rows)[:4])}
+    assert got == want
+    assert sum(asked) < len(b) / 10
 
 
 def test_index_search_with_file_names(spark, tmp_path):
@@ -115,5 +153,5 @@ def test_searches_read_the_stored_index(spark, tables_small):
     assert S.search_index(tables_small) is first                 # the same files: written once
     out = io.StringIO()
     with contextlib.redirect_stdout(out):
-        S.hybrid_df(tables_small).explain("simple")
+        S.hybrid_df(tables_small, merged=False).explain("simple")
     assert "documents.parquet" not in out.getvalue() and "search-index-" in out.getvalue()

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from corpuskit.operators import vectors as V
 from corpuskit.operators.retrieval import vector_topk
-from corpuskit.functions.text import STOP_WORDS
 
 
 def test_approx_recall(spark, tables_small):
@@ -16,19 +15,6 @@ def test_approx_recall(spark, tables_small):
     assert len(exact & approx) / len(exact) >= 0.8
 
 
-def test_near_duplicates_brute_force(spark):
-    texts = ["alpha beta gamma delta epsilon zeta", "alpha beta gamma delta epsilon eta",
-             "one two three four", "one two three five six seven eight", "completely different words here",
-             "alpha beta gamma delta epsilon zeta"]
-    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    got = {(r.id, r.rep_id) for r in V.near_duplicates(df, "id", "text", max_distance=0.3, bands=16).collect()}
-    sets = [set(w for w in t.split() if w not in STOP_WORDS) for t in texts]
-    jd = lambda i, j: 1 - len(sets[i] & sets[j]) / len(sets[i] | sets[j])
-    want = {(j, min(i for i in range(j) if jd(i, j) <= 0.3)) for j in range(len(texts))
-            if any(jd(i, j) <= 0.3 for i in range(j))}
-    assert got == want == {(1, 0), (5, 0)}
-
-
 def test_embed_unit_norm(spark):
     df = spark.createDataFrame([(1, "apple banana apple"), (2, "cherry")], "id long, text string")
     rows = V.embed_hashed(df, "text").collect()

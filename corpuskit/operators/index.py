@@ -66,7 +66,7 @@ def write_index(chunks: DataFrame, folder: str, keys: list[str], chunk_index: st
     spark = chunks.sparkSession
 
     def stored(name: str, df: DataFrame, *by: str) -> DataFrame:
-        df.write.mode("overwrite").partitionBy(*by).parquet(f"{folder}/{name}")
+        df.write.mode("overwrite").partitionBy(*by).option("compression", "zstd").parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
     plain = stored("chunks", chunks)

@@ -22,6 +22,8 @@ import functools
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -176,22 +178,186 @@ def bm25_search(index, queries: DataFrame, keys: list[str], qid: str = "query_id
         _scored(blocks, bound, avgdl, qid, keys, ["range"], k1, b, file="wanted_file"))
 
 
+#: Ranges that one task scores together, and queries at a time.
+GROUP_RANGES = 128
+GROUP_QUERIES = 1024
+#: Chunks of each group that a scan for a ranked list keeps, in times of its depth.
+WIDER = 4
+
+
+def _group_scorer(qid: str, keys: list[str], k: int | None, k1: float, b: float):
+    """Function of the blocks of a group of ranges, each with the queries of its term:
+    (qid, keys, bm25, low, high, cut), for each query its k best chunks (or, without
+    k, those that reach its floor), its least and largest score in the group, and
+    the score down to which its chunks of the group are all among them."""
+    schema = pa.schema([(qid, pa.int64()), *[(c, pa.int64()) for c in keys],
+                        *[(c, pa.float64()) for c in ("bm25", "low", "high", "cut")]])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+
+        def flat(name: str) -> np.ndarray:
+            return table[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+
+        columns = [flat(f"_{c}").astype(np.int64) for c in keys]
+        n = len(columns[0])
+        code = np.zeros(n, dtype=np.int64)
+        for c in columns:  # chunks are numbered within the group, in the order of their keys
+            values, own = np.unique(c, return_inverse=True)
+            code = np.unique(code * len(values) + own, return_inverse=True)[1]
+        first = np.unique(code, return_index=True)[1]
+        avgdl = table["_avgdl"][0].as_py()
+        dl, tf = flat("_dl").astype(np.float64), flat("_tf").astype(np.float64)
+        weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+        names, queries = np.unique(flat("_q"), return_inverse=True)
+        idf = flat("_idf")
+        total, met = np.zeros((len(first), len(names))), np.zeros((len(first), len(names)), dtype=bool)
+        size = table["_n"].to_numpy()
+        start = np.concatenate([[0], np.cumsum(size)])
+        asked = np.concatenate([[0], np.cumsum(pc.list_value_length(table["_q"].combine_chunks()).to_numpy())])
+        _, term = np.unique(np.array(table["term"].to_pylist(), dtype=object), return_inverse=True)
+        order = np.argsort(term, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(term[order])) + 1):  # the blocks of a term
+            at = np.concatenate([np.arange(start[r], start[r + 1]) for r in rows])
+            own = slice(asked[rows[0]], asked[rows[0] + 1])
+            place = np.ix_(code[at], queries[own])
+            total[place] += weight[at][:, None] * idf[own][None, :]
+            met[place] = True
+        total[~met] = -np.inf
+        high, low = total.max(axis=0), np.where(met, total, np.inf).min(axis=0)
+        ranked = np.round(total, SCORE_DP)
+        if k is None:
+            floor = np.full(len(names), np.inf)
+            floor[queries] = flat("_floor")
+            chosen = total >= floor[None, :]
+        elif k < len(first):
+            chosen = ranked >= np.partition(ranked, len(first) - k, axis=0)[len(first) - k][None, :]
+        else:
+            chosen = met
+        chunk, query = np.nonzero(chosen & met)
+        if k is not None:  # of equal scores the smaller keys
+            order = np.lexsort((chunk, -ranked[chunk, query], query))
+            chunk, query = chunk[order], query[order]
+            rank = np.arange(len(query)) - np.searchsorted(query, query)
+            chunk, query = chunk[rank < k], query[rank < k]
+        # below the last score of a query that has more chunks here than were taken, not all are known
+        taken, least = np.bincount(query, minlength=len(names)), np.full(len(names), np.inf)
+        np.minimum.at(least, query, total[chunk, query])
+        cut = np.where(taken < met.sum(axis=0), least, -np.inf)
+        out = [names[query], *[c[first][chunk] for c in columns], total[chunk, query], low[query], high[query], cut[query]]
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema)], schema=schema)
+
+    return run
+
+
+def _grouped(index, blocks: DataFrame, weighted: DataFrame, avgdl: Column, n_queries: int, qid: str, keys: list[str],
+             k1: float, b: float, k: int | None = None, floors: DataFrame | None = None) -> DataFrame:
+    """Scores by groups of ranges: a block crosses the network once for all queries of its
+    term (and per ``GROUP_QUERIES`` queries), a (query, chunk) pair never does."""
+    turns = F.lit(max(1, -(-n_queries // GROUP_QUERIES)))
+    asked = weighted.withColumn("_turn", F.pmod(F.xxhash64(qid), turns))
+    if floors is not None:
+        asked = asked.join(floors.select(qid, F.col("floor").alias("_floor")), qid)
+    extra = ["_floor"] if floors is not None else []
+    lists = asked.groupBy("part", "term", "_turn").agg(F.collect_list(F.struct(F.col(qid).alias("_q"), F.col("idf").alias("_idf"), *extra))
+                                                       .alias("_l"))
+    groups = max(1, -(-index.ranges // GROUP_RANGES))
+    rows = blocks.select("part", "term", F.col("n").alias("_n"), F.pmod("range", F.lit(groups)).alias("_g"),
+                         *[F.col(f"entries.{c}").alias(f"_{c}") for c in (*keys, "dl", "tf")])
+    rows = rows.join(small(materialize(lists)), ["part", "term"]).select(
+        "_g", "_turn", "term", "_n", *[f"_{c}" for c in (*keys, "dl", "tf")], avgdl.alias("_avgdl"),
+        *[F.col(f"_l.{c}").alias(c) for c in ("_q", "_idf", *extra)])
+    schema = f"{qid} long, " + ", ".join(f"{c} long" for c in keys) + ", bm25 double, low double, high double, cut double"
+    return rows.groupBy("_g", "_turn").applyInArrow(_group_scorer(qid, keys, k, k1, b), schema)
+
+
+class IndexScores:
+    """BM25 scores of a table of queries over a stored index, asked for in parts.
+
+    Nothing of the size of queries x chunks is written or shuffled. Keys are integers.
+    """
+
+    def __init__(self, index, queries: DataFrame, keys: list[str], qid: str = "query_id", qtext: str = "query",
+                 k1: float = BM25_K1, b: float = BM25_B):
+        self.index, self.keys, self.qid, self.how = index, keys, qid, (k1, b)
+        self.queries = queries.count()
+        self.blocks, weighted, self.avgdl = _weighted(index, query_terms(queries, qid, qtext))
+        self.weighted = materialize(weighted)
+
+    def _scan(self, weighted: DataFrame, queries: int, **how) -> DataFrame:
+        return materialize(_grouped(self.index, self.blocks, weighted, self.avgdl, queries, self.qid, self.keys, *self.how, **how))
+
+    def best(self, depth: int) -> tuple[DataFrame, DataFrame]:
+        """(qid, keys, bm25) of each query's ``depth`` best chunks; (qid, bmin, bmax)."""
+        self.found = self._scan(self.weighted, self.queries, k=WIDER * depth)
+        ends = self.found.groupBy(self.qid).agg(F.min("low").alias("bmin"), F.max("high").alias("bmax"))
+        best = top_k(self.found, self.qid, "bm25", self.keys, depth, rank_col="_r")
+        return best.select(self.qid, *self.keys, "bm25"), ends
+
+    def of(self, pairs: DataFrame) -> DataFrame:
+        """(qid, keys, bm25) of those pairs that share a term: only the blocks of their ranges are opened."""
+        at = self.index.chunks.select(*self.keys, "range").join(small(materialize(pairs.select(self.qid, *self.keys))), self.keys)
+        at = small(materialize(at))
+        met = self.blocks.join(small(self.weighted), ["part", "term"]).join(
+            at.select(self.qid, "range").distinct(), [self.qid, "range"], "left_semi")
+        rows = met.select(self.qid, "idf", F.inline("entries")).join(at.select(self.qid, *self.keys), [self.qid, *self.keys])
+        weight = F.col("idf") * _tfn(F.col("tf"), F.col("dl"), self.avgdl, *self.how)
+        return rows.groupBy(self.qid, *self.keys).agg(F.sum(weight).alias("bm25"))
+
+    def above(self, floors: DataFrame) -> DataFrame:
+        """(qid, keys, bm25) of the chunks that reach their query's ``floor``: from what ``best``
+        has seen, and by another scan for queries whose floor lies below that."""
+        cuts = self.found.groupBy(self.qid).agg(F.max("cut").alias("cut"))
+        floors = small(materialize(floors.join(cuts, self.qid)))
+        seen = self.found.join(floors.filter("floor > cut").select(self.qid, "floor"), self.qid).filter("bm25 >= floor")
+        seen = seen.select(self.qid, *self.keys, "bm25")
+        deep = floors.filter("floor <= cut")
+        n = deep.count()
+        if not n:
+            return seen
+        more = self._scan(self.weighted.join(deep.select(self.qid), self.qid, "left_semi"), n, floors=deep)
+        return seen.unionByName(more.select(self.qid, *self.keys, "bm25"))
+
+
+class TableScores:
+    """The same for scores that stand in a table (qid, keys..., bm25)."""
+
+    def __init__(self, bm25: DataFrame, keys: list[str], qid: str = "query_id"):
+        self.bm25, self.keys, self.qid = bm25, keys, qid
+
+    def best(self, depth: int) -> tuple[DataFrame, DataFrame]:
+        ends = self.bm25.groupBy(self.qid).agg(F.min("bm25").alias("bmin"), F.max("bm25").alias("bmax"))
+        best = top_k(self.bm25, self.qid, "bm25", self.keys, depth, rank_col="_r")
+        return best.select(self.qid, *self.keys, "bm25"), ends
+
+    def of(self, pairs: DataFrame) -> DataFrame:
+        return self.bm25.join(small(materialize(pairs.select(self.qid, *self.keys))), [self.qid, *self.keys])
+
+    def above(self, floors: DataFrame) -> DataFrame:
+        return self.bm25.join(small(materialize(floors)), self.qid).filter("bm25 >= floor").select(self.qid, *self.keys, "bm25")
+
+
 def bm25_topk(index, queries: DataFrame, keys: list[str], k: int = DEFAULT_TOP_K, qid: str = "query_id", qtext: str = "query",
               k1: float = BM25_K1, b: float = BM25_B, first: int = FIRST_RANGES, short: int = SHORT_QUERY) -> DataFrame:
     """The k best chunks of every query, exactly: ``qid, keys..., bm25, rank``.
 
-    Queries of at most ``short`` terms are answered without scoring every match.
-
-    The blocks' maxima, summed over a query's terms, bound the score of every
-    chunk of a range. The ``first`` ranges with the largest bounds are scored;
-    the k-th score found there is one that the result reaches at least, so the
-    ranges whose bound lies below it are skipped: their postings meet no query.
+    Long queries are scored by groups of ranges (``_grouped``): only each
+    group's k best chunks leave it. Queries of at most ``short`` terms are
+    answered without opening every block of their terms: the blocks' maxima,
+    summed over a query's terms, bound the score of every chunk of a range. The
+    ``first`` ranges with the largest bounds are scored; the k-th score found
+    there is one that the result reaches at least, so the ranges whose bound
+    lies below it are skipped: their postings meet no query.
     """
     qt = query_terms(queries, qid, qtext)
-    sized = qt.groupBy(qid).agg((F.count(F.lit(1)) <= short).alias("_short"))
+    sized = materialize(qt.groupBy(qid).agg((F.count(F.lit(1)) <= short).alias("_short")))
+    n = {r["_short"]: r["count"] for r in sized.groupBy("_short").count().collect()}
     blocks, weighted, avgdl = _weighted(index, qt)
-    found = [_scored(blocks, weighted.join(sized.filter(~F.col("_short")), qid, "left_semi"), avgdl, qid, keys, [], k1, b)]
-    if sized.filter("_short").limit(1).count():
+    found = [weighted.limit(0).select(qid, *[F.lit(None).cast("long").alias(c) for c in keys], F.lit(None).cast("double").alias("bm25"))]
+    if n.get(False):
+        long = weighted.join(sized.filter(~F.col("_short")), qid, "left_semi")
+        found.append(_grouped(index, blocks, long, avgdl, n[False], qid, keys, k1, b, k=k).select(qid, *keys, "bm25"))
+    if n.get(True):
         few = materialize(weighted.join(sized.filter("_short"), qid, "left_semi"))
         left = small(_reaching(blocks, few, avgdl, keys, k, qid, k1, b, first))
         found.append(_scored(blocks, few, avgdl, qid, keys, [], k1, b, ranges=left))
@@ -437,11 +603,11 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL_ROWS else df
 
 
-def hybrid_topk(bm25: DataFrame, listed: DataFrame, cos_of, alphas: DataFrame, qid: str, keys: list[str],
-                k: int = DEFAULT_TOP_K, depth: int | None = None) -> DataFrame:
+def hybrid_topk(scores, listed: DataFrame, cos_of, alphas: DataFrame, k: int = DEFAULT_TOP_K,
+                depth: int | None = None) -> DataFrame:
     """#40/#41 exact fused top-k by a threshold merge of two ranked lists.
 
-    bm25    : qid, keys..., bm25    every keyword candidate, written (it is read three times)
+    scores  : ``IndexScores`` or ``TableScores``: the keyword candidates, their qid and keys
     listed  : qid, keys..., cos     the ``depth`` nearest candidates of the queries with alpha > 0
     cos_of  : DataFrame(qid, keys...) -> same + ``cos`` (rows without a vector dropped)
     alphas  : qid, alpha, vmin, vmax
@@ -450,15 +616,16 @@ def hybrid_topk(bm25: DataFrame, listed: DataFrame, cos_of, alphas: DataFrame, q
     entries are looked up in the other one); their k-th best score tau is one
     that the result reaches at least. A candidate further down has at most the
     cosine at which its query's vector list ends, so it can only matter if
-    ``alpha * nv_end + (1 - alpha) * nb >= tau``: only those get a cosine. The
-    candidate table meets tables of one query's size (its tau) or of the lists'
-    size only; where these are small it is never shuffled. Ties are kept, so the
-    result equals fusing every candidate.
+    ``alpha * nv_end + (1 - alpha) * nb >= tau``: a floor for its keyword score.
+    Only candidates above it leave their task, and only those get a cosine; no
+    join or shuffle has a row for every (query, candidate). Ties are kept, so
+    the result equals fusing every candidate.
     """
-    depth = depth or LIST_DEPTH * k
+    qid, keys, depth = scores.qid, scores.keys, depth or LIST_DEPTH * k
     pair = [qid, *keys]
-    brange = bm25.groupBy(qid).agg(F.min("bm25").alias("bmin"), F.max("bm25").alias("bmax"))
     listed = materialize(listed.select(*pair, "cos"))
+    leaders, brange = scores.best(depth)
+    leaders = materialize(leaders)
     ends = listed.groupBy(qid).agg(F.min("cos").alias("_end"), F.count(F.lit(1)).alias("_listed"))
     per_query = small(materialize(alphas.join(brange, qid, "left").join(ends, qid, "left")))
 
@@ -473,20 +640,23 @@ def hybrid_topk(bm25: DataFrame, listed: DataFrame, cos_of, alphas: DataFrame, q
     def with_cos(df: DataFrame) -> DataFrame:
         return df.join(cos_of(df.select(*pair)), pair, "left").select(*pair, "bm25", "cos")
 
-    leaders = materialize(top_k(bm25, qid, "bm25", keys, depth, rank_col="_r").select(*pair, "bm25"))
-    known = materialize(bm25.join(small(listed), pair).select(*pair, "bm25", "cos"))
-    alone = listed.join(known.select(*pair), pair, "left_anti").select(*pair, F.lit(None).cast("double").alias("bm25"), "cos")
+    known = listed.join(materialize(scores.of(listed)), pair, "left").select(*pair, "bm25", "cos")
     fresh = leaders.join(listed.select(*pair), pair, "left_anti")
-    seeds = materialize(fused(known.unionByName(alone).unionByName(with_cos(fresh))))
+    seeds = materialize(fused(known.unionByName(with_cos(fresh))))
     kth = (top_k(seeds, qid, "score", keys, k, rank_col="_r").groupBy(qid)
            .agg(F.min("score").alias("_tau"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= k))
-    limits = small(materialize(per_query.join(kth.select(qid, "_tau"), qid, "left")))
     # a list that ended early holds every vector: what it lacks has none
     most = F.when(F.col("_listed") >= depth, _minmax(F.col("_end"), F.col("vmin"), F.col("vmax"))).otherwise(F.lit(0.0))
-    nb = _minmax(F.col("bm25"), F.col("bmin"), F.col("bmax"))
-    upper = F.when(F.col("alpha") == 0, nb).otherwise(F.col("alpha") * most + (1 - F.col("alpha")) * nb)
+    most = F.when(F.col("alpha") == 0, F.lit(0.0)).otherwise(F.col("alpha") * F.coalesce(most, F.lit(0.0)))
     # scores that are equal when rounded are ranked by their keys, so they stay
-    reach = F.col("_tau").isNull() | (upper >= F.col("_tau") - 10.0 ** -SCORE_DP)
-    further = materialize(bm25.join(limits, qid).filter(reach).select(*pair, "bm25"))
+    need = F.col("_tau") - 10.0 ** -SCORE_DP - most
+    span = F.col("bmax") - F.col("bmin")
+    floor = (F.when(F.col("_tau").isNull() | (need <= 0), F.lit(float("-inf")))
+             .when(F.col("alpha") == 1, F.lit(float("inf")))
+             .when(span == 0, F.when(need <= 1 - F.col("alpha"), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))
+             .otherwise(F.col("bmin") + need / (1 - F.col("alpha")) * span - 1e-9 * F.col("bmax")))
+    floors = materialize(per_query.join(kth.select(qid, "_tau"), qid, "left").filter("bmin IS NOT NULL")
+                         .select(qid, floor.alias("floor")))
+    further = materialize(scores.above(floors))
     unseen = further.join(small(seeds.select(*pair)), pair, "left_anti")
     return top_k(seeds.unionByName(fused(with_cos(unseen))), qid, "score", keys, k)

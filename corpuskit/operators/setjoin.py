@@ -8,9 +8,10 @@ the rarest tokens first, such prefixes meet few others. So
 2. tokens are counted once; the ``FREQUENT`` most frequent ones are known by
    rank, all others count as rarer and are ordered by their hash (the order
    decides how many candidates there are, never which pairs are found);
-3. the prefixes are joined on their tokens. A pair is a candidate only if the
-   sizes, the places of the shared token and a 256-bit signature (token parities)
-   leave room for the similarity;
+3. the prefixes are joined on their tokens (those that stand in one prefix alone
+   are left out first). A pair is a candidate only if the sizes, the places of
+   the shared token and a 256-bit signature (token parities) leave room for the
+   similarity;
 4. candidates are verified on the whole sets.
 
 Links between copies of one text would grow with the square of their number, so
@@ -27,6 +28,7 @@ blocks, so no task joins a token with itself alone.
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,8 @@ from pyspark.sql import functions as F
 
 from corpuskit.functions.text import tokens
 from corpuskit.operators.components import components
-from corpuskit.session import materialize
+from corpuskit.operators.retrieval import small
+from corpuskit.session import checkpoint_dir
 
 FREQUENT = 20_000  # tokens known by rank
 BLOCK = 1024       # sets of one token that a block holds, on average
@@ -49,11 +52,19 @@ def prefix_length(n: int, least: float) -> int:
 
 def _sets(df: DataFrame, key: str, text_col: str) -> DataFrame:
     """(key, tokens): different token hashes of each text, in the order of the hashes."""
-    hashed = F.array_sort(F.array_distinct(F.transform(tokens(text_col), lambda t: F.xxhash64(t))))
+    hashed = F.array_sort(F.transform(F.array_distinct(tokens(text_col)), lambda t: F.xxhash64(t)))
     return df.filter(F.col(key).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(key).alias("key"), hashed.alias("tokens")).filter(F.size("tokens") > 0)
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """The table in a new folder under the shared one (columnar: these rows repeat their values)."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/set-join-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _frequent(sets: DataFrame, most: int) -> dict[int, int]:
     """Rank of the most frequent tokens (a bounded table: at most ``most`` rows)."""
     counted = sets.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
@@ -61,47 +72,58 @@ def _frequent(sets: DataFrame, most: int) -> dict[int, int]:
     return {r["t"]: i for i, r in enumerate(reversed(top), 1)}
 
 
-def prefixes(sets: DataFrame, least: float, rank: dict[int, int]) -> DataFrame:
-    """(token, pos, key, size, s0..s3): the prefix of every set, rarest tokens first.
-
-    ``size`` and ``pos`` tell how many tokens may still be shared; the signature
-    holds the parity of the tokens of each of 256 classes.
-    """
+def _ordered(rank: dict[int, int], least: float):
+    """Function: the prefix of a set, rarest tokens first (rank 0: beyond the known ones)."""
     known = np.array(sorted(rank), dtype=np.int64)
     ranks = np.array([rank[int(t)] for t in known], dtype=np.int64)
-    names = ["token", "pos", "key", "size", *[f"s{i}" for i in range(WORDS)]]
+
+    def prefix(t: np.ndarray) -> np.ndarray:
+        order = np.zeros(len(t), dtype=np.int64)
+        if len(known):
+            place = np.minimum(np.searchsorted(known, t), len(known) - 1)
+            hit = known[place] == t
+            order[hit] = ranks[place[hit]]
+        return t[np.lexsort((t, order))[:prefix_length(len(t), least)]]
+
+    return prefix
+
+
+def prefixes(sets: DataFrame, least: float, rank: dict[int, int]) -> DataFrame:
+    """(token, pos, key): the prefix of every set, rarest tokens first."""
+    prefix = _ordered(rank, least)
+
+    def run(batches):
+        for batch in batches:
+            at, flat = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy()
+            made = [prefix(flat[i:j]) for i, j in zip(at, at[1:])]
+            size = [len(x) for x in made]
+            take = np.repeat(np.arange(len(batch)), size)
+            pos = np.concatenate([np.arange(n, dtype=np.int32) for n in size] or [np.zeros(0, np.int32)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(made) if made else np.zeros(0, np.int64)), pa.array(pos),
+                 batch.column(0).take(pa.array(take, pa.int64()))], ["token", "pos", "key"])
+
+    return sets.select("key", "tokens").mapInArrow(run, f"token long, pos int, key {dict(sets.dtypes)['key']}")
+
+
+def signatures(sets: DataFrame) -> DataFrame:
+    """(key, size, s0..s3): number of tokens, and the parity of the tokens of each of 256 classes."""
+    names = ["key", "size", *[f"s{i}" for i in range(WORDS)]]
 
     def run(batches):
         for batch in batches:
-            at = batch.column(1).offsets.to_numpy()
-            flat = batch.column(1).values.to_numpy()
-            cols, size_rows = [[] for _ in range(3 + WORDS)], []
+            at, flat = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy()
+            words = np.zeros((len(batch), WORDS), dtype=np.int64)
             for i in range(len(batch)):
-                t = flat[at[i]:at[i + 1]]
-                place = np.searchsorted(known, t)
-                order = np.zeros(len(t), dtype=np.int64)
-                if len(known):
-                    hit = known[np.minimum(place, len(known) - 1)] == t
-                    order[hit] = ranks[place[hit]]
-                first = np.lexsort((t, order))[:prefix_length(len(t), least)]
-                cls = (t.view(np.uint64) >> np.uint64(8)) % np.uint64(64 * WORDS)
-                odd = np.bincount(cls.astype(np.int64), minlength=64 * WORDS) & 1
-                words = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
-                cols[0].append(t[first])
-                cols[1].append(np.arange(len(first), dtype=np.int32))
-                cols[2].append(np.full(len(first), len(t), dtype=np.int32))
-                for j in range(WORDS):
-                    cols[3 + j].append(np.full(len(first), words[j]))
-                size_rows.append(len(first))
-            take = np.repeat(np.arange(len(batch)), size_rows)
-            made = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols]
+                own = (flat[at[i]:at[i + 1]].view(np.uint64) >> np.uint64(8)) % np.uint64(64 * WORDS)
+                odd = np.bincount(own.astype(np.int64), minlength=64 * WORDS) & 1
+                words[i] = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(made[0], pa.int64()), pa.array(made[1], pa.int32()), batch.column(0).take(pa.array(take, pa.int64())),
-                 pa.array(made[2], pa.int32()), *[pa.array(x, pa.int64()) for x in made[3:]]], names)
+                [batch.column(0), pa.array(np.diff(at).astype(np.int32)), *[pa.array(words[:, i]) for i in range(WORDS)]], names)
 
     kind = dict(sets.dtypes)["key"]
-    schema = f"token long, pos int, key {kind}, size int, " + ", ".join(f"s{i} long" for i in range(WORDS))
-    return sets.select("key", "tokens").mapInArrow(run, schema)
+    return sets.select("key", "tokens").mapInArrow(
+        run, f"key {kind}, size int, " + ", ".join(f"s{i} long" for i in range(WORDS)))
 
 
 def _room(least: float) -> Column:
@@ -117,12 +139,15 @@ def _room(least: float) -> Column:
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """(a, b, similarity) of the candidate pairs that reach the similarity."""
-    one = sets.select(F.col("key").alias("a"), F.col("tokens").alias("ta"))
-    other = sets.select(F.col("key").alias("b"), F.col("tokens").alias("tb"))
-    met = pairs.join(one, "a").join(other, "b")
+    pairs = _written(pairs)
+    # only the sets of candidates move
+    asked = small(_written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()))
+    own = sets.join(asked, "key", "left_semi")
+    met = pairs.join(own.select(F.col("key").alias("a"), F.col("tokens").alias("ta")), "a").join(
+        own.select(F.col("key").alias("b"), F.col("tokens").alias("tb")), "b")
     shared = F.size(F.array_intersect("ta", "tb"))
     similar = shared / (F.size("ta") + F.size("tb") - shared)
-    return met.select("a", "b", similar.alias("similarity")).filter(F.col("similarity") >= least - 1e-9)
+    return _written(met.select("a", "b", similar.alias("similarity")).filter(F.col("similarity") >= least - 1e-9))
 
 
 def links(df: DataFrame, key: str, text_col: str, max_distance: float = 0.3, frequent: int = FREQUENT,
@@ -135,12 +160,17 @@ def links(df: DataFrame, key: str, text_col: str, max_distance: float = 0.3, fre
     (vertex, root) of the representatives with a link.
     """
     least = 1.0 - max_distance
-    every = materialize(_sets(df, key, text_col))
-    named = every.withColumn("name", F.sha2(F.to_json("tokens"), 256))
-    reps = named.groupBy("name").agg(F.min("key").alias("rep"))
-    members = materialize(named.join(reps, "name").select("key", "rep"))
-    sets = materialize(every.join(members.filter("key = rep").select("key"), "key", "left_semi"))
-    short = materialize(prefixes(sets, least, _frequent(sets, frequent)))
+    every = _written(_sets(df, key, text_col))
+    named = every.select("key", F.xxhash64("tokens").alias("n1"), F.xxhash64(F.lit(1), "tokens").alias("n2"))
+    reps = named.groupBy("n1", "n2").agg(F.min("key").alias("rep"))
+    members = _written(named.join(reps, ["n1", "n2"]).select("key", "rep"))
+    copies = small(_written(members.filter("key <> rep").select("key")))
+    sets = every.join(copies, "key", "left_anti")
+
+    # the prefixes' tokens that two sets have; most stand in one prefix alone
+    short = prefixes(sets, least, _frequent(sets, frequent))
+    shared = short.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token")
+    rows = _written(short.join(shared, "token", "left_semi").join(signatures(sets), "key"))
 
     def pairs(x: DataFrame, y: DataFrame, on: list[str], more: Column) -> DataFrame:
         met = x.alias("x").join(y.alias("y"), [F.col(f"x.{c}") == F.col(f"y.{c}") for c in on])
@@ -148,35 +178,37 @@ def links(df: DataFrame, key: str, text_col: str, max_distance: float = 0.3, fre
             F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
 
     # every set with the smallest key under each of its tokens: one row a prefix token
-    row = F.struct("key", *[c for c in short.columns if c not in ("key", "token")])
-    least_of = short.groupBy("token").agg(F.min(row).alias("r")).select("token", "r.*")
-    first = materialize(_verified(pairs(short, least_of, ["token"], F.col("x.key") > F.col("y.key")), sets, least))
+    row = F.struct("key", *[c for c in rows.columns if c not in ("key", "token")])
+    least_of = rows.groupBy("token").agg(F.min(row).alias("r")).select("token", "r.*")
+    first = _verified(pairs(rows, least_of, ["token"], F.col("x.key") > F.col("y.key")), sets, least)
     part = components(first, "a", "b")
 
     # all others, but pairs of one component
-    rooted = short.join(part, F.col("key") == F.col("vertex"), "left").withColumn(
+    rooted = rows.join(small(_written(part)), F.col("key") == F.col("vertex"), "left").withColumn(
         "root", F.coalesce("root", "key")).drop("vertex")
     stat = rooted.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
     open_tokens = stat.filter("low <> high").select("token", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    rows = materialize(rooted.join(open_tokens, "token").withColumn("own", F.pmod(F.xxhash64("key"), "blocks").cast("int")))
+    dealt = _written(rooted.join(open_tokens, "token").withColumn("own", F.pmod(F.xxhash64("key"), "blocks").cast("int")))
     # a token's blocks meet each other once: the lower number on the left, the higher on the right
-    x = rows.withColumn("one", F.col("own")).withColumn("two", F.explode(F.sequence("own", F.col("blocks") - 1)))
-    y = rows.withColumn("two", F.col("own")).withColumn("one", F.explode(F.sequence(F.lit(0), "own")))
+    x = dealt.withColumn("one", F.col("own")).withColumn("two", F.explode(F.sequence("own", F.col("blocks") - 1)))
+    y = dealt.withColumn("two", F.col("own")).withColumn("one", F.explode(F.sequence(F.lit(0), "own")))
     turned = (F.col("x.one") < F.col("x.two")) | (F.col("x.key") < F.col("y.key"))
     again = pairs(x, y, ["token", "one", "two"], turned & (F.col("x.root") != F.col("y.root")))
-    second = _verified(again.join(first.select("a", "b"), ["a", "b"], "left_anti"), sets, least)
-    found = materialize(first.unionByName(second))
+    found = first.unionByName(_verified(again.join(first.select("a", "b"), ["a", "b"], "left_anti"), sets, least))
     return members, found, components(found, "a", "b")
 
 
 def near_duplicate_classes(df: DataFrame, key: str, text_col: str, max_distance: float = 0.3, frequent: int = FREQUENT,
-                           block: int = BLOCK) -> DataFrame:
+                           block: int = BLOCK, within: DataFrame | None = None) -> DataFrame:
     """(key, rep_<key>, class_size): every text that is in a class of two or more.
 
     A class is a component of the links between texts whose token sets are at
-    most ``max_distance`` apart; its smallest key names it.
+    most ``max_distance`` apart; its smallest key names it. ``within``: a table
+    of the keys that are counted and returned (all by default).
     """
     members, _, classes = links(df, key, text_col, max_distance, frequent, block)
+    if within is not None:
+        members = members.join(within.select(F.col(key).alias("key")), "key", "left_semi")
     rooted = members.join(classes, F.col("rep") == F.col("vertex"), "left").select(
         "key", F.coalesce("root", "rep").alias("root"))
     sizes = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("class_size")).filter("class_size > 1")

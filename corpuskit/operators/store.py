@@ -1,8 +1,8 @@
 """Chunk store: fixed schema, replace-by-filename, ingest summary (#5, #6, #57).
 
-The store is a Parquet table partitioned by a filename bucket, so a
-re-ingest overwrites only the buckets of the files it touches
-(``partitionOverwriteMode=dynamic``) and delete+insert is one atomic write.
+The store is a versioned table (``operators.versions``) in filename buckets that
+split as they grow: a re-ingest rewrites only the buckets of the files it
+touches, and delete and insert become visible with one switch of versions.
 """
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
+
+from corpuskit.operators.versions import BUCKET_ROWS, FOLD_AFTER, VersionedTable
 
 # --- fixed values: the chunk store schema ------------------------------------
 STORE_SCHEMA = T.StructType([
@@ -24,7 +25,6 @@ STORE_SCHEMA = T.StructType([
     T.StructField("page_number", T.IntegerType()),
     T.StructField("section_title", T.StringType()),
 ])
-FILE_BUCKETS = 64
 # -----------------------------------------------------------------------------
 
 
@@ -44,18 +44,9 @@ def replace_by_filename(old: DataFrame, new: DataFrame, key: str = "source_filen
     return kept.unionByName(new, allowMissingColumns=True)
 
 
-def file_bucket(key: str = "source_filename", n: int = FILE_BUCKETS):
-    return F.pmod(F.xxhash64(F.col(key)), F.lit(n)).alias("file_bucket")
-
-
-def write_store(chunks: DataFrame, path: str, n_buckets: int = FILE_BUCKETS) -> None:
-    """Write (or re-write) the buckets touched by ``chunks``.
-
-    The caller passes the already merged rows of the touched buckets (see
-    ``replace_by_filename``); other buckets on disk stay untouched.
-    """
-    (conform(chunks).withColumn("file_bucket", file_bucket("source_filename", n_buckets))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file_bucket").parquet(path))
+def chunk_table(spark, path: str, bucket_rows: int = BUCKET_ROWS, fold_after: int = FOLD_AFTER) -> VersionedTable:
+    """The stored chunks: a versioned table in which a file's chunks are replaced as a whole."""
+    return VersionedTable(spark, path, STORE_SCHEMA, "source_filename", bucket_rows=bucket_rows, fold_after=fold_after)
 
 
 def ingest_summary(files: DataFrame, new: DataFrame, old: DataFrame, ingested_at: str,
@@ -71,25 +62,12 @@ def ingest_summary(files: DataFrame, new: DataFrame, old: DataFrame, ingested_at
                     F.lit(ingested_at).alias("ingested_at")))
 
 
-def replace_files(spark, path: str, new_chunks: DataFrame, n_buckets: int = FILE_BUCKETS) -> None:
+def replace_files(spark, path: str, new_chunks: DataFrame, bucket_rows: int = BUCKET_ROWS) -> None:
     """#5 on disk: re-ingested files replace all their old chunks; every other
     file keeps its chunks untouched.
 
-    Only the filename buckets the batch touches are read (partition pruning),
-    merged with ``replace_by_filename`` and rewritten with dynamic partition
-    overwrite. The merge is materialised first: a job may not overwrite the
-    partitions it is reading.
+    Only the filename buckets the batch touches are read and written; a bucket
+    that outgrows ``bucket_rows`` is split (``operators.versions``).
     """
-    from corpuskit.session import materialize
-    new = conform(new_chunks).withColumn("file_bucket", file_bucket("source_filename", n_buckets))
-    touched = [r[0] for r in new.select("file_bucket").distinct().collect()]   # <= n_buckets values
-    try:
-        old = spark.read.parquet(path).filter(F.col("file_bucket").isin(touched))
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":  # a store that cannot be read is not an empty one
-            raise
-        old = None
-    merged = new if old is None else replace_by_filename(old, new)
-    merged = materialize(merged.select(*[f.name for f in STORE_SCHEMA.fields], "file_bucket"))
-    (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("file_bucket").parquet(path))
+    table = chunk_table(spark, path, bucket_rows)
+    table.fold(table.write(conform(new_chunks)))

@@ -239,7 +239,6 @@ def hybrid_df(t: Tables, k: int = retrieval.DEFAULT_TOP_K, merged: bool = True)
     index = search_index(t)
     chunks = index.chunks
     queries = query_table(t).withColumn("alpha", retrieval.pick_alpha("query"))
-    bm25 = retrieval.bm25_search(index, queries, KEYS)
     qv = query_vectors(t).join(queries.filter("alpha > 0").select("query_id"), "query_id", "left_semi")
     kept_docs = chunks.filter(F.col("chunk_index") == 0).select("doc_id")
     items = t.embeddings.join(kept_docs, F.col("vec_id") == F.col("doc_id"), "left_semi")
@@ -260,7 +259,8 @@ def hybrid_df(t: Tables, k: int = retrieval.DEFAULT_TOP_K, merged: bool = True)
         return pairs.join(dc, ["query_id", "doc_id"])
 
     if merged:
-        return retrieval.hybrid_topk(materialize(bm25), listed, cos_of, alphas, "query_id", KEYS, k, depth)
+        return retrieval.hybrid_topk(retrieval.IndexScores(index, queries, KEYS), listed, cos_of, alphas, k, depth)
+    bm25 = retrieval.bm25_search(index, queries, KEYS)
     fused = retrieval.hybrid_scores(bm25, listed, cos_of(bm25.select("query_id", *KEYS)), alphas, "query_id", KEYS)
     return retrieval.top_k(fused, "query_id", "score", KEYS, k)
 

@@ -73,11 +73,10 @@ def q_stream_sync(t: Tables) -> DataFrame:
     spark = t.spark
     it = X.items(t).withColumn("version", F.col("version") + 1)
     drops = [it.filter(F.col("version") == v) for v in range(1, 6)]
-    src = scratch(spark, "sync-src")
-    log, pos = scratch(spark, "sync-log"), scratch(spark, "sync-pos")
-    fn = sync.sync_batch_fn(log, pos)
+    src, store = scratch(spark, "sync-src"), scratch(spark, "sync-items")
+    fn = sync.sync_batch_fn(store, fold_after=3)  # so that the drops fold, and some stay open
     run_drops(drops, src, lambda: _file_stream(spark, src, it).writeStream.foreachBatch(fn), scratch(spark, "sync-ckpt"))
-    return sync.synced_state(spark, log).select("item_key", "version")
+    return sync.item_table(spark, store, it.schema).read().select("item_key", "version")
 
 
 _REVISED = "text || ' revised'"
@@ -96,11 +95,11 @@ def q_stream_ingest(t: Tables) -> DataFrame:
     d = t.documents.select("doc_id", "source", "text")
     drops = [d.filter(F.col("doc_id") % 3 == r).withColumn("seq", F.lit(r)) for r in range(3)]
     drops.append(d.filter(F.col("doc_id") % 3 == 0).withColumn("text", F.expr(_REVISED)).withColumn("seq", F.lit(3)))
-    src, log = scratch(spark, "ingest-src"), scratch(spark, "ingest-log")
-    fn = ingest.ingest_batch_fn(log, INGESTED_AT)
+    src, path = scratch(spark, "ingest-src"), scratch(spark, "ingest-store")
+    fn = ingest.ingest_batch_fn(path, INGESTED_AT, fold_after=3)  # so that the drops fold, and one stays open
     run_drops(drops, src, lambda: _file_stream(spark, src, drops[0]).writeStream.foreachBatch(fn),
               scratch(spark, "ingest-ckpt"))
-    store = ingest.store_state(spark, log)
+    store = ingest.stored_chunks(spark, path).read()
     return (store.groupBy("source_filename")
             .agg(F.count(F.lit(1)).alias("n_chunks"), F.max("total_chunks").cast("long").alias("total_chunks"),
                  F.md5(F.expr("listagg(content, '\\u001e') WITHIN GROUP (ORDER BY chunk_index)")).alias("content_md5")))

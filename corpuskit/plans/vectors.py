@@ -7,15 +7,20 @@ are exact, so the oracle compares every pair.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuskit.operators import cells as C
+from corpuskit.operators import index as IX
 from corpuskit.operators import setjoin as S
 from corpuskit.operators import vectors as V
 from corpuskit.operators import web
 from corpuskit.plans.registry import register
 from corpuskit.plans.search import chunk_store, query_vectors
 from corpuskit.plans.sqlparts import NORM_SQL, chunks_cte, tokens_sql
+from corpuskit.session import checkpoint_dir
 from corpuskit.tables import Tables
 
 
@@ -30,10 +35,30 @@ def q_embed_chunks(t: Tables) -> DataFrame:
     return e.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.size("embedding").alias("dim"), F.round(norm, 6).alias("norm"))
 
 
-@register("vector_topk_approx", note="LSH join; rows-only, recall tested against vector_topk")
+#: (application, folder of the tables, version of embeddings) -> folder of the written cells
+_CELLS: dict[tuple, str] = {}
+
+
+def vector_cells(t: Tables) -> C.VectorCells | None:
+    """The stored cells of ``embeddings``: written by the session's first approximate
+    search, and again when the table's files have changed."""
+    path = f"{t.sf_dir.rstrip('/')}/embeddings.parquet"
+    name = (t.spark.conf.get("spark.app.id"), t.sf_dir, *IX.source_version(t.spark, path))
+    if name not in _CELLS:
+        folder = f"{checkpoint_dir(t.spark).rstrip('/')}/vector-cells-{uuid.uuid4().hex}"
+        if C.write_cells(t.embeddings, "vec_id", "embedding", folder) is None:
+            return None
+        _CELLS[name] = folder
+    return C.open_cells(t.spark, _CELLS[name])
+
+
+@register("vector_topk_approx", note="stored cells with compressed codes; rows-only, recall tested against vector_topk")
 def q_vector_topk_approx(t: Tables) -> DataFrame:
     """#38: approximate top-5 neighbours of every benchmark query vector."""
-    r = V.vector_topk_approx(t.embeddings, query_vectors(t), "vec_id", "embedding", "query_id", "qv", k=5)
+    index = vector_cells(t)
+    if index is None:
+        return t.spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    r = C.search(index, query_vectors(t), "query_id", "qv", "vec_id", k=5)
     return r.select("query_id", "rank", "vec_id", F.round("score", 4).alias("score"))
 
 
@@ -59,4 +84,4 @@ def q_near_duplicates(t: Tables) -> DataFrame:
     """#74 near: the distinct texts that are near duplicates (Jaccard distance <= 0.3) of others, with their class."""
     d = t.documents.filter(F.col("text").isNotNull())
     keep = web.exact_dedupe(d, "doc_id", "text").select("doc_id")
-    return S.near_duplicate_classes(d.join(keep, "doc_id", "left_semi"), "doc_id", "text", NEAR_DISTANCE)
+    return S.near_duplicate_classes(d, "doc_id", "text", NEAR_DISTANCE, within=keep)

@@ -2,31 +2,32 @@
 filename.
 
 Each micro-batch of documents is cleaned and chunked (#8, #25-28); within a
-batch the latest version of a file wins. The chunks of a batch go to an
-epoch-keyed log; the store is the log where every file keeps only the chunks
-of the latest epoch that touched it - delete + insert of a file is therefore
-one atomic epoch write (the reference deletes first and can lose a file if
-the insert fails).
+batch the latest version of a file wins. A batch is one write to the versioned
+chunk store: delete and insert of a file become visible at once (the reference
+deletes first and can lose a file if the insert fails), a replayed epoch
+changes nothing, and open deltas are folded into the filename buckets that they
+touch. A document without text is refused, so its stored chunks stay.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuskit.operators.prepare import prepare_chunks
+from corpuskit.operators.store import chunk_table, conform
+from corpuskit.operators.versions import FOLD_AFTER, VersionedTable
 
 
-def ingest_batch_fn(log_dir: str, ingested_at: str):
+def ingest_batch_fn(path: str, ingested_at: str, fold_after: int = FOLD_AFTER):
     def fn(batch: DataFrame, epoch_id: int) -> None:
-        latest = Window.partitionBy("doc_id").orderBy(F.col("seq").desc())
-        docs = batch.withColumn("_rn", F.row_number().over(latest)).filter("_rn = 1").drop("_rn")
-        chunks = prepare_chunks(docs, ingested_at)
-        chunks.write.mode("overwrite").parquet(f"{log_dir}/epoch={epoch_id}")
+        cols = [c for c in batch.columns if c != "doc_id"]
+        docs = batch.groupBy("doc_id").agg(F.max_by(F.struct(*cols), "seq").alias("_b")).select("doc_id", "_b.*")
+        chunks = conform(prepare_chunks(docs, ingested_at))
+        table = chunk_table(batch.sparkSession, path, fold_after=fold_after)
+        table.write(chunks, epoch=epoch_id)
     return fn
 
 
-def store_state(spark: SparkSession, log_dir: str) -> DataFrame:
-    log = spark.read.parquet(log_dir)
-    last = log.groupBy("source_filename").agg(F.max("epoch").alias("epoch"))
-    return log.join(last, ["source_filename", "epoch"]).drop("epoch")
+def stored_chunks(spark: SparkSession, path: str) -> VersionedTable:
+    return chunk_table(spark, path)

@@ -2,47 +2,33 @@
 
 Position 0 = initial full load of top-level items only; afterwards a batch
 contributes the items with version > position; position then becomes the
-library version (the highest version seen). Each micro-batch appends its
-selected rows to an epoch-keyed log (overwrite of its own epoch folder, so a
-replayed epoch is idempotent); the synced state is the log merged by key,
-highest version winning (``upsert``).
+library version (the highest version seen). The items are a versioned table
+(``operators.versions``), highest version winning; a micro-batch is one write,
+and the position and the batch's epoch are switched live with it, so a replayed
+epoch changes nothing. Open deltas are folded into the snapshot as they add up.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from corpuskit.operators.items import top_level
+from corpuskit.operators.versions import FOLD_AFTER, VersionedTable
 
 
-def _position(spark: SparkSession, pos_dir: str, epoch_id: int) -> int:
-    """Position after the epochs before ``epoch_id``: a replayed epoch does not
-    see what its first run wrote."""
-    try:
-        seen = spark.read.parquet(pos_dir)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return 0
-    return int(seen.filter(F.col("epoch") < epoch_id).agg(F.max("position")).first()[0] or 0)
+def item_table(spark: SparkSession, path: str, schema, fold_after: int = FOLD_AFTER) -> VersionedTable:
+    return VersionedTable(spark, path, schema, "item_key", rank="version", fold_after=fold_after)
 
 
-def sync_batch_fn(log_dir: str, pos_dir: str):
+def sync_batch_fn(path: str, fold_after: int = FOLD_AFTER):
     def fn(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        pos = _position(spark, pos_dir, epoch_id)
-        chosen = top_level(batch) if pos == 0 else batch.filter(F.col("version") > pos)
-        chosen.write.mode("overwrite").parquet(f"{log_dir}/epoch={epoch_id}")
-        (batch.agg(F.coalesce(F.max("version"), F.lit(pos)).alias("position"))
-              .write.mode("overwrite").parquet(f"{pos_dir}/epoch={epoch_id}"))
+        table = item_table(batch.sparkSession, path, batch.schema, fold_after)
+        at = table.manifest().position
+        chosen = top_level(batch) if at == 0 else batch.filter(F.col("version") > at)
+        # of several versions of an item in one batch the highest counts
+        cols = [c for c in batch.columns if c != "item_key"]
+        one = chosen.groupBy("item_key").agg(F.max_by(F.struct(*cols), "version").alias("_b")).select("item_key", "_b.*")
+        seen = batch.agg(F.max("version")).first()[0]
+        table.write(one.select(*batch.columns), epoch=epoch_id, position=at if seen is None else max(at, seen))
     return fn
-
-
-def synced_state(spark: SparkSession, log_dir: str) -> DataFrame:
-    """Log merged by key: highest version wins, a later epoch wins ties."""
-    log = spark.read.parquet(log_dir)
-    cols = [c for c in log.columns if c not in ("item_key", "epoch")]
-    best = F.max_by(F.struct(*cols), F.struct("version", "epoch"))
-    return log.groupBy("item_key").agg(best.alias("_b")).select("item_key", "_b.*")

@@ -27,8 +27,8 @@ def test_replace_files_on_disk(spark, tmp_path):
         return spark.createDataFrame(rows, "content string, source_filename string, chunk_index int, total_chunks int")
 
     path = str(tmp_path / "store")
-    store.replace_files(spark, path, chunks([("a.txt", 3), ("b.txt", 2), ("c.txt", 1)], "v1"), n_buckets=4)
-    store.replace_files(spark, path, chunks([("b.txt", 4)], "v2"), n_buckets=4)
-    got = spark.read.parquet(path).groupBy("source_filename").agg(
+    store.replace_files(spark, path, chunks([("a.txt", 3), ("b.txt", 2), ("c.txt", 1)], "v1"), bucket_rows=3)
+    store.replace_files(spark, path, chunks([("b.txt", 4)], "v2"), bucket_rows=3)
+    got = store.chunk_table(spark, path).read().groupBy("source_filename").agg(
         F.count("*").alias("n"), F.max(F.split("content", " ")[0]).alias("tag")).collect()
     assert {(r.source_filename, r.n, r.tag) for r in got} == {("a.txt", 3, "v1"), ("b.txt", 4, "v2"), ("c.txt", 1, "v1")}

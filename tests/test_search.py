@@ -115,7 +115,7 @@ def test_threshold_merge_brute_force(spark):
     al = spark.createDataFrame([(q, a, low[q] if a else None, high[q] if a else None) for q, a in alpha.items()],
                                "q long, alpha double, vmin double, vmax double")
     listed = R.top_k(all_cos.filter("q > 0"), "q", "cos", ["d"], depth)
-    got = {(r.q, r["rank"], r.d, round(r.score, 6)) for r in R.hybrid_topk(bm, listed, cos_of, al, "q", ["d"], 4, depth).collect()}
+    got = {(r.q, r["rank"], r.d, round(r.score, 6)) for r in R.hybrid_topk(R.TableScores(bm, ["d"], "q"), listed, cos_of, al, 4, depth).collect()}
     want = set()
     for q, a in alpha.items():
         bq = {d: v for (p, d), v in b.items() if p == q}

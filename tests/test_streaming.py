@@ -106,12 +106,12 @@ def test_stream_sync_restart_from_checkpoint(spark, tables_small, tmp_path):
     from corpuskit.streaming.common import run_drops
 
     it = X.items(tables_small).withColumn("version", F.col("version") + 1)
-    src, log, pos, ckpt = (str(tmp_path / n) for n in ("src", "log", "pos", "ckpt"))
-    fn = sync.sync_batch_fn(log, pos)
+    src, store, ckpt = (str(tmp_path / n) for n in ("src", "store", "ckpt"))
+    fn = sync.sync_batch_fn(store, fold_after=2)
     query = lambda: streams._file_stream(spark, src, it).writeStream.foreachBatch(fn)
     run_drops([it.filter(F.col("version") == v) for v in (1, 2, 3)], src, query, ckpt)
     run_drops([it.filter(F.col("version") == v) for v in (4, 5)], f"{src}/late", query, ckpt)
-    restarted = {(r.item_key, r.version) for r in sync.synced_state(spark, log).collect()}
+    restarted = {(r.item_key, r.version) for r in sync.item_table(spark, store, it.schema).read().collect()}
     once = {(r.item_key, r.version) for r in streams.q_stream_sync(tables_small).collect()}
     assert restarted == once and len(once) > 0
 
@@ -119,11 +119,13 @@ def test_stream_sync_restart_from_checkpoint(spark, tables_small, tmp_path):
 def test_sync_epoch_replay_keeps_its_rows(spark, tmp_path):
     from corpuskit.streaming import sync
 
-    log, pos = str(tmp_path / "log"), str(tmp_path / "pos")
-    fn = sync.sync_batch_fn(log, pos)
-    schema = "item_key string, version long, item_data string"
+    path, schema = str(tmp_path / "items"), "item_key string, version long, item_data string"
+    fn = sync.sync_batch_fn(path)
     first = spark.createDataFrame([("a", 1, '{"data": {}}'), ("b", 1, '{"data": {}}')], schema)
-    second = spark.createDataFrame([("b", 2, '{"data": {}}'), ("a", 1, '{"data": {}}')], schema)
+    second = spark.createDataFrame([("b", 2, '{"data": {}}'), ("a", 1, '{"data": {}}'), ("b", 3, '{"data": {}}')], schema)
     for batch, epoch in ((first, 0), (first, 0), (second, 1), (second, 1)):
         fn(batch, epoch)
-    assert {(r.item_key, r.version) for r in sync.synced_state(spark, log).collect()} == {("a", 1), ("b", 2)}
+    table = sync.item_table(spark, path, schema)
+    assert {(r.item_key, r.version) for r in table.read().collect()} == {("a", 1), ("b", 3)}
+    m = table.manifest()
+    assert (m.version, m.epoch, m.position) == (2, 1, 3)  # a replayed epoch writes no version

@@ -54,14 +54,17 @@ def test_iso_bounds(spark):
 
 def test_unreadable_store_is_not_an_empty_one(spark, tmp_path):
     import pytest
-    from corpuskit.operators.store import replace_files
+    from corpuskit.operators.store import chunk_table, replace_files
     path = str(tmp_path / "store")
     chunks = lambda name: spark.createDataFrame([(name, "text", 0)], "source_filename string, content string, chunk_index int")
-    replace_files(spark, path, chunks("x"), 1)
-    folder = tmp_path / "store" / "file_bucket=0"
-    (folder / "part-99999-broken.parquet").write_bytes(b"not parquet")
+    replace_files(spark, path, chunks("x"))
+    m = chunk_table(spark, path).manifest()
+    [(depth, bits, folder, _)] = m.buckets
+    broken = tmp_path / "store" / "data" / folder / f"depth={depth}" / f"bits={bits}" / "part-99999-broken.parquet"
+    broken.write_bytes(b"not parquet")
     with pytest.raises(Exception):
-        replace_files(spark, path, chunks("y"), 1)
-    (folder / "part-99999-broken.parquet").write_bytes(b"")
-    kept = [f for f in folder.iterdir() if f.name.startswith("part-") and f.stat().st_size]
+        replace_files(spark, path, chunks("y"))
+    assert chunk_table(spark, path).manifest().buckets == m.buckets
+    broken.write_bytes(b"")
+    kept = [f for f in broken.parent.iterdir() if f.name.startswith("part-") and f.stat().st_size]
     assert kept and spark.read.parquet(*map(str, kept)).select("source_filename").collect()[0][0] == "x"

@@ -22,10 +22,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.operators import retrieval
+from corpuskit.functions.text import tokens
 
 RANGE = 32          # chunks a range, on average
 RUN = 32            # consecutive chunks of a file that share a range
@@ -37,7 +40,7 @@ SLICE = 256          # ranges of one part that are written by one task, on avera
 @dataclass(frozen=True)
 class SearchIndex:
     """``chunks``: the chunk rows and their ``range``. ``blocks``: part, term, range, n, n_tokens,
-    tops (tf, dl), n_first, dl_first, entries. ``parts``: number of term parts."""
+    tops (tf, dl), n_first, dl_first, entries (keys, dl, tf). ``parts``: number of term parts."""
 
     chunks: DataFrame
     blocks: DataFrame
@@ -48,7 +51,7 @@ class SearchIndex:
 
     @property
     def postings(self) -> DataFrame:
-        """One row per posting: term, part, range, keys..., source_filename, dl, tf."""
+        """One row per posting: term, part, range, keys..., dl, tf."""
         return self.blocks.select("term", "part", "range", F.inline("entries"))
 
 
@@ -60,6 +63,39 @@ def range_of(file: Column, chunk_index: Column, ranges: int) -> Column:
     return F.pmod(F.xxhash64(file, F.floor(chunk_index / RUN)), F.lit(ranges)).cast("int")
 
 
+def posting_rows(chunks: DataFrame, keys: list[str], text_col: str = "content") -> DataFrame:
+    """(keys..., term, dl, tf, first): the terms of every chunk with their numbers.
+
+    Row-local: a chunk's tokens are counted where its row is, nothing is
+    shuffled. ``first`` is true on one row of a chunk; a chunk without tokens
+    has one row with a null term.
+    """
+    kinds = dict(chunks.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", term string, dl int, tf int, first boolean"
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(len(keys))
+            flat = pc.list_flatten(lists).dictionary_encode()
+            dl = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            words = flat.dictionary
+            row = np.repeat(np.arange(len(dl)), dl)
+            code = row * max(len(words), 1) + flat.indices.to_numpy(zero_copy_only=False)
+            pair, tf = np.unique(code, return_counts=True)  # by chunk, then term
+            row, term = np.divmod(pair, max(len(words), 1))
+            empty = np.flatnonzero(dl == 0)
+            take = pa.array(np.concatenate([row, empty]))
+            first = np.concatenate([np.diff(row, prepend=-1) > 0, np.ones(len(empty), dtype=bool)])
+            terms = pa.concat_arrays([words.take(pa.array(term)).cast(pa.string()), pa.nulls(len(empty), pa.string())])
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(i).take(take) for i in range(len(keys))], terms,
+                 pa.array(dl[take.to_numpy()], pa.int32()),
+                 pa.array(np.concatenate([tf, np.ones(len(empty), dtype=np.int64)]), pa.int32()), pa.array(first)],
+                [*keys, "term", "dl", "tf", "first"])
+
+    return chunks.select(*keys, tokens(text_col).alias("tokens")).mapInArrow(run, schema)
+
+
 def write_index(chunks: DataFrame, folder: str, keys: list[str], chunk_index: str = "chunk_index",
                 file: str = "source_filename") -> SearchIndex:
     """Write the index of ``chunks`` into ``folder``; each table is made from the written one before it."""
@@ -75,18 +111,20 @@ def write_index(chunks: DataFrame, folder: str, keys: list[str], chunk_index: st
     parts = min(MOST_PARTS, max(8, -(-n // PART_CHUNKS)))
     rows = plain.withColumn("range", range_of(F.col(file), F.col(chunk_index), ranges))
 
-    # ``first`` marks one posting of every chunk: N and the lengths are sums over the blocks
-    post = retrieval.postings(rows, [*keys, file, "range"]).withColumn("part", part_of(F.col("term"), parts))
+    slices = max(1, -(-ranges // SLICE))
+    post = posting_rows(rows, [*keys, "range"])
     # the rows of a (part, slice) are the groups' own partition, so the aggregate shuffles no more;
     # a part with a very frequent term is written by as many tasks as it has slices
-    slices = max(1, -(-ranges // SLICE))
-    dealt = post.withColumn("slice", F.pmod("range", F.lit(slices)))
+    cell = part_of(F.col("term"), parts) * slices + F.pmod("range", F.lit(slices))
     shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(max(shuffled, min(parts * slices, 16 * shuffled)), "part", "slice")
-    blocks = dealt.groupBy("part", "slice", "term", "range").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("tf").alias("n_tokens"),
-        F.count_if("first").alias("n_first"), F.coalesce(F.sum(F.when(F.col("first"), F.col("dl"))), F.lit(0)).alias("dl_first"),
-        F.collect_list(F.struct(*keys, file, "dl", "tf")).alias("entries"))  # at most the chunks of a range
+    dealt = post.withColumn("cell", F.coalesce(cell, F.lit(-1))).repartition(
+        max(shuffled, min(parts * slices, 16 * shuffled)), "cell")
+    # ``first`` marks one posting of every chunk: N and the lengths are sums over the blocks
+    blocks = dealt.groupBy("cell", "term", "range").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("tf").alias("n_tokens"), F.count_if("first").alias("n_first"),
+        F.coalesce(F.sum(F.when(F.col("first"), F.col("dl"))), F.lit(0)).alias("dl_first"),
+        F.collect_list(F.struct(*keys, "dl", "tf")).alias("entries")).withColumn(  # at most the chunks of a range
+        "part", part_of(F.col("term"), parts))
     tops = F.transform(F.array_distinct("entries.tf"), lambda tf: F.struct(tf.alias("tf"), F.array_min(F.transform(
         F.filter("entries", lambda e: e["tf"] == tf), lambda e: e["dl"])).alias("dl")))
     blocks = stored("blocks", blocks.select("term", "range", "n", "n_tokens", tops.alias("tops"), "n_first", "dl_first", "entries", "part")

@@ -147,15 +147,15 @@ def _weighted(index, qt: DataFrame) -> tuple[DataFrame, DataFrame, Column]:
 
 
 def _scored(blocks: DataFrame, weighted: DataFrame, avgdl: Column, qid: str, keys: list[str], on: list[str],
-            k1: float, b: float, file: str | None = None, ranges: DataFrame | None = None) -> DataFrame:
+            k1: float, b: float, wanted: DataFrame | None = None, ranges: DataFrame | None = None) -> DataFrame:
     """BM25 of the postings of the blocks that meet ``weighted`` on part, term and
-    ``on``, in the given (query, range) only."""
+    ``on``, in the given (query, range) and of the ``wanted`` (query, chunk) only."""
     met = blocks.join(weighted, ["part", "term", *on])
     if ranges is not None:
         met = met.join(ranges, [qid, "range"], "left_semi")
-    rows = met.select(qid, "idf", *([F.col(file).alias("_wanted")] if file else []), F.inline("entries"))
-    if file:
-        rows = rows.filter(F.col("source_filename") == F.col("_wanted"))
+    rows = met.select(qid, "idf", F.inline("entries"))
+    if wanted is not None:
+        rows = rows.join(wanted, [qid, *keys], "left_semi")
     return rows.groupBy(qid, *keys).agg(F.sum(F.col("idf") * _tfn(F.col("tf"), F.col("dl"), avgdl, k1, b)).alias("bm25"))
 
 
@@ -170,12 +170,12 @@ def bm25_search(index, queries: DataFrame, keys: list[str], qid: str = "query_id
     blocks, weighted, avgdl = _weighted(index, query_terms(queries, qid, qtext))
     if wanted_file is None:
         return _scored(blocks, weighted, avgdl, qid, keys, [], k1, b)
-    wanted = queries.select(qid, F.col(wanted_file).alias("wanted_file"))
-    free = weighted.join(wanted.filter(F.col("wanted_file").isNull()).select(qid), qid, "left_semi")
-    ranges = index.chunks.select(F.col("source_filename").alias("wanted_file"), "range").distinct()
-    bound = weighted.join(wanted.join(ranges, "wanted_file"), qid)
+    named = queries.select(qid, F.col(wanted_file).alias("source_filename"))
+    free = weighted.join(named.filter(F.col("source_filename").isNull()).select(qid), qid, "left_semi")
+    chosen = materialize(named.join(index.chunks.select("source_filename", *keys, "range"), "source_filename"))
+    bound = weighted.join(chosen.select(qid, "range").distinct(), qid)
     return _scored(blocks, free, avgdl, qid, keys, [], k1, b).unionByName(
-        _scored(blocks, bound, avgdl, qid, keys, ["range"], k1, b, file="wanted_file"))
+        _scored(blocks, bound, avgdl, qid, keys, ["range"], k1, b, wanted=small(chosen.select(qid, *keys))))
 
 
 #: Ranges that one task scores together, and queries at a time.

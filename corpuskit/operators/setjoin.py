@@ -32,6 +32,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +44,8 @@ from corpuskit.session import checkpoint_dir
 FREQUENT = 20_000  # tokens known by rank
 BLOCK = 1024       # sets of one token that a block holds, on average
 WORDS = 4          # 64-bit words of a signature
+CLASSES = 1024     # classes by which a task counts tokens before it compares sets
+VERIFY = 4096      # sets of a bucket of the verification, on average
 
 
 def prefix_length(n: int, least: float) -> int:
@@ -137,17 +140,73 @@ def _room(least: float) -> Column:
     return (short >= F.round(least * long, 6)) & (rest >= need) & (differ <= total - 2 * need)
 
 
+def similar(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Similarity of the pairs (x, y) of sets (sorted hashes), -1 below ``least``.
+
+    Tokens counted by class bound what two sets share; only pairs that the bound
+    lets through are compared token by token.
+    """
+    size = np.array([len(t) for t in sets], dtype=np.int64)
+    counts = np.zeros((len(sets), CLASSES), dtype=np.int32)
+    for i, t in enumerate(sets):
+        counts[i] = np.bincount(((t.view(np.uint64) >> np.uint64(20)) % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES)
+    out = np.full(len(x), -1.0)
+    total = size[x] + size[y]
+    need = np.ceil(np.round(least / (1 + least) * total, 6))
+    for at in range(0, len(x), 20_000):
+        here = np.arange(at, min(at + 20_000, len(x)))
+        most = np.minimum(counts[x[here]], counts[y[here]]).sum(axis=1)
+        for i in here[most >= need[here]].tolist():
+            shared = len(np.intersect1d(sets[x[i]], sets[y[i]], assume_unique=True))
+            found = shared / (total[i] - shared)
+            if found >= least - 1e-9:
+                out[i] = found
+    return out
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(a, b, similarity) of the candidate pairs that reach the similarity."""
+    """(a, b, similarity) of the candidate pairs that reach the similarity.
+
+    Keys are dealt into buckets of about ``VERIFY`` sets; a task takes the pairs
+    of two buckets and each set that stands in one of them once.
+    """
     pairs = _written(pairs)
-    # only the sets of candidates move
-    asked = small(_written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()))
-    own = sets.join(asked, "key", "left_semi")
-    met = pairs.join(own.select(F.col("key").alias("a"), F.col("tokens").alias("ta")), "a").join(
-        own.select(F.col("key").alias("b"), F.col("tokens").alias("tb")), "b")
-    shared = F.size(F.array_intersect("ta", "tb"))
-    similar = shared / (F.size("ta") + F.size("tb") - shared)
-    return _written(met.select("a", "b", similar.alias("similarity")).filter(F.col("similarity") >= least - 1e-9))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    asked = _written(asked)
+    buckets = F.lit(max(1, -(-asked.count() // VERIFY)))
+    own = sets.join(small(asked), "key", "left_semi")
+
+    def bucket(c: str) -> Column:
+        return F.pmod(F.xxhash64(c), buckets).cast("int")
+
+    dealt = pairs.withColumn("one", F.least(bucket("a"), bucket("b"))).withColumn("two", F.greatest(bucket("a"), bucket("b")))
+    placed = dealt.select("one", "two", F.explode(F.array("a", "b")).alias("key")).distinct().join(own, "key")
+    kind = dict(pairs.dtypes)["a"]
+    schema = pa.schema([("a", pa_type(kind)), ("b", pa_type(kind)), ("similarity", pa.float64())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys = left["key"].combine_chunks()
+        tokens_ = left["tokens"].combine_chunks()
+        at, flat = tokens_.offsets.to_numpy(), tokens_.values.to_numpy()
+        held = [flat[i:j] for i, j in zip(at, at[1:])]
+        x, y = (pc.index_in(right[c].combine_chunks(), value_set=keys).to_numpy(zero_copy_only=False).astype(np.int64)
+                for c in ("a", "b"))
+        found = similar(held, x, y, least)
+        take = pa.array(np.flatnonzero(found >= 0))
+        return pa.Table.from_arrays([right["a"].combine_chunks().take(take), right["b"].combine_chunks().take(take),
+                                     pa.array(found[found >= 0])], schema=schema)
+
+    again = dealt.select(*[F.col(c).alias(c) for c in dealt.columns])  # both sides of a cogroup: own columns
+    met = placed.groupBy("one", "two").cogroup(again.groupBy("one", "two"))
+    return _written(met.applyInArrow(run, f"a {kind}, b {kind}, similarity double"))
+
+
+def pa_type(kind: str) -> pa.DataType:
+    """Arrow type of a key column."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+
+    return to_arrow_type(_parse_datatype_string(kind))
 
 
 def links(df: DataFrame, key: str, text_col: str, max_distance: float = 0.3, frequent: int = FREQUENT,

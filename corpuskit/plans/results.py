@@ -7,8 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuskit.operators import prepare, retrieval
 from corpuskit.operators import results as R
-from corpuskit.operators import retrieval
 from corpuskit.plans.corpus import _validate_sql, requests
 from corpuskit.plans.registry import register
 from corpuskit.plans.search import KEYS, hybrid_ctes, hybrid_df, search_index
@@ -29,6 +29,23 @@ hyb AS (SELECT r.query_id, r.rank, r.doc_id, r.chunk_index, r.score, c.source_fi
         FROM ranked r JOIN chunks c USING (doc_id, chunk_index) WHERE r.rank <= 5)"""
 
 
+@register("raw_evidence", sql=f"""
+WITH {HYB}
+SELECT query_id, CAST(rank AS BIGINT) AS rank,
+       sha256(concat_ws(chr(1), source_filename, CAST(chunk_index AS VARCHAR), content)) AS chunk_id,
+       content, round(score, 4) AS score, source_filename AS filename, CAST(chunk_index AS BIGINT) AS chunk_index,
+       CAST(total_chunks AS BIGINT) AS total_chunks, CAST(nullif(page_number, 0) AS BIGINT) AS page,
+       CAST(NULL AS VARCHAR) AS section, '' AS room_id, '' AS sender, {sql_str(INGESTED_AT)} AS ingested_at
+FROM hyb WHERE score IS NOT NULL AND score >= {T}""")
+def q_raw_evidence(t: Tables) -> DataFrame:
+    """#44: evidence rows of the fused keyword and vector ranking, scores >= 0.3."""
+    h = retrieval.score_threshold(hybrid_rows(t), "score", T)
+    h = h.withColumn("id", prepare.chunk_sha(F.col("source_filename"), F.col("chunk_index"), F.col("content")))
+    return R.raw_results(h.withColumn("score", F.round("score", 4))).select(
+        "query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "content", "score", "filename", "chunk_index",
+        "total_chunks", "page", "section", "room_id", "sender", "ingested_at")
+
+
 @register("score_threshold", sql=f"""
 WITH {HYB},
 d AS (SELECT query_id, count(*) FILTER (WHERE score IS NULL OR score < {T}) AS n_dropped FROM hyb GROUP BY query_id)

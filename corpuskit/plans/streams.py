@@ -46,8 +46,7 @@ def q_stream_quota(t: Tables) -> DataFrame:
     spark = t.spark
     ev = t.events.select("event_id", "user_id", "ts")
     lo, hi = ev.agg(F.min("ts"), F.max("ts")).first()
-    step = (hi - lo) / 4
-    bounds = [lo + step * i for i in range(1, 4)]
+    bounds = [] if lo is None else [lo + (hi - lo) / 4 * i for i in range(1, 4)]  # no events: one empty drop
     drops, prev = [], None
     for b in bounds + [None]:
         cond = (F.col("ts") > prev) if prev is not None else F.lit(True)
@@ -106,7 +105,8 @@ def q_stream_ingest(t: Tables) -> DataFrame:
 
 
 @register("stream_chat", sql=f"""
-WITH m AS (SELECT conv_id, turn, text, {KIND} AS kind, length(text) % 2 = 0 AS nohb FROM conversations),
+WITH m AS (SELECT conv_id, turn, coalesce(text, '') AS text, {KIND} AS kind, coalesce(length(conversations.text) % 2 = 0, false) AS nohb
+           FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 s AS (SELECT *, coalesce(last_value(CASE WHEN kind = 'reasoning' THEN true WHEN kind = 'tool_call' THEN nohb
                                           WHEN kind = 'assistant' THEN false END IGNORE NULLS)
                            OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),

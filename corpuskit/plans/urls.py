@@ -12,8 +12,10 @@ from corpuskit.functions import mime as M
 from corpuskit.functions import urls as U
 from corpuskit.operators import items as I
 from corpuskit.operators.activity import numbered
+from corpuskit.operators.retrieval import small
 from corpuskit.plans.registry import register
 from corpuskit.plans.sqlparts import group_sql, held_cte, rx, sql_list, sql_str
+from corpuskit.session import materialize
 from corpuskit.sources import fixtures as X
 from corpuskit.tables import Tables
 
@@ -277,6 +279,46 @@ def domain_filter(df: DataFrame, include: list[str] | None = None, exclude: list
     return df.filter(cond)
 
 
+def _under(hosts: DataFrame, domains: DataFrame, domain: str) -> DataFrame:
+    """The hosts (``host``) that equal a listed domain or lie under one: every suffix is looked up."""
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    listed = domains.select(F.lower(F.col(domain)).alias("_suffix")).filter("_suffix <> ''").distinct()
+    return hosts.select("host", F.explode(suffixes).alias("_suffix")).join(listed, "_suffix", "left_semi").select("host").distinct()
+
+
+def domain_lists(df: DataFrame, include: DataFrame | None = None, exclude: DataFrame | None = None, domain: str = "domain",
+                 url: str = "url") -> DataFrame:
+    """#13 for lists of any length, given as tables (a null or empty domain counts for nothing).
+
+    Only the distinct hosts are cut into suffixes and joined with the lists; the
+    rows meet the hosts that are kept, which are broadcast if they are few. A
+    list that is not given, or has no rows, is ignored.
+    """
+    rows = df.withColumn("host", U.host(url))
+    hosts = materialize(rows.select("host").distinct())
+    kept = hosts
+    for listed, how in ((include, "left_semi"), (exclude, "left_anti")):
+        if listed is not None and listed.limit(1).count():
+            kept = kept.join(_under(hosts, listed, domain), "host", how)
+    return rows.join(small(materialize(kept)), "host", "left_semi").select(*df.columns)
+
+
+@register("domain_lists", sql=f"""
+WITH a AS (SELECT page_id, url, {_host_sql('url')} AS host FROM pages),
+inc AS (SELECT DISTINCT regexp_extract(host, '[^.]+[.][^.]+$') AS d FROM a WHERE page_id % 3 = 0),
+exc AS (SELECT DISTINCT host AS d FROM a WHERE page_id % 10 = 0)
+SELECT page_id, url FROM a
+WHERE EXISTS (SELECT 1 FROM inc WHERE d <> '' AND (host = d OR ends_with(host, '.' || d)))
+  AND NOT EXISTS (SELECT 1 FROM exc WHERE d <> '' AND (host = d OR ends_with(host, '.' || d)))""")
+def q_domain_lists(t: Tables) -> DataFrame:
+    """#13: pages under the domains of every third page, but not under the hosts of every tenth."""
+    pages = t.pages.select("page_id", "url", U.host("url").alias("h"))
+    include = pages.filter("page_id % 3 = 0").select(F.regexp_extract("h", r"[^.]+[.][^.]+$", 0).alias("domain"))
+    exclude = pages.filter("page_id % 10 = 0").select(F.col("h").alias("domain"))
+    return domain_lists(pages.select("page_id", "url"), include, exclude)
+
+
 # ------------------------------------------------------------ clean URLs
 
 def clean_urls(df: DataFrame, raw: str = "raw") -> DataFrame:

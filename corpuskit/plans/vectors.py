@@ -9,16 +9,17 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuskit.operators import cells as C
+from corpuskit.operators import embed as E
 from corpuskit.operators import index as IX
 from corpuskit.operators import setjoin as S
 from corpuskit.operators import vectors as V
 from corpuskit.operators import web
 from corpuskit.plans.registry import register
-from corpuskit.plans.search import chunk_store, query_vectors
+from corpuskit.plans.search import KEYS, chunk_store, query_table, query_vectors, search_index
 from corpuskit.plans.sqlparts import NORM_SQL, chunks_cte, tokens_sql
 from corpuskit.session import checkpoint_dir
 from corpuskit.tables import Tables
@@ -35,6 +36,63 @@ def q_embed_chunks(t: Tables) -> DataFrame:
     return e.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.size("embedding").alias("dim"), F.round(norm, 6).alias("norm"))
 
 
+def _vectors_sql(rows: str, counts: str, key: str) -> str:
+    """CTEs ending in ``_vec(key, v)``: the vectors of ``rows`` by their term counts, weighted by ``_df`` and ``_stats``."""
+    return f"""
+_fit AS (SELECT term, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % {E.DIM} AS place,
+                CASE WHEN CAST('0x' || substr(md5(term), 9, 1) AS BIGINT) % 2 = 0 THEN 1.0 ELSE -1.0 END
+                * (ln((1 + s.n) / (1 + d.df)) + 1) AS weight FROM _df d CROSS JOIN _stats s),
+_sum AS (SELECT {key}, place, sum(tf * weight) AS w FROM {counts} JOIN _fit USING (term) GROUP BY {key}, place),
+_grid AS (SELECT {key}, place FROM (SELECT {key} FROM {rows}) CROSS JOIN (SELECT unnest(range(0, {E.DIM})) AS place)),
+_dense AS (SELECT {key}, place, coalesce(w, 0.0) AS w FROM _grid LEFT JOIN _sum USING ({key}, place)),
+_vec AS (SELECT {key}, list(w ORDER BY place) AS v, sqrt(sum(w * w)) AS n FROM _dense GROUP BY {key})"""
+
+
+_ROUNDED_SQL = ("array_to_string(list_transform(v, lambda x: CAST(CAST(CASE WHEN n > 0 THEN round(10000 * (x / n)) ELSE 0 END "
+                "AS BIGINT) AS VARCHAR)), ',')")
+
+
+def rounded(v: str) -> Column:
+    """A vector as text, in units of 0.0001 (so that engines compare)."""
+    return F.array_join(F.transform(v, lambda x: F.round(x * 10000).cast("long").cast("string")), ",")
+
+
+def fitted_embedder(t: Tables) -> DataFrame:
+    """The embedder's weights, fitted on the stored index of ``documents``."""
+    index = search_index(t)
+    return E.fit(index.terms.select("term", "df"), index.stats.select("n_docs").scalar())
+
+
+@register("embed_fitted", sql=f"""
+WITH {chunks_cte()},
+_toks AS (SELECT doc_id, chunk_index, {tokens_sql('content')} AS t FROM chunks),
+_stats AS (SELECT count(*) AS n FROM _toks),
+_post AS (SELECT doc_id, chunk_index, term, count(*) AS tf FROM (SELECT doc_id, chunk_index, unnest(t) AS term FROM _toks) GROUP BY ALL),
+_df AS (SELECT term, count(*) AS df FROM _post GROUP BY term), {_vectors_sql('chunks', '_post', 'doc_id, chunk_index')}
+SELECT doc_id, chunk_index, {_ROUNDED_SQL} AS vector FROM _vec""")
+def q_embed_fitted(t: Tables) -> DataFrame:
+    """#33: every chunk's vector under weights fitted on all chunks."""
+    index = search_index(t)
+    counts = index.postings.filter(F.col("term").isNotNull()).select(*KEYS, "term", "tf")
+    e = E.embed_terms(index.chunks, counts, fitted_embedder(t), KEYS)
+    return e.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), rounded("embedding").alias("vector"))
+
+
+@register("embed_queries", sql=f"""
+WITH {chunks_cte()},
+_toks AS (SELECT doc_id, chunk_index, {tokens_sql('content')} AS t FROM chunks),
+_stats AS (SELECT count(*) AS n FROM _toks),
+_df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, chunk_index, unnest(t) AS term FROM _toks) GROUP BY term),
+_q AS (SELECT item_id AS query_id, text FROM benchmark),
+_qc AS (SELECT query_id, term, count(*) AS tf FROM (SELECT query_id, unnest({tokens_sql('text')}) AS term FROM _q) GROUP BY ALL),
+{_vectors_sql('_q', '_qc', 'query_id')}
+SELECT query_id, {_ROUNDED_SQL} AS vector FROM _vec""")
+def q_embed_queries(t: Tables) -> DataFrame:
+    """#33: the benchmark queries' vectors under the same weights as the chunks'."""
+    e = E.embed_texts(query_table(t), "query", fitted_embedder(t), ["query_id"])
+    return e.select("query_id", rounded("embedding").alias("vector"))
+
+
 #: (application, folder of the tables, version of embeddings) -> folder of the written cells
 _CELLS: dict[tuple, str] = {}
 

@@ -19,9 +19,11 @@ STATE_SCHEMA = "pending boolean"
 
 def fold(rows: list[tuple], reply: str, pending: bool):
     """rows: (turn, kind, text, no_heartbeat) sorted by turn; returns the parts
-    (turn, text), the reply with them, and the pending flag."""
+    (turn, text), the reply with them, and the pending flag. A null text counts
+    as an empty one, a null flag as false; other kinds add an empty part."""
     out = []
     for turn, kind, text, nohb in rows:
+        text, nohb = text or "", nohb is not None and bool(nohb)
         part = ""
         if kind == "reasoning":
             t = text.strip()
@@ -44,13 +46,17 @@ def fold(rows: list[tuple], reply: str, pending: bool):
 def _fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     (pending,) = state.get if state.exists else (False,)
     batch = pd.concat(list(pdfs), ignore_index=True).sort_values("turn", kind="mergesort")
-    rows = list(zip(batch["turn"], batch["kind"], batch["text"], batch["no_heartbeat"]))
+    # missing values of pandas columns are None here
+    whole = batch.astype(object).where(batch.notna(), None)
+    rows = list(zip(batch["turn"], whole["kind"], whole["text"], whole["no_heartbeat"]))
     out, _, pending = fold(rows, "", pending)
     state.update((bool(pending),))
     yield pd.DataFrame({"conv_id": key[0], "turn": [t for t, _ in out], "part": [p for _, p in out]})
 
 
 def stream_chat(msgs: DataFrame) -> DataFrame:
-    """``msgs``: conv_id, turn, kind, text, no_heartbeat (streaming)."""
+    """``msgs``: conv_id, turn, kind, text, no_heartbeat (streaming). Rows without a
+    conversation or turn take no part."""
+    msgs = msgs.filter("conv_id IS NOT NULL AND turn IS NOT NULL")
     return msgs.groupBy("conv_id").applyInPandasWithState(
         _fn, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)

@@ -44,19 +44,23 @@ def _fn(limit: int, window_s: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = list(state.get[0]) if state.exists else []
         batch = pd.concat(list(pdfs), ignore_index=True)
-        batch = batch.sort_values(["ts", "event_id"], kind="mergesort")
-        us = (batch["ts"].astype("int64") // 1000).tolist()   # ns -> us
-        decisions, held = admit(list(zip(us, batch["event_id"].tolist())), held, limit, window_us)
+        batch = batch.sort_values(["ts", "event_id"], kind="mergesort", ignore_index=True)
+        us = (batch["ts"].astype("datetime64[us]").astype("int64")).tolist()
+        # decisions stand in the order of the rows: an event_id may repeat or be null
+        decisions, held = admit([(x, i) for i, x in enumerate(us)], held, limit, window_us)
         state.update((held,))
-        dec = pd.DataFrame(decisions, columns=["event_id", "admitted", "in_window"])
-        out = batch[["event_id", "user_id", "ts"]].merge(dec, on="event_id", how="left")
-        yield out[["event_id", "user_id", "ts", "admitted", "in_window"]]
+        out = batch[["event_id", "user_id", "ts"]].copy()
+        out["admitted"] = [d[1] for d in decisions]
+        out["in_window"] = [d[2] for d in decisions]
+        yield out
 
     return fn
 
 
 def stream_quota(events: DataFrame, limit: int = QUOTA_REQUESTS, window_s: int = QUOTA_WINDOW_S) -> DataFrame:
-    """Streaming DataFrame of admission decisions (append mode)."""
-    ev = events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    """Streaming DataFrame of admission decisions (append mode), one for each row:
+    rows that repeat an event are requests of their own. Rows without a time
+    are no requests and get no decision."""
+    ev = events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")).filter(F.col("ts").isNotNull())
     return ev.groupBy("user_id").applyInPandasWithState(
         _fn(limit, window_s), OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)

@@ -70,9 +70,9 @@ def attach_children(items: DataFrame) -> DataFrame:
     return parents.join(children, "parent_key", "left")
 
 
-def lookup_url_then_doi(urls: DataFrame, items: DataFrame, url: str = "url") -> DataFrame:
+def lookup_url_then_doi(urls: DataFrame, items: DataFrame, url: str = "url", field=_data) -> DataFrame:
     """#52: per URL the first top-level non-attachment item by exact URL, else
-    by DOI (ties: smallest item_key).
+    by DOI (ties: smallest item_key). ``field``: column of a path of an item.
 
     Both kinds of key are joined at once, so the items are parsed and shuffled
     once. ``min`` over a struct is a partial aggregate, so a URL repeated many
@@ -82,8 +82,8 @@ def lookup_url_then_doi(urls: DataFrame, items: DataFrame, url: str = "url") ->
         pair = F.array(F.struct(F.lit(1).alias("prio"), by_url.alias("_k")), F.struct(F.lit(2).alias("prio"), by_doi.alias("_k")))
         return df.select(first, F.inline(pair)).filter(F.col("_k").isNotNull())
 
-    top = top_level(items).filter(F.coalesce(_data("itemType"), F.lit("")) != "attachment")
-    have = keyed(top, "item_key", _data("url"), _data("DOI"))
+    top = items.filter(field("parentItem").isNull() & (F.coalesce(field("itemType"), F.lit("")) != "attachment"))
+    have = keyed(top, "item_key", field("url"), field("DOI"))
     want = keyed(urls.select(url), url, F.col(url), extract_doi(F.col(url)))
     best = want.join(have, ["prio", "_k"]).groupBy(url).agg(F.min(F.struct("prio", "item_key")).alias("_b"))
     return best.select(url, F.col("_b.item_key").alias("item_key"),

@@ -8,10 +8,9 @@ the rarest tokens first, such prefixes meet few others. So
 2. tokens are counted once; the ``FREQUENT`` most frequent ones are known by
    rank, all others count as rarer and are ordered by their hash (the order
    decides how many candidates there are, never which pairs are found);
-3. the prefixes are joined on their tokens (those that stand in one prefix alone
-   are left out first). A pair is a candidate only if the sizes, the places of
-   the shared token and a 256-bit signature (token parities) leave room for the
-   similarity;
+3. the prefixes are joined on their tokens. A pair is a candidate only if the
+   sizes, the places of the shared token and a 256-bit signature (token parities)
+   leave room for the similarity;
 4. candidates are verified on the whole sets.
 
 Links between copies of one text would grow with the square of their number, so
@@ -41,7 +40,7 @@ from corpuskit.operators.components import components
 from corpuskit.operators.retrieval import small
 from corpuskit.session import checkpoint_dir
 
-FREQUENT = 20_000  # tokens known by rank
+FREQUENT = 500_000  # tokens known by rank (16 bytes each)
 BLOCK = 1024       # sets of one token that a block holds, on average
 WORDS = 4          # 64-bit words of a signature
 CLASSES = 1024     # classes by which a task counts tokens before it compares sets
@@ -68,17 +67,21 @@ def _written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _frequent(sets: DataFrame, most: int) -> dict[int, int]:
-    """Rank of the most frequent tokens (a bounded table: at most ``most`` rows)."""
-    counted = sets.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    top = counted.filter("n > 1").orderBy(F.desc("n"), "t").limit(most).collect()
-    return {r["t"]: i for i, r in enumerate(reversed(top), 1)}
+def _frequent(sets: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens in the order of their hashes, their ranks) of the most frequent tokens that
+    two sets have, the rarest ranked first: a bounded table of at most ``most`` rows."""
+    counted = sets.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    top = counted.orderBy(F.desc("n"), "t").limit(most).toArrow()
+    known, n = top["t"].to_numpy(), top["n"].to_numpy()
+    rank = np.empty(len(known), dtype=np.int32)
+    rank[np.lexsort((known, n))] = np.arange(1, len(known) + 1)
+    order = np.argsort(known)
+    return known[order], rank[order]
 
 
-def _ordered(rank: dict[int, int], least: float):
+def _ordered(rank: tuple[np.ndarray, np.ndarray], least: float):
     """Function: the prefix of a set, rarest tokens first (rank 0: beyond the known ones)."""
-    known = np.array(sorted(rank), dtype=np.int64)
-    ranks = np.array([rank[int(t)] for t in known], dtype=np.int64)
+    known, ranks = rank
 
     def prefix(t: np.ndarray) -> np.ndarray:
         order = np.zeros(len(t), dtype=np.int64)
@@ -91,42 +94,34 @@ def _ordered(rank: dict[int, int], least: float):
     return prefix
 
 
-def prefixes(sets: DataFrame, least: float, rank: dict[int, int]) -> DataFrame:
-    """(token, pos, key): the prefix of every set, rarest tokens first."""
+def prefixes(sets: DataFrame, least: float, rank: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(token, pos, key, size, s0..s3): the prefix of every set, rarest tokens first.
+
+    The signature holds the parity of the number of tokens of each of 256 classes.
+    """
     prefix = _ordered(rank, least)
+    names = ["token", "pos", "key", "size", *[f"s{i}" for i in range(WORDS)]]
 
     def run(batches):
         for batch in batches:
             at, flat = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy()
             made = [prefix(flat[i:j]) for i, j in zip(at, at[1:])]
-            size = [len(x) for x in made]
-            take = np.repeat(np.arange(len(batch)), size)
-            pos = np.concatenate([np.arange(n, dtype=np.int32) for n in size] or [np.zeros(0, np.int32)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(made) if made else np.zeros(0, np.int64)), pa.array(pos),
-                 batch.column(0).take(pa.array(take, pa.int64()))], ["token", "pos", "key"])
-
-    return sets.select("key", "tokens").mapInArrow(run, f"token long, pos int, key {dict(sets.dtypes)['key']}")
-
-
-def signatures(sets: DataFrame) -> DataFrame:
-    """(key, size, s0..s3): number of tokens, and the parity of the tokens of each of 256 classes."""
-    names = ["key", "size", *[f"s{i}" for i in range(WORDS)]]
-
-    def run(batches):
-        for batch in batches:
-            at, flat = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy()
             words = np.zeros((len(batch), WORDS), dtype=np.int64)
             for i in range(len(batch)):
                 own = (flat[at[i]:at[i + 1]].view(np.uint64) >> np.uint64(8)) % np.uint64(64 * WORDS)
                 odd = np.bincount(own.astype(np.int64), minlength=64 * WORDS) & 1
                 words[i] = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+            size = [len(x) for x in made]
+            take = np.repeat(np.arange(len(batch)), size)
+            pos = np.concatenate([np.arange(n, dtype=np.int32) for n in size] or [np.zeros(0, np.int32)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(at).astype(np.int32)), *[pa.array(words[:, i]) for i in range(WORDS)]], names)
+                [pa.array(np.concatenate(made) if made else np.zeros(0, np.int64)), pa.array(pos),
+                 batch.column(0).take(pa.array(take, pa.int64())), pa.array(np.diff(at).astype(np.int32)[take]),
+                 *[pa.array(words[take, i]) for i in range(WORDS)]], names)
 
     kind = dict(sets.dtypes)["key"]
     return sets.select("key", "tokens").mapInArrow(
-        run, f"key {kind}, size int, " + ", ".join(f"s{i} long" for i in range(WORDS)))
+        run, f"token long, pos int, key {kind}, size int, " + ", ".join(f"s{i} long" for i in range(WORDS)))
 
 
 def _room(least: float) -> Column:
@@ -226,33 +221,34 @@ def links(df: DataFrame, key: str, text_col: str, max_distance: float = 0.3, fre
     copies = small(_written(members.filter("key <> rep").select("key")))
     sets = every.join(copies, "key", "left_anti")
 
-    # the prefixes' tokens that two sets have; most stand in one prefix alone
-    short = prefixes(sets, least, _frequent(sets, frequent))
-    shared = short.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token")
-    rows = _written(short.join(shared, "token", "left_semi").join(signatures(sets), "key"))
+    rows = _written(prefixes(sets, least, _frequent(sets, frequent)))
 
     def pairs(x: DataFrame, y: DataFrame, on: list[str], more: Column) -> DataFrame:
         met = x.alias("x").join(y.alias("y"), [F.col(f"x.{c}") == F.col(f"y.{c}") for c in on])
         return met.filter(more & _room(least)).select(
-            F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+            F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))
 
     # every set with the smallest key under each of its tokens: one row a prefix token
     row = F.struct("key", *[c for c in rows.columns if c not in ("key", "token")])
-    least_of = rows.groupBy("token").agg(F.min(row).alias("r")).select("token", "r.*")
-    first = _verified(pairs(rows, least_of, ["token"], F.col("x.key") > F.col("y.key")), sets, least)
+    least_of = rows.groupBy("token").agg(F.min(row).alias("r"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("token", "r.*")
+    first = _verified(pairs(rows, small(_written(least_of)), ["token"], F.col("x.key") > F.col("y.key")).distinct(), sets, least)
     part = components(first, "a", "b")
 
     # all others, but pairs of one component
     rooted = rows.join(small(_written(part)), F.col("key") == F.col("vertex"), "left").withColumn(
         "root", F.coalesce("root", "key")).drop("vertex")
     stat = rooted.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    open_tokens = stat.filter("low <> high").select("token", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    dealt = _written(rooted.join(open_tokens, "token").withColumn("own", F.pmod(F.xxhash64("key"), "blocks").cast("int")))
-    # a token's blocks meet each other once: the lower number on the left, the higher on the right
-    x = dealt.withColumn("one", F.col("own")).withColumn("two", F.explode(F.sequence("own", F.col("blocks") - 1)))
-    y = dealt.withColumn("two", F.col("own")).withColumn("one", F.explode(F.sequence(F.lit(0), "own")))
+    stat = _written(stat.filter("low <> high").select("token", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    other = F.col("x.root") != F.col("y.root")
+    # tokens of one block: both sides of the join are the same rows, shuffled once
+    cold = rooted.join(small(stat.filter("blocks = 1").select("token")), "token", "left_semi")
+    again = pairs(cold, cold, ["token"], (F.col("x.key") < F.col("y.key")) & other)
+    # the blocks of the others meet each other once: the lower number on the left, the higher on the right
+    hot = rooted.join(small(stat.filter("blocks > 1")), "token").withColumn("own", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    x = hot.withColumn("one", F.col("own")).withColumn("two", F.explode(F.sequence("own", F.col("blocks") - 1)))
+    y = hot.withColumn("two", F.col("own")).withColumn("one", F.explode(F.sequence(F.lit(0), "own")))
     turned = (F.col("x.one") < F.col("x.two")) | (F.col("x.key") < F.col("y.key"))
-    again = pairs(x, y, ["token", "one", "two"], turned & (F.col("x.root") != F.col("y.root")))
+    again = again.unionByName(pairs(x, y, ["token", "one", "two"], turned & other)).distinct()
     found = first.unionByName(_verified(again.join(first.select("a", "b"), ["a", "b"], "left_anti"), sets, least))
     return members, found, components(found, "a", "b")
 

@@ -5,6 +5,7 @@ academic match, intersect, incremental sync (#4, #19-20, #51-52, #54, #56,
 
 from __future__ import annotations
 
+import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -13,9 +14,12 @@ from pyspark.sql import functions as F
 from corpuskit.functions import jsonq
 from corpuskit.functions import urls as U
 from corpuskit.functions.mime import mime_of
+from corpuskit.operators import index as IX
 from corpuskit.operators import items as I
+from corpuskit.operators import itemstore as IS
 from corpuskit.plans.registry import register
 from corpuskit.plans.sqlparts import group_sql, held_cte, sql_str
+from corpuskit.session import checkpoint_dir
 from corpuskit.sources import fixtures as X
 from corpuskit.tables import Tables
 
@@ -213,7 +217,7 @@ LOOKUP_URL = ("CASE WHEN o_orderkey % 2 = 0 THEN 'https://arxiv.org/abs/' || CAS
               "ELSE 'https://doi.org/10.' || CAST(1000 + o_orderkey % 100 AS STRING) || '/o' || CAST(o_orderkey AS STRING) END")
 
 
-@register("lookup_url_then_doi", sql=f"""
+LOOKUP_SQL = f"""
 WITH {ITEMS},
 u AS (SELECT {LOOKUP_URL.replace('AS STRING', 'AS VARCHAR')} AS url FROM orders),
 top AS (SELECT item_key, json_extract_string(item_data, '$.data.url') AS iurl,
@@ -227,13 +231,49 @@ m AS (
     ON t.doi = coalesce({group_sql('u.url', U.DOI_URL_RE, 1)}, {group_sql('u.url', U.DOI_PDF_RE, 1)})
 ),
 r AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY prio, item_key) AS rn FROM m)
-SELECT url, item_key, CASE prio WHEN 1 THEN 'url' ELSE 'doi' END AS matched_by FROM r WHERE rn = 1""")
+SELECT url, item_key, CASE prio WHEN 1 THEN 'url' ELSE 'doi' END AS matched_by FROM r WHERE rn = 1"""
+
+
+@register("lookup_url_then_doi", sql=LOOKUP_SQL)
 def q_lookup_url_then_doi(t: Tables) -> DataFrame:
     """#52: exact URL match first, else DOI match; top-level non-attachments."""
     urls = t.orders.select(F.expr(LOOKUP_URL).alias("url"))
     return I.lookup_url_then_doi(urls, X.items(t)).select("url", "item_key", "matched_by")
 
 
+# ------------------------------------------------------- stored items
+
+#: (application, folder of the tables, versions of their sources) -> folder of the written items
+_STORES: dict[tuple, str] = {}
+
+
+def item_store(t: Tables) -> IS.ItemStore:
+    """The stored items: written by the session's first search, and again when the
+    files of the tables that they come from have changed."""
+    folder = t.sf_dir.rstrip("/")
+    name = (t.spark.conf.get("spark.app.id"), folder,
+            *[IX.source_version(t.spark, f"{folder}/{table}.parquet") for table in ("orders", "lineitem")])
+    if name not in _STORES:
+        path = f"{checkpoint_dir(t.spark).rstrip('/')}/items-{uuid.uuid4().hex}"
+        IS.write_items(X.items(t), path)
+        _STORES[name] = path
+    return IS.open_items(t.spark, _STORES[name])
+
+
+@register("item_store_find", sql=_matches_sql({**FIELD_QUERIES, **ARRAY_QUERIES}))
+def q_item_store_find(t: Tables) -> DataFrame:
+    """#19/#20 over stored items: hot paths from their columns, others from the VARIANT."""
+    return item_store(t).find_each({**FIELD_QUERIES, **ARRAY_QUERIES})
+
+
+@register("item_store_lookup", sql=LOOKUP_SQL)
+def q_item_store_lookup(t: Tables) -> DataFrame:
+    """#52 over stored items: exact URL first, else DOI, from the paths' columns."""
+    store = item_store(t)
+    urls = t.orders.select(F.expr(LOOKUP_URL).alias("url"))
+    return I.lookup_url_then_doi(urls, store.rows, field=store.text).select("url", "item_key", "matched_by")
+
+
 @register("academic_match", sql=f"""
 WITH {X.url_cases_sql()}, {ITEMS}, {held_cte('url_cases')}
 SELECT c.page_id, c.kind, c.url, h.url IS NOT NULL AS held FROM url_cases c LEFT JOIN _held h USING (url)

@@ -14,7 +14,7 @@ from corpuskit.plans.registry import register
 from corpuskit.plans.sqlparts import chunks_cte_from
 from corpuskit.plans.threads import KIND
 from corpuskit.sources import fixtures as X
-from corpuskit.streaming import chat, ingest, quota, sync
+from corpuskit.streaming import chat, ingest, ordered, quota, sync
 from corpuskit.streaming.common import run_drops, scratch
 from corpuskit.tables import Tables
 
@@ -54,13 +54,9 @@ def q_stream_quota(t: Tables) -> DataFrame:
         drops.append(ev.filter(cond))
         prev = b
     src, out = scratch(spark, "quota-src"), scratch(spark, "quota-out")
-
-    def query():
-        stream = quota.stream_quota(_file_stream(spark, src, ev), QUOTA_LIMIT, QUOTA_WINDOW)
-        return stream.writeStream.format("parquet").option("path", out).outputMode("append")
-
-    run_drops(drops, src, query, scratch(spark, "quota-ckpt"))
-    return spark.read.parquet(out)
+    fn = quota.quota_batch_fn(out, scratch(spark, "quota-state"), QUOTA_LIMIT, QUOTA_WINDOW)
+    run_drops(drops, src, lambda: _file_stream(spark, src, ev).writeStream.foreachBatch(fn), scratch(spark, "quota-ckpt"))
+    return ordered.results(spark, out, quota.SCHEMA)
 
 
 @register("stream_sync", sql=f"""
@@ -130,11 +126,7 @@ def q_stream_chat(t: Tables) -> DataFrame:
     drops = [m.filter(F.col("turn") < 2), m.filter((F.col("turn") >= 2) & (F.col("turn") < 4)),
              m.filter(F.col("turn") >= 4)]
     src, out = scratch(spark, "chat-src"), scratch(spark, "chat-out")
-
-    def query():
-        stream = chat.stream_chat(_file_stream(spark, src, m))
-        return stream.writeStream.format("parquet").option("path", out).outputMode("append")
-
-    run_drops(drops, src, query, scratch(spark, "chat-ckpt"))
-    return spark.read.parquet(out).groupBy("conv_id").agg(F.concat(
+    fn = chat.chat_batch_fn(out, scratch(spark, "chat-state"))
+    run_drops(drops, src, lambda: _file_stream(spark, src, m).writeStream.foreachBatch(fn), scratch(spark, "chat-ckpt"))
+    return ordered.results(spark, out, chat.SCHEMA).groupBy("conv_id").agg(F.concat(
         F.lit("<think>"), F.expr("listagg(part, '') WITHIN GROUP (ORDER BY turn)")).alias("reply"))

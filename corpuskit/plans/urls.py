@@ -283,7 +283,7 @@ def _under(hosts: DataFrame, domains: DataFrame, domain: str) -> DataFrame:
     """The hosts (``host``) that equal a listed domain or lie under one: every suffix is looked up."""
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    listed = domains.select(F.lower(F.col(domain)).alias("_suffix")).filter("_suffix <> ''").distinct()
+    listed = domains.select(F.lower(F.col(domain)).alias("_suffix")).distinct()
     return hosts.select("host", F.explode(suffixes).alias("_suffix")).join(listed, "_suffix", "left_semi").select("host").distinct()
 
 
@@ -299,6 +299,7 @@ def domain_lists(df: DataFrame, include: DataFrame | None = None, exclude: DataF
     hosts = materialize(rows.select("host").distinct())
     kept = hosts
     for listed, how in ((include, "left_semi"), (exclude, "left_anti")):
+        listed = listed.filter(F.col(domain) != "") if listed is not None else None
         if listed is not None and listed.limit(1).count():
             kept = kept.join(_under(hosts, listed, domain), "host", how)
     return rows.join(small(materialize(kept)), "host", "left_semi").select(*df.columns)

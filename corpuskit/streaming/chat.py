@@ -11,8 +11,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from corpuskit.streaming.ordered import batch_fn
+
 OUT_SCHEMA = "conv_id long, turn long, part string"
 STATE_SCHEMA = "pending boolean"
 
@@ -60,3 +64,21 @@ def stream_chat(msgs: DataFrame) -> DataFrame:
     msgs = msgs.filter("conv_id IS NOT NULL AND turn IS NOT NULL")
     return msgs.groupBy("conv_id").applyInPandasWithState(
         _fn, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+
+
+SCHEMA = (T.StructType().add("conv_id", T.LongType()).add("turn", T.LongType()).add("kind", T.StringType())
+          .add("text", T.StringType()).add("no_heartbeat", T.BooleanType()).add("part", T.StringType()))
+
+
+def prepared(msgs: DataFrame) -> DataFrame:
+    return msgs.select("conv_id", F.col("turn").cast("long").alias("turn"), "kind", "text", "no_heartbeat").filter(
+        "conv_id IS NOT NULL AND turn IS NOT NULL")
+
+
+def chat_batch_fn(out: str, state_path: str):
+    """The same parts by an ordered fold (``streaming.ordered``): no conversation's rows are held together."""
+    def step(pending, row):
+        [(_, part)], _, pending = fold([(row["turn"], row["kind"], row["text"], row["no_heartbeat"])], "", bool(pending))
+        return pending or None, {"part": part}
+
+    return batch_fn(out, state_path, "conv_id", ["turn"], step, "part string", "boolean", prepared)

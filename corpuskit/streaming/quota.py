@@ -9,14 +9,17 @@ arrive (state holds at most ``limit`` timestamps per key, so it is bounded).
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpuskit.operators.activity import QUOTA_REQUESTS, QUOTA_WINDOW_S
+from corpuskit.streaming.ordered import batch_fn
 
 OUT_SCHEMA = "event_id long, user_id long, ts timestamp, admitted boolean, in_window int"
 STATE_SCHEMA = "admitted array<long>"
@@ -64,3 +67,35 @@ def stream_quota(events: DataFrame, limit: int = QUOTA_REQUESTS, window_s: int =
     ev = events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")).filter(F.col("ts").isNotNull())
     return ev.groupBy("user_id").applyInPandasWithState(
         _fn(limit, window_s), OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+
+
+EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
+MADE = "admitted boolean, in_window int"
+SCHEMA = (T.StructType().add("event_id", T.LongType()).add("user_id", T.LongType()).add("ts", T.TimestampType())
+          .add("admitted", T.BooleanType()).add("in_window", T.IntegerType()))
+
+
+def prepared(events: DataFrame) -> DataFrame:
+    """Requests: the rows with a user and a time."""
+    ev = events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return ev.filter(F.col("ts").isNotNull() & F.col("user_id").isNotNull())
+
+
+def quota_batch_fn(out: str, state_path: str, limit: int = QUOTA_REQUESTS, window_s: int = QUOTA_WINDOW_S):
+    """The same decisions by an ordered fold (``streaming.ordered``): no key's rows are held
+    together, and users idle for a window are given up (requests that come more than a
+    window behind the newest one may then find no state)."""
+    window_us = window_s * 1_000_000
+
+    def step(held, row):
+        us = (row["ts"] - EPOCH) // dt.timedelta(microseconds=1)
+        [(_, ok, n)], held = admit([(us, None)], held or [], limit, window_us)
+        return held or None, {"admitted": ok, "in_window": n}
+
+    def idle(state: DataFrame, rows: DataFrame) -> DataFrame:
+        newest = rows.agg(F.max(F.unix_micros("ts"))).first()[0]
+        if newest is None:
+            return state.limit(0).select("user_id")
+        return state.filter(F.array_max("state") <= newest - window_us).select("user_id")
+
+    return batch_fn(out, state_path, "user_id", ["ts", "event_id"], step, MADE, "array<long>", prepared, idle)

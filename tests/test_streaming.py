@@ -129,3 +129,90 @@ def test_sync_epoch_replay_keeps_its_rows(spark, tmp_path):
     assert {(r.item_key, r.version) for r in table.read().collect()} == {("a", 1), ("b", 3)}
     m = table.manifest()
     assert (m.version, m.epoch, m.position) == (2, 1, 3)  # a replayed epoch writes no version
+
+
+def _run(spark, tmp_path, df, op, name):
+    src = str(tmp_path / "src")
+    df.write.parquet(src)
+    q = op(spark.readStream.schema(df.schema).parquet(src)).writeStream.format("memory").queryName(name).outputMode("append") \
+        .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name).collect()
+
+
+def test_stream_quota_decides_every_row_once(spark, tmp_path):
+    """Repeated and missing event ids, rows without a time."""
+    at = dt.datetime(2024, 1, 1)
+    rows = [(1, 7, at), (1, 7, at), (1, 7, at), (None, 7, at + dt.timedelta(seconds=1)), (2, 7, None), (3, 8, at)]
+    got = _run(spark, tmp_path, spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp"),
+               lambda s: quota.stream_quota(s, limit=2, window_s=60), "quota_rows")
+    mine = sorted((r.event_id or 0, r.admitted, r.in_window) for r in got if r.user_id == 7)
+    assert mine == [(0, False, 2), (1, False, 2), (1, True, 1), (1, True, 2)] and len(got) == 5
+
+
+def test_stream_chat_with_missing_values(spark, tmp_path):
+    rows = [(1, 0, "reasoning", None, None), (1, 1, "tool_call", None, None), (1, 2, "tool_return", None, False),
+            (1, 3, "reasoning", "x", None), (1, 4, "assistant", None, None), (1, 5, None, "y", None),
+            (None, 1, "assistant", "z", None), (1, None, "assistant", "z", None)]
+    got = _run(spark, tmp_path, spark.createDataFrame(
+        rows, "conv_id long, turn long, kind string, text string, no_heartbeat boolean"), chat.stream_chat, "chat_rows")
+    assert [r.part for r in sorted(got, key=lambda r: r.turn)] == [
+        "\n- ", "\n- Calling tool t1...", " success, returned 0 characters.", "\n- x", "</think>", ""]
+
+
+def test_streams_over_empty_tables(spark, tables_small):
+    from corpuskit.plans import streams
+
+    class Nothing:
+        def __init__(self):
+            self.spark = spark
+
+        def __getattr__(self, name):
+            return getattr(tables_small, name).limit(0)
+
+    assert streams.q_stream_quota(Nothing()).count() == 0
+    assert streams.q_stream_chat(Nothing()).count() == 0
+
+
+def test_ordered_quota_over_batches_and_replays(spark, tmp_path):
+    """The fold over micro-batches equals one fold; a replayed epoch changes nothing; idle users are given up."""
+    import random
+
+    from corpuskit.streaming import ordered
+    rng = random.Random(4)
+    at = dt.datetime(2024, 1, 1)
+    rows = sorted((at + dt.timedelta(seconds=rng.randint(0, 900)), i, rng.choice([1, 1, 1, 2, 3])) for i in range(400))
+    rows += [(at + dt.timedelta(seconds=5000 + i), 1000 + i, 9) for i in range(3)]
+    fn = quota.quota_batch_fn(str(tmp_path / "out"), str(tmp_path / "state"), limit=3, window_s=60)
+    for epoch in range(9):
+        part = rows[epoch * 45:(epoch + 1) * 45] if epoch < 8 else rows[360:]
+        df = spark.createDataFrame([(i, u, t) for t, i, u in part], "event_id long, user_id long, ts timestamp")
+        fn(df, epoch)
+        fn(df, epoch)
+    got = {r.event_id: (r.admitted, r.in_window) for r in ordered.results(spark, str(tmp_path / "out"), quota.SCHEMA).collect()}
+    want = {}
+    for user in (1, 2, 3, 9):
+        mine = [(int(t.replace(tzinfo=dt.timezone.utc).timestamp() * 1e6), i) for t, i, u in rows if u == user]
+        want |= {i: (ok, n) for i, ok, n in quota.admit(mine, [], 3, 60_000_000)[0]}
+    assert got == want
+    table = ordered.state_table(spark, str(tmp_path / "state"), "user_id", "array<long>")
+    assert table.manifest().epoch == 8
+    late = spark.createDataFrame([(5000, 9, at + dt.timedelta(seconds=9000))], "event_id long, user_id long, ts timestamp")
+    for epoch in range(9, 16):
+        fn(late.filter(f"{epoch} = 15"), epoch)
+    assert {r.user_id for r in table.read().collect()} == {9}
+
+
+def test_one_key_with_very_many_rows_in_one_batch(spark, tmp_path):
+    """Arrow batches of a key follow one another; only the state is carried."""
+    from pyspark.sql import functions as F
+
+    from corpuskit.streaming import ordered
+    df = spark.range(100_000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                     F.when(F.col("id") % 2 == 0, "reasoning").otherwise("assistant").alias("kind"),
+                                     F.lit("x").alias("text"), F.lit(False).alias("no_heartbeat"))
+    chat.chat_batch_fn(str(tmp_path / "out"), str(tmp_path / "state"))(df.orderBy(F.rand(3)), 0)
+    got = ordered.results(spark, str(tmp_path / "out"), chat.SCHEMA)
+    assert got.count() == 100_000
+    assert got.filter((F.col("turn") % 2 == 0) != (F.col("part") == "\n- x")).count() == 0
+    assert got.filter((F.col("turn") % 2 == 1) != (F.col("part") == "</think>x")).count() == 0

@@ -3,6 +3,11 @@
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is
 written as Parquet and read again as the next stage's ``docs``. All but the
 last return the columns of ``documents``.
+
+Defined results: documents with a null or empty text fail the quality rules and
+go; rows that repeat an id and text are one component and one of them stays;
+very long texts pass whole; columns beyond those of ``documents`` pass through
+up to the last stage; an empty table gives no pieces.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ Line rules (a line without a word is neutral and stays):
 
 Defined results: null text counts as an empty one; texts without words have
 all counts 0, fail the base rules and are not kept; repeated rows are judged
-one by one (row-local, no shuffle); other columns are not touched.
+one by one (row-local, no shuffle); very long texts are judged whole; an empty
+table gives an empty result; other columns are not touched.
 """
 
 from __future__ import annotations

@@ -9,7 +9,12 @@ first, since they are random or dense but not secret.
 Defined results: null text counts as an empty one; no span gives counts 0, the
 digest of an empty string and an empty ``spans``; overlapping spans of
 different kinds are all reported, but an added span that touches a base span
-is not; repeated rows are scanned one by one (row-local, no shuffle).
+is not; repeated rows are scanned one by one (row-local, no shuffle); very long
+texts are scanned whole; an empty table gives an empty result.
+
+Not found: a run before or after ``@`` counts as part of an address, and a run
+of letters alone as a word, so a password in ``://user:...@host`` and a random
+key without a digit are left out unless a base pattern holds them.
 """
 
 from __future__ import annotations

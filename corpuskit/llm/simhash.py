@@ -128,8 +128,9 @@ def near_duplicates(df: DataFrame, keys: list[str] | None = None, id_col: str =
 
     Defined results: null and empty texts have fingerprint 0, which links like
     any other; repeated rows come back once each; a null id never is the
-    smallest one, and a component of null ids only has component_id null.
-    Extra columns are not touched.
+    smallest one, and a component of null ids only has component_id null. Very
+    long texts are hashed whole; an empty table gives an empty result. Extra
+    columns are not touched.
     """
     keys = keys or [id_col]
     # read by four later steps: written once to the shared folder

@@ -11,8 +11,9 @@ once, and a document's sections sum to its tokens. Spans are compared in UTF-8
 bytes, since a token may end inside a character; results are in code points.
 
 Defined results: null and empty texts have one empty section with 0 tokens;
-repeated rows are counted one by one (row-local, no shuffle); extra columns
-are not touched.
+repeated rows are counted one by one (row-local, no shuffle); a very long text
+is encoded whole; an empty table gives an empty result; extra columns are not
+touched.
 """
 
 from __future__ import annotations

@@ -34,6 +34,7 @@ RANGE = 32          # chunks a range, on average
 RUN = 32            # consecutive chunks of a file that share a range
 PART_CHUNKS = 4096   # chunks a term part, on average
 MOST_PARTS = 4096
+AT_ONCE = 500        # chunks whose terms are counted together
 SLICE = 256          # ranges of one part that are written by one task, on average
 
 
@@ -74,24 +75,27 @@ def posting_rows(chunks: DataFrame, keys: list[str], text_col: str = "content")
     schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", term string, dl int, tf int, first boolean"
 
     def run(batches):
-        for batch in batches:
-            lists = batch.column(len(keys))
-            flat = pc.list_flatten(lists).dictionary_encode()
-            dl = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            words = flat.dictionary
-            row = np.repeat(np.arange(len(dl)), dl)
-            code = row * max(len(words), 1) + flat.indices.to_numpy(zero_copy_only=False)
-            pair, tf = np.unique(code, return_counts=True)  # by chunk, then term
-            row, term = np.divmod(pair, max(len(words), 1))
-            empty = np.flatnonzero(dl == 0)
-            take = pa.array(np.concatenate([row, empty]))
-            first = np.concatenate([np.diff(row, prepend=-1) > 0, np.ones(len(empty), dtype=bool)])
-            terms = pa.concat_arrays([words.take(pa.array(term)).cast(pa.string()), pa.nulls(len(empty), pa.string())])
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(i).take(take) for i in range(len(keys))], terms,
-                 pa.array(dl[take.to_numpy()], pa.int32()),
-                 pa.array(np.concatenate([tf, np.ones(len(empty), dtype=np.int64)]), pa.int32()), pa.array(first)],
-                [*keys, "term", "dl", "tf", "first"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, AT_ONCE):
+                yield counted(whole.slice(at, AT_ONCE))
+
+    def counted(batch):
+        lists = batch.column(len(keys))
+        flat = pc.list_flatten(lists).dictionary_encode()
+        dl = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        words = flat.dictionary
+        row = np.repeat(np.arange(len(dl)), dl)
+        code = row * max(len(words), 1) + flat.indices.to_numpy(zero_copy_only=False)
+        pair, tf = np.unique(code, return_counts=True)  # by chunk, then term
+        row, term = np.divmod(pair, max(len(words), 1))
+        empty = np.flatnonzero(dl == 0)
+        take = pa.array(np.concatenate([row, empty]))
+        first = np.concatenate([np.diff(row, prepend=-1) > 0, np.ones(len(empty), dtype=bool)])
+        terms = pa.concat_arrays([words.take(pa.array(term)).cast(pa.string()), pa.nulls(len(empty), pa.string())])
+        return pa.RecordBatch.from_arrays(
+            [*[batch.column(i).take(take) for i in range(len(keys))], terms, pa.array(dl[take.to_numpy()], pa.int32()),
+             pa.array(np.concatenate([tf, np.ones(len(empty), dtype=np.int64)]), pa.int32()), pa.array(first)],
+            [*keys, "term", "dl", "tf", "first"])
 
     return chunks.select(*keys, tokens(text_col).alias("tokens")).mapInArrow(run, schema)
 

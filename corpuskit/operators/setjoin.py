@@ -67,6 +67,18 @@ def _written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _bucketed(df: DataFrame, by: str) -> DataFrame:
+    """The table shuffled once by a column and written in buckets of it: later
+    groups and joins on the column find their rows in place."""
+    spark = df.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"set_join_{uuid.uuid4().hex}"
+    df.repartition(n, by).write.bucketBy(n, by).sortBy(by).option(
+        "path", f"{checkpoint_dir(spark).rstrip('/')}/{name}").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only: the files stay in the shared folder
+    return out
+
+
 def _frequent(sets: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     """(tokens in the order of their hashes, their ranks) of the most frequent tokens that
     two sets have, the rarest ranked first: a bounded table of at most ``most`` rows."""
@@ -221,7 +233,7 @@ def links(df: DataFrame, key: str, text_col: str, max_distance: float = 0.3, fre
     copies = small(_written(members.filter("key <> rep").select("key")))
     sets = every.join(copies, "key", "left_anti")
 
-    rows = _written(prefixes(sets, least, _frequent(sets, frequent)))
+    rows = _bucketed(prefixes(sets, least, _frequent(sets, frequent)), "token")
 
     def pairs(x: DataFrame, y: DataFrame, on: list[str], more: Column) -> DataFrame:
         met = x.alias("x").join(y.alias("y"), [F.col(f"x.{c}") == F.col(f"y.{c}") for c in on])
@@ -231,20 +243,20 @@ def links(df: DataFrame, key: str, text_col: str, max_distance: float = 0.3, fre
     # every set with the smallest key under each of its tokens: one row a prefix token
     row = F.struct("key", *[c for c in rows.columns if c not in ("key", "token")])
     least_of = rows.groupBy("token").agg(F.min(row).alias("r"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("token", "r.*")
-    first = _verified(pairs(rows, small(_written(least_of)), ["token"], F.col("x.key") > F.col("y.key")).distinct(), sets, least)
+    first = _verified(pairs(rows, least_of, ["token"], F.col("x.key") > F.col("y.key")).distinct(), sets, least)
     part = components(first, "a", "b")
 
     # all others, but pairs of one component
     rooted = rows.join(small(_written(part)), F.col("key") == F.col("vertex"), "left").withColumn(
         "root", F.coalesce("root", "key")).drop("vertex")
     stat = rooted.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    stat = _written(stat.filter("low <> high").select("token", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    stat = stat.filter("low <> high").select("token", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     other = F.col("x.root") != F.col("y.root")
-    # tokens of one block: both sides of the join are the same rows, shuffled once
-    cold = rooted.join(small(stat.filter("blocks = 1").select("token")), "token", "left_semi")
+    # tokens of one block: the rows are in place
+    cold = rooted.join(stat.filter("blocks = 1").select("token"), "token", "left_semi")
     again = pairs(cold, cold, ["token"], (F.col("x.key") < F.col("y.key")) & other)
     # the blocks of the others meet each other once: the lower number on the left, the higher on the right
-    hot = rooted.join(small(stat.filter("blocks > 1")), "token").withColumn("own", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    hot = _written(rooted.join(stat.filter("blocks > 1"), "token")).withColumn("own", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
     x = hot.withColumn("one", F.col("own")).withColumn("two", F.explode(F.sequence("own", F.col("blocks") - 1)))
     y = hot.withColumn("two", F.col("own")).withColumn("one", F.explode(F.sequence(F.lit(0), "own")))
     turned = (F.col("x.one") < F.col("x.two")) | (F.col("x.key") < F.col("y.key"))

@@ -81,7 +81,8 @@ def prepared(events: DataFrame) -> DataFrame:
     return ev.filter(F.col("ts").isNotNull() & F.col("user_id").isNotNull())
 
 
-def quota_batch_fn(out: str, state_path: str, limit: int = QUOTA_REQUESTS, window_s: int = QUOTA_WINDOW_S):
+def quota_batch_fn(out: str, state_path: str, limit: int = QUOTA_REQUESTS, window_s: int = QUOTA_WINDOW_S,
+                   idle_every: int = 8):
     """The same decisions by an ordered fold (``streaming.ordered``): no key's rows are held
     together, and users idle for a window are given up (requests that come more than a
     window behind the newest one may then find no state)."""
@@ -98,4 +99,4 @@ def quota_batch_fn(out: str, state_path: str, limit: int = QUOTA_REQUESTS, windo
             return state.limit(0).select("user_id")
         return state.filter(F.array_max("state") <= newest - window_us).select("user_id")
 
-    return batch_fn(out, state_path, "user_id", ["ts", "event_id"], step, MADE, "array<long>", prepared, idle)
+    return batch_fn(out, state_path, "user_id", ["ts", "event_id"], step, MADE, "array<long>", prepared, idle, idle_every)

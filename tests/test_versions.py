@@ -23,7 +23,7 @@ def test_many_writes_equal_a_dictionary(spark, tmp_path, rank):
     rng = random.Random(6)
     table = VersionedTable(spark, str(tmp_path / "t"), SCHEMA, "name", rank=rank, bucket_rows=25, fold_after=3)
     model, versions = {}, {}
-    for turn in range(9):
+    for turn in range(6):
         batch, gone = [], []
         for name in rng.sample([f"f{i}" for i in range(30)], 7):
             if rank is None and rng.random() < 0.2:

@@ -10,7 +10,7 @@ def run(spark, docs, folder):
 
 
 def test_pipeline_over_awkward_documents(spark, awkward, tmp_path):
-    prose = " ".join(f"word{i} stands in a sentence of its own kind here, and it ends." for i in range(12))
+    prose = " ".join(f"The river{i} ran past stone{i} and field{i} while people{i} talked." for i in range(12))
     clean = spark.createDataFrame([(100, prose), (100, prose), (101, "password=hunter2hunter2 " + prose[::-1][:300] + "."),
                                    (102, None)], "doc_id long, text string")
     docs = awkward.unionByName(clean.withColumn("source", F.lit("c")), allowMissingColumns=True).withColumn("lang", F.lit(None).cast("string"))

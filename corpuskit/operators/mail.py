@@ -180,19 +180,23 @@ def parse_event(raw: Column) -> Column:
 def parse_srt(srt: Column) -> Column:
     """#91: array<struct<text, start, duration>>; blocks need a trailing blank line.
 
-    One regex pass collects whole blocks; groups are read per (short) block
-    inside the lambda, so the caption text is scanned once."""
+    One regex pass collects whole blocks, so the caption text is scanned once. A
+    block is digits, a line feed, a time line of fixed width and the text: its
+    parts are cut out by their places, no regex runs again over a block."""
     blocks = F.regexp_extract_all(srt, F.lit(SRT_BLOCK_RE), 0)
 
-    def secs(x):
-        p = F.split(x, "[:,]")
-        return (p[0].cast("int") * 3600 + p[1].cast("int") * 60 + p[2].cast("int")) + p[3].cast("int") / 1000.0
-
     def entry(b):
-        s, e = F.regexp_extract(b, SRT_BLOCK_RE, 1), F.regexp_extract(b, SRT_BLOCK_RE, 2)
-        t = F.regexp_extract(b, SRT_BLOCK_RE, 3)
+        at = F.instr(b, "\n")  # the time line follows: two times of 12 characters, 5 between them
+
+        def number(first: int, n: int):
+            return F.substring(b, at + first, F.lit(n)).cast("int")
+
+        def secs(first: int):
+            return (number(first, 2) * 3600 + number(first + 3, 2) * 60 + number(first + 6, 2)) + number(first + 9, 3) / 1000.0
+
+        t = F.substring(b, at + 31, F.length(b) - at - 32)
         return F.struct(F.regexp_replace(F.regexp_replace(t, r"^\s+|\s+$", ""), r"\r\n|[\n\r]", " ").alias("text"),
-                        secs(s).alias("start"), F.round(secs(e) - secs(s), 3).alias("duration"))
+                        secs(1).alias("start"), F.round(secs(18) - secs(1), 3).alias("duration"))
     return F.transform(blocks, entry)
 
 

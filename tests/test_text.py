@@ -63,6 +63,21 @@ def test_srt_matches_python(spark):
     assert [(e.text, e.start, e.duration) for e in got] == _py_srt(srt)
 
 
+def test_srt_blocks_are_cut_by_place(spark, capsys):
+    """Odd blocks as the regex reads them; no regex per field and block (13 before, 260 us a caption)."""
+    srt = ("0012\n00:00:00,000 --> 00:00:01,500\n\n\n7\n10:59:59,999 --> 11:00:00,001\n  ä€𝄞 \r\n b\rc \n\n\n"
+           "no block\n\n8\n00:00:02,250 -> 00:00:04,000\nbad arrow\n\n99\n1\n00:00:05,000 --> 00:00:04,000\n3\n4\n\n")
+    df = spark.createDataFrame([(1, srt), (2, ""), (3, None)], "id int, s string")
+    out = df.select("id", M.parse_srt(F.col("s")).alias("e"))
+    got = {r.id: r.e for r in out.collect()}
+    assert [(e.text, e.start, e.duration) for e in got[1]] == [
+        ("", 0.0, 1.5), ("ä€𝄞   b c", 39599.999, 0.002), ("3 4", 5.0, -1.0)]
+    assert got[2] == [] and got[3] is None
+    out.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "regexp_extract(" not in plan and plan.count("regexp_extract_all(") == 1
+
+
 def test_plain_body_rules(spark):
     b = lambda s: base64.urlsafe_b64encode(s.encode()).decode()
     rows = [

@@ -82,3 +82,16 @@ def test_held_by_url_or_doi(spark):
     assert len(got) == len(urls)        # repeated and null URLs keep their rows
     assert {r.url: r.held for r in got} == {"https://nature.com/x": True, "https://nature.com/articles/10.1234/abc.pdf": True,
                                             "https://nature.com/file": False, "https://nature.com/kid": False, None: False}
+
+
+def test_keys_of_all_conditions_in_one_scan(spark, capsys):
+    """Conditions may be met in different rows of a key; a null key is a key; items are read once."""
+    rows = [("a", {"x": 1, "y": 1}), ("b", {"x": 1}), ("b", {"y": 1}), (None, {"x": 1}), (None, {"y": 1}),
+            ("c", {"x": 1}), ("c", {"x": 1}), ("d", {"y": 1}), ("e", {"x": None, "y": 1}), ("a", {})]
+    df = spark.createDataFrame([(k, json.dumps({"data": d})) for k, d in rows], "item_key string, item_data string")
+    got = I.intersect_keys(df, {"x": 1, "y": 1})
+    got.explain("simple")
+    plan = capsys.readouterr().out
+    assert "LeftSemi" not in plan and plan.count("Scan") == 1
+    assert sorted((r.item_key for r in got.collect()), key=str) == [None, "a", "b"]
+    assert I.intersect_keys(df, {}).count() == 0

@@ -161,18 +161,21 @@ EVENT_SCHEMA = (
 def parse_event(raw: Column) -> Column:
     """#87: event JSON -> typed struct (times to UTC, dates as DATE,
     attendees null when empty)."""
-    e = F.from_json(raw, EVENT_SCHEMA)
-
     def when_dt(part):
         return F.struct(parse_iso(F.nullif(part["dateTime"], F.lit(""))).alias("dateTime"),
                         F.try_to_date(F.nullif(part["date"], F.lit("")), "yyyy-MM-dd").alias("date"),
                         part["timeZone"].alias("timeZone"))
-    att = F.when(F.size(F.coalesce(e["attendees"], F.array())) > 0, e["attendees"])
-    return F.struct(e["id"].alias("id"), e["status"].alias("status"), e["summary"].alias("summary"),
-                    parse_iso(e["created"]).alias("created"), parse_iso(e["updated"]).alias("updated"),
-                    F.when(e["start"].isNotNull(), when_dt(e["start"])).alias("start"),
-                    F.when(e["end"].isNotNull(), when_dt(e["end"])).alias("end"),
-                    att.alias("attendees"))
+
+    def typed(e):
+        att = F.when(F.size(F.coalesce(e["attendees"], F.array())) > 0, e["attendees"])
+        return F.struct(e["id"].alias("id"), e["status"].alias("status"), e["summary"].alias("summary"),
+                        parse_iso(e["created"]).alias("created"), parse_iso(e["updated"]).alias("updated"),
+                        F.when(e["start"].isNotNull(), when_dt(e["start"])).alias("start"),
+                        F.when(e["end"].isNotNull(), when_dt(e["end"])).alias("end"),
+                        att.alias("attendees"))
+
+    # bound to a lambda variable: written out, the JSON would be parsed again for every field that is read
+    return F.transform(F.array(F.from_json(raw, EVENT_SCHEMA)), typed)[0]
 
 
 # ------------------------------------------------------------- transcripts

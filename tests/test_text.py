@@ -104,3 +104,19 @@ def test_header_rules(spark):
     assert r.subject == "first" and r.sender_email == "ann.b@x.org"
     assert r.recipient_emails == ["a@x.org", "b@y.org"]
     assert str(r.sent_date) == "2023-07-18 17:30:00"
+
+
+def test_event_json_is_parsed_once(spark, capsys):
+    raw = ('{"id":"e1","status":"confirmed","summary":"s","created":"2024-01-01T00:00:00Z","updated":"2024-01-02T10:00Z",'
+           '"start":{"dateTime":"2024-01-03T10:00:00+02:00"},"end":{"date":"2024-01-04"},"attendees":[{"email":"a@x.y"}]}')
+    df = spark.createDataFrame([(1, raw), (2, '{"id":"e2","start":{"dateTime":"no"},"attendees":[]}'), (3, "no json"), (4, None)], "k int, raw string")
+    out = df.select("k", M.parse_event(F.col("raw")).alias("e")).select(
+        "k", "e.id", "e.status", F.col("e.start.dateTime").cast("string").alias("s"), F.col("e.end.date").cast("string").alias("d"),
+        F.col("e.updated").cast("string").alias("u"), F.size("e.attendees").alias("n"), F.col("e.start").isNull().alias("no_start"))
+    null = None
+    assert [tuple(r) for r in out.orderBy("k").collect()] == [
+        (1, "e1", "confirmed", "2024-01-03 08:00:00", "2024-01-04", "2024-01-02 10:00:00", 1, False),
+        (2, "e2", null, null, null, null, null, False),
+        (3, null, null, null, null, null, null, True), (4, null, null, null, null, null, null, True)]
+    out.explain("simple")
+    assert capsys.readouterr().out.count("from_json(") == 1

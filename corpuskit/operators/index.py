@@ -9,7 +9,7 @@ Layout
   range of chunks, and what gives their maximal weight: the shortest chunk of
   each term frequency (so the maximum stays exact whatever the average length
   becomes). The table is partitioned on disk by ``part``, a hash of the term,
-  and sorted by term inside a file: a search reads the parts of its terms only
+  and sorted by term inside a file (a few files a part, however large the collection): a search reads the parts of its terms only
   (a partition filter), and the maxima without the postings (column pruning).
 * A range is a hash of runs of ``RUN`` consecutive chunks of a file, about
   ``RANGE`` chunks in all, so all terms share the ranges, the chunks of one
@@ -35,7 +35,8 @@ RUN = 32            # consecutive chunks of a file that share a range
 PART_CHUNKS = 4096   # chunks a term part, on average
 MOST_PARTS = 4096
 AT_ONCE = 500        # chunks whose terms are counted together
-SLICE = 256          # ranges of one part that are written by one task, on average
+FREQUENT = 16        # a term is frequent if it stands in more than one of so many of them
+SLICE_CHUNKS = 1_000_000  # chunks whose postings of frequent terms are written by one task, on average
 
 
 @dataclass(frozen=True)
@@ -65,14 +66,15 @@ def range_of(file: Column, chunk_index: Column, ranges: int) -> Column:
 
 
 def posting_rows(chunks: DataFrame, keys: list[str], text_col: str = "content") -> DataFrame:
-    """(keys..., term, dl, tf, first): the terms of every chunk with their numbers.
+    """(keys..., term, dl, tf, first, frequent): the terms of every chunk with their numbers.
 
     Row-local: a chunk's tokens are counted where its row is, nothing is
     shuffled. ``first`` is true on one row of a chunk; a chunk without tokens
-    has one row with a null term.
+    has one row with a null term. ``frequent``: among the chunks counted
+    together many have the term; it decides where a posting is written, nothing else.
     """
     kinds = dict(chunks.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", term string, dl int, tf int, first boolean"
+    schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", term string, dl int, tf int, first boolean, frequent boolean"
 
     def run(batches):
         for whole in batches:
@@ -91,15 +93,76 @@ def posting_rows(chunks: DataFrame, keys: list[str], text_col: str = "content")
         empty = np.flatnonzero(dl == 0)
         take = pa.array(np.concatenate([row, empty]))
         first = np.concatenate([np.diff(row, prepend=-1) > 0, np.ones(len(empty), dtype=bool)])
+        often = np.bincount(term, minlength=len(words)) * FREQUENT > len(dl)
+        frequent = np.concatenate([often[term], np.zeros(len(empty), dtype=bool)])
         terms = pa.concat_arrays([words.take(pa.array(term)).cast(pa.string()), pa.nulls(len(empty), pa.string())])
         return pa.RecordBatch.from_arrays(
             [*[batch.column(i).take(take) for i in range(len(keys))], terms, pa.array(dl[take.to_numpy()], pa.int32()),
-             pa.array(np.concatenate([tf, np.ones(len(empty), dtype=np.int64)]), pa.int32()), pa.array(first)],
-            [*keys, "term", "dl", "tf", "first"])
+             pa.array(np.concatenate([tf, np.ones(len(empty), dtype=np.int64)]), pa.int32()), pa.array(first), pa.array(frequent)],
+            [*keys, "term", "dl", "tf", "first", "frequent"])
 
     return chunks.select(*keys, tokens(text_col).alias("tokens")).mapInArrow(run, schema)
 
 
+def block_rows(postings: DataFrame, keys: list[str]) -> DataFrame:
+    """Blocks (term, range, n, n_tokens, tops, n_first, dl_first, entries, part) of posting
+    rows (part, term, range, keys..., dl, tf, first) that are sorted by part, term and range within their tasks.
+
+    A batch ends with rows whose block may go on in the next one; they are kept for it.
+    """
+    kinds = dict(postings.dtypes)
+    entry = f"struct<{', '.join(f'{c}: {kinds[c]}' for c in keys)}, dl: int, tf: int>"
+    schema = ("term string, range int, n long, n_tokens long, tops array<struct<tf: int, dl: int>>, n_first long, "
+              f"dl_first long, entries array<{entry}>, part int")
+
+    def starts(batch) -> np.ndarray:
+        """Rows at which another block begins."""
+        codes = [pc.fill_null(batch["range"].dictionary_encode().indices, -1), pc.fill_null(batch["term"].dictionary_encode().indices, -1)]
+        new = np.zeros(len(batch), dtype=bool)
+        for c in codes:
+            new |= np.diff(c.to_numpy(zero_copy_only=False), prepend=-2) != 0
+        return np.flatnonzero(new)
+
+    def lists(at: np.ndarray, fields: dict):
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
+
+    def made(batch, begin: np.ndarray):
+        take, ends = pa.array(begin), np.append(begin, len(batch))
+        size = np.diff(ends)
+        dl, tf = batch["dl"].to_numpy(), batch["tf"].to_numpy()
+        first = batch["first"].to_numpy(zero_copy_only=False)
+        # the shortest chunk of each term frequency of a block
+        block = np.repeat(np.arange(len(begin)), size)
+        order = np.lexsort((dl, tf, block))
+        other = (np.diff(block[order], prepend=-1) != 0) | (np.diff(tf[order], prepend=-1) != 0)
+        top = order[other]
+        tops = np.concatenate([[0], np.cumsum(np.bincount(block[top], minlength=len(begin)))])
+        out = {"term": batch["term"].take(take), "range": batch["range"].take(take), "n": pa.array(size, pa.int64()),
+               "n_tokens": pa.array(np.add.reduceat(tf.astype(np.int64), begin)),
+               "tops": lists(tops, {"tf": pa.array(tf[top]), "dl": pa.array(dl[top])}),
+               "n_first": pa.array(np.add.reduceat(first.astype(np.int64), begin)),
+               "dl_first": pa.array(np.add.reduceat(np.where(first, dl, 0).astype(np.int64), begin)),
+               "entries": lists(ends, {c: batch[c] for c in (*keys, "dl", "tf")}),
+               "part": batch["part"].take(take)}
+        return pa.RecordBatch.from_arrays(list(out.values()), list(out))
+
+    def run(batches):
+        kept = None
+        for batch in batches:
+            if kept is not None:
+                batch = pa.Table.from_batches([kept, batch]).combine_chunks().to_batches()[0]
+            begin = starts(batch)
+            if not len(begin):
+                continue
+            kept = batch.slice(begin[-1])
+            if len(begin) > 1:
+                yield made(batch.slice(0, begin[-1]), begin[:-1])
+        if kept is not None and len(kept):
+            yield made(kept, np.zeros(1, dtype=np.int64))
+
+    return postings.mapInArrow(run, schema)
+
+
 def write_index(chunks: DataFrame, folder: str, keys: list[str], chunk_index: str = "chunk_index",
                 file: str = "source_filename") -> SearchIndex:
     """Write the index of ``chunks`` into ``folder``; each table is made from the written one before it."""
@@ -115,26 +178,22 @@ def write_index(chunks: DataFrame, folder: str, keys: list[str], chunk_index: st
     parts = min(MOST_PARTS, max(8, -(-n // PART_CHUNKS)))
     rows = plain.withColumn("range", range_of(F.col(file), F.col(chunk_index), ranges))
 
-    slices = max(1, -(-ranges // SLICE))
-    post = posting_rows(rows, [*keys, "range"])
-    # the rows of a (part, slice) are the groups' own partition, so the aggregate shuffles no more;
-    # a part with a very frequent term is written by as many tasks as it has slices
-    cell = part_of(F.col("term"), parts) * slices + F.pmod("range", F.lit(slices))
     shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = post.withColumn("cell", F.coalesce(cell, F.lit(-1))).repartition(
-        max(shuffled, min(parts * slices, 16 * shuffled)), "cell")
-    # ``first`` marks one posting of every chunk: N and the lengths are sums over the blocks
-    blocks = dealt.groupBy("cell", "term", "range").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("tf").alias("n_tokens"), F.count_if("first").alias("n_first"),
-        F.coalesce(F.sum(F.when(F.col("first"), F.col("dl"))), F.lit(0)).alias("dl_first"),
-        F.collect_list(F.struct(*keys, "dl", "tf")).alias("entries")).withColumn(  # at most the chunks of a range
-        "part", part_of(F.col("term"), parts))
-    tops = F.transform(F.array_distinct("entries.tf"), lambda tf: F.struct(tf.alias("tf"), F.array_min(F.transform(
-        F.filter("entries", lambda e: e["tf"] == tf), lambda e: e["dl"])).alias("dl")))
-    blocks = stored("blocks", blocks.select("term", "range", "n", "n_tokens", tops.alias("tops"), "n_first", "dl_first", "entries", "part")
-                    .sortWithinPartitions("part", "term", "range"), "part")
-    terms = stored("terms", blocks.filter(F.col("term").isNotNull()).groupBy("part", "term").agg(F.sum("n").alias("df"))
-                   .select("term", "df", "part"), "part")
+    # A cell is what one task writes of a part: all of it when there are more parts than tasks, the terms
+    # of one hash otherwise. Only terms that stand in many chunks are cut further, by range, so the number
+    # of files grows with the number of parts, not with its square.
+    own, slices = max(1, -(-2 * shuffled // parts)), max(1, -(-n // SLICE_CHUNKS))
+    place = F.pmod(F.floor(F.abs(F.xxhash64("term") % (parts * own)) / parts), F.lit(own)) * slices
+    cell = part_of(F.col("term"), parts) * (own * slices) + place + F.when(F.col("frequent"), F.pmod("range", F.lit(slices))).otherwise(0)
+    post = posting_rows(rows, [*keys, "range"]).select(
+        part_of(F.col("term"), parts).alias("part"), "term", "range", *keys, "dl", "tf", "first",
+        F.coalesce(cell, -1 - F.pmod("range", F.lit(slices))).alias("cell"))
+    # the rows of a block follow each other in their task, so it is put together without another shuffle or sort
+    dealt = post.repartition(max(shuffled, min(parts * own * slices, 16 * shuffled)), "cell").drop("cell").sortWithinPartitions(
+        "part", "term", "range")
+    blocks = stored("blocks", block_rows(dealt, keys).sortWithinPartitions("part", "term", "range"), "part")  # in order already
+    terms = blocks.filter(F.col("term").isNotNull()).groupBy("part", "term").agg(F.sum("n").alias("df"))
+    terms = stored("terms", terms.select("term", "df", "part").repartition("part"), "part")
     stats = stored("stats", blocks.agg(F.sum("n_first").alias("n_docs"), (F.sum("dl_first") / F.sum("n_first")).alias("avgdl")))
     return SearchIndex(rows, blocks, terms, stats, parts, ranges)
 

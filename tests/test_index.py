@@ -82,3 +82,44 @@ def test_source_version_lists_files_only(spark, tmp_path):
     assert one == IX.source_version(spark, path)
     spark.range(6).write.mode("append").parquet(path)
     assert one != IX.source_version(spark, path)
+
+
+def test_files_grow_with_the_parts_only(spark, tmp_path, monkeypatch):
+    """Four times the chunks: four times the parts and files (a part was cut into slices, whose number grew as well)."""
+    monkeypatch.setattr(IX, "PART_CHUNKS", 40)
+    monkeypatch.setattr(IX, "SLICE", 4, raising=False)
+    rng = random.Random(4)
+    for n in (500, 2000):
+        rows = [(d, 0, f"f{d}.txt", " ".join(["every", *rng.choices([f"w{i}" for i in range(300)], k=8)])) for d in range(n)]
+        chunks = spark.createDataFrame(rows, "doc_id long, chunk_index int, source_filename string, content string")
+        index = IX.write_index(chunks, str(tmp_path / str(n)), KEYS)
+        assert index.parts == -(-n // 40)
+        for name in ("blocks", "terms"):
+            assert len(list((tmp_path / str(n) / name).rglob("*.parquet"))) <= 1.5 * index.parts + 8, name
+        assert index.terms.filter("term = 'every'").select("df").first()["df"] == n
+        assert index.postings.count() == index.blocks.agg(F.sum("n")).first()[0]
+
+
+def test_blocks_across_batches(spark, tmp_path, monkeypatch):
+    """Rows of a block that come in several Arrow batches; rows that come twice; terms cut by range."""
+    monkeypatch.setattr(IX, "SLICE_CHUNKS", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(d // 2, 0, f"f{d // 2}.txt", " ".join(["often"] * (1 + d % 3) + [f"w{d % 9}"])) for d in range(400)]
+        chunks = spark.createDataFrame(rows, "doc_id long, chunk_index int, source_filename string, content string")
+        index = IX.write_index(chunks, str(tmp_path / "i"), KEYS)
+        got = {(r.term, r.doc_id, r.dl, r.tf, r["count"]) for r in index.postings.groupBy("term", "doc_id", "dl", "tf").count().collect()}
+        want = {}
+        for d, _, _, text in rows:
+            for w in set(text.split()):
+                k = (w, d, len(text.split()), text.split().count(w))
+                want[k] = want.get(k, 0) + 1
+        assert got == {(*k, n) for k, n in want.items()}
+        tops = index.blocks.select("term", F.array_sort("tops").alias("t"), "entries").collect()
+        for r in tops:
+            least = {}
+            for e in r.entries:
+                least[e.tf] = min(least.get(e.tf, e.dl), e.dl)
+            assert [(x.tf, x.dl) for x in r.t] == sorted(least.items())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")

@@ -168,13 +168,14 @@ def bm25_search(index, queries: DataFrame, keys: list[str], qid: str = "query_id
     are scored; N, avgdl and df stay those of the whole collection.
     """
     blocks, weighted, avgdl = _weighted(index, query_terms(queries, qid, qtext))
+    weighted = small(materialize(weighted))  # a join with a small table leaves the blocks where they are
     if wanted_file is None:
         return _scored(blocks, weighted, avgdl, qid, keys, [], k1, b)
     named = queries.select(qid, F.col(wanted_file).alias("source_filename"))
     free = weighted.join(named.filter(F.col("source_filename").isNull()).select(qid), qid, "left_semi")
     chosen = materialize(named.join(index.chunks.select("source_filename", *keys, "range"), "source_filename"))
-    bound = weighted.join(chosen.select(qid, "range").distinct(), qid)
-    return _scored(blocks, free, avgdl, qid, keys, [], k1, b).unionByName(
+    bound = small(materialize(weighted.join(chosen.select(qid, "range").distinct(), qid)))
+    return _scored(blocks, small(materialize(free)), avgdl, qid, keys, [], k1, b).unionByName(
         _scored(blocks, bound, avgdl, qid, keys, ["range"], k1, b, wanted=small(chosen.select(qid, *keys))))
 
 
@@ -358,7 +359,7 @@ def bm25_topk(index, queries: DataFrame, keys: list[str], k: int = DEFAULT_TOP_K
         long = weighted.join(sized.filter(~F.col("_short")), qid, "left_semi")
         found.append(_grouped(index, blocks, long, avgdl, n[False], qid, keys, k1, b, k=k).select(qid, *keys, "bm25"))
     if n.get(True):
-        few = materialize(weighted.join(sized.filter("_short"), qid, "left_semi"))
+        few = small(materialize(weighted.join(sized.filter("_short"), qid, "left_semi")))
         left = small(_reaching(blocks, few, avgdl, keys, k, qid, k1, b, first))
         found.append(_scored(blocks, few, avgdl, qid, keys, [], k1, b, ranges=left))
     return top_k(functools.reduce(DataFrame.unionByName, found), qid, "bm25", keys, k)

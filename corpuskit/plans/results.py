@@ -11,8 +11,9 @@ from corpuskit.operators import prepare, retrieval
 from corpuskit.operators import results as R
 from corpuskit.plans.corpus import _validate_sql, requests
 from corpuskit.plans.registry import register
-from corpuskit.plans.search import KEYS, hybrid_ctes, hybrid_df, search_index
+from corpuskit.plans.search import hybrid_ctes, hybrid_df, search_index, with_chunks
 from corpuskit.plans.sqlparts import INGESTED_AT, sql_str
+from corpuskit.session import materialize
 from corpuskit.tables import Tables
 
 T = retrieval.DEFAULT_THRESHOLD
@@ -20,7 +21,7 @@ T = retrieval.DEFAULT_THRESHOLD
 
 def hybrid_rows(t: Tables) -> DataFrame:
     """Hybrid top-5 joined back to the chunk store."""
-    return hybrid_df(t).join(search_index(t).chunks, KEYS)
+    return with_chunks(search_index(t), hybrid_df(t))
 
 
 HYB = f"""{hybrid_ctes()},
@@ -53,7 +54,7 @@ SELECT h.query_id, CAST(h.rank AS BIGINT) AS rank, h.doc_id, round(h.score, 4) A
 FROM hyb h JOIN d USING (query_id) WHERE h.score IS NOT NULL AND h.score >= {T}""")
 def q_score_threshold(t: Tables) -> DataFrame:
     """#11: keep scores >= 0.3 after top-k; dropped count per query."""
-    h = hybrid_df(t)
+    h = materialize(hybrid_df(t))
     dropped = h.groupBy("query_id").agg(F.count_if(F.col("score").isNull() | (F.col("score") < T)).alias("n_dropped"))
     kept = retrieval.score_threshold(h, "score", T)
     return kept.join(dropped, "query_id").select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id",

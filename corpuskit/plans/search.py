@@ -90,7 +90,12 @@ def q_build_index(t: Tables) -> DataFrame:
 def bm25_topk_df(t: Tables, k=retrieval.DEFAULT_TOP_K, with_content: bool = False) -> DataFrame:
     index = search_index(t)
     best = retrieval.bm25_topk(index, query_table(t), KEYS, k).withColumn("score", F.col("bm25"))
-    return best.join(index.chunks, KEYS) if with_content else best
+    return with_chunks(index, best) if with_content else best
+
+
+def with_chunks(index: IX.SearchIndex, best: DataFrame) -> DataFrame:
+    """The rows of a ranking with their chunks: the texts of the others are not shuffled."""
+    return retrieval.small(materialize(best)).join(index.chunks, KEYS)
 
 
 BM25_TOPK_SQL = f"""

@@ -123,3 +123,17 @@ def test_blocks_across_batches(spark, tmp_path, monkeypatch):
             assert [(x.tf, x.dl) for x in r.t] == sorted(least.items())
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+
+
+def test_blocks_and_texts_meet_few_rows_in_place(spark, index, capsys):
+    """The terms of a batch, a file's ranges and the ranked chunks are broadcast: no block and no text is shuffled."""
+    from corpuskit.plans.search import with_chunks
+
+    q = spark.createDataFrame([(1, "w7 w1500", None), (2, "hot", "f3.txt")], "query_id long, query string, wanted string")
+    best = R.bm25_topk(index, q, KEYS, 2)
+    rows = with_chunks(index, best)
+    for df in (R.bm25_search(index, q, KEYS), R.bm25_search(index, q, KEYS, wanted_file="wanted"), rows):
+        df.explain("simple")
+        plan = capsys.readouterr().out
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert rows.select("query_id", "rank", "content").count() == 4 == rows.filter("content IS NOT NULL").count()

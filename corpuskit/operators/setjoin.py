@@ -1,17 +1,19 @@
 """Exact set-similarity join (#74): prefix filter, length filter, verification.
 
 Two sets with a Jaccard similarity of at least ``s`` share a token among their
-first ``n - ceil(s * n) + 1`` tokens, whatever order the tokens are put in; with
-the rarest tokens first, such prefixes meet few others. So
+first ``n - ceil(s * n) + 1`` tokens, whatever order the tokens are put in, and ``m``
+tokens (or all that they must share, if fewer) among ``m - 1`` more; with the
+rarest tokens first, such prefixes meet few others, and seldom in several tokens. So
 
 1. sets with the same tokens become one (its smallest key stands for it);
 2. tokens are counted once; the ``FREQUENT`` most frequent ones are known by
    rank, all others count as rarer and are ordered by their hash (the order
    decides how many candidates there are, never which pairs are found);
 3. the prefixes are joined on their tokens. A pair is a candidate only if the
-   sizes, the places of the shared token and a 256-bit signature (token parities)
-   leave room for the similarity;
-4. candidates are verified on the whole sets.
+   sizes and the places of the shared tokens leave room for the similarity, and
+   there are ``SHARED`` of them;
+4. candidates meet on sketches first (tokens counted by class, ``CLASSES`` bytes a
+   set, which bound what two sets share); those left are verified on the whole sets.
 
 Links between copies of one text would grow with the square of their number, so
 the join runs twice. First every set meets only the smallest key under each of
@@ -42,14 +44,16 @@ from corpuskit.session import checkpoint_dir
 
 FREQUENT = 500_000  # tokens known by rank (16 bytes each)
 BLOCK = 1024       # sets of one token that a block holds, on average
-WORDS = 4          # 64-bit words of a signature
-CLASSES = 1024     # classes by which a task counts tokens before it compares sets
+CLASSES = 512      # classes by which tokens are counted before sets are compared
+SKETCHED = 16_384  # sketches of a bucket, on average
+SHARED = 3         # tokens of their prefixes that the sets of a candidate pair share
 VERIFY = 4096      # sets of a bucket of the verification, on average
+DICTIONARY = 8 << 20  # bytes of a written file's dictionary: token hashes repeat, but are many
 
 
-def prefix_length(n: int, least: float) -> int:
-    """Tokens among which two similar sets must share one."""
-    return n - math.ceil(round(least * n, 9)) + 1
+def prefix_length(n: int, least: float, shared: int = 1) -> int:
+    """Tokens among which two similar sets must share ``shared`` (or all that they must share, if fewer)."""
+    return min(n, n - math.ceil(round(least * n, 9)) + shared)
 
 
 def _sets(df: DataFrame, key: str, text_col: str) -> DataFrame:
@@ -63,7 +67,7 @@ def _written(df: DataFrame) -> DataFrame:
     """The table in a new folder under the shared one (columnar: these rows repeat their values)."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/set-join-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.dictionary.page.size", DICTIONARY).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -101,111 +105,144 @@ def _ordered(rank: tuple[np.ndarray, np.ndarray], least: float):
             place = np.minimum(np.searchsorted(known, t), len(known) - 1)
             hit = known[place] == t
             order[hit] = ranks[place[hit]]
-        return t[np.lexsort((t, order))[:prefix_length(len(t), least)]]
+        return t[np.lexsort((t, order))[:prefix_length(len(t), least, SHARED)]]
 
     return prefix
 
 
 def prefixes(sets: DataFrame, least: float, rank: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(token, pos, key, size, s0..s3): the prefix of every set, rarest tokens first.
+    """(token, pos, key, size): the prefix of every set, rarest tokens first.
 
-    The signature holds the parity of the number of tokens of each of 256 classes.
+    These rows are shuffled and written, one for every prefix token: they hold nothing more.
     """
     prefix = _ordered(rank, least)
-    names = ["token", "pos", "key", "size", *[f"s{i}" for i in range(WORDS)]]
 
     def run(batches):
         for batch in batches:
             at, flat = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy()
             made = [prefix(flat[i:j]) for i, j in zip(at, at[1:])]
-            words = np.zeros((len(batch), WORDS), dtype=np.int64)
-            for i in range(len(batch)):
-                own = (flat[at[i]:at[i + 1]].view(np.uint64) >> np.uint64(8)) % np.uint64(64 * WORDS)
-                odd = np.bincount(own.astype(np.int64), minlength=64 * WORDS) & 1
-                words[i] = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
             size = [len(x) for x in made]
             take = np.repeat(np.arange(len(batch)), size)
             pos = np.concatenate([np.arange(n, dtype=np.int32) for n in size] or [np.zeros(0, np.int32)])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(made) if made else np.zeros(0, np.int64)), pa.array(pos),
-                 batch.column(0).take(pa.array(take, pa.int64())), pa.array(np.diff(at).astype(np.int32)[take]),
-                 *[pa.array(words[take, i]) for i in range(WORDS)]], names)
+                 batch.column(0).take(pa.array(take, pa.int64())), pa.array(np.diff(at).astype(np.int32)[take])],
+                ["token", "pos", "key", "size"])
 
     kind = dict(sets.dtypes)["key"]
-    return sets.select("key", "tokens").mapInArrow(
-        run, f"token long, pos int, key {kind}, size int, " + ", ".join(f"s{i} long" for i in range(WORDS)))
+    return sets.select("key", "tokens").mapInArrow(run, f"token long, pos int, key {kind}, size int")
 
 
-def _room(least: float) -> Column:
-    """Of a joined pair (x, y): sizes, places and signatures leave room for the similarity."""
-    total = F.col("x.size") + F.col("y.size")
-    need = F.ceil(F.round(least / (1 + least) * total, 6))  # tokens that must be shared
+def _needed(total, least: float):
+    """Tokens that two sets of ``total`` tokens together must share (numpy)."""
+    return np.ceil(np.round(least / (1 + least) * total, 6))
+
+
+def _met(x: DataFrame, y: DataFrame, on: list[str], more: Column, least: float) -> DataFrame:
+    """(a, b, n): pairs of rows whose sizes and places leave room for the similarity. ``n`` is
+    1, and more for sets so small that they need not share ``SHARED`` tokens: summed over the tokens
+    that two similar sets share in their prefixes it reaches ``SHARED``."""
+    met = x.alias("x").join(y.alias("y"), [F.col(f"x.{c}") == F.col(f"y.{c}") for c in on])
+    need = F.ceil(F.round(least / (1 + least) * (F.col("x.size") + F.col("y.size")), 6))  # tokens that must be shared
     rest = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
-    differ = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(1, WORDS)),
-                 F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))))
     short, long = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
-    return (short >= F.round(least * long, 6)) & (rest >= need) & (differ <= total - 2 * need)
+    room = (short >= F.round(least * long, 6)) & (rest >= need - (SHARED - 1))
+    return met.filter(more & room).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"),
+                                          F.ceil(SHARED / F.least(F.greatest(need, F.lit(1)), F.lit(SHARED))).alias("n"))
 
 
-def similar(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
-    """Similarity of the pairs (x, y) of sets (sorted hashes), -1 below ``least``.
+def class_counts(at: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """Tokens of each set by class, one byte a class (255: as many or more)."""
+    n, size = len(at) - 1, np.diff(at)
+    own = ((flat[at[0]:at[-1]].view(np.uint64) >> np.uint64(20)) % np.uint64(CLASSES)).astype(np.int64)
+    counts = np.bincount(np.repeat(np.arange(n), size) * CLASSES + own, minlength=n * CLASSES)
+    return np.minimum(counts, 255).astype(np.uint8).reshape(n, CLASSES)
 
-    Tokens counted by class bound what two sets share; only pairs that the bound
-    lets through are compared token by token.
-    """
+
+def may_be_similar(counts: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Of the pairs (x, y): the class counts allow the similarity (a class too full to be known allows it)."""
+    out = np.zeros(len(x), dtype=bool)
+    for at in range(0, len(x), 20_000):
+        i, j = x[at:at + 20_000], y[at:at + 20_000]
+        both = np.minimum(counts[i], counts[j])
+        out[at:at + 20_000] = (both.sum(axis=1, dtype=np.int64) >= _needed(size[i] + size[j], least)) | (both.max(axis=1) == 255)
+    return out
+
+
+def similar(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Similarity of the pairs (x, y) of sets (sorted hashes), -1 below ``least``."""
     size = np.array([len(t) for t in sets], dtype=np.int64)
-    counts = np.zeros((len(sets), CLASSES), dtype=np.int32)
-    for i, t in enumerate(sets):
-        counts[i] = np.bincount(((t.view(np.uint64) >> np.uint64(20)) % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES)
     out = np.full(len(x), -1.0)
-    total = size[x] + size[y]
-    need = np.ceil(np.round(least / (1 + least) * total, 6))
-    for at in range(0, len(x), 20_000):
-        here = np.arange(at, min(at + 20_000, len(x)))
-        most = np.minimum(counts[x[here]], counts[y[here]]).sum(axis=1)
-        for i in here[most >= need[here]].tolist():
-            shared = len(np.intersect1d(sets[x[i]], sets[y[i]], assume_unique=True))
-            found = shared / (total[i] - shared)
-            if found >= least - 1e-9:
-                out[i] = found
+    for p, (i, j) in enumerate(zip(x.tolist(), y.tolist())):
+        shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        found = shared / (size[i] + size[j] - shared)
+        if found >= least - 1e-9:
+            out[p] = found
     return out
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(a, b, similarity) of the candidate pairs that reach the similarity.
+def _sketches(sets: DataFrame) -> DataFrame:
+    """(key, size, counts) of sets (key, tokens)."""
+    def run(batches):
+        for batch in batches:
+            at, flat = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy()
+            if len(batch):
+                counts = class_counts(at, flat)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at).astype(np.int32)),
+                                                  pa.array([c.tobytes() for c in counts], pa.binary())], ["key", "size", "counts"])
+
+    return sets.select("key", "tokens").mapInArrow(run, f"key {dict(sets.dtypes)['key']}, size int, counts binary")
+
 
-    Keys are dealt into buckets of about ``VERIFY`` sets; a task takes the pairs
-    of two buckets and each set that stands in one of them once.
+def _compared(pairs: DataFrame, sets: DataFrame, made, most: int, check, schema: str) -> DataFrame:
+    """``check`` of the written candidate pairs, and of the rows that ``made`` has of their sets.
+
+    Keys are dealt into buckets of about ``most``; a task takes the pairs of two
+    buckets and the row of each set that stands in one of them once.
     """
-    pairs = _written(pairs)
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    asked = _written(asked)
-    buckets = F.lit(max(1, -(-asked.count() // VERIFY)))
-    own = sets.join(small(asked), "key", "left_semi")
+    asked = _written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+    buckets = F.lit(max(1, -(-asked.count() // most)))
+    own = made(sets.join(small(asked), "key", "left_semi"))
 
     def bucket(c: str) -> Column:
         return F.pmod(F.xxhash64(c), buckets).cast("int")
 
     dealt = pairs.withColumn("one", F.least(bucket("a"), bucket("b"))).withColumn("two", F.greatest(bucket("a"), bucket("b")))
     placed = dealt.select("one", "two", F.explode(F.array("a", "b")).alias("key")).distinct().join(own, "key")
-    kind = dict(pairs.dtypes)["a"]
-    schema = pa.schema([("a", pa_type(kind)), ("b", pa_type(kind)), ("similarity", pa.float64())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         keys = left["key"].combine_chunks()
-        tokens_ = left["tokens"].combine_chunks()
-        at, flat = tokens_.offsets.to_numpy(), tokens_.values.to_numpy()
-        held = [flat[i:j] for i, j in zip(at, at[1:])]
         x, y = (pc.index_in(right[c].combine_chunks(), value_set=keys).to_numpy(zero_copy_only=False).astype(np.int64)
                 for c in ("a", "b"))
-        found = similar(held, x, y, least)
+        return check(left, right, x, y)
+
+    again = dealt.select(*[F.col(c).alias(c) for c in dealt.columns])  # both sides of a cogroup: own columns
+    return _written(placed.groupBy("one", "two").cogroup(again.groupBy("one", "two")).applyInArrow(run, schema))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b, similarity) of the candidate pairs that reach the similarity.
+
+    Most candidates end at the sketches, so few whole sets cross the network.
+    """
+    kind = dict(pairs.dtypes)["a"]
+    schema = pa.schema([("a", pa_type(kind)), ("b", pa_type(kind)), ("similarity", pa.float64())])
+
+    def sketched(left: pa.Table, right: pa.Table, x: np.ndarray, y: np.ndarray) -> pa.Table:
+        counts = np.frombuffer(b"".join(left["counts"].to_pylist()), dtype=np.uint8).reshape(-1, CLASSES)
+        size = left["size"].to_numpy().astype(np.int64)
+        return right.select(["a", "b"]).filter(pa.array(may_be_similar(counts, size, x, y, least)))
+
+    def whole(left: pa.Table, right: pa.Table, x: np.ndarray, y: np.ndarray) -> pa.Table:
+        tokens_ = left["tokens"].combine_chunks()
+        at, flat = tokens_.offsets.to_numpy(), tokens_.values.to_numpy()
+        found = similar([flat[i:j] for i, j in zip(at, at[1:])], x, y, least)
         take = pa.array(np.flatnonzero(found >= 0))
         return pa.Table.from_arrays([right["a"].combine_chunks().take(take), right["b"].combine_chunks().take(take),
                                      pa.array(found[found >= 0])], schema=schema)
 
-    again = dealt.select(*[F.col(c).alias(c) for c in dealt.columns])  # both sides of a cogroup: own columns
-    met = placed.groupBy("one", "two").cogroup(again.groupBy("one", "two"))
-    return _written(met.applyInArrow(run, f"a {kind}, b {kind}, similarity double"))
+    left = _compared(_written(pairs), sets, _sketches, SKETCHED, sketched, f"a {kind}, b {kind}")
+    return _compared(left, sets, lambda own: own, VERIFY, whole, f"a {kind}, b {kind}, similarity double")
 
 
 def pa_type(kind: str) -> pa.DataType:
@@ -235,15 +272,11 @@ def links(df: DataFrame, key: str, text_col: str, max_distance: float = 0.3, fre
 
     rows = _bucketed(prefixes(sets, least, _frequent(sets, frequent)), "token")
 
-    def pairs(x: DataFrame, y: DataFrame, on: list[str], more: Column) -> DataFrame:
-        met = x.alias("x").join(y.alias("y"), [F.col(f"x.{c}") == F.col(f"y.{c}") for c in on])
-        return met.filter(more & _room(least)).select(
-            F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))
-
     # every set with the smallest key under each of its tokens: one row a prefix token
     row = F.struct("key", *[c for c in rows.columns if c not in ("key", "token")])
     least_of = rows.groupBy("token").agg(F.min(row).alias("r"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("token", "r.*")
-    first = _verified(pairs(rows, least_of, ["token"], F.col("x.key") > F.col("y.key")).distinct(), sets, least)
+    begun = _met(rows, least_of, ["token"], F.col("x.key") > F.col("y.key"), least)
+    first = _verified(begun.select("a", "b").distinct(), sets, least)
     part = components(first, "a", "b")
 
     # all others, but pairs of one component
@@ -254,13 +287,15 @@ def links(df: DataFrame, key: str, text_col: str, max_distance: float = 0.3, fre
     other = F.col("x.root") != F.col("y.root")
     # tokens of one block: the rows are in place
     cold = rooted.join(stat.filter("blocks = 1").select("token"), "token", "left_semi")
-    again = pairs(cold, cold, ["token"], (F.col("x.key") < F.col("y.key")) & other)
+    again = _met(cold, cold, ["token"], (F.col("x.key") < F.col("y.key")) & other, least)
     # the blocks of the others meet each other once: the lower number on the left, the higher on the right
     hot = _written(rooted.join(stat.filter("blocks > 1"), "token")).withColumn("own", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
     x = hot.withColumn("one", F.col("own")).withColumn("two", F.explode(F.sequence("own", F.col("blocks") - 1)))
     y = hot.withColumn("two", F.col("own")).withColumn("one", F.explode(F.sequence(F.lit(0), "own")))
     turned = (F.col("x.one") < F.col("x.two")) | (F.col("x.key") < F.col("y.key"))
-    again = again.unionByName(pairs(x, y, ["token", "one", "two"], turned & other)).distinct()
+    again = again.unionByName(_met(x, y, ["token", "one", "two"], turned & other, least))
+    # a pair has a row for each token that both prefixes hold
+    again = again.groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= SHARED).select("a", "b")
     found = first.unionByName(_verified(again.join(first.select("a", "b"), ["a", "b"], "left_anti"), sets, least))
     return members, found, components(found, "a", "b")
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from corpuskit.functions.text import STOP_WORDS
@@ -97,3 +98,41 @@ def test_components_of_random_graphs_and_a_long_chain(spark):
                 root[max(x, y)] = min(x, y)
         got = components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()
         assert sorted((r["vertex"], r["root"]) for r in got) == sorted((k, find(k)) for k in root)
+
+
+def test_prefix_rows_are_narrow_and_few_whole_sets_are_shuffled(spark, monkeypatch):
+    """Rows of prefix tokens hold token, place, key and size only; of many candidates hardly any reach the whole sets."""
+    rng = random.Random(4)
+    rows = []
+    for g in range(30):  # the texts of a group share their rarest tokens and half of the others
+        rare, half = [f"r{g}x{i}" for i in range(12)], rng.sample(range(400), 60)
+        rows += [(20 * g + i, " ".join([*rare, *(f"c{v}" for v in half), *(f"c{v}" for v in rng.sample(range(400), 60))])) for i in range(20)]
+    seen, real = {}, S._compared
+
+    def compared(pairs, sets, made, most, check, schema):
+        seen[most] = seen.get(most, 0) + pairs.count()
+        return real(pairs, sets, made, most, check, schema)
+
+    monkeypatch.setattr(S, "_compared", compared)
+    df = spark.createDataFrame(rows, "id long, text string")
+    sets = S._sets(df, "id", "text")
+    assert S.prefixes(sets, 0.7, S._frequent(sets, 100)).columns == ["token", "pos", "key", "size"]
+    got = {tuple(r) for r in S.near_duplicate_classes(df, "id", "text", 0.3).collect()}
+    assert got == brute(rows, 0.3)[0]
+    assert seen[S.SKETCHED] > 500 and seen[S.VERIFY] * 10 < seen[S.SKETCHED]
+
+
+def test_sketches_lose_no_similar_pair():
+    """Class counts bound what two sets share, also where a class is fuller than a byte can say."""
+    rng = np.random.default_rng(5)
+    shared = rng.integers(-2**62, 2**62, 700)
+    crowded = np.arange(300, dtype=np.int64) << 40  # all in one class
+    sets = [np.unique(np.concatenate([x, rng.integers(-2**62, 2**62, n)])) for x in (shared, shared[:500], crowded) for n in (20, 150, 600)]
+    at = np.concatenate([[0], np.cumsum([len(t) for t in sets])])
+    counts = S.class_counts(at, np.concatenate(sets))
+    x, y = (a.ravel() for a in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    for least in (0.3, 0.7, 1.0):
+        kept = S.may_be_similar(counts, np.diff(at), x, y, least)
+        true = S.similar(sets, x, y, least) >= 0
+        assert true.any() and not (true & ~kept).any()
+    assert not S.may_be_similar(counts, np.diff(at), np.array([0]), np.array([8]), 0.7).any()

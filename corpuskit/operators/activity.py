@@ -11,10 +11,13 @@ ever need a running frame.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuskit.session import materialize
+
 # --- fixed values ------------------------------------------------------------
 QUOTA_REQUESTS = 30
 QUOTA_WINDOW_S = 60
@@ -222,15 +225,32 @@ def preferred_track(tracks: DataFrame, key: str, lang: str, seq: str, preferred:
                                    .alias("_t")).select(key, "_t.*")
 
 
-def numbered(df: DataFrame, group: list[str], blocks: list[Column], order: list[str], out: str = "pos") -> DataFrame:
+#: Rows of a group up to which ``numbered`` takes it whole.
+WHOLE_GROUP = 4096
+
+
+def numbered(df: DataFrame, group: list[str], blocks: list[Column], order: list[str], out: str = "pos",
+             whole: int = WHOLE_GROUP) -> DataFrame:
     """Rows of each group numbered from 1 (``out``, long) by ``blocks``, then ``order``.
 
-    A group may hold most rows, so no window holds a whole group: rows are
-    numbered inside (group, block) and each block starts after the rows of the
-    blocks before it, counted by a partial aggregate. Null blocks come first.
+    Groups of at most ``whole`` rows are one window each: one shuffle. A group may
+    hold most rows, so no window holds a larger one: its rows are numbered
+    inside (group, block) and each block starts after the rows of the blocks
+    before it, counted by a partial aggregate. Null blocks come first.
     """
     names = [f"_b{i}" for i in range(len(blocks))]
     b = df.select("*", *[c.alias(n) for c, n in zip(blocks, names)])
+    large = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > whole)
+    large = materialize(large.select(*[F.col(c).alias(f"_l_{c}") for c in group]))
+    together = Window.partitionBy(*group).orderBy(*names, *order)
+
+    def at_once(rows: DataFrame) -> DataFrame:
+        return rows.withColumn(out, F.row_number().over(together).cast("long")).select(*df.columns, out)
+
+    if not large.count():
+        return at_once(b)
+    own = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_l_{c}")) for c in group])
+    small, b = b.join(large, own, "left_anti"), b.join(large, own, "left_semi")
     sizes = b.groupBy(*group, *names).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*[F.col(c).alias(f"_k_{c}") for c in [*group, *names]],
@@ -240,8 +260,8 @@ def numbered(df: DataFrame, group: list[str], blocks: list[Column], order: list[
         eq = F.col(c).eqNullSafe(F.col(f"_k_{c}"))
         same = eq if same is None else same & eq
     w = Window.partitionBy(*group, *names).orderBy(*order)
-    return (b.join(starts, same).withColumn(out, F.col("_start") + F.row_number().over(w))
-             .select(*df.columns, out))
+    split = b.join(starts, same).withColumn(out, F.col("_start") + F.row_number().over(w)).select(*df.columns, out)
+    return at_once(small).unionByName(split)
 
 
 def sort_answers(answers: DataFrame, question: str, score: str, seq: str, block: int = 1024) -> DataFrame:

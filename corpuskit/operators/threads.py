@@ -65,6 +65,12 @@ def _parts(qid: str, *frames: DataFrame) -> DataFrame:
     return out.select(qid, F.col("part").cast("long").alias("part"), F.col("sub").cast("long").alias("sub"), "text")
 
 
+def _part(part, sub, text: Column) -> Column:
+    """One part of a thread: (part, sub, text)."""
+    place = [(x if isinstance(x, Column) else F.lit(x)).cast("long").alias(n) for n, x in (("part", part), ("sub", sub))]
+    return F.struct(*place, text.alias("text"))
+
+
 def _placed_answers(answers: DataFrame, qid: str) -> DataFrame:
     """Answers with their place (``part``, from 1) by score desc (missing 0), then in their order."""
     return numbered(answers, [qid], [-F.coalesce(F.col("score"), F.lit(0)), F.floor(F.col("seq") / BLOCK)],
@@ -94,27 +100,29 @@ def thread_search_parts(questions: DataFrame, answers: DataFrame, comments: Data
     block = F.concat(F.lit("### "), F.when(F.col("is_accepted"), F.lit("✓ ")).otherwise(F.lit("")),
                      F.lit("Answer (Score: "), _text("score", "0"), F.lit(")\n\n"), _text("body"), F.lit("\n\n"))
     tail = F.concat(F.lit("---\n\n["), F.lit(VIEW_LABEL), F.lit("]("), _text("link"), F.lit(")\n\n"))
-    end = q.select(qid, F.lit(LAST).alias("part"), F.lit(0).alias("sub"), tail.alias("text"))
-    none, zero, last = F.lit(""), F.lit(0).alias("sub"), F.lit(LAST).alias("sub")
+    end = _part(LAST, 0, tail)
     if comments is None:
-        return _parts(qid, q.select(qid, F.lit(0).alias("part"), zero, head.alias("text")),
-                      q.select(qid, F.lit(0).alias("part"), last, F.lit("## Answers\n\n").alias("text")),
-                      a.select(qid, "part", zero, block.alias("text")), end)
+        return q.select(qid, F.inline(F.array(_part(0, 0, head), _part(0, LAST, F.lit("## Answers\n\n")), end))).unionByName(
+            a.select(qid, F.inline(F.array(_part(F.col("part"), 0, block)))))
+    own = comments.filter(F.col("answer_id").isNull()).select(qid).distinct()
+    q = q.join(own.withColumn("_has", F.lit(True)), qid, "left")
+    title = F.when(F.col("_has"), F.lit("### Question Comments\n\n")).otherwise(F.lit(""))
+    gap = F.when(F.col("_has"), F.lit("\n")).otherwise(F.lit(""))
     c = thread_comments(comments, qid).select(
         qid, "answer_id", F.col("pos").alias("sub"),
         F.concat(F.lit("- "), _text("body"), F.lit(" *(Score: "), _text("score", "0"), F.lit(")*\n")).alias("text"))
-    own = c.filter(F.col("answer_id").isNull())
-    q = q.join(own.select(qid).distinct().withColumn("_has", F.lit(True)), qid, "left")
-    title = F.when(F.col("_has"), F.lit("### Question Comments\n\n")).otherwise(none)
-    gap = F.when(F.col("_has"), F.lit("\n")).otherwise(none)
-    return _parts(
-        qid, q.select(qid, F.lit(0).alias("part"), zero, F.concat(head, title).alias("text")),
-        own.select(qid, F.lit(0).alias("part"), "sub", "text"),
-        q.select(qid, F.lit(0).alias("part"), last, F.concat(gap, F.lit("## Answers\n\n")).alias("text")),
-        a.select(qid, "part", zero, F.concat(block, F.lit("#### Answer Comments\n\n")).alias("text")),
-        c.filter(F.col("answer_id").isNotNull()).join(a.select(qid, "answer_id", "part"), [qid, "answer_id"])
-         .select(qid, "part", "sub", "text"),
-        a.select(qid, "part", last, F.lit("\n").alias("text")), end)
+    # questions and answers are read and numbered once for all their parts: an
+    # answer's own parts go with its first comment, or alone where it has none
+    answered = a.select(qid, "answer_id", "part", block.alias("_block")).join(
+        c.filter(F.col("answer_id").isNotNull()), [qid, "answer_id"], "left")
+    begin = _part(F.col("part"), 0, F.concat("_block", F.lit("#### Answer Comments\n\n")))
+    close, comment = _part(F.col("part"), LAST, F.lit("\n")), _part(F.col("part"), F.col("sub"), F.col("text"))
+    each = (F.when(F.col("sub").isNull(), F.array(begin, close)).when(F.col("sub") == 1, F.array(begin, close, comment))
+             .otherwise(F.array(comment)))
+    return (q.select(qid, F.inline(F.array(_part(0, 0, F.concat(head, title)),
+                                           _part(0, LAST, F.concat(gap, F.lit("## Answers\n\n"))), end)))
+             .unionByName(c.filter(F.col("answer_id").isNull()).select(qid, F.inline(F.array(_part(0, F.col("sub"), F.col("text"))))))
+             .unionByName(answered.select(qid, F.inline(each))))
 
 
 def thread_context_parts(questions: DataFrame, answers: DataFrame, qid: str = "question_id") -> DataFrame:

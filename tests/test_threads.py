@@ -70,3 +70,32 @@ def test_mail_and_caption_problems(spark):
     assert got[0].detail == "Video v1 (u) is unavailable. API: api. Original error: e" and got[0].status == 404
     assert got[1].type.endswith("generic-fetch-error") and got[2].status == 500
     assert got[1].detail == "Failed to fetch transcript for video v1 (u) using api. Original error: KeyError - e"
+
+
+def test_answers_and_comments_are_numbered_once_for_all_parts(spark):
+    """The plan of the search layout numbers answers once, and comments once under answers and once under questions."""
+    q = spark.createDataFrame([(1, "t", 1, "b", "l")], "question_id long, title string, score int, body string, link string")
+    a = spark.createDataFrame([(11, 1, 1, 5, True, "x", "o", "2020"), (12, 1, 2, None, False, "y", "o", "2020")],
+                              "answer_id long, question_id long, seq int, score int, is_accepted boolean, body string, owner string, creation_date string")
+    c = spark.createDataFrame([(1, None, 1, 1, "qc"), (1, 11, 2, 2, "c1"), (1, 11, 3, 3, "c2")],
+                              "question_id long, answer_id long, seq int, score int, body string")
+    out = TH.thread_search_parts(q, a, c)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number()") == 3
+    assert [(r["part"], r["sub"]) for r in out.orderBy("part", "sub").collect()] == [
+        (0, 0), (0, 1), (0, TH.LAST), (1, 0), (1, 1), (1, 2), (1, TH.LAST), (2, 0), (2, TH.LAST), (TH.LAST, 0)]
+
+
+def test_large_groups_are_numbered_in_blocks_like_small_ones(spark):
+    """Groups above ``whole`` rows are split, the others are one window; both give the same numbers, null groups too."""
+    from pyspark.sql import functions as F
+
+    from corpuskit.operators import activity as A
+    rows = [(g, None if i % 9 == 4 else i % 5, i) for g, n in ((1, 60), (2, 7), (None, 30), (3, 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g long, score int, seq int")
+    blocks = [-F.coalesce(F.col("score"), F.lit(0)), F.floor(F.col("seq") / 8)]
+    got = [sorted(map(str, A.numbered(df, ["g"], blocks, ["seq"], whole=w).collect())) for w in (0, 20, 1000)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(rows)
+    def names(w):
+        return A.numbered(df, ["g"], blocks, ["seq"], whole=w)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in names(1000) and "Join" in names(20)

@@ -61,6 +61,13 @@ def usable_pages(pages: DataFrame, url: str = "url", text: str = "text", seq: st
             .filter(F.col("page_text").isNotNull()))
 
 
+def usable_urls(pages: DataFrame, url: str = "url", text: str = "text", seq: str = "page_id") -> DataFrame:
+    """The URLs of ``usable_pages``, with ``usable`` = true: no text is shuffled."""
+    ok = F.coalesce(~F.col(text).rlike(BLANK_RE), F.lit(False)) & F.col(seq).isNotNull()
+    with_url = pages.filter(F.col(url).isNotNull() & (F.col(url) != ""))
+    return with_url.groupBy(url).agg(F.bool_or(ok).alias("usable")).filter("usable")
+
+
 def join_content(hits: DataFrame, pages: DataFrame) -> DataFrame:
     """#49: left join hits to page text by URL; hit text is the fallback."""
     h = hits.withColumn("url", hit_url(hits)).filter(F.col("url").isNotNull() & (F.col("url") != ""))
@@ -74,8 +81,8 @@ def join_content(hits: DataFrame, pages: DataFrame) -> DataFrame:
 def source_mix(raw: DataFrame, kept: DataFrame, pages: DataFrame, provider: str = "provider") -> DataFrame:
     """#60: per provider results, kept, dropped and replaced-by-page-text counts."""
     a = raw.groupBy(provider).agg(F.count(F.lit(1)).alias("n_raw"))
-    k = (kept.join(usable_pages(pages), "url", "left").groupBy(provider)
-         .agg(F.count(F.lit(1)).alias("n_kept"), F.count("page_text").alias("n_replaced")))
+    k = (kept.join(usable_urls(pages), "url", "left").groupBy(provider)
+         .agg(F.count(F.lit(1)).alias("n_kept"), F.count("usable").alias("n_replaced")))
     return a.join(k, provider).select(provider, "n_raw", "n_kept", (F.col("n_raw") - F.col("n_kept")).alias("n_dropped"),
                                       "n_replaced")
 

@@ -4,6 +4,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from corpuskit.operators import results, web
 from corpuskit.plans.registry import register
 from corpuskit.plans.sqlparts import NORM_SQL, html_to_text_sql, sql_str
 from corpuskit.sources import hits as H
+from corpuskit.session import checkpoint_dir
 from corpuskit.tables import Tables
 
 TITLE_RE = r"(?is)<title[^>]*>(.*?)</title>"
@@ -22,6 +25,14 @@ def hits(t: Tables, n: int = 5) -> DataFrame:
     return H.normalize_hits(H.provider_responses(t), max_results=n)
 
 
+def written_texts(t: Tables) -> DataFrame:
+    """The page texts in a new folder under the shared one, for queries that read them several times."""
+    texts = H.page_texts(t)
+    path = f"{checkpoint_dir(t.spark).rstrip('/')}/page-texts-{uuid.uuid4().hex}"
+    texts.write.parquet(path)
+    return t.spark.read.schema(texts.schema).parquet(path)
+
+
 # DuckDB: the same hits restated directly from pages (no JSON round trip).
 _BASE = f"""
 _pt AS (SELECT page_id, url, regexp_extract(html, {sql_str(TITLE_RE)}, 1) AS title, {html_to_text_sql('html')} AS text
@@ -198,8 +209,9 @@ k AS (SELECT provider, count(*) AS n_kept, count(p.ptext) AS n_replaced FROM hit
 SELECT provider, n_raw, n_kept, n_raw - n_kept AS n_dropped, n_replaced FROM a JOIN k USING (provider)""")
 def q_source_mix(t: Tables) -> DataFrame:
     """#60: per provider: results, kept, dropped, replaced by full page text."""
-    raw = H.raw_results(H.provider_responses(t))
-    return web.source_mix(raw, hits(t), t.pages.select("page_id", "url", html_to_text("html").alias("text")))
+    texts = written_texts(t)
+    responses = H.provider_responses(t, texts)
+    return web.source_mix(H.raw_results(responses), H.normalize_hits(responses), texts.select("page_id", "url", "text"))
 
 
 @register("html_to_text", sql=f"""

@@ -153,10 +153,11 @@ def _body(p: str) -> Column:
     return F.to_json(body)
 
 
-def provider_responses(t: Tables) -> DataFrame:
+def provider_responses(t: Tables, texts: DataFrame | None = None) -> DataFrame:
     """``query_id (= page_id), provider, body`` for every page and provider
-    (page text is derived once per page, then dealt to the five providers)."""
-    pt = page_texts(t).select("page_id", _pieces().alias("pieces"))
+    (page text is derived once per page, then dealt to the five providers).
+    ``texts``: the rows of ``page_texts``, where they are written already."""
+    pt = (page_texts(t) if texts is None else texts).select("page_id", _pieces().alias("pieces"))
     per = F.array(*[F.struct(F.lit(p).alias("provider"), _body(p).alias("body")) for p in PROVIDERS])
     return (pt.select(F.col("page_id").alias("query_id"), F.explode(per).alias("r"))
               .select("query_id", "r.provider", "r.body"))

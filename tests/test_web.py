@@ -68,3 +68,15 @@ def test_unreadable_store_is_not_an_empty_one(spark, tmp_path):
     broken.write_bytes(b"")
     kept = [f for f in broken.parent.iterdir() if f.name.startswith("part-") and f.stat().st_size]
     assert kept and spark.read.parquet(*map(str, kept)).select("source_filename").collect()[0][0] == "x"
+
+
+def test_source_mix_shuffles_no_texts(spark):
+    """Only URLs of pages with text meet the hits, and the counts are those of the joined texts."""
+    from corpuskit.operators import web
+    raw = spark.createDataFrame([("a", "u1"), ("a", "u2"), ("a", None), ("b", "u1"), ("b", "u3"), ("c", "u1")], "provider string, url string")
+    kept = raw.filter("provider <> 'c' AND url IS NOT NULL")
+    pages = spark.createDataFrame([(1, "u1", "text"), (2, "u1", " "), (3, "u2", " \n"), (4, "u3", None), (None, "u3", "x"), (5, "", "y"), (6, None, "z")],
+                                  "page_id long, url string, text string")
+    out = web.source_mix(raw, kept, pages)
+    assert sorted(tuple(r) for r in out.collect()) == [("a", 3, 2, 1, 1), ("b", 2, 2, 0, 1)]
+    assert "max_by" not in out._jdf.queryExecution().optimizedPlan().toString()

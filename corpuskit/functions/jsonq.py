@@ -73,12 +73,16 @@ def _typed_cmp(var: Column, value: Any, op: str) -> Column:
     return present & (~same_type | (got != F.lit(value)))
 
 
-def _cond(v: Column, field: str, op: str, value: Any) -> Column:
+def elements(v: Column, field: str) -> Column:
+    """The array that a dotted path leads into."""
+    return F.try_variant_get(v, f"$.data.{field.split('.')[0]}", "array<variant>")
+
+
+def _cond(v: Column, field: str, op: str, value: Any, elems: Column | None = None) -> Column:
+    """``elems``: the array of a dotted path, where it has been read already."""
     if "." in field:
-        parts = field.split(".")
-        arr, prop = parts[0], parts[1]
-        path = "$." + (arr if arr.startswith("data.") else f"data.{arr}")
-        elems = F.try_variant_get(v, path, "array<variant>")
+        prop = field.split(".")[1]
+        elems = elements(v, field) if elems is None else elems
         return F.coalesce(F.exists(elems, lambda x: _leaf(F.try_variant_get(x, f"$.{prop}", "variant"), op, value)),
                           F.lit(False))
     return _leaf(F.try_variant_get(v, f"$.data.{field}", "variant"), op, value)

@@ -97,10 +97,8 @@ def query_sql(query: Any, doc: str = "item_data") -> str:
 
 def _matches(t: Tables, queries: dict[str, Any]) -> DataFrame:
     """One scan: every item against every query, exploded to matches."""
-    it = X.items(t).withColumn("_v", F.parse_json("item_data"))
-    hits = F.array(*[F.when(jsonq.compile_query(F.col("_v"), q), F.lit(n)) for n, q in queries.items()])
-    return (it.select("item_key", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("query_name"))
-              .select("query_name", "item_key"))
+    documents = X.items(t).select("item_key", F.parse_json("item_data").alias("doc"))
+    return IS.ItemStore(documents, ()).find_each(queries)
 
 
 def _matches_sql(queries: dict[str, Any]) -> str:

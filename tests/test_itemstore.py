@@ -51,3 +51,18 @@ def test_an_empty_store(spark, store, tmp_path):
     items, _ = store
     empty = IS.write_items(items.limit(0), str(tmp_path / "empty"))
     assert empty.find({"title": "a"}).count() == 0 and empty.hot == IS.HOT
+
+
+def test_paths_and_arrays_are_read_once_for_all_queries(store):
+    """Unstored documents: a path or an array that several queries compare stands once in the plan, with the same matches."""
+    items, _ = store
+    documents = items.select("item_key", F.try_parse_json("item_data").alias("doc"))
+    queries = {"one": {"priority": 1}, "ne": {"priority": {"$ne": 1}}, "text": {"priority": "1"}, "no": {"priority": {"$exists": False}},
+               "last": {"creators.lastName": "P"}, "other": {"creators.lastName": {"$ne": "P"}}, "none": {}}
+    each = IS.ItemStore(documents, ()).find_each(queries)
+    plan = each._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("$.data.priority") == 1 and plan.count("$.data.creators") == 1
+    want = {(n, r["item_key"]) for n, q in queries.items() for r in documents.filter(jsonq.compile_query(F.col("doc"), q)).collect()}
+    got = [tuple(r) for r in each.collect()]
+    assert set(got) == want and len(got) == len(want) > 8
+    assert IS.ItemStore(documents, ()).find_each({}).count() == 0

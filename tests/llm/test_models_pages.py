@@ -74,6 +74,36 @@ def test_pseudo_likelihood_awkward(awkward, nothing):
     assert all((r["n_tokens"], r["log_likelihood"], r["mean_log_likelihood"]) == (0, 0.0, None) for r in blank)
 
 
+@pytest.mark.parametrize("frequent", [0, 3, lm.FREQUENT])
+def test_every_token_has_its_own_probability(spark, frequent):
+    """Tokens without a class of their own are told apart by their counts, joined or carried along."""
+    common = " ".join(f"w{i}ord" for i in range(lm.CLASSES)) + " the the "
+    ends = ["horse", "horse", "horse", "glorse", "glorse", "xqrse", "Horse", ""]
+    rows = [(i, common * 3 + w) for i, w in enumerate(ends)] + [(1, common * 3 + "horse"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lm.pseudo_likelihood(df, frequent=frequent).collect()
+    assert len(got) == len(rows)
+    ll = {r["doc_id"]: r["log_likelihood"] for r in got}
+    assert ll[0] == ll[1] == ll[2] and ll[3] == ll[4]
+    assert ll[0] - ll[3] == pytest.approx(math.log(4 / 2), abs=1e-6)
+    assert ll[3] - ll[5] == pytest.approx(math.log(2 / 1), abs=1e-6) and ll[5] == ll[6]
+    if frequent != lm.FREQUENT:
+        want = {r["doc_id"]: r["log_likelihood"] for r in lm.pseudo_likelihood(df).collect()}
+        assert all(ll[d] == pytest.approx(want[d], abs=1e-6) for d in want)
+
+
+def test_token_shares_sum_to_one_in_a_class(docs, texts):
+    from collections import Counter
+    words = lm.vocabulary(docs)
+    total = Counter(w for _, t in texts for w in (t or "").encode().split())
+    shares = lm.token_shares(lm.token_counts(docs), words).collect()
+    assert {r["w"].encode(): r["n"] for r in shares} == total
+    sums = Counter()
+    for r in shares:
+        sums[r["class"]] += math.exp(r["units"] * lm.UNIT)
+    assert all(v == pytest.approx(1, abs=1e-6) for v in sums.values())
+
+
 def plain_top(rows, queries, k):
     out = {}
     for qi, q in queries:

@@ -11,8 +11,9 @@ Layout
   becomes). The table is partitioned on disk by ``part``, a hash of the term,
   and sorted by term inside a file (a few files a part, however large the collection): a search reads the parts of its terms only
   (a partition filter), and the maxima without the postings (column pruning).
-* A range is a hash of runs of ``RUN`` consecutive chunks of a file, about
-  ``RANGE`` chunks in all, so all terms share the ranges, the chunks of one
+* A range is a hash of runs of ``RUN`` consecutive chunks of a file, ``RANGE`` to
+  ``MOST_RANGE`` chunks in all (a term has at most one block a range, so wide ranges
+  keep the blocks of a large collection few), so all terms share the ranges, the chunks of one
   file stay together, and a giant file or a term that stands in most chunks is
   still spread over many blocks.
 * ``terms``: term, part, df. ``stats``: one row, n_docs and avgdl.
@@ -30,19 +31,25 @@ from pyspark.sql import functions as F
 
 from corpuskit.functions.text import tokens
 
-RANGE = 32          # chunks a range, on average
+RANGE = 32          # chunks a range, on average, of a small collection
+MOST_RANGE = 4096    # and of a large one
+LEAST_RANGES = 64    # ranges before they become wider than RANGE
 RUN = 32            # consecutive chunks of a file that share a range
 PART_CHUNKS = 4096   # chunks a term part, on average
 MOST_PARTS = 4096
-AT_ONCE = 500        # chunks whose terms are counted together
-FREQUENT = 16        # a term is frequent if it stands in more than one of so many of them
+TASKS = 4            # tasks that put ranges together, in times of the shuffle partitions
+FREQUENT = 16        # a term is frequent if it stands in more than one of so many chunks of a range
 SLICE_CHUNKS = 1_000_000  # chunks whose postings of frequent terms are written by one task, on average
 
+ENTRY = "entry_"     # before the names of the lists that hold the entries of a block
+TOPS = ("top_tf", "top_dl")
+
 
 @dataclass(frozen=True)
 class SearchIndex:
     """``chunks``: the chunk rows and their ``range``. ``blocks``: part, term, range, n, n_tokens,
-    tops (tf, dl), n_first, dl_first, entries (keys, dl, tf). ``parts``: number of term parts."""
+    tops (tf, dl), n_first, dl_first, entries (keys, dl, tf), and the lists that ``tops`` and ``entries`` are stored as
+    (``TOPS``, ``ENTRY``). ``parts``: number of term parts. ``width``: chunks a range, on average."""
 
     chunks: DataFrame
     blocks: DataFrame
@@ -50,6 +57,7 @@ class SearchIndex:
     stats: DataFrame
     parts: int
     ranges: int
+    width: int
 
     @property
     def postings(self) -> DataFrame:
@@ -65,102 +73,66 @@ def range_of(file: Column, chunk_index: Column, ranges: int) -> Column:
     return F.pmod(F.xxhash64(file, F.floor(chunk_index / RUN)), F.lit(ranges)).cast("int")
 
 
-def posting_rows(chunks: DataFrame, keys: list[str], text_col: str = "content") -> DataFrame:
-    """(keys..., term, dl, tf, first, frequent): the terms of every chunk with their numbers.
+def block_rows(rows: DataFrame, keys: list[str], text_col: str = "content") -> DataFrame:
+    """Blocks (term, range, n, n_tokens, n_first, dl_first, a list for each of ``TOPS`` and of keys, dl and tf, frequent)
+    of chunk rows (keys..., range, text).
 
-    Row-local: a chunk's tokens are counted where its row is, nothing is
-    shuffled. ``first`` is true on one row of a chunk; a chunk without tokens
-    has one row with a null term. ``frequent``: among the chunks counted
-    together many have the term; it decides where a posting is written, nothing else.
+    A range is put together where its chunks meet: their texts are shuffled, not a row for each (chunk, term),
+    and the postings of a term and range leave their task as one row. A chunk without tokens has an entry under a
+    null term; ``n_first`` counts each chunk on one of its entries. ``frequent``: many chunks of the range have the
+    term; it decides where a block is written, nothing else.
     """
-    kinds = dict(chunks.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", term string, dl int, tf int, first boolean, frequent boolean"
-
-    def run(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, AT_ONCE):
-                yield counted(whole.slice(at, AT_ONCE))
-
-    def counted(batch):
-        lists = batch.column(len(keys))
-        flat = pc.list_flatten(lists).dictionary_encode()
-        dl = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(["term string, range int, n long, n_tokens long, n_first long, dl_first long",
+                        *[f"{c} array<int>" for c in TOPS], *[f"{ENTRY}{c} array<{kinds[c]}>" for c in keys],
+                        *[f"{ENTRY}{c} array<int>" for c in ("dl", "tf")], "frequent boolean"])
+
+    def lists(at: np.ndarray, values) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), values if isinstance(values, pa.Array) else pa.array(values, pa.int32()))
+
+    def made(table: pa.Table) -> pa.Table:
+        tokens_of = table["tokens"].combine_chunks()
+        size_of = pc.fill_null(pc.list_value_length(tokens_of), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        chunks = len(size_of)
+        flat = pc.list_flatten(tokens_of).dictionary_encode()
         words = flat.dictionary
-        row = np.repeat(np.arange(len(dl)), dl)
-        code = row * max(len(words), 1) + flat.indices.to_numpy(zero_copy_only=False)
-        pair, tf = np.unique(code, return_counts=True)  # by chunk, then term
-        row, term = np.divmod(pair, max(len(words), 1))
-        empty = np.flatnonzero(dl == 0)
-        take = pa.array(np.concatenate([row, empty]))
-        first = np.concatenate([np.diff(row, prepend=-1) > 0, np.ones(len(empty), dtype=bool)])
-        often = np.bincount(term, minlength=len(words)) * FREQUENT > len(dl)
-        frequent = np.concatenate([often[term], np.zeros(len(empty), dtype=bool)])
-        terms = pa.concat_arrays([words.take(pa.array(term)).cast(pa.string()), pa.nulls(len(empty), pa.string())])
-        return pa.RecordBatch.from_arrays(
-            [*[batch.column(i).take(take) for i in range(len(keys))], terms, pa.array(dl[take.to_numpy()], pa.int32()),
-             pa.array(np.concatenate([tf, np.ones(len(empty), dtype=np.int64)]), pa.int32()), pa.array(first), pa.array(frequent)],
-            [*keys, "term", "dl", "tf", "first", "frequent"])
-
-    return chunks.select(*keys, tokens(text_col).alias("tokens")).mapInArrow(run, schema)
-
-
-def block_rows(postings: DataFrame, keys: list[str]) -> DataFrame:
-    """Blocks (term, range, n, n_tokens, tops, n_first, dl_first, entries, part) of posting
-    rows (part, term, range, keys..., dl, tf, first) that are sorted by part, term and range within their tasks.
-
-    A batch ends with rows whose block may go on in the next one; they are kept for it.
-    """
-    kinds = dict(postings.dtypes)
-    entry = f"struct<{', '.join(f'{c}: {kinds[c]}' for c in keys)}, dl: int, tf: int>"
-    schema = ("term string, range int, n long, n_tokens long, tops array<struct<tf: int, dl: int>>, n_first long, "
-              f"dl_first long, entries array<{entry}>, part int")
-
-    def starts(batch) -> np.ndarray:
-        """Rows at which another block begins."""
-        codes = [pc.fill_null(batch["range"].dictionary_encode().indices, -1), pc.fill_null(batch["term"].dictionary_encode().indices, -1)]
-        new = np.zeros(len(batch), dtype=bool)
-        for c in codes:
-            new |= np.diff(c.to_numpy(zero_copy_only=False), prepend=-2) != 0
-        return np.flatnonzero(new)
-
-    def lists(at: np.ndarray, fields: dict):
-        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
-
-    def made(batch, begin: np.ndarray):
-        take, ends = pa.array(begin), np.append(begin, len(batch))
+        code = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64) * chunks + np.repeat(np.arange(chunks), size_of)
+        pair, tf = np.unique(code, return_counts=True)  # by term, then chunk
+        term, row = np.divmod(pair, chunks)
+        empty = np.flatnonzero(size_of == 0)
+        term = np.concatenate([term, np.full(len(empty), len(words))])
+        row = np.concatenate([row, empty])
+        tf = np.concatenate([tf, np.ones(len(empty), dtype=np.int64)])
+        dl = size_of[row]
+        begin = np.flatnonzero(np.diff(term, prepend=-1))
+        ends = np.append(begin, len(term))
         size = np.diff(ends)
-        dl, tf = batch["dl"].to_numpy(), batch["tf"].to_numpy()
-        first = batch["first"].to_numpy(zero_copy_only=False)
+        chosen = np.zeros(chunks, dtype=np.int64)
+        chosen[row] = np.arange(len(row))  # one entry of each chunk
+        first = np.zeros(len(term), dtype=bool)
+        first[chosen] = True
         # the shortest chunk of each term frequency of a block
-        block = np.repeat(np.arange(len(begin)), size)
-        order = np.lexsort((dl, tf, block))
-        other = (np.diff(block[order], prepend=-1) != 0) | (np.diff(tf[order], prepend=-1) != 0)
-        top = order[other]
-        tops = np.concatenate([[0], np.cumsum(np.bincount(block[top], minlength=len(begin)))])
-        out = {"term": batch["term"].take(take), "range": batch["range"].take(take), "n": pa.array(size, pa.int64()),
-               "n_tokens": pa.array(np.add.reduceat(tf.astype(np.int64), begin)),
-               "tops": lists(tops, {"tf": pa.array(tf[top]), "dl": pa.array(dl[top])}),
+        most_tf, most_dl = int(tf.max()) + 1, int(dl.max()) + 1
+        top = np.sort((np.repeat(np.arange(len(begin)), size) * most_tf + tf) * most_dl + dl)
+        top = top[np.diff(top // most_dl, prepend=-1) != 0]
+        top_block, top_tf = np.divmod(top // most_dl, most_tf)
+        tops = np.concatenate([[0], np.cumsum(np.bincount(top_block, minlength=len(begin)))])
+        names = pa.concat_arrays([words.cast(pa.string()), pa.nulls(1, pa.string())]).take(pa.array(term[begin]))
+        at = pa.array(row)
+        out = {"term": names, "range": pa.array(np.full(len(begin), table["range"][0].as_py()), pa.int32()),
+               "n": pa.array(size, pa.int64()), "n_tokens": pa.array(np.add.reduceat(tf, begin), pa.int64()),
                "n_first": pa.array(np.add.reduceat(first.astype(np.int64), begin)),
-               "dl_first": pa.array(np.add.reduceat(np.where(first, dl, 0).astype(np.int64), begin)),
-               "entries": lists(ends, {c: batch[c] for c in (*keys, "dl", "tf")}),
-               "part": batch["part"].take(take)}
-        return pa.RecordBatch.from_arrays(list(out.values()), list(out))
-
-    def run(batches):
-        kept = None
-        for batch in batches:
-            if kept is not None:
-                batch = pa.Table.from_batches([kept, batch]).combine_chunks().to_batches()[0]
-            begin = starts(batch)
-            if not len(begin):
-                continue
-            kept = batch.slice(begin[-1])
-            if len(begin) > 1:
-                yield made(batch.slice(0, begin[-1]), begin[:-1])
-        if kept is not None and len(kept):
-            yield made(kept, np.zeros(1, dtype=np.int64))
-
-    return postings.mapInArrow(run, schema)
+               "dl_first": pa.array(np.add.reduceat(np.where(first, dl, 0), begin)),
+               **{c: lists(tops, x) for c, x in zip(TOPS, (top_tf, top % most_dl))},
+               **{f"{ENTRY}{c}": lists(ends, table[c].combine_chunks().take(at)) for c in keys},
+               f"{ENTRY}dl": lists(ends, dl), f"{ENTRY}tf": lists(ends, tf),
+               "frequent": pa.array(size * FREQUENT > chunks)}
+        return pa.table(out)
+
+    shuffled = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = rows.select("range", *keys, text_col).repartition(TASKS * shuffled, "range").sortWithinPartitions("range")
+    met = met.select("range", *keys, tokens(text_col).alias("tokens"))  # texts cross the network, not their tokens
+    return met.groupBy("range").applyInArrow(made, schema)
 
 
 def write_index(chunks: DataFrame, folder: str, keys: list[str], chunk_index: str = "chunk_index",
@@ -174,7 +146,8 @@ def write_index(chunks: DataFrame, folder: str, keys: list[str], chunk_index: st
 
     plain = stored("chunks", chunks)
     n = plain.count()
-    ranges = max(1, -(-n // RANGE))
+    width = min(MOST_RANGE, max(RANGE, n // LEAST_RANGES))
+    ranges = max(1, -(-n // width))
     parts = min(MOST_PARTS, max(8, -(-n // PART_CHUNKS)))
     rows = plain.withColumn("range", range_of(F.col(file), F.col(chunk_index), ranges))
 
@@ -185,17 +158,16 @@ def write_index(chunks: DataFrame, folder: str, keys: list[str], chunk_index: st
     own, slices = max(1, -(-2 * shuffled // parts)), max(1, -(-n // SLICE_CHUNKS))
     place = F.pmod(F.floor(F.abs(F.xxhash64("term") % (parts * own)) / parts), F.lit(own)) * slices
     cell = part_of(F.col("term"), parts) * (own * slices) + place + F.when(F.col("frequent"), F.pmod("range", F.lit(slices))).otherwise(0)
-    post = posting_rows(rows, [*keys, "range"]).select(
-        part_of(F.col("term"), parts).alias("part"), "term", "range", *keys, "dl", "tf", "first",
-        F.coalesce(cell, -1 - F.pmod("range", F.lit(slices))).alias("cell"))
-    # the rows of a block follow each other in their task, so it is put together without another shuffle or sort
-    dealt = post.repartition(max(shuffled, min(parts * own * slices, 16 * shuffled)), "cell").drop("cell").sortWithinPartitions(
-        "part", "term", "range")
-    blocks = stored("blocks", block_rows(dealt, keys).sortWithinPartitions("part", "term", "range"), "part")  # in order already
+    made = block_rows(rows, keys).withColumn("part", part_of(F.col("term"), parts)).withColumn(
+        "cell", F.coalesce(cell, -1 - F.pmod("range", F.lit(slices))))
+    dealt = made.repartition(max(shuffled, min(parts * own * slices, 16 * shuffled)), "cell")
+    blocks = stored("blocks", dealt.drop("cell", "frequent").sortWithinPartitions("part", "term", "range"), "part")
+    blocks = blocks.withColumn("tops", F.arrays_zip(*[F.col(c).alias(c.removeprefix("top_")) for c in TOPS])).withColumn(
+        "entries", F.arrays_zip(*[F.col(f"{ENTRY}{c}").alias(c) for c in (*keys, "dl", "tf")]))
     terms = blocks.filter(F.col("term").isNotNull()).groupBy("part", "term").agg(F.sum("n").alias("df"))
     terms = stored("terms", terms.select("term", "df", "part").repartition("part"), "part")
     stats = stored("stats", blocks.agg(F.sum("n_first").alias("n_docs"), (F.sum("dl_first") / F.sum("n_first")).alias("avgdl")))
-    return SearchIndex(rows, blocks, terms, stats, parts, ranges)
+    return SearchIndex(rows, blocks, terms, stats, parts, ranges, width)
 
 
 def source_version(spark: SparkSession, path: str) -> tuple:

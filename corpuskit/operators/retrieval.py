@@ -179,8 +179,8 @@ def bm25_search(index, queries: DataFrame, keys: list[str], qid: str = "query_id
         _scored(blocks, bound, avgdl, qid, keys, ["range"], k1, b, wanted=small(chosen.select(qid, *keys))))
 
 
-#: Ranges that one task scores together, and queries at a time.
-GROUP_RANGES = 128
+#: Chunks, whole ranges of them, that one task scores together, and queries at a time.
+GROUP_CHUNKS = 4096
 GROUP_QUERIES = 1024
 #: Chunks of each group that a scan for a ranked list keeps, in times of its depth.
 WIDER = 4
@@ -212,40 +212,40 @@ def _group_scorer(qid: str, keys: list[str], k: int | None, k1: float, b: float)
         weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
         names, queries = np.unique(flat("_q"), return_inverse=True)
         idf = flat("_idf")
-        total, met = np.zeros((len(first), len(names))), np.zeros((len(first), len(names)), dtype=bool)
+        total = np.zeros((len(names), len(first)))  # a posting's weight is above zero, so a zero tells no match
         size = table["_n"].to_numpy()
         start = np.concatenate([[0], np.cumsum(size)])
         asked = np.concatenate([[0], np.cumsum(pc.list_value_length(table["_q"].combine_chunks()).to_numpy())])
-        _, term = np.unique(np.array(table["term"].to_pylist(), dtype=object), return_inverse=True)
+        term = table["term"].combine_chunks().dictionary_encode().indices.to_numpy()
         order = np.argsort(term, kind="stable")
         for rows in np.split(order, np.flatnonzero(np.diff(term[order])) + 1):  # the blocks of a term
             at = np.concatenate([np.arange(start[r], start[r + 1]) for r in rows])
             own = slice(asked[rows[0]], asked[rows[0] + 1])
-            place = np.ix_(code[at], queries[own])
-            total[place] += weight[at][:, None] * idf[own][None, :]
-            met[place] = True
+            total[np.ix_(queries[own], code[at])] += idf[own][:, None] * weight[at][None, :]
+        met = total > 0
+        low = np.where(met, total, np.inf).min(axis=1)
         total[~met] = -np.inf
-        high, low = total.max(axis=0), np.where(met, total, np.inf).min(axis=0)
+        high = total.max(axis=1)
         ranked = np.round(total, SCORE_DP)
         if k is None:
             floor = np.full(len(names), np.inf)
             floor[queries] = flat("_floor")
-            chosen = total >= floor[None, :]
+            chosen = total >= floor[:, None]
         elif k < len(first):
-            chosen = ranked >= np.partition(ranked, len(first) - k, axis=0)[len(first) - k][None, :]
+            chosen = ranked >= np.partition(ranked, len(first) - k, axis=1)[:, len(first) - k][:, None]
         else:
             chosen = met
-        chunk, query = np.nonzero(chosen & met)
+        query, chunk = np.nonzero(chosen & met)
         if k is not None:  # of equal scores the smaller keys
-            order = np.lexsort((chunk, -ranked[chunk, query], query))
+            order = np.lexsort((chunk, -ranked[query, chunk], query))
             chunk, query = chunk[order], query[order]
             rank = np.arange(len(query)) - np.searchsorted(query, query)
             chunk, query = chunk[rank < k], query[rank < k]
         # below the last score of a query that has more chunks here than were taken, not all are known
         taken, least = np.bincount(query, minlength=len(names)), np.full(len(names), np.inf)
-        np.minimum.at(least, query, total[chunk, query])
-        cut = np.where(taken < met.sum(axis=0), least, -np.inf)
-        out = [names[query], *[c[first][chunk] for c in columns], total[chunk, query], low[query], high[query], cut[query]]
+        np.minimum.at(least, query, total[query, chunk])
+        cut = np.where(taken < met.sum(axis=1), least, -np.inf)
+        out = [names[query], *[c[first][chunk] for c in columns], total[query, chunk], low[query], high[query], cut[query]]
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema)], schema=schema)
 
     return run
@@ -260,13 +260,14 @@ def _grouped(index, blocks: DataFrame, weighted: DataFrame, avgdl: Column, n_que
     if floors is not None:
         asked = asked.join(floors.select(qid, F.col("floor").alias("_floor")), qid)
     extra = ["_floor"] if floors is not None else []
+    from corpuskit.operators.index import ENTRY
+
     lists = asked.groupBy("part", "term", "_turn").agg(F.collect_list(F.struct(F.col(qid).alias("_q"), F.col("idf").alias("_idf"), *extra))
                                                        .alias("_l"))
-    groups = max(1, -(-index.ranges // GROUP_RANGES))
-    rows = blocks.select("part", "term", F.col("n").alias("_n"), F.pmod("range", F.lit(groups)).alias("_g"),
-                         *[F.col(f"entries.{c}").alias(f"_{c}") for c in (*keys, "dl", "tf")])
-    rows = rows.join(small(materialize(lists)), ["part", "term"]).select(
-        "_g", "_turn", "term", "_n", *[f"_{c}" for c in (*keys, "dl", "tf")], avgdl.alias("_avgdl"),
+    groups = max(1, -(-index.ranges // max(1, GROUP_CHUNKS // index.width)))
+    rows = blocks.join(small(materialize(lists)), ["part", "term"]).select(
+        F.pmod("range", F.lit(groups)).alias("_g"), "_turn", "term", F.col("n").alias("_n"),
+        *[F.col(f"{ENTRY}{c}").alias(f"_{c}") for c in (*keys, "dl", "tf")], avgdl.alias("_avgdl"),
         *[F.col(f"_l.{c}").alias(c) for c in ("_q", "_idf", *extra)])
     schema = f"{qid} long, " + ", ".join(f"{c} long" for c in keys) + ", bm25 double, low double, high double, cut double"
     return rows.groupBy("_g", "_turn").applyInArrow(_group_scorer(qid, keys, k, k1, b), schema)
@@ -296,12 +297,11 @@ class IndexScores:
         return best.select(self.qid, *self.keys, "bm25"), ends
 
     def of(self, pairs: DataFrame) -> DataFrame:
-        """(qid, keys, bm25) of those pairs that share a term: only the blocks of their ranges are opened."""
-        at = self.index.chunks.select(*self.keys, "range").join(small(materialize(pairs.select(self.qid, *self.keys))), self.keys)
-        at = small(materialize(at))
-        met = self.blocks.join(small(self.weighted), ["part", "term"]).join(
-            at.select(self.qid, "range").distinct(), [self.qid, "range"], "left_semi")
-        rows = met.select(self.qid, "idf", F.inline("entries")).join(at.select(self.qid, *self.keys), [self.qid, *self.keys])
+        """(qid, keys, bm25) of those pairs that share a term, from the texts of their chunks: no block is read."""
+        pairs = small(materialize(pairs.select(self.qid, *self.keys)))
+        texts = self.index.chunks.join(small(materialize(pairs.select(*self.keys).distinct())), self.keys, "left_semi")
+        rows = postings(texts.select(*self.keys, F.monotonically_increasing_id().alias("_at"), "content"), [*self.keys, "_at"])
+        rows = rows.filter(F.col("term").isNotNull()).join(pairs, self.keys).join(small(self.weighted), [self.qid, "term"])
         weight = F.col("idf") * _tfn(F.col("tf"), F.col("dl"), self.avgdl, *self.how)
         return rows.groupBy(self.qid, *self.keys).agg(F.sum(weight).alias("bm25"))
 

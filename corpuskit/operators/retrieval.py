@@ -298,10 +298,11 @@ class IndexScores:
 
     def of(self, pairs: DataFrame) -> DataFrame:
         """(qid, keys, bm25) of those pairs that share a term, from the texts of their chunks: no block is read."""
-        pairs = small(materialize(pairs.select(self.qid, *self.keys)))
-        texts = self.index.chunks.join(small(materialize(pairs.select(*self.keys).distinct())), self.keys, "left_semi")
+        at = self.index.chunks.select(*self.keys).join(small(materialize(pairs.select(self.qid, *self.keys))), self.keys)
+        at = small(materialize(at))
+        texts = self.index.chunks.join(small(materialize(at.select(*self.keys).distinct())), self.keys, "left_semi")
         rows = postings(texts.select(*self.keys, F.monotonically_increasing_id().alias("_at"), "content"), [*self.keys, "_at"])
-        rows = rows.filter(F.col("term").isNotNull()).join(pairs, self.keys).join(small(self.weighted), [self.qid, "term"])
+        rows = rows.filter(F.col("term").isNotNull()).join(at, self.keys).join(small(self.weighted), [self.qid, "term"])
         weight = F.col("idf") * _tfn(F.col("tf"), F.col("dl"), self.avgdl, *self.how)
         return rows.groupBy(self.qid, *self.keys).agg(F.sum(weight).alias("bm25"))
 

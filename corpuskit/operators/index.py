@@ -21,6 +21,7 @@ Layout
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +31,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuskit.functions.text import tokens
+from corpuskit.operators.packed import as_lists, pack, text_hash, unpack
+from corpuskit.session import shuffles_dropped
 
 RANGE = 32          # chunks a range, on average, of a small collection
 MOST_RANGE = 4096    # and of a large one
@@ -39,6 +42,7 @@ PART_CHUNKS = 4096   # chunks a term part, on average
 MOST_PARTS = 4096
 TASKS = 4            # tasks that put ranges together, in times of the shuffle partitions
 FREQUENT = 16        # a term is frequent if it stands in more than one of so many chunks of a range
+MOST_OPEN = 1_000_000  # postings of the blocks that a task has unpacked at a time, about
 SLICE_CHUNKS = 1_000_000  # chunks whose postings of frequent terms are written by one task, on average
 
 ENTRY = "entry_"     # before the names of the lists that hold the entries of a block
@@ -66,30 +70,23 @@ class SearchIndex:
 
 
 def part_of(term: Column, parts: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
+    return F.pmod(F.crc32(F.coalesce(term, F.lit(""))), F.lit(parts)).cast("int")
 
 
 def range_of(file: Column, chunk_index: Column, ranges: int) -> Column:
     return F.pmod(F.xxhash64(file, F.floor(chunk_index / RUN)), F.lit(ranges)).cast("int")
 
 
-def block_rows(rows: DataFrame, keys: list[str], text_col: str = "content") -> DataFrame:
-    """Blocks (term, range, n, n_tokens, n_first, dl_first, a list for each of ``TOPS`` and of keys, dl and tf, frequent)
-    of chunk rows (keys..., range, text).
+def block_rows(rows: DataFrame, keys: list[str], deal: Callable[[np.ndarray, int, np.ndarray], np.ndarray],
+               text_col: str = "content") -> DataFrame:
+    """Packs (``operators.packed``) of blocks of chunk rows (keys..., range, text); ``opened`` has their rows.
 
     A range is put together where its chunks meet: their texts are shuffled, not a row for each (chunk, term),
-    and the postings of a term and range leave their task as one row. A chunk without tokens has an entry under a
-    null term; ``n_first`` counts each chunk on one of its entries. ``frequent``: many chunks of the range have the
-    term; it decides where a block is written, nothing else.
+    and the postings of a term and range leave their task as one block, all blocks of a range for one receiver as
+    one row. A chunk without tokens has an entry under a null term; ``n_first`` counts each chunk on one of its
+    entries. ``deal``: (hashes of terms, range, which of the terms are frequent) -> receivers.
+    A term is frequent if many chunks of the range have it; it decides where a block is written, nothing else.
     """
-    kinds = dict(rows.dtypes)
-    schema = ", ".join(["term string, range int, n long, n_tokens long, n_first long, dl_first long",
-                        *[f"{c} array<int>" for c in TOPS], *[f"{ENTRY}{c} array<{kinds[c]}>" for c in keys],
-                        *[f"{ENTRY}{c} array<int>" for c in ("dl", "tf")], "frequent boolean"])
-
-    def lists(at: np.ndarray, values) -> pa.ListArray:
-        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), values if isinstance(values, pa.Array) else pa.array(values, pa.int32()))
-
     def made(table: pa.Table) -> pa.Table:
         tokens_of = table["tokens"].combine_chunks()
         size_of = pc.fill_null(pc.list_value_length(tokens_of), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -119,20 +116,38 @@ def block_rows(rows: DataFrame, keys: list[str], text_col: str = "content") -> D
         tops = np.concatenate([[0], np.cumsum(np.bincount(top_block, minlength=len(begin)))])
         names = pa.concat_arrays([words.cast(pa.string()), pa.nulls(1, pa.string())]).take(pa.array(term[begin]))
         at = pa.array(row)
-        out = {"term": names, "range": pa.array(np.full(len(begin), table["range"][0].as_py()), pa.int32()),
-               "n": pa.array(size, pa.int64()), "n_tokens": pa.array(np.add.reduceat(tf, begin), pa.int64()),
-               "n_first": pa.array(np.add.reduceat(first.astype(np.int64), begin)),
-               "dl_first": pa.array(np.add.reduceat(np.where(first, dl, 0), begin)),
-               **{c: lists(tops, x) for c, x in zip(TOPS, (top_tf, top % most_dl))},
-               **{f"{ENTRY}{c}": lists(ends, table[c].combine_chunks().take(at)) for c in keys},
-               f"{ENTRY}dl": lists(ends, dl), f"{ENTRY}tf": lists(ends, tf),
-               "frequent": pa.array(size * FREQUENT > chunks)}
-        return pa.table(out)
+        number = table["range"][0].as_py()
+        of_word = np.append(text_hash(words), 0)[term[begin]]
+        int32 = lambda x: pa.array(x, pa.int32())
+        own = {"term": names, "range": int32(np.full(len(begin), number)), "n_tokens": int32(np.add.reduceat(tf, begin)),
+               "n_first": int32(np.add.reduceat(first.astype(np.int64), begin)),
+               "dl_first": int32(np.add.reduceat(np.where(first, dl, 0), begin))}
+        entries = {f"{ENTRY}{c}": table[c].combine_chunks().take(at) for c in keys}
+        out = pack(deal(of_word, number, size * FREQUENT > chunks), own, {
+            "n": (size, entries | {f"{ENTRY}dl": int32(dl), f"{ENTRY}tf": int32(tf)}),
+            "n_tops": (np.diff(tops), {c: int32(x) for c, x in zip(TOPS, (top_tf, top % most_dl))})})
+        return pa.Table.from_batches([out])
 
     shuffled = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = rows.select("range", *keys, text_col).repartition(TASKS * shuffled, "range").sortWithinPartitions("range")
     met = met.select("range", *keys, tokens(text_col).alias("tokens"))  # texts cross the network, not their tokens
-    return met.groupBy("range").applyInArrow(made, schema)
+    return met.groupBy("range").applyInArrow(made, "to int, data binary")
+
+
+def opened(packs: DataFrame, keys: list[str], kinds: dict[str, str]) -> DataFrame:
+    """Blocks (term, range, n, n_tokens, n_first, dl_first, a list for each of ``TOPS`` and of keys, dl and tf) of their packs."""
+    lists = {**{c: "int" for c in TOPS}, **{f"{ENTRY}{c}": kinds[c] for c in keys}, **{f"{ENTRY}{c}": "int" for c in ("dl", "tf")}}
+    schema = ", ".join(["term string, range int, n long, n_tokens long, n_first long, dl_first long",
+                        *[f"{c} array<{kind}>" for c, kind in lists.items()]])
+
+    def run(batches):
+        for batch in batches:
+            for x in unpack(batch.column(1), MOST_OPEN):
+                out = {c: x[c] for c in ("term", "range")} | {c: x[c].cast(pa.int64()) for c in ("n", "n_tokens", "n_first", "dl_first")}
+                out |= {c: as_lists(x["n_tops" if c in TOPS else "n"], x[c]) for c in lists}
+                yield pa.RecordBatch.from_pydict(out)
+
+    return packs.select("to", "data").mapInArrow(run, schema)
 
 
 def write_index(chunks: DataFrame, folder: str, keys: list[str], chunk_index: str = "chunk_index",
@@ -141,7 +156,8 @@ def write_index(chunks: DataFrame, folder: str, keys: list[str], chunk_index: st
     spark = chunks.sparkSession
 
     def stored(name: str, df: DataFrame, *by: str) -> DataFrame:
-        df.write.mode("overwrite").partitionBy(*by).option("compression", "zstd").parquet(f"{folder}/{name}")
+        with shuffles_dropped(spark):
+            df.write.mode("overwrite").partitionBy(*by).option("compression", "zstd").parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
     plain = stored("chunks", chunks)
@@ -156,12 +172,15 @@ def write_index(chunks: DataFrame, folder: str, keys: list[str], chunk_index: st
     # of one hash otherwise. Only terms that stand in many chunks are cut further, by range, so the number
     # of files grows with the number of parts, not with its square.
     own, slices = max(1, -(-2 * shuffled // parts)), max(1, -(-n // SLICE_CHUNKS))
-    place = F.pmod(F.floor(F.abs(F.xxhash64("term") % (parts * own)) / parts), F.lit(own)) * slices
-    cell = part_of(F.col("term"), parts) * (own * slices) + place + F.when(F.col("frequent"), F.pmod("range", F.lit(slices))).otherwise(0)
-    made = block_rows(rows, keys).withColumn("part", part_of(F.col("term"), parts)).withColumn(
-        "cell", F.coalesce(cell, -1 - F.pmod("range", F.lit(slices))))
-    dealt = made.repartition(max(shuffled, min(parts * own * slices, 16 * shuffled)), "cell")
-    blocks = stored("blocks", dealt.drop("cell", "frequent").sortWithinPartitions("part", "term", "range"), "part")
+    tasks = max(shuffled, min(parts * own * slices, 2 * shuffled))  # a range has a pack for each
+
+    def deal(hashes: np.ndarray, number: int, frequent: np.ndarray) -> np.ndarray:
+        cell = (hashes % parts * own + hashes // parts % own) * slices + np.where(frequent, number % slices, 0)
+        return cell % tasks
+
+    dealt = block_rows(rows, keys, deal).repartition(tasks, "to")
+    made = opened(dealt, keys, dict(rows.dtypes)).withColumn("part", part_of(F.col("term"), parts))
+    blocks = stored("blocks", made.sortWithinPartitions("part", "term", "range"), "part")
     blocks = blocks.withColumn("tops", F.arrays_zip(*[F.col(c).alias(c.removeprefix("top_")) for c in TOPS])).withColumn(
         "entries", F.arrays_zip(*[F.col(f"{ENTRY}{c}").alias(c) for c in (*keys, "dl", "tf")]))
     terms = blocks.filter(F.col("term").isNotNull()).groupBy("part", "term").agg(F.sum("n").alias("df"))

@@ -73,7 +73,7 @@ SELECT doc_id, chunk_index, {_ROUNDED_SQL} AS vector FROM _vec""")
 def q_embed_fitted(t: Tables) -> DataFrame:
     """#33: every chunk's vector under weights fitted on all chunks."""
     index = search_index(t)
-    counts = index.postings.filter(F.col("term").isNotNull()).select(*KEYS, "term", "tf")
+    counts = index.blocks.select("term", *[F.col(f"{IX.ENTRY}{c}").alias(c) for c in (*KEYS, "tf")])
     e = E.embed_terms(index.chunks, counts, fitted_embedder(t), KEYS)
     return e.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), rounded("embedding").alias("vector"))
 

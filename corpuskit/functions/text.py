@@ -45,10 +45,11 @@ def clean_document(c) -> Column:
     return F.array_join(F.transform(F.split(_c(c), "\f"), page), "\f")
 
 
-def tokens(c, stop_words: list[str] | None = None) -> Column:
-    """#35: lower-cased letter/digit tokens minus stop words (array<string>)."""
+def tokens(c, stop_words: list[str] | None = None, distinct: bool = False) -> Column:
+    """#35: lower-cased letter/digit tokens minus stop words (array<string>), ``distinct``: each once."""
     stop = STOP_WORDS if stop_words is None else stop_words
     toks = F.split(F.lower(_c(c)), TOKEN_SPLIT)
+    toks = F.array_distinct(toks) if distinct else toks
     return F.filter(toks, lambda t: (t != "") & ~t.isin(stop))
 
 

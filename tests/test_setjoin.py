@@ -136,3 +136,66 @@ def test_sketches_lose_no_similar_pair():
         true = S.similar(sets, x, y, least) >= 0
         assert true.any() and not (true & ~kept).any()
     assert not S.may_be_similar(counts, np.diff(at), np.array([0]), np.array([8]), 0.7).any()
+
+
+def _packed(sets, least, roots=None):
+    """Sets by key as ``candidates`` has them, tokens in one order for all."""
+    import pyarrow as pa
+
+    keys = sorted(sets)
+    made = [np.array(sorted(sets[k])[:S.prefix_length(len(sets[k]), least, S.SHARED)], dtype=np.int32) for k in keys]
+    return {"key": pa.array(keys), "size": pa.array([len(sets[k]) for k in keys], pa.int32()),
+            "root": pa.array([(roots or {}).get(k, k) for k in keys]), "length": pa.array([len(t) for t in made], pa.int32()),
+            "token": pa.array(np.concatenate(made))}
+
+
+@pytest.mark.parametrize("least, step", [(0.7, 5), (0.5, 2_000_000), (1.0, 1)])
+def test_candidates_lose_no_similar_pair(monkeypatch, least, step):
+    monkeypatch.setattr(S, "STEP", step)
+    monkeypatch.setattr(S, "X_SETS", 40)
+    rng = random.Random(6)
+    sets = {}
+    for k in range(260):  # sets of 1 to 60 tokens, and edited copies of others
+        t = set(rng.choices(range(500), k=rng.randint(1, 60)))
+        if k % 2 and sets:
+            t = set(rng.choice(list(sets.values())))
+            for _ in range(rng.randint(0, max(1, len(t) // 5))):
+                t.discard(rng.choice(sorted(t)) if len(t) > 1 else None)
+                t.add(rng.randrange(500))
+        sets[f"k{k}"] = t
+    roots = {k: "k1" for k in sorted(sets)[:60]}  # one large component
+    x = _packed(sets, least, roots)
+    names = x["key"].to_pylist()
+    i, j = S.candidates(x, x, least)
+    got = {frozenset((names[a], names[b])) for a, b in zip(i.tolist(), j.tolist())}
+    want = {frozenset((a, b)) for a in sets for b in sets if a < b and roots.get(a, a) != roots.get(b, b)
+            and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least - 1e-9}
+    assert len(got) == len(i) and want <= got and len(want) > 10
+    assert not any(roots.get(a, a) == roots.get(b, b) for a, b in map(tuple, got))
+
+
+def test_blocks_of_sizes_meet_all_that_can_be_similar():
+    counts = [(1, 5), (2, 40), (3, 1), (10, 7), (14, 8), (15, 1), (100, 3), (1000, 2)]
+    top, first, meets = S.size_blocks(counts, 10, 0.7)
+    assert len(meets) == first[-1] and max(c for _, c in counts) > 10 and first[np.searchsorted(top, 2) + 1] - first[np.searchsorted(top, 2)] == 4
+    for a, _ in counts:
+        for b, _ in counts:
+            if 0.7 * a <= b <= a:
+                i, j = np.searchsorted(top, a), np.searchsorted(top, b)
+                assert set(range(first[j], first[j + 1])) <= set(meets[first[i]])
+
+
+def test_a_few_rare_tokens_in_common_make_no_candidate(spark, monkeypatch):
+    """Unlike texts of 100 words that share five rare ones: counted in one task, never compared."""
+    rng = random.Random(8)
+    rows = [(i, " ".join([f"r{i // 20}x{k}" for k in range(5)] + [f"c{v}" for v in rng.sample(range(3000), 95)])) for i in range(400)]
+    seen, real = [], S._compared
+
+    def compared(pairs, *args):
+        seen.append(pairs.count())
+        return real(pairs, *args)
+
+    monkeypatch.setattr(S, "_compared", compared)
+    assert S.near_duplicate_classes(spark.createDataFrame(rows, "id string, text string"), "id", "text").count() == 0
+    # the first of the two joins compares every text with one other a token at most, as before; the second one none
+    assert seen[2] == 0 and len(seen) == 4

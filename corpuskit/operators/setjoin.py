@@ -48,7 +48,8 @@ FREQUENT = 500_000  # tokens known by rank (16 bytes each)
 BLOCKS = 16        # blocks of sets by size, unless that makes them
 LEAST_BLOCK = 2048  # smaller than this, or
 MOST_BLOCK = 65_536  # larger (sets)
-X_SETS = 4096      # sets whose prefixes are looked up at a time
+SLICE = 2048       # sets of a batch that a worker packs or sketches at a time
+X_SETS = 2048      # sets whose prefixes are looked up at a time
 STEP = 400_000     # pairs of equal tokens that a task holds at a time, about
 OFTEN = 16         # rows of a token with one root, from which on they are set apart
 CLASSES = 512      # classes by which tokens are counted before sets are compared
@@ -136,6 +137,13 @@ def _needed(total, least: float):
     return np.ceil(np.round(least / (1 + least) * total, 6))
 
 
+def _slices(batches):
+    """The batches in slices of ``SLICE`` sets: what a worker makes of one at a time stays small."""
+    for batch in batches:
+        yield from (batch.slice(i, SLICE) for i in range(0, len(batch), SLICE))
+        pa.default_memory_pool().release_unused()
+
+
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, pa.Array]:
     """(tokens a set, the tokens) of a batch of (key, size, tokens, ...)."""
     return pc.list_value_length(batch.column(2)).to_numpy().astype(np.int64), pc.list_flatten(batch.column(2))
@@ -155,7 +163,7 @@ def _with_least(prefix: DataFrame, least: float) -> DataFrame:
     kind = dict(prefix.dtypes)["key"]
 
     def dealt(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             size, flat = _flat(batch)
             take = pa.array(np.repeat(np.arange(len(batch)), size))
             own = {"token": flat, "pos": pa.array(spread(np.zeros(len(batch), np.int64), size), pa.int32()),
@@ -220,7 +228,7 @@ def _in_blocks(prefix: DataFrame, least: float, most: int | None) -> DataFrame:
             as_small[j].append(int(task[i]) + k)
 
     def dealt(batches):
-        for batch in (b.slice(i, X_SETS) for b in batches for i in range(0, len(b), X_SETS)):
+        for batch in _slices(batches):
             size, (length, flat) = batch.column(1).to_numpy().astype(np.int64), _flat(batch)
             at = np.searchsorted(top, size)
             block = first[at] + _spread_hash(batch.column(0)) % (first[at + 1] - first[at])
@@ -241,6 +249,7 @@ def _in_blocks(prefix: DataFrame, least: float, most: int | None) -> DataFrame:
         if x is None or y is None:
             return pa.table({c: pa.array([], table_type) for c in ("a", "b")})
         i, j = candidates(x, y, least)
+        pa.default_memory_pool().release_unused()
         return pa.table({"a": x["key"].take(pa.array(i)), "b": y["key"].take(pa.array(j))})
 
     table_type = pa_type(kind)
@@ -372,7 +381,7 @@ def similar(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray, least: float)
 def _sketches(sets: DataFrame) -> DataFrame:
     """(key, size, counts) of sets (key, tokens)."""
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             at, flat = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy()
             if len(batch):
                 counts = class_counts(at, flat)
